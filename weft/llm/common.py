@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -21,7 +22,7 @@ def texts_of(column: pa.Array):
 
 def slices(batch: pa.RecordBatch, text: int, most: int = CHUNK_BYTES):
     """Cut a batch so that each part holds about ``most`` bytes of text (one row at least)."""
-    sizes = np.fromiter((0 if x is None else x for x in pa.compute.binary_length(batch.column(text)).to_pylist()), np.int64, batch.num_rows)
+    sizes = np.fromiter((0 if x is None else x for x in pc.binary_length(batch.column(text)).to_pylist()), np.int64, batch.num_rows)
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import simhash
+from weft.llm import decontam, mixing, sharding, simhash
 from weft.runtime import load
 
 
@@ -14,5 +14,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(load(spark, sf_dir, "documents"))
+    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_contamination(docs, load(spark, sf_dir, "benchmark")).select("doc_id", "contamination.*")
+    items = F.col("items")
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), decontam.items_digest(items).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
+    text = F.col("text")
+    rows = load(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = sharding.assign_shards(rows, "doc_id", [1.0] * shards)
+    placed = sharding.assign_shards(placed, "doc_id", [1.0] * (shards + 1), "grown_shard")
+    return sharding.number_slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
+    "op10_sharding": op10_sharding,
+}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_decontamination": decontam.ORACLE}
