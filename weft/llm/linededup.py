@@ -103,7 +103,8 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     first = kept_lines(docs, id_col, text_col, max_edits, min_words)
     by_doc = first.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("line"))).alias("kept"), F.count("near").alias("n_near"))
-    mine = docs.select(F.col(id_col).alias("id"), F.expr("filter(sequence(0, size(split(coalesce(`{0}`, ''), '\\n')) - 1), i -> split(coalesce(`{0}`, ''), '\\n')[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')".format(text_col)).alias("mine"))
+    numbers = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i))
+    mine = docs.select(F.col(id_col).alias("id"), F.array_compact(numbers).alias("mine"))
     both = mine.join(by_doc, F.col("id").eqNullSafe(F.col("of")), "left")
     kept = F.coalesce("kept", F.array().cast("array<int>"))
     out = both.select("id", F.size("mine").cast("long").alias("n_lines"), F.size(F.array_intersect("mine", kept)).cast("long").alias("n_kept"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.array_join(F.array_sort(F.array_except("mine", kept)).cast("array<string>"), ",").alias("dropped"))
