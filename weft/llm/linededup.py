@@ -6,8 +6,10 @@ inserted, deleted or replaced turns one into the other. Each line emits its vari
 and itself without one word, as hashed keys. Two lines are near exactly if they share a variant
 made at the same place of lines of the same length, or if one is a variant of the other.
 
-A word edit leaves the first or the last half of the shorter line as it was, so only lines
-that share a half with another emit variants; all others can have no near line. Within a
+A word edit leaves the first or the last words of a line as they were, up to half of the
+shorter line, so only lines that share such a part with another emit variants; all others can
+have no near line. The part is the largest of 1, 2, 3, 4, 6, 8, 12, 16, ... words that fits in
+half a line; a line one word longer mostly has the same part, and emits both where it has not. Within a
 variant made at one place all lines are near each other, so the earliest is found by a minimum
 and no pairs of a group are listed. Each line is then compared, word by word, with the
 earliest line that a key gives.
@@ -35,9 +37,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("id", "line", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
 
 
-def _half(at: int, words: str, size: str) -> Column:
-    """Hash of the first (at 0) or last (at 1) ``size`` words."""
-    return F.expr(f"xxhash64({at}, {size}, slice({words}, {'1' if at == 0 else f'n - ({size}) + 1'}, {size}))")
+def _part(n: str) -> str:
+    """SQL for the part's size in a line of ``n`` words: the largest power of 2, or one and a half of it, up to half of n."""
+    half = f"greatest(({n}) div 2, 1)"
+    power = f"shiftleft(1, length(bin({half})) - 1)"
+    return f"if(2 * {half} >= 3 * {power} and {power} > 1, 3 * {power} div 2, {power})"
+
+
+def _ends(h: str, only: str = "true") -> list[Column]:
+    """Hashes of the first and of the last ``h`` words of ``w``, where ``only`` holds."""
+    return [F.expr(f"if({only}, xxhash64(0, {h}, slice(w, 1, {h})), null)"), F.expr(f"if({only}, xxhash64(1, {h}, slice(w, n - {h} + 1, {h})), null)")]
 
 
 def _same_part(a: str, b: str) -> Column:
@@ -64,12 +73,13 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not isinstance(min_words, int) or min_words < 2:
         raise OpError("line_dedup", "min_words", f"{min_words!r} must be a whole number of 2 or more")
     lines = _lines(docs, id_col, text_col).select("id", "line", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-    halves = [("p0", 0, "n div 2"), ("s0", 1, "n div 2"), ("p1", 0, "(n - 1) div 2"), ("s1", 1, "(n - 1) div 2")]
-    keyed = lines.select("id", "line", "n", F.xxhash64("w").alias("f"), F.expr("xxhash64(7, w)").alias("g"), *[_half(at, "w", size).alias(name) for name, at, size in halves])
+    lines = lines.withColumn("h", F.expr(_part("n"))).withColumn("i", F.expr(_part("n - 1")))
+    parts = [c.alias(name) for c, name in zip(_ends("h") + _ends("i", "i <> h"), ("p0", "s0", "p1", "s1"), strict=True)]
+    keyed = lines.select("id", "line", "n", F.xxhash64("w").alias("f"), F.expr("xxhash64(7, w)").alias("g"), *parts)
     distinct = checkpoint(keyed.groupBy("n", "f", "g", "p0", "s0", "p1", "s1").agg(F.min(F.struct("id", "line")).alias("first")))
     if not max_edits:
         return distinct.select("first.id", "first.line", F.lit(None).cast(distinct.schema["first"].dataType).alias("near"))
-    halves_of = distinct.where(F.col("n") >= min_words).select("first", F.explode(F.array_distinct(F.array("p0", "s0", "p1", "s1"))).alias("key"))
+    halves_of = distinct.where(F.col("n") >= min_words).select("first", F.explode(F.array_compact(F.array("p0", "s0", "p1", "s1"))).alias("key"))
     shared = halves_of.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key")
     chosen = halves_of.join(shared, "key", "left_semi").select("first").distinct()
     by_doc = checkpoint(chosen.groupBy(F.col("first.id").alias("of")).agg(F.collect_list("first.line").alias("at")))
