@@ -1,10 +1,10 @@
-"""Registered queries over the given tables, with the SQL that must give the same rows."""
+"""All registered queries over the given tables, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from weft.plans import table_queries
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+_PARTS = [table_queries]
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
+flagship = table_queries.flagship
