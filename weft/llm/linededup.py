@@ -31,7 +31,7 @@ BROADCAST_DOCUMENTS = 200_000
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), "")
+    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,7 +74,7 @@ def _place(docs: DataFrame, id_col: str) -> tuple[Column, Column]:
     place = F.coalesce(F.col("id").cast("decimal(19,0)") + shift, F.lit(Decimal(0))) * step + F.col("line")
     whole = F.floor(F.col("place") / step)
     value = F.when(whole > 0, (whole - shift).cast(kind))
-    return place.cast("decimal(32,0)"), F.struct(value.alias("id"), (F.col("place") - whole * step).cast("int").alias("line"))
+    return place.cast("decimal(32,0)"), F.struct(value.alias("id"), F.pmod("place", step).cast("int").alias("line"))
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 5) -> DataFrame:
