@@ -55,7 +55,7 @@ def read_tagged(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     def values(name: str, tags: tuple[str, ...]) -> Column:
         lists = []
         for t in tags:
-            found = F.transform(F.filter("p", lambda p, t=t: p["tag"] == t), lambda p: p["value"])
+            found = F.transform(F.filter("p", lambda p: p["tag"] == t), lambda p: p["value"])  # noqa: B023
             if many and name in _LISTS and name != "keywords":
                 found = F.flatten(F.transform(found, lambda v: F.split(v, r"\n\s+")))
             lists.append(F.filter(F.transform(found, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: v != ""))
@@ -95,12 +95,13 @@ def read_record_table(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """Records of a CSV export (tab-separated for ``wos_table``); headings may be in either language."""
     if fmt not in TABLES:
         raise OpError("read_record_table", "fmt", f"{fmt!r} is not one of {', '.join(TABLES)}")
-    head = spark.read.text(path).limit(3).collect()
-    skip = fmt == "dimensions" and head and not head[0][0].lstrip("\ufeff").startswith(("Rank", '"Rank', "Title", "Publication ID"))
-    rows = spark.read.csv(path, header=not skip, sep="\t" if fmt == "wos_table" else ",", multiLine=True, escape='"')
-    if skip:  # a banner line stands before the headings
-        names = next(csv_line(r[0]) for r in head[1:])
-        rows = rows.toDF(*names[: len(rows.columns)], *rows.columns[len(names) :]).where(F.col(f"`{names[0]}`").isNotNull() & (F.col(f"`{names[0]}`") != names[0]) & F.col(f"`{names[1]}`").isNotNull())
+    head = [r[0].lstrip("\ufeff") for r in spark.read.text(path).limit(2).collect()]
+    if fmt == "dimensions" and len(head) > 1 and "PubYear" not in head[0]:  # a banner line stands before the headings
+        names = csv_line(head[1])
+        rows = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path, multiLine=True, escape='"')
+        rows = rows.where(F.col(f"`{names[1]}`").isNotNull() & (F.col(f"`{names[1]}`") != names[1]))
+    else:
+        rows = spark.read.csv(path, header=True, sep="\t" if fmt == "wos_table" else ",", multiLine=True, escape='"')
     have = {c.lstrip("\ufeff").strip().lower(): c for c in rows.columns}
     fields = {}
     for n in COLUMNS:
