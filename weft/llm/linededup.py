@@ -17,21 +17,20 @@ earliest line that a key gives.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
 from weft.errors import OpError, need_columns
 from weft.runtime import checkpoint
 
 #: Documents with candidate lines that are broadcast to find their texts (some 60 bytes each); more are joined by a shuffle.
 BROADCAST_DOCUMENTS = 200_000
+#: Keys of parts that lines share which are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
+    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,21 +61,6 @@ def within_one(a: str, b: str) -> Column:
     return (_same_part(a, b) + _same_part(f"reverse({a})", f"reverse({b})") >= F.expr(f"greatest(size({a}), size({b})) - 1")) & F.expr(f"abs(size({a}) - size({b})) <= 1")
 
 
-def _place(docs: DataFrame, id_col: str) -> tuple[Column, Column]:
-    """A value that orders ``(id, line)``, null ids first, and the struct back from it.
-
-    Whole-number ids and lines make one decimal, whose minimum a hash aggregation can keep; other ids stay in a struct.
-    """
-    kind = docs.schema[id_col].dataType
-    if not isinstance(kind, IntegralType):
-        return F.struct("id", "line"), F.col("place")
-    shift, step = F.lit(Decimal((1 << 63) + 1)), F.lit(Decimal(1 << 31))
-    place = F.coalesce(F.col("id").cast("decimal(19,0)") + shift, F.lit(Decimal(0))) * step + F.col("line")
-    whole = F.floor(F.col("place") / step)
-    value = F.when(whole > 0, (whole - shift).cast(kind))
-    return place.cast("decimal(32,0)"), F.struct(value.alias("id"), F.pmod("place", step).cast("int").alias("line"))
-
-
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 5) -> DataFrame:
     """``(id, line, near)``: where each distinct line comes first; ``near`` is the earliest line before it that is near, or null.
 
@@ -94,13 +78,13 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines.withColumn("h", F.expr(_part("n"))).withColumn("i", F.expr(_part("n - 1")))
     parts = [c.alias(name) for c, name in zip(_ends("h") + _ends("i", "i <> h"), ("p0", "s0", "p1", "s1"), strict=True)]
     keyed = lines.select("id", "line", "n", F.xxhash64("w").alias("f"), F.expr("xxhash64(7, w)").alias("g"), *parts)
-    place, first = _place(docs, id_col)
-    distinct = checkpoint(keyed.groupBy("n", "f", "g", "p0", "s0", "p1", "s1").agg(F.min(place).alias("place")).withColumn("first", first).drop("place"))
+    distinct = checkpoint(keyed.groupBy("n", "f", "g", "p0", "s0", "p1", "s1").agg(F.min(F.struct("id", "line")).alias("first")))
     if not max_edits:
         return distinct.select("first.id", "first.line", F.lit(None).cast(distinct.schema["first"].dataType).alias("near"))
     halves_of = distinct.where(F.col("n") >= min_words).select("first", F.explode(F.array_compact(F.array("p0", "s0", "p1", "s1"))).alias("key"))
-    shared = halves_of.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key")
-    chosen = halves_of.join(shared, "key", "left_semi").select("first").distinct()
+    shared = checkpoint(halves_of.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key"))
+    few = shared.count() <= BROADCAST_KEYS
+    chosen = halves_of.join(F.broadcast(shared) if few else shared, "key", "left_semi").select("first").distinct()
     by_doc = checkpoint(chosen.groupBy(F.col("first.id").alias("of")).agg(F.collect_list("first.line").alias("at")))
     few = by_doc.count() <= BROADCAST_DOCUMENTS
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(by_doc) if few else by_doc, F.col("id").eqNullSafe(F.col("of")))
