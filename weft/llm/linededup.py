@@ -25,8 +25,8 @@ from weft.runtime import checkpoint
 
 #: Documents with candidate lines that are broadcast to find their texts (some 60 bytes each); more are joined by a shuffle.
 BROADCAST_DOCUMENTS = 200_000
-#: Keys of parts that lines share which are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Keys that lines share, and whole lines, which are broadcast (some 20 to 60 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def words_of(line: Column) -> Column:
@@ -61,6 +61,11 @@ def within_one(a: str, b: str) -> Column:
     return (_same_part(a, b) + _same_part(f"reverse({a})", f"reverse({b})") >= F.expr(f"greatest(size({a}), size({b})) - 1")) & F.expr(f"abs(size({a}) - size({b})) <= 1")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Checkpointed rows, marked for broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 5) -> DataFrame:
     """``(id, line, near)``: where each distinct line comes first; ``near`` is the earliest line before it that is near, or null.
 
@@ -83,8 +88,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return distinct.select("first.id", "first.line", F.lit(None).cast(distinct.schema["first"].dataType).alias("near"))
     halves_of = distinct.where(F.col("n") >= min_words).select("first", F.explode(F.array_compact(F.array("p0", "s0", "p1", "s1"))).alias("key"))
     shared = checkpoint(halves_of.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key"))
-    few = shared.count() <= BROADCAST_KEYS
-    chosen = halves_of.join(F.broadcast(shared) if few else shared, "key", "left_semi").select("first").distinct()
+    chosen = halves_of.join(_small(shared), "key", "left_semi").select("first").distinct()
     by_doc = checkpoint(chosen.groupBy(F.col("first.id").alias("of")).agg(F.collect_list("first.line").alias("at")))
     few = by_doc.count() <= BROADCAST_DOCUMENTS
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(by_doc) if few else by_doc, F.col("id").eqNullSafe(F.col("of")))
@@ -95,10 +99,12 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = "transform(sequence(0, n), i -> struct(i as pos, if(i = 0, xxhash64(w, array()), xxhash64(slice(w, 1, i - 1), slice(w, i + 1, n - i))) as key))"
     variants = hashed.select("first", "n", F.explode(F.expr(rest)).alias("v")).select("first", "n", "v.pos", "v.key")
     less = variants.where("pos > 0")
-    meet = less.groupBy("key", "n", "pos").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    replaced = less.join(meet, ["key", "n", "pos"]).select(F.col("first").alias("later"), F.col("least").alias("earlier"))
-    whole = variants.where("pos = 0").select("key", F.col("n").alias("m"), F.col("first").alias("other"))
-    inserted = less.join(whole, "key").where("m = n - 1").select(F.greatest("first", "other").alias("later"), F.least("first", "other").alias("earlier"))
+    meet = checkpoint(less.groupBy("key", "n", "pos").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines"))
+    same = checkpoint(less.join(_small(meet), ["key", "n", "pos"]))
+    least = same.groupBy("key", "n", "pos").agg(F.min("first").alias("least"))
+    replaced = same.join(least, ["key", "n", "pos"]).select(F.col("first").alias("later"), F.col("least").alias("earlier"))
+    whole = checkpoint(variants.where("pos = 0").select("key", F.col("n").alias("m"), F.col("first").alias("other")))
+    inserted = less.join(_small(whole), "key").where("m = n - 1").select(F.greatest("first", "other").alias("later"), F.least("first", "other").alias("earlier"))
     pairs = replaced.unionByName(inserted).where("earlier < later").distinct()
     texts = candidates.select(F.col("first"), "words")
     a = texts.select(F.col("first").alias("later"), F.col("words").alias("a"))
