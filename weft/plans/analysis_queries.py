@@ -42,8 +42,7 @@ def _(spark, d):
 
 @query("suggest_stages")
 def _(spark, d):
-    e = load(spark, d, "events").where("value > 20 or day(ts) between 8 and 9 or day(ts) between 20 and 21")
-    return TS.suggest_stages(e, "ts", peak_ratio=1.1)
+    return TS.suggest_stages(load(spark, d, "events"), "ts", peak_ratio=1.05)
 
 
 @query("forecast_moving_average", f"WITH {_DAILY}, f AS (SELECT day, v, avg(v) OVER w AS p, coalesce(stddev_samp(v) OVER w, 0) * 1.96 AS s, row_number() OVER (ORDER BY day) AS k FROM daily WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), l AS (SELECT max(day) AS last, avg(v) AS p, stddev_samp(v) * 1.96 AS s FROM (SELECT * FROM daily ORDER BY day DESC LIMIT 3)) SELECT day::VARCHAR AS period, round(v, 4) AS actual, CASE WHEN k > 3 THEN round(p, 4) END AS predicted, CASE WHEN k > 3 THEN round(p - s, 4) END AS lower, CASE WHEN k > 3 THEN round(p + s, 4) END AS upper, 0 AS horizon FROM f UNION ALL SELECT (last + h.h::INT)::VARCHAR, NULL, round(p, 4), round(p - s, 4), round(p + s, 4), h.h::INT FROM l, range(1, 4) h(h)")
@@ -230,16 +229,16 @@ def _(spark, d):
     return ST.cluster_texts(load(spark, d, "documents"), "text", 4).select("doc_id", "cluster", "silhouette")
 
 
-@query("dbscan", "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.7) SELECT e.vec_id AS id, count(p.id) = 0 AS alone FROM embeddings e LEFT JOIN p ON p.id = e.vec_id GROUP BY 1")
+@query("dbscan", "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45) SELECT e.vec_id AS id, count(p.id) = 0 AS alone FROM embeddings e LEFT JOIN p ON p.id = e.vec_id GROUP BY 1")
 def _(spark, d):
     e = load(spark, d, "embeddings")
-    return ST.dbscan(e, "vec_id", "embedding", 0.3, 2).select("id", F.col("is_noise").alias("alone"))
+    return ST.dbscan(e, "vec_id", "embedding", 0.55, 2).select("id", F.col("is_noise").alias("alone"))
 
 
 @query("text_classifier")
 def _(spark, d):
     docs = load(spark, d, "documents")
-    model = ST.train_classifier(docs.where("doc_id % 5 <> 0"), "text", "lang", 2000)
+    model = ST.train_classifier(docs, "text", "lang", 2000)
     return ST.classify(docs.select("doc_id", "text"), "text", model).select("doc_id", "label")
 
 
@@ -355,9 +354,9 @@ def _(spark, d):
     return G.cocitation_edges(load(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@query("expand_citations", "WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS x, (l_partkey % 100) + 1 AS y FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0), w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT y, depth + 1 FROM w JOIN l ON x = node WHERE depth < 2) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1")
+@query("expand_citations", "WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS x, (l_partkey % 100) + 1 AS y FROM lineitem), w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT y, depth + 1 FROM w JOIN l ON x = node WHERE depth < 2) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1")
 def _(spark, d):
-    li = load(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 0").select("l_suppkey", (F.col("l_partkey") % 100 + 1).alias("y"))
+    li = load(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 100 + 1).alias("y"))
     return G.expand_citations(spark.range(1, 2), li, "l_suppkey", "y", 2)
 
 

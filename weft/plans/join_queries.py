@@ -23,8 +23,8 @@ def query(name: str, sql: str | None = None):
 
 
 for _how in ("inner", "left", "right", "outer"):
-    QUERIES[f"join_{_how}"] = lambda spark, d, how=_how: J.join_tables(load(spark, d, "customer").select("c_custkey", "c_name").withColumn("k", F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey"))), load(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("k")).where("k is not null or o_orderkey < 100"), how, "k", "k")
-    ORACLES[f"join_{_how}"] = f"WITH a AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS k FROM customer), b AS (SELECT * FROM (SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS k FROM orders WHERE o_orderkey % 7 = 0) WHERE k IS NOT NULL OR o_orderkey < 100) SELECT c_custkey, c_name, coalesce(a.k, b.k) AS k, o_orderkey FROM a {'FULL OUTER' if _how == 'outer' else _how.upper()} JOIN b ON a.k IS NOT DISTINCT FROM b.k"
+    QUERIES[f"join_{_how}"] = lambda spark, d, how=_how: J.join_tables(load(spark, d, "customer").select("c_name", F.nullif("c_custkey", F.lit(1)).alias("k")), load(spark, d, "orders").select("o_orderkey", F.nullif("o_custkey", F.lit(1)).alias("k")), how, "k", "k")
+    ORACLES[f"join_{_how}"] = f"WITH a AS (SELECT c_name, nullif(c_custkey, 1) AS k FROM customer), b AS (SELECT o_orderkey, nullif(o_custkey, 1) AS k FROM orders) SELECT c_name, coalesce(a.k, b.k) AS k, o_orderkey FROM a {'FULL OUTER' if _how == 'outer' else _how.upper()} JOIN b ON a.k IS NOT DISTINCT FROM b.k"
 
 
 @query("join_cross", "SELECT r_regionkey, r_name, n_nationkey, n_name, n_regionkey FROM region CROSS JOIN nation")
@@ -62,17 +62,20 @@ def _(spark, d):
     return J.anti_join(load(spark, d, "customer"), other, "c_mktsegment", "s", mode="trim", ignore_case=True).select("c_custkey")
 
 
-@query("semi_join_url", "SELECT page_id FROM pages WHERE page_id % 3 = 0 OR rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://(www\\.)?', ''), '#.*$', ''), '/') IN (SELECT rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://(www\\.)?', ''), '#.*$', ''), '/') FROM pages WHERE page_id % 3 = 0)")
+_KEY = "rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://(www\\.)?', ''), '#.*$', ''), '/')"
+
+
+@query("semi_join_url", f"SELECT page_id FROM pages WHERE {_KEY} IN (SELECT {_KEY} FROM pages WHERE length(html) > 4000)")
 def _(spark, d):
     p = load(spark, d, "pages")
-    other = p.where("page_id % 3 = 0").select(F.concat(F.regexp_replace("url", "^https?://(www\\.)?", "HTTP://WWW."), F.lit("#top")).alias("u"))
+    other = p.where("length(html) > 4000").select(F.concat(F.regexp_replace("url", "^https?://(www\\.)?", "HTTP://WWW."), F.lit("#top")).alias("u"))
     return J.anti_join(p, other, "url", "u", mode="url", keep="keep").select("page_id")
 
 
-@query("anti_join_text", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 4 = 0 AND x.text = d.text)")
+@query("anti_join_text", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.lang = 'en' AND x.text = d.text)")
 def _(spark, d):
     docs = load(spark, d, "documents")
-    other = docs.where("doc_id % 4 = 0").select(F.concat(F.lit("@someone "), "text", F.lit("  https://t.example/x")).alias("t"))
+    other = docs.where("lang = 'en'").select(F.concat(F.lit("@someone "), "text", F.lit("  https://t.example/x")).alias("t"))
     return J.anti_join(docs, other, "text", "t", mode="text").select("doc_id")
 
 
@@ -96,18 +99,18 @@ def _(spark, d):
     return J.diff(li.where("l_linenumber <= 2").select("l_suppkey", "l_returnflag"), li.where("l_linenumber in (2, 3)").select("l_suppkey", "l_returnflag"))
 
 
-@query("diff_keyed", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN 'added' WHEN o_orderkey % 13 = 0 THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN '' ELSE 'o_totalprice' END AS columns FROM orders WHERE (o_orderkey % 11 = 0 AND o_orderkey % 13 <> 0) OR (o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 5 <> 0) OR (o_orderkey % 5 = 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0)")
+@query("diff_keyed", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus, o_orderpriority, CASE o_orderstatus WHEN 'P' THEN 'added' WHEN 'F' THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o_orderstatus = 'O' THEN 'o_totalprice' ELSE '' END AS columns FROM orders WHERE o_orderstatus IN ('P', 'F') OR o_orderpriority = '1-URGENT'")
 def _(spark, d):
-    o = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    a = o.where("o_orderkey % 11 <> 0 and not (o_orderkey % 13 = 0 and o_orderkey % 5 = 0)")
-    b = o.where("o_orderkey % 13 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return J.diff(a, b, ["o_orderkey"])
+    o = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    urgent = (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")
+    after = o.where("o_orderstatus <> 'F'").withColumn("o_totalprice", F.when(urgent, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return J.diff(o.where("o_orderstatus <> 'P'"), after, ["o_orderkey"])
 
 
-@query("compare_snapshots", "WITH a AS (SELECT l_suppkey, sum(l_quantity) AS before FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 5 <> 1 GROUP BY 1), b AS (SELECT l_suppkey, sum(l_quantity) AS after FROM lineitem WHERE l_linenumber = 2 AND l_suppkey % 7 <> 1 GROUP BY 1) SELECT l_suppkey, before, after, coalesce(after, 0) - coalesce(before, 0) AS delta, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'gone' WHEN after > before THEN 'up' WHEN after < before THEN 'down' ELSE 'same' END AS change FROM a FULL OUTER JOIN b USING (l_suppkey)")
+@query("compare_snapshots", "WITH a AS (SELECT l_partkey, sum(l_quantity) AS before FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey, sum(l_quantity) AS after FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT l_partkey, before, after, coalesce(after, 0) - coalesce(before, 0) AS delta, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'gone' WHEN after > before THEN 'up' WHEN after < before THEN 'down' ELSE 'same' END AS change FROM a FULL OUTER JOIN b USING (l_partkey)")
 def _(spark, d):
     li = load(spark, d, "lineitem")
-    return J.compare_snapshots(li.where("l_linenumber = 1 and l_suppkey % 5 <> 1"), li.where("l_linenumber = 2 and l_suppkey % 7 <> 1"), ["l_suppkey"], "l_quantity")
+    return J.compare_snapshots(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["l_partkey"], "l_quantity")
 
 
 @query("lookup", "SELECT c_custkey, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -178,7 +181,7 @@ def _(spark, d):
 @query("anti_join_similar")
 def _(spark, d):
     docs = load(spark, d, "documents")
-    return D.similar_semi(docs, docs.where("doc_id % 10 = 0"), "text", "text", "doc_id", "doc_id", 3).select("doc_id")
+    return D.similar_semi(docs, docs.where("lang = 'de'"), "text", "text", "doc_id", "doc_id", 3).select("doc_id")
 
 
 @query("similar_to", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT row_number() OVER (ORDER BY s DESC, vec_id)::INT AS rank, vec_id AS id, s AS similarity FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]) AS s FROM embeddings, q) ORDER BY s DESC, vec_id LIMIT 10")
@@ -187,11 +190,11 @@ def _(spark, d):
     return D.similar_to(e, "vec_id", "embedding", e.where("vec_id = 0").first()["embedding"])
 
 
-@query("semantic_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.92")
+@query("semantic_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45")
 def _(spark, d):
-    return D.semantic_pairs(load(spark, d, "embeddings"), "vec_id", "embedding", 0.92)
+    return D.semantic_pairs(load(spark, d, "embeddings"), "vec_id", "embedding", 0.45)
 
 
 @query("semantic_dedupe")
 def _(spark, d):
-    return D.semantic_dedupe(load(spark, d, "embeddings"), "vec_id", "embedding", 0.92).select("vec_id")
+    return D.semantic_dedupe(load(spark, d, "embeddings"), "vec_id", "embedding", 0.45).select("vec_id")

@@ -31,9 +31,9 @@ def _(spark, d):
     return C.rename_columns(load(spark, d, "customer"), {"c_custkey": "customer", "c_name": "c_mktsegment", "c_mktsegment": "c_name"})
 
 
-@query("strip_whitespace", r"SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM (SELECT doc_id, '  ' || substr(text, 1, 40) || chr(10) AS x FROM documents)")
+@query("strip_whitespace", r"SELECT doc_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM (SELECT doc_id, '  ' || text || chr(10) AS x FROM documents)")
 def _(spark, d):
-    return C.strip_whitespace(load(spark, d, "documents").select("doc_id", F.concat(F.lit("  "), F.substring("text", 1, 40), F.lit("\n")).alias("x")))
+    return C.strip_whitespace(load(spark, d, "documents").select("doc_id", F.concat(F.lit("  "), "text", F.lit("\n")).alias("x")))
 
 
 @query("convert_type", "SELECT event_id, value::VARCHAR IS NOT NULL AS value, try_cast(regexp_extract(props, '(-?[0-9.]+)', 1) AS DOUBLE) AS number, event_type NOT IN ('', 'false', 'no') AS flag, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment FROM events")
