@@ -349,6 +349,21 @@ def test_nested_layers_map_back():
         assert a >= 9 and b <= len(text) - 6 and text[a:b].rstrip("=") in core and len(text[a:b]) >= len(core) // 2
 
 
+def test_repeated_encodings_each_map_back(spark):
+    plain = "password=hunter2222"
+    run, packed = base64.b64encode(plain.encode()).decode().rstrip("="), base64.b64encode(zlib.compress(plain.encode())).decode().rstrip("=")
+    nested = base64.b64encode(f"{run} and {run} end".encode()).decode().rstrip("=")
+    for code, each in ((run, 1), (packed, 1), (nested, 2)):
+        text = f"one {code} two {code} %41 three {code}."
+        places = [m.start() for m in re.finditer(re.escape(code), text)]
+        base, every, layers = secrets.find(text)
+        assert not base and [sum(p <= a and b <= p + len(code) for a, b, _ in every) for p in places] == [each] * 3 and len(every) == 3 * each
+        assert layers == 1 + 3 * (1 if each == 1 else 3)  # the URL layer, and each run with those in it
+        out = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+        assert code not in out and out.count("[secret]") >= 3
+    assert secrets.find("%252541" * 200 + "\\\\u005cu0041" * 200)[2] < 20  # orders of unwrapping do not multiply
+
+
 def test_secret_edges(spark):
     assert secrets.find("%25" * 50)[2] < 60  # runs dry
     assert secrets.find("%zz \\u12 AAAA" * 10)[1] == []

@@ -3,8 +3,9 @@ r"""Secret scans through nested encodings.
 Each text is the first layer of a worklist. A layer is scanned, then unwrapped: URL escapes
 and Unicode escapes give the layer with all of them decoded; each base64 run gives a layer of
 its own if it decodes to text, or to a gzip, zlib, bzip2 or xz stream that unpacks to text.
-Layers seen before are not taken again, so the list runs dry. Spans found in a layer are mapped
-back, step by step, to the characters of the original text that they were decoded from.
+A layer text is scanned and unwrapped once, so the list runs dry, but each place where it stands
+is kept: spans found in it are mapped back, step by step, to the characters of the original text
+that they were decoded from, once for each place.
 """
 
 from __future__ import annotations
@@ -50,28 +51,21 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """A decoded text and how its characters lie in the layer above."""
+    """A decoded text and how its characters lie in the layer above, of which it covers ``start`` to ``end``."""
 
-    def __init__(self, text: str, above: Layer | None, name: str, place):
-        self.text, self.above, self.name, self.place = text, above, name, place
+    def __init__(self, text: str, start: int, end: int, place):
+        self.text, self.start, self.end, self.place = text, start, end, place
 
-    def original(self, start: int, end: int) -> tuple[int, int]:
-        layer = self
-        while layer.above is not None:
-            start, end = layer.place(start, end)
-            layer = layer.above
-        return start, end
 
-
-def _escapes(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
+def _escapes(text: str, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with all escape runs decoded; a character of a run maps to its own escape where lengths tell, else to the run."""
     pieces, new_at, old_at, whole = [], [0], [(0, 0, 1)], 0  # from new_at on: (old start, run's length or 0, old characters a new one)
     at = size = 0
-    for m in pattern.finditer(layer.text):
+    for m in pattern.finditer(text):
         got = decode(m[0])
         if got is None:
             continue
-        plain = layer.text[at : m.start()]
+        plain = text[at : m.start()]
         pieces += [plain, got]
         size += len(plain)
         n = m.end() - m.start()
@@ -83,7 +77,7 @@ def _escapes(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | No
         at, whole = m.end(), whole + 1
     if not whole:
         return None
-    pieces.append(layer.text[at:])
+    pieces.append(text[at:])
 
     def place(start: int, end: int) -> tuple[int, int]:
         i, j = bisect_right(new_at, start) - 1, bisect_right(new_at, end - 1) - 1
@@ -93,7 +87,7 @@ def _escapes(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | No
         last = old + (end - new_at[j]) * (step if run else 1) if not run or step else old + run
         return first, last
 
-    return Layer("".join(pieces), layer, name, place)
+    return Layer("".join(pieces), 0, len(text), place)
 
 
 def _url(run: str) -> str | None:
@@ -138,9 +132,9 @@ def _readable(data: bytes) -> str | None:
     return text if text.isprintable() or sum(c.isprintable() or c in "\t\n\r" for c in text) == len(text) else None
 
 
-def _base64(layer: Layer):
+def _base64(text: str):
     """A layer for each base64 run that decodes to text, or to a stream that unpacks to text or to another stream."""
-    for m in _BASE64.finditer(layer.text):
+    for m in _BASE64.finditer(text):
         run = m[0]
         if len(run) % 4 == 1:
             run = run[:-1]
@@ -148,17 +142,15 @@ def _base64(layer: Layer):
             data = base64.b64decode(run.translate(_URLSAFE) + "=" * (-len(run) % 4), validate=True)
         except ValueError:
             continue
-        name, text, inner = "base64", _readable(data), data
-        if text is None:
-            while (more := _unpack(inner)) is not None:
-                inner = more
-            if inner is data:
-                continue
-            name, text = "compressed", _readable(inner)
-            if text is None:
-                continue
         start, end = m.start(), m.end()
-        yield Layer(text, layer, name, _in_run(start, end, text) if name == "base64" else lambda a, b, s=start, e=end: (s, e))
+        got, inner = _readable(data), data
+        if got is not None:
+            yield Layer(got, start, end, _in_run(start, end, got))
+            continue
+        while (more := _unpack(inner)) is not None:
+            inner = more
+        if inner is not data and (got := _readable(inner)) is not None:
+            yield Layer(got, start, end, lambda a, b, s=start, e=end: (s, e))
 
 
 _URLSAFE = str.maketrans("-_", "+/")
@@ -175,35 +167,50 @@ def _in_run(start: int, end: int, text: str):
     return place
 
 
-def unwrap(text: str) -> list[Layer]:
-    """All layers of a text, itself first, each text once."""
-    first = Layer(text, None, "text", None)
-    layers, seen, at = [first], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, 0
-    while at < len(layers):
-        layer = layers[at]
-        at += 1
-        found = []
-        if "%" in layer.text:
-            found.append(_escapes(layer, _URL, _url, "url"))
-        if "\\" in layer.text:
-            found.append(_escapes(layer, _UNICODE, _unicode, "unicode"))
-        found += _base64(layer)
-        for new in found:
-            if new is not None and (key := hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest()) not in seen:
-                seen.add(key)
-                layers.append(new)
-    return layers
+def _key(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def unwrap(text: str, base: list[tuple[int, int, str]]) -> tuple[set[tuple[int, int, str]], set[tuple[int, int, bytes]]]:
+    """``(start, end, kind)`` of all spans and ``(start, end, digest)`` of all layers below the text, in its characters; ``base`` are its own spans.
+
+    Each distinct layer text is scanned and unwrapped once. What is found in it then rises
+    through every layer that holds it, once for each of its places, until nothing is new.
+    """
+    keys, texts, holders, found = {_key(text): 0}, [text], [[]], []
+    for at, here in enumerate(texts):  # grows
+        texts[at] = ""
+        found.append(set(scan(here) if at else base))
+        layers = []
+        if "%" in here:
+            layers.append(_escapes(here, _URL, _url))
+        if "\\" in here:
+            layers.append(_escapes(here, _UNICODE, _unicode))
+        for new in [*filter(None, layers), *_base64(here)]:
+            number = keys.setdefault(key := _key(new.text), len(texts))
+            if number == len(texts):
+                texts.append(new.text)
+                holders.append([])
+            found[at].add((new.start, new.end, key))
+            holders[number].append((at, new.place))
+    if len(texts) > 1:
+        rising = [(i, found[i]) for i in range(len(texts))]
+        while rising:
+            i, new = rising.pop()
+            for above, place in holders[i]:
+                more = {(*place(a, b), what) for a, b, what in new} - found[above]
+                if more:
+                    found[above] |= more
+                    rising.append((above, more))
+    return {x for x in found[0] if isinstance(x[2], str)}, {x for x in found[0] if isinstance(x[2], bytes)}
 
 
 def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:
     """Spans of the text itself; all spans, decoded layers included; the number of layers below the text."""
-    layers = unwrap(text)
     base = scan(text)
-    every = set(base)
-    for layer in layers[1:]:
-        every.update((*layer.original(a, b), kind) for a, b, kind in scan(layer.text))
+    every, layers = unwrap(text, base)
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
-    return sorted(base, key=order), sorted(every, key=order), len(layers) - 1
+    return sorted(base, key=order), sorted(every, key=order), len(layers)
 
 
 def joined(spans) -> str:
@@ -215,7 +222,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     base_spans and spans are ``kind:start:end``, comma-joined, in code points with the end
     exclusive, by start and then kind. The counts are of the text itself; ``layers`` counts the
-    decoded layers. A null text is as an empty one. A decoded span covers the whole characters
+    decoded layers, each text once for each place of the original that it was decoded from. A null text is as an empty one. A decoded span covers the whole characters
     that encode it: the escapes, the base64 groups of four, or a compressed run.
     """
     need_columns("secrets", "text_col", docs, [text_col])
