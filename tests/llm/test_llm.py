@@ -1,6 +1,7 @@
 """Training-data operators against brute force, exact round trips and edge cases."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
@@ -364,6 +365,31 @@ def test_repeated_encodings_each_map_back(spark):
     assert secrets.find("%252541" * 200 + "\\\\u005cu0041" * 200)[2] < 20  # orders of unwrapping do not multiply
 
 
+def test_alphabets_and_wrapped_runs():
+    rng = random.Random(5)
+    for n in range(300):
+        plain = f"{words(rng, rng.randint(3, 12))} password=hunter{n:04d}"
+        code = base64.urlsafe_b64encode((zlib, bz2)[n % 2].compress(plain.encode())).decode().rstrip("=")
+        for text in (f"é note {code} end", f"key-{base64.b64encode(zlib.compress(plain.encode())).decode()}", f"http://a/{code}"):
+            assert [s[2] for s in secrets.find(text)[1]] == ["assign"], text
+    plain = f"{words(rng, 400)} password=hunter2222 {words(rng, 400)}"
+    for data in (zlib.compress(plain.encode()), bz2.compress(plain.encode()), gzip.compress(plain.encode(), mtime=0), plain.encode()):
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            code = encode(data).decode()
+            for width, gap in ((76, "\n"), (76, "\r\n"), (64, "\n  "), (12, "\n")):
+                wrapped = gap.join(code[i : i + width] for i in range(0, len(code), width))
+                for before, after in (("é see: ", "\n\nend"), ("a word\n", "\nand more"), ("averylongwordatthelineend\n", "\n")):
+                    text = before + wrapped + after
+                    spans = [text[a:b] for a, b, kind in secrets.find(text)[1] if kind == "assign"]
+                    assert spans and all(x in wrapped for x in spans), (text, spans)
+                    if data != plain.encode():
+                        assert [x.rstrip("=") for x in spans] == [wrapped.rstrip("=")]
+    lines = [base64.b64encode(f"password=hunter{i:04d}x".encode()).decode().rstrip("=") for i in range(5)]
+    text = "\n".join(lines)
+    places = {(m.start(), m.start() + len(lines[0])) for line in lines for m in re.finditer(line, text)}
+    assert places <= {(a, b) for a, b, _ in secrets.find(text)[1]}
+
+
 def test_secret_edges(spark):
     assert secrets.find("%25" * 50)[2] < 60  # runs dry
     assert secrets.find("%zz \\u12 AAAA" * 10)[1] == []

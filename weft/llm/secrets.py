@@ -2,7 +2,8 @@ r"""Secret scans through nested encodings.
 
 Each text is the first layer of a worklist. A layer is scanned, then unwrapped: URL escapes
 and Unicode escapes give the layer with all of them decoded; each base64 run gives a layer of
-its own if it decodes to text, or to a gzip, zlib, bzip2 or xz stream that unpacks to text.
+its own if it decodes to text, or to a gzip, zlib, bzip2 or xz stream that unpacks to text. A run
+is in the standard or the URL-safe alphabet and may be wrapped over lines.
 A layer text is scanned and unwrapped once, so the list runs dry, but each place where it stands
 is kept: spans found in it are mapped back, step by step, to the characters of the original text
 that they were decoded from, once for each place.
@@ -17,6 +18,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +34,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}")
+#: One line of a run, and a whole run: characters of both alphabets, with single line breaks (and the indentation after them) inside.
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=\r?\n))(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+")
 #: The shortest match of any kind takes 12 characters, so 16 in base64.
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,}")
+SHORTEST = 16
+#: The parts of a run that does not decode as it stands: in the standard alphabet, in the URL-safe one, in what both share.
+_SPLITS = tuple(re.compile(f"[A-Za-z0-9{more}]{{{SHORTEST},}}") for more in ("+/", "_-", ""))
 #: Bytes that one compressed run may unpack to; longer ones count as not decodable, and are counted as such.
 UNPACKED = 32 << 20
 
@@ -105,8 +112,8 @@ def _unicode(run: str) -> str | None:
     return b"".join(c.to_bytes(2, "little") for c in codes).decode("utf-16-le", "replace")
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """The content of a gzip, zlib, bzip2 or xz stream; None if it is none, is broken or too long."""
+def _unpack(data: bytes) -> tuple[bytes, int] | None:
+    """The content of a gzip, zlib, bzip2 or xz stream and the bytes it takes; None if it is none, is broken or too long."""
     if data[:2] == b"\x1f\x8b":
         tool = zlib.decompressobj(31)
     elif len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
@@ -121,7 +128,7 @@ def _unpack(data: bytes) -> bytes | None:
         out = tool.decompress(data, UNPACKED)
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         return None
-    return out if tool.eof else None
+    return (out, len(data) - len(tool.unused_data)) if tool.eof else None
 
 
 def _readable(data: bytes) -> str | None:
@@ -132,37 +139,82 @@ def _readable(data: bytes) -> str | None:
     return text if text.isprintable() or sum(c.isprintable() or c in "\t\n\r" for c in text) == len(text) else None
 
 
-def _base64(text: str):
-    """A layer for each base64 run that decodes to text, or to a stream that unpacks to text or to another stream."""
-    for m in _BASE64.finditer(text):
-        run = m[0]
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run.translate(_URLSAFE) + "=" * (-len(run) % 4), validate=True)
-        except ValueError:
-            continue
-        start, end = m.start(), m.end()
-        got, inner = _readable(data), data
-        if got is not None:
-            yield Layer(got, start, end, _in_run(start, end, got))
+def _readings(text: str):
+    """Lists of ``(start, end)`` of lines that may be one encoding: of each run all lines, lines wrapped at one width with a shorter last one or without, and single lines."""
+    for m in _RUN.finditer(text):
+        lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+        yield lines
+        if len(lines) == 1:
             continue
-        while (more := _unpack(inner)) is not None:
-            inner = more
-        if inner is not data and (got := _readable(inner)) is not None:
-            yield Layer(got, start, end, lambda a, b, s=start, e=end: (s, e))
+        widths = [b - a for a, b in lines]
+        for i, width in enumerate(widths):
+            if i and widths[i - 1] == width:
+                continue
+            j = i + 1
+            while j < len(lines) and widths[j] == width:
+                j += 1
+            if j < len(lines) and widths[j] < width:
+                yield lines[i : j + 1]
+            if j > i + 1:
+                yield lines[i:j]
+        yield from ([line] for line in lines)
+
+
+def _decoded(run: str) -> tuple[str, int] | None:
+    """The text that a run encodes, and 0, or that its stream unpacks to, and the characters that the stream takes."""
+    if len(run) % 4 == 1:
+        run = run[:-1]
+    try:
+        data = base64.b64decode(run.translate(_URLSAFE) + "=" * (-len(run) % 4), validate=True)
+    except ValueError:
+        return None
+    if (text := _readable(data)) is not None:
+        return text, 0
+    first = more = _unpack(data)
+    while more is not None:
+        inner, more = more[0], _unpack(more[0])
+    if first is None or (text := _readable(inner)) is None:
+        return None
+    return text, -(-first[1] * 8 // 6)
+
+
+def _base64(text: str):
+    """A layer for each base64 run that decodes to text, or to a stream that unpacks to text or to another stream.
+
+    A run that does not decode to text as a whole is also read in parts, and from the end of a stream on.
+    """
+    tried = set()
+    for lines in _readings(text):
+        run = "".join(text[a:b] for a, b in lines)
+        ends = list(accumulate(b - a for a, b in lines))
+        at = lambda i, lines=lines, ends=ends: lines[k := bisect_right(ends, i)][1] - ends[k] + i
+        todo = [(0, len(run))]
+        for a, b in todo:  # grows
+            if b - a < SHORTEST or (place := (at(a), at(b - 1), b - a)) in tried:
+                continue
+            tried.add(place)
+            got, used = _decoded(run[a:b]) or (None, 0)
+            if got is not None and not used:
+                yield Layer(got, at(a), at(b - 1) + 1, _in_run(a, b, got, at))
+                continue
+            if got is not None:
+                start, end = at(a), at(a + used - 1) + 1
+                yield Layer(got, start, end, lambda x, y, s=start, e=end: (s, e))
+                todo.append((a + used, b))
+            if (a, b) == (0, len(run)):
+                todo += [m.span() for split in _SPLITS for m in split.finditer(run)]
 
 
 _URLSAFE = str.maketrans("-_", "+/")
 
 
-def _in_run(start: int, end: int, text: str):
+def _in_run(start: int, end: int, text: str, at):
     ascii_only = text.isascii()
 
     def place(a: int, b: int) -> tuple[int, int]:
         if not ascii_only:
             a, b = len(text[:a].encode()), len(text[:b].encode())
-        return start + a // 3 * 4, min(end, start + -(-b // 3) * 4)
+        return at(start + a // 3 * 4), at(min(end, start + -(-b // 3) * 4) - 1) + 1
 
     return place
 
@@ -223,7 +275,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base_spans and spans are ``kind:start:end``, comma-joined, in code points with the end
     exclusive, by start and then kind. The counts are of the text itself; ``layers`` counts the
     decoded layers, each text once for each place of the original that it was decoded from. A null text is as an empty one. A decoded span covers the whole characters
-    that encode it: the escapes, the base64 groups of four, or a compressed run.
+    that encode it: the escapes, the base64 groups of four, or a compressed run, with the line
+    breaks in between.
     """
     need_columns("secrets", "text_col", docs, [text_col])
     new = ["n_assign", "n_access", "n_hex", "base_spans", "spans", "layers"]
