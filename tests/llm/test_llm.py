@@ -129,6 +129,21 @@ def test_similar_edges(spark):
     assert similar.drop_similar(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, similar.drop_similar])
+def test_one_row_of_each_group_whatever_the_ids(spark, drop):
+    rng = random.Random(9)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(None, a, 1), (3, a, 2), (None, b, 3), (None, c, 4), (None, c, 5), (None, c.upper(), 6), (5, d, 7), (5, e, 8), (5, e, 9), (6, e, 10), (None, "z", 11)]
+    for some in (rows, [r for r in rows if r[0] is None], [r for r in rows if r[0] is not None]):
+        want = {}
+        for i, text, _ in sorted(some, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+            want.setdefault(text.lower(), (i, text))
+        for table in (spark.createDataFrame(some, "doc_id long, text string, n int"), spark.createDataFrame([(None if i is None else str(i), t, n) for i, t, n in some], "doc_id string, text string, n int")):
+            got = drop(table)
+            assert got.columns == ["doc_id", "text", "n"]
+            assert sorted(((int(r[0]) if r[0] is not None else None, r[1]) for r in got.collect()), key=str) == sorted(want.values(), key=str)
+
+
 # 2 mixing
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from weft.errors import OpError, need_columns
-from weft.llm.common import field, texts_of
+from weft.llm.common import field, keep_first, named_texts, texts_of
 from weft.operators.components import connected_components
 from weft.runtime import checkpoint
 
@@ -213,20 +213,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names its group: one document of each group stays, all columns kept.
+    """One document of each group: the row of ``docs`` with its smallest id, all columns kept.
 
-    Where several rows carry the id that stays, the one with the smallest fingerprint and
-    text stays. A group whose ids are all null keeps one row as well.
+    Of rows of a group with equal ids the first by text stays. Rows without an id stay only if
+    nothing else in their group has one; then one of them does.
     """
-    groups = checkpoint(near_duplicate_groups(docs, id_col, text_col, shingle_words, max_bits))
-    stays = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("fp").alias("prints"))
-    out = docs.join(stays.select(F.col("id").alias("__stays")).distinct(), F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
-    if stays.where("rows > 1").isEmpty():
-        return out
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    return out.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    need_columns("simhash", "id_col/text_col", docs, [id_col, text_col])
+    groups = near_duplicate_groups(named_texts(docs, id_col, text_col), "id", "text", shingle_words, max_bits)
+    return keep_first(docs, checkpoint(groups.select("id", "component_id")), id_col, text_col)
 
 
 def hex_fingerprint(fp):
