@@ -160,6 +160,16 @@ def test_significance_refuses_and_answers(spark):
         ST.significance(df.where("g = 'a'"), "g", "v")
 
 
+def test_anomaly_samples_copies_as_often_as_they_occur(spark, monkeypatch):
+    monkeypatch.setattr(ST, "FOREST_ROWS", 300)
+    monkeypatch.setattr(ST, "COPIES", 64)
+    df = spark.range(3000).select("id", *[F.when(F.col("id") % 3 == 0, v).otherwise(F.pmod(F.xxhash64("id", F.lit(v)), F.lit(1000)) / 10).alias(c) for c, v in (("a", 400.0), ("b", 500.0))])
+    for seed in (1, 2, 3):
+        found = ST.anomaly(df, ["a", "b"], 0.05, seed)
+        scores = {r["common"]: r["s"] for r in found.groupBy((F.col("a") == 400).alias("common")).agg(F.avg("anomaly_score").alias("s")).collect()}
+        assert scores[True] < 0.6 and found.where("is_anomaly and a = 400").count() == 0 and found.where("is_anomaly").count() > 0, scores
+
+
 def test_anomaly_finds_the_outlier(spark):
     rng = np.random.default_rng(4)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.standard_normal((200, 2)))] + [(999, 30.0, -30.0)]

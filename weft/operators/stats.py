@@ -152,12 +152,14 @@ def significance(df: DataFrame, group_col: str, value_col: str, test: str = "tte
 
 #: Rows that an isolation forest is grown from, trees, and rows a tree sees (the method's own sample size).
 FOREST_ROWS, TREES, TREE_ROWS = 20_000, 100, 256
+#: Copies of a row that one task numbers at a time.
+COPIES = 10_000
 
 
 def anomaly(df: DataFrame, columns: list[str] | None = None, contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """``df`` with ``anomaly_score`` (higher: isolated sooner) and ``is_anomaly`` (the highest part ``contamination``).
 
-    The forest is grown on the driver from a bounded hash sample; every row is scored in its own task. Missing numbers become the median.
+    The forest is grown on the driver from a bounded hash sample of the rows, in which copies weigh as often as they occur; every row is scored in its own task. Missing numbers become the median.
     """
     op = "anomaly"
     columns = columns or numeric_columns(df)
@@ -168,8 +170,12 @@ def anomaly(df: DataFrame, columns: list[str] | None = None, contamination: floa
     if medians["n"] < 5:
         raise OpError(op, "df", f"{medians['n']} rows; 5 are needed")
     cells = [F.coalesce(number(_col(c)), F.lit(float(medians[f"m{i}"] or 0.0))) for i, c in enumerate(columns)]
-    order = F.xxhash64(F.lit(seed), *cells)
-    x = np.array([list(r) for r in df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)], order.alias("o")).orderBy("o").limit(FOREST_ROWS).drop("o").collect()])
+    points, named = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)]), [f"c{i}" for i in range(len(cells))]
+    counted = points.groupBy(*named).agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES).cast("long")))).repartition(F.xxhash64("part", *named))
+    first = F.col("part") * COPIES
+    copies = parts.withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)))
+    x = np.array([list(r) for r in copies.select(*named, F.xxhash64(F.lit(seed), "copy", *named).alias("o")).orderBy("o", *named).limit(FOREST_ROWS).drop("o").collect()])
     rng, per = np.random.default_rng(seed), min(TREE_ROWS, len(x))
     usual = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
