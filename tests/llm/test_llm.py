@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -456,6 +457,22 @@ def test_line_edges(spark):
         linededup.kept_lines(df, max_edits=2)
 
 
+def test_a_very_long_line_is_linear_work(spark):
+    rng = random.Random(11)
+    line = words(rng, 20000).split()
+    texts = [line, line[:7000] + ["other"] + line[7001:], line[:19990] + line[19991:], line[:100] + ["new"] + line[100:], line[::-1]]
+    df = spark.createDataFrame([(i, " \t".join(t)) for i, t in enumerate(texts)], "doc_id int, text string")
+    start = time.perf_counter()
+    assert {r["id"]: r["n_near"] for r in linededup.dedup_report(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0}
+    assert time.perf_counter() - start < 60
+
+
+def test_lines_of_rows_with_one_id_or_none(spark):
+    texts = [(None, "a b c d e f\nx"), (None, "a b c d e g"), (-5, "a b c d e h"), (3, "a b c d e h\nk l m n o p"), (3, "k l m n o q")]
+    got = {(r["id"], r["n_lines"]): (r["n_exact"], r["n_near"]) for r in linededup.dedup_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[(-5, 1)] == (0, 1) and got[(3, 2)] == (0, 0)  # line 0 stays in the other row of 3
+
+
 # 8 tokens
 
 

@@ -2,63 +2,72 @@ r"""Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 Lines are sequences of words (``[^\x20\x09-\x0D]+``). Equal sequences are one line, kept where
 it comes first. Two different lines of ``min_words`` words or more are near if one word
-inserted, deleted or replaced turns one into the other. Each line emits its variants, itself
-and itself without one word, as hashed keys. Two lines are near exactly if they share a variant
-made at the same place of lines of the same length, or if one is a variant of the other.
+inserted, deleted or replaced turns one into the other (one of five words is a similarity of
+0.8). Each line emits its variants, itself and itself without one word, as hashed keys. Two
+lines are near exactly if they share a variant made at the same place of lines of the same
+length, or if one is a variant of the other.
 
 A word edit leaves the first or the last words of a line as they were, up to half of the
-shorter line, so only lines that share such a part with another emit variants; all others can
-have no near line. The part is the largest of 1, 2, 3, 4, 6, 8, 12, 16, ... words that fits in
-half a line; a line one word longer mostly has the same part, and emits both where it has not. Within a
-variant made at one place all lines are near each other, so the earliest is found by a minimum
-and no pairs of a group are listed. Each line is then compared, word by word, with the
-earliest line that a key gives.
+shorter line, so only lines that share such a part with another emit variants, and only those
+that keep the shared part; all others can have no near line. The part is the largest of 1, 2,
+3, 4, 6, 8, 12, 16, ... words that fits in half a line; a line one word longer mostly has the
+same part, and emits both where it has not. A variant's key is the exclusive or of the hashes
+of its words, each with its place in the variant, so running sums over a line give all its keys
+in one pass. Within a variant made at one place all lines are near each other, so the earliest
+is found by a minimum and no pairs of a group are listed. Each line is then compared with the
+earliest line that a key gives: their words before and after the edit must be equal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from weft.errors import OpError, need_columns
 from weft.runtime import checkpoint
 
-#: Documents with candidate lines that are broadcast to find their texts (some 60 bytes each); more are joined by a shuffle.
+#: Documents with candidate lines that are broadcast to find their texts (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_DOCUMENTS = 200_000
 #: Keys that lines share, and whole lines, which are broadcast (some 20 to 60 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: White space that is no line break; how many line numbers a document's place leaves room for; the number of documents without an id.
+_ODD, _LINES, _NO_ID = ("  ", "\t", "\x0b", "\x0c", "\r"), 2**31, f"{-(2**63) - 1}BD"
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def squeezed(line: Column) -> Column:
+    """The words of a line with one space between them."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for c in _ODD:
+        odd = odd | line.contains(c)
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, line, words, n)`` of all lines that have words; line from 0."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
-    return lines.select("id", "line", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
+def _place(kind: DataType) -> Column:
+    """One value for ``id`` and ``line`` in their order, nulls first: a decimal for whole numbers, which a hash aggregation can hold, else a struct."""
+    if isinstance(kind, IntegralType):
+        return F.expr(f"cast(coalesce(cast(id as decimal(20,0)), {_NO_ID}) * {_LINES}BD + line as decimal(31,0))")
+    return F.struct("id", "line")
+
+
+def _of_place(place: str, kind: DataType) -> Column:
+    """``(id, line)`` of a place as a struct again."""
+    if not isinstance(kind, IntegralType):
+        return F.col(place)
+    number = f"cast(({place} - pmod({place}, {_LINES}BD)) / {_LINES}BD as decimal(20,0))"
+    return F.expr(f"if({place} is null, null, struct(cast(nullif({number}, {_NO_ID}) as {kind.simpleString()}) as id, cast(pmod({place}, {_LINES}BD) as int) as line))")
 
 
 def _part(n: str) -> str:
     """SQL for the part's size in a line of ``n`` words: the largest power of 2, or one and a half of it, up to half of n."""
     half = f"greatest(({n}) div 2, 1)"
     power = f"shiftleft(1, length(bin({half})) - 1)"
-    return f"if(2 * {half} >= 3 * {power} and {power} > 1, 3 * {power} div 2, {power})"
-
+    return f"cast(if(2 * {half} >= 3 * {power} and {power} > 1, 3 * {power} div 2, {power}) as int)"
 
-def _ends(h: str, only: str = "true") -> list[Column]:
-    """Hashes of the first and of the last ``h`` words of ``w``, where ``only`` holds."""
-    return [F.expr(f"if({only}, xxhash64(0, {h}, slice(w, 1, {h})), null)"), F.expr(f"if({only}, xxhash64(1, {h}, slice(w, n - {h} + 1, {h})), null)")]
 
-
-def _same_part(a: str, b: str) -> Column:
-    """How many words two sequences have in common from the start."""
-    return F.expr(f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> not (x <=> y)), true), 0) - 1, cast(least(size({a}), size({b})) as bigint))")
-
-
-def within_one(a: str, b: str) -> Column:
-    """Whether the word edit distance of two sequences is at most 1."""
-    return (_same_part(a, b) + _same_part(f"reverse({a})", f"reverse({b})") >= F.expr(f"greatest(size({a}), size({b})) - 1")) & F.expr(f"abs(size({a}) - size({b})) <= 1")
+def _ends(h: str, only: str) -> list[Column]:
+    """Hashes of the first and of the last ``h`` words of ``s``, where ``only`` holds."""
+    return [F.expr(f"if({only}, xxhash64({side}, {h}, substring_index(s, ' ', {sign}{h})), null)") for side, sign in ((0, ""), (1, "-"))]
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -66,51 +75,80 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
 
+def _distinct_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``(place, n, f, parts)`` of each distinct line: its first place, its number of words, a hash, and the keys of its parts."""
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
+    lines = lines.select("id", "line", squeezed(F.col("text")).alias("s")).where("s <> ''")
+    lines = lines.withColumn("n", F.octet_length("s") - F.octet_length(F.replace(F.col("s"), F.lit(" "), F.lit(""))) + 1)
+    lines = lines.withColumn("h", F.expr(_part("n"))).withColumn("i", F.expr(_part("n - 1")))
+    parts = [c.alias(name) for c, name in zip(_ends("h", f"n >= {min_words}") + _ends("i", f"n >= {min_words} and i <> h"), ("p0", "s0", "p1", "s1"), strict=True)]
+    keyed = lines.select(_place(docs.schema[id_col].dataType).alias("place"), "n", F.xxhash64("s").alias("f"), F.expr("xxhash64(7, s)").alias("g"), *parts)
+    return checkpoint(keyed.groupBy("n", "f", "g", "p0", "s0", "p1", "s1").agg(F.min("place").alias("place")))
+
+
+def _candidates(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``(place, f, n, low, high, s)``: lines that share a part with another, and the places that an edit outside of it can have."""
+    sides = F.array(*[F.struct(F.col(c).alias("key"), F.lit(c[0] == "p").alias("front")) for c in ("p0", "s0", "p1", "s1")])
+    parts = distinct.where(F.col("n") >= min_words).select("place", "f", F.explode(sides).alias("part")).select("place", "f", "part.*").where("key is not null")
+    shared = checkpoint(parts.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key"))
+    chosen = parts.join(_small(shared), "key", "left_semi").groupBy("place", "f").agg(F.bool_or("front").alias("front"), F.bool_or(~F.col("front")).alias("back"))
+    chosen = chosen.select(_of_place("place", docs.schema[id_col].dataType).alias("at"), "place", "f", "front", "back")
+    by_doc = checkpoint(chosen.groupBy(F.col("at.id").alias("of")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "place", "f", "front", "back")).alias("wanted")))
+    few = by_doc.count() <= BROADCAST_DOCUMENTS
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(by_doc) if few else by_doc, F.col("id").eqNullSafe(F.col("of")))
+    split = found.select("wanted", F.inline(F.expr("array(struct(split(text, '\\n') as lines))")))  # a generator, so that a text is split once
+    texts = split.select(F.inline(F.expr("transform(wanted, w -> struct(w.place, w.f, w.front, w.back, get(lines, w.line) as text))"))).withColumn("s", squeezed(F.col("text")))
+    texts = texts.where(F.xxhash64("s") == F.col("f")).groupBy("place", "f", "front", "back").agg(F.first("s").alias("s"))
+    n, i = "size(split(s, ' '))", _part("n - 1")
+    texts = texts.withColumn("n", F.expr(n)).withColumn("low", F.expr(f"if(back, 1, {i} + 1)")).withColumn("high", F.expr(f"if(front, n, n - {i})"))
+    return checkpoint(texts.select("place", "f", "n", "low", "high", "s"))
+
+
+def _variants(candidates: DataFrame) -> DataFrame:
+    """``(place, f, n, pos, m, key)``: each line (pos 0) and its variants without the word at ``pos``; ``m`` words have the hash ``key``."""
+    words = candidates.repartition("place", "f").select("place", "f", "n", "low", "high", F.posexplode(F.split("s", " ")).alias("i", "word"))
+    words = words.select("place", "f", "n", "low", "high", (F.col("i") + 1).alias("pos"), F.xxhash64("word", F.col("i") + 1).alias("x"), F.xxhash64("word", "i").alias("y"))
+    order = Window.partitionBy("place", "f").orderBy("pos")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    words = words.withColumn("run", F.bit_xor(F.col("x").bitwiseXOR(F.col("y"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    words = words.withColumn("all_y", F.bit_xor("y").over(whole)).withColumn("all_x", F.bit_xor("x").over(whole))
+    rest = F.col("run").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("all_y"))
+    less = F.when(F.col("pos").between(F.col("low"), F.col("high")), F.struct("pos", (F.col("n") - 1).alias("m"), rest.alias("key")))
+    line = F.when(F.col("pos") == 1, F.struct(F.lit(0).alias("pos"), F.col("n").alias("m"), F.col("all_x").alias("key")))
+    return words.select("place", "f", "n", F.explode(F.array(less, line)).alias("v")).where("v is not null").select("place", "f", "n", "v.*")
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 5) -> DataFrame:
     """``(id, line, near)``: where each distinct line comes first; ``near`` is the earliest line before it that is near, or null.
 
     The first comes first by id, then by line. A line stays if it is there without ``near``.
     An earlier near line counts whether it stays itself or not. Null and blank texts have no
     lines; blank lines are no lines (they always stay). Rows with equal ids count as one
-    document. ``max_edits`` 0 compares whole lines only.
+    document: of their lines of one number none is earlier, and in reports the number stays if
+    one of them does.
+    ``max_edits`` 0 compares whole lines only.
     """
     need_columns("line_dedup", "id_col/text_col", docs, [id_col, text_col])
     if max_edits not in (0, 1):
         raise OpError("line_dedup", "max_edits", f"{max_edits!r}: 0 and 1 word edits are supported")
     if not isinstance(min_words, int) or min_words < 2:
         raise OpError("line_dedup", "min_words", f"{min_words!r} must be a whole number of 2 or more")
-    lines = _lines(docs, id_col, text_col).select("id", "line", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-    lines = lines.withColumn("h", F.expr(_part("n"))).withColumn("i", F.expr(_part("n - 1")))
-    parts = [c.alias(name) for c, name in zip(_ends("h") + _ends("i", "i <> h"), ("p0", "s0", "p1", "s1"), strict=True)]
-    keyed = lines.select("id", "line", "n", F.xxhash64("w").alias("f"), F.expr("xxhash64(7, w)").alias("g"), *parts)
-    distinct = checkpoint(keyed.groupBy("n", "f", "g", "p0", "s0", "p1", "s1").agg(F.min(F.struct("id", "line")).alias("first")))
+    kind = docs.schema[id_col].dataType
+    distinct = _distinct_lines(docs, id_col, text_col, min_words)
     if not max_edits:
-        return distinct.select("first.id", "first.line", F.lit(None).cast(distinct.schema["first"].dataType).alias("near"))
-    halves_of = distinct.where(F.col("n") >= min_words).select("first", F.explode(F.array_compact(F.array("p0", "s0", "p1", "s1"))).alias("key"))
-    shared = checkpoint(halves_of.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key"))
-    chosen = halves_of.join(_small(shared), "key", "left_semi").select("first").distinct()
-    by_doc = checkpoint(chosen.groupBy(F.col("first.id").alias("of")).agg(F.collect_list("first.line").alias("at")))
-    few = by_doc.count() <= BROADCAST_DOCUMENTS
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(by_doc) if few else by_doc, F.col("id").eqNullSafe(F.col("of")))
-    picked = found.select("id", F.explode(F.expr("transform(array_distinct(at), i -> struct(i as line, split(text, '\\n')[i] as text))")).alias("l"))
-    candidates = picked.select(F.struct("id", F.col("l.line").alias("line")).alias("first"), words_of(F.col("l.text")).alias("words"))
-    candidates = checkpoint(candidates.groupBy("first").agg(F.first("words").alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= min_words))
-    hashed = candidates.select("first", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-    rest = "transform(sequence(0, n), i -> struct(i as pos, if(i = 0, xxhash64(w, array()), xxhash64(slice(w, 1, i - 1), slice(w, i + 1, n - i))) as key))"
-    variants = hashed.select("first", "n", F.explode(F.expr(rest)).alias("v")).select("first", "n", "v.pos", "v.key")
+        return distinct.select(_of_place("place", kind).alias("first")).select("first.*", F.col("first").alias("near")).withColumn("near", F.when(F.lit(False), F.col("near")))
+    candidates = _candidates(docs, distinct, id_col, text_col, min_words)
+    variants = checkpoint(_variants(candidates))
     less = variants.where("pos > 0")
-    meet = checkpoint(less.groupBy("key", "n", "pos").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines"))
-    same = checkpoint(less.join(_small(meet), ["key", "n", "pos"]))
-    least = same.groupBy("key", "n", "pos").agg(F.min("first").alias("least"))
-    replaced = same.join(least, ["key", "n", "pos"]).select(F.col("first").alias("later"), F.col("least").alias("earlier"))
-    whole = checkpoint(variants.where("pos = 0").select("key", F.col("n").alias("m"), F.col("first").alias("other")))
-    inserted = less.join(_small(whole), "key").where("m = n - 1").select(F.greatest("first", "other").alias("later"), F.least("first", "other").alias("earlier"))
-    pairs = replaced.unionByName(inserted).where("earlier < later").distinct()
-    texts = candidates.select(F.col("first"), "words")
-    a = texts.select(F.col("first").alias("later"), F.col("words").alias("a"))
-    b = texts.select(F.col("first").alias("earlier"), F.col("words").alias("b"))
-    near = pairs.join(a, "later").join(b, "earlier").where(within_one("a", "b")).groupBy("later").agg(F.min("earlier").alias("near"))
-    return distinct.join(near, F.col("first") == F.col("later"), "left").select("first.id", "first.line", "near")
+    meet = less.groupBy("key", "m", "pos").agg(F.min("place").alias("other"), F.max("place").alias("last")).where("other < last").select("key", "m", F.col("pos").alias("at"), "other")
+    partners = _small(checkpoint(meet.unionByName(variants.where("pos = 0").select("key", "m", F.lit(0).alias("at"), F.col("place").alias("other")))))
+    pairs = less.join(partners, ["key", "m"]).where("at in (0, pos) and place <> other").select(F.greatest("place", "other").alias("later"), F.least("place", "other").alias("earlier"), "n", "pos").distinct()
+    a = candidates.select(F.col("place").alias("later"), "f", F.col("s").alias("a"))
+    b = candidates.select(F.col("place").alias("earlier"), F.col("s").alias("b"))
+    verified = pairs.join(a, "later").join(b, "earlier").where("substring_index(a, ' ', pos - 1) = substring_index(b, ' ', pos - 1) and substring_index(a, ' ', pos - n) = substring_index(b, ' ', pos - n)")
+    near = verified.groupBy(F.col("later").alias("place"), "f").agg(F.min("earlier").alias("near"))
+    both = distinct.join(near, ["place", "f"], "left")
+    return both.select(_of_place("place", kind).alias("first"), _of_place("near", kind).alias("near")).select("first.*", "near")
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 5) -> DataFrame:
