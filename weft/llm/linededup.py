@@ -159,13 +159,14 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines of the text, comma-joined.
     """
     first = kept_lines(docs, id_col, text_col, max_edits, min_words)
-    by_doc = first.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("line"))).alias("kept"), F.count("near").alias("n_near"))
+    lines = [F.collect_list(F.when(c, F.col("line"))).alias(name) for c, name in ((F.col("near").isNull(), "kept"), (F.col("near").isNotNull(), "near"))]
+    by_doc = first.groupBy(F.col("id").alias("of")).agg(*lines)
     numbers = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i))
     mine = docs.select(F.col(id_col).alias("id"), F.array_compact(numbers).alias("mine"))
-    both = mine.join(by_doc, F.col("id").eqNullSafe(F.col("of")), "left")
-    kept = F.coalesce("kept", F.array().cast("array<int>"))
-    out = both.select("id", F.size("mine").cast("long").alias("n_lines"), F.size(F.array_intersect("mine", kept)).cast("long").alias("n_kept"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.array_join(F.array_sort(F.array_except("mine", kept)).cast("array<string>"), ",").alias("dropped"))
-    return out.withColumn("n_exact", F.col("n_lines") - F.col("n_kept") - F.col("n_near")).select("id", "n_lines", "n_kept", "n_exact", "n_near", "dropped")
+    both = mine.join(by_doc, F.col("id").eqNullSafe(F.col("of")), "left").withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("kept", "near")})
+    gone = F.array_except("mine", "kept")
+    out = both.select("id", F.size("mine").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_gone"), F.size(F.array_intersect(gone, "near")).cast("long").alias("n_near"), F.array_join(F.array_sort(gone).cast("array<string>"), ",").alias("dropped"))
+    return out.select("id", "n_lines", (F.col("n_lines") - F.col("n_gone")).alias("n_kept"), (F.col("n_gone") - F.col("n_near")).alias("n_exact"), "n_near", "dropped")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 5) -> DataFrame:
