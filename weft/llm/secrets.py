@@ -2,8 +2,10 @@ r"""Secret scans through nested encodings.
 
 Each text is the first layer of a worklist. A layer is scanned, then unwrapped: URL escapes
 and Unicode escapes give the layer with all of them decoded; each base64 run gives a layer of
-its own if it decodes to text, or to a gzip, zlib, bzip2 or xz stream that unpacks to text. A run
-is in the standard or the URL-safe alphabet and may be wrapped over lines.
+its own if it decodes to text, or to gzip, zlib, bzip2 or xz streams, one after the other, that
+unpack to text. A run is in the standard or the URL-safe alphabet and may be wrapped over lines.
+Streams that unpack to much are read piece by piece, cut where no pattern and no encoded run can
+be, so a worker holds a piece of ``UNPACKED`` bytes or the longest run, whatever they unpack to.
 A layer text is scanned and unwrapped once, so the list runs dry, but each place where it stands
 is kept: spans found in it are mapped back, step by step, to the characters of the original text
 that they were decoded from, once for each place.
@@ -18,7 +20,8 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from itertools import accumulate
+from functools import partial
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +44,10 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]
 SHORTEST = 16
 #: The parts of a run that does not decode as it stands: in the standard alphabet, in the URL-safe one, in what both share.
 _SPLITS = tuple(re.compile(f"[A-Za-z0-9{more}]{{{SHORTEST},}}") for more in ("+/", "_-", ""))
-#: Bytes that one compressed run may unpack to; longer ones count as not decodable, and are counted as such.
+#: Bytes of a stream's content that are held at a time.
 UNPACKED = 32 << 20
+#: ASCII characters that are in no pattern, escape or run.
+_OUTSIDE = re.compile(rb"[!#$&()*,;<>?@\[\]^`|~]")
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -58,9 +63,9 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """A decoded text and how its characters lie in the layer above, of which it covers ``start`` to ``end``."""
+    """A decoded text, or streams that unpack to it, and how its characters lie in the layer above, of which it covers ``start`` to ``end``."""
 
-    def __init__(self, text: str, start: int, end: int, place):
+    def __init__(self, text: str | bytes, start: int, end: int, place):
         self.text, self.start, self.end, self.place = text, start, end, place
 
 
@@ -112,23 +117,69 @@ def _unicode(run: str) -> str | None:
     return b"".join(c.to_bytes(2, "little") for c in codes).decode("utf-16-le", "replace")
 
 
-def _unpack(data: bytes) -> tuple[bytes, int] | None:
-    """The content of a gzip, zlib, bzip2 or xz stream and the bytes it takes; None if it is none, is broken or too long."""
-    if data[:2] == b"\x1f\x8b":
-        tool = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
-        tool = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    else:
+def _tool(start: bytes):
+    """What unpacks a stream that begins so, or None."""
+    if start[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(start) > 2 and start[0] == 0x78 and (start[0] << 8 | start[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if start[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if start[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _chunks(data: bytes):
+    """``(content, 0)`` of the streams at the start of ``data``, then ``(b"", bytes taken)`` at the end of each; ends before a broken one."""
+    at = 0
+    while (tool := _tool(data[at : at + 6])) is not None:
+        rest = data[at:]
+        while not tool.eof:
+            try:
+                chunk = tool.decompress(rest, UNPACKED)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            rest = getattr(tool, "unconsumed_tail", b"")
+            if not chunk and not rest and not tool.eof:
+                return
+            yield chunk, 0
+        at = len(data) - len(tool.unused_data)
+        yield b"", at
+
+
+def _unpack(data: bytes) -> tuple[bytes | None, int] | None:
+    """The content of the streams at the start of ``data``, None if it is longer than ``UNPACKED``, and the bytes that they take; None without a whole stream."""
+    held, size, whole, used = [], 0, 0, 0
+    for chunk, end in _chunks(data):
+        size += len(chunk)
+        held = [*held, chunk] if size <= UNPACKED else []
+        if end:
+            whole, used = size, end
+    if not used:
         return None
-    try:
-        out = tool.decompress(data, UNPACKED)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    return (out, len(data) - len(tool.unused_data)) if tool.eof else None
+    return (b"".join(held)[:whole] if size <= UNPACKED else None), used
+
+
+def _last(data: bytes, start: int) -> int:
+    """The end of the last character outside of all patterns, from ``start`` on; 0 without one."""
+    return max((m.end() for m in _OUTSIDE.finditer(data, start)), default=0)
+
+
+def _pieces(data: bytes):
+    """The readable texts of the streams at the start of ``data``, cut outside of patterns and runs; a stream in a stream is held whole."""
+    chunks = (chunk for chunk, _ in _chunks(data))
+    held = next(chunks, b"")
+    if _tool(held[:6]) is not None:
+        yield from _pieces(held + b"".join(chunks))
+        return
+    over = b""
+    for chunk in chain([held], chunks):
+        over += chunk
+        cut = _last(over, max(0, len(over) - (1 << 16))) or _last(over, 0)
+        if cut and (piece := _readable(over[:cut])) is not None:
+            yield piece
+        over = over[cut:]
+    if over and (piece := _readable(over)) is not None:
+        yield piece
 
 
 def _readable(data: bytes) -> str | None:
@@ -160,8 +211,8 @@ def _readings(text: str):
         yield from ([line] for line in lines)
 
 
-def _decoded(run: str) -> tuple[str, int] | None:
-    """The text that a run encodes, and 0, or that its stream unpacks to, and the characters that the stream takes."""
+def _decoded(run: str) -> tuple[str | bytes, int] | None:
+    """The text that a run encodes, and 0; or what its streams unpack to, as they are if that is long, and the characters that they take."""
     if len(run) % 4 == 1:
         run = run[:-1]
     try:
@@ -171,11 +222,12 @@ def _decoded(run: str) -> tuple[str, int] | None:
     if (text := _readable(data)) is not None:
         return text, 0
     first = more = _unpack(data)
-    while more is not None:
-        inner, more = more[0], _unpack(more[0])
-    if first is None or (text := _readable(inner)) is None:
+    if first is None:
         return None
-    return text, -(-first[1] * 8 // 6)
+    while more is not None:
+        inner, more = more[0], more[0] is not None and _unpack(more[0]) or None
+    text = data[: first[1]] if inner is None else _readable(inner)
+    return None if text is None else (text, -(-first[1] * 8 // 6))
 
 
 def _base64(text: str):
@@ -219,6 +271,10 @@ def _in_run(start: int, end: int, text: str, at):
     return place
 
 
+def _piece(of: Layer, text: str) -> Layer:
+    return Layer(text, of.start, of.end, of.place)
+
+
 def _key(text: str) -> bytes:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
@@ -226,27 +282,36 @@ def _key(text: str) -> bytes:
 def unwrap(text: str, base: list[tuple[int, int, str]]) -> tuple[set[tuple[int, int, str]], set[tuple[int, int, bytes]]]:
     """``(start, end, kind)`` of all spans and ``(start, end, digest)`` of all layers below the text, in its characters; ``base`` are its own spans.
 
-    Each distinct layer text is scanned and unwrapped once. What is found in it then rises
-    through every layer that holds it, once for each of its places, until nothing is new.
+    Each distinct layer text is scanned and unwrapped once, the newest first, so that few are
+    held. What is found in it then rises through every layer that holds it, once for each of
+    its places, until nothing is new.
     """
-    keys, texts, holders, found = {_key(text): 0}, [text], [[]], []
-    for at, here in enumerate(texts):  # grows
-        texts[at] = ""
-        found.append(set(scan(here) if at else base))
+    keys, holders, found, work = {_key(text): 0}, [[]], [set(base)], [(0, text)]
+    while work:
+        at, here = work.pop()
         layers = []
-        if "%" in here:
-            layers.append(_escapes(here, _URL, _url))
-        if "\\" in here:
-            layers.append(_escapes(here, _UNICODE, _unicode))
-        for new in [*filter(None, layers), *_base64(here)]:
-            number = keys.setdefault(key := _key(new.text), len(texts))
-            if number == len(texts):
-                texts.append(new.text)
+        if isinstance(here, str):
+            if "%" in here:
+                layers.append(_escapes(here, _URL, _url))
+            if "\\" in here:
+                layers.append(_escapes(here, _UNICODE, _unicode))
+            layers = [*filter(None, layers), *_base64(here)]
+        elif (new := next(here, None)) is not None:
+            layers = [new]
+            work.append((at, here))
+        for new in layers:
+            if isinstance(new.text, bytes):
+                work.append((at, map(partial(_piece, new), _pieces(new.text))))
+                continue
+            number = keys.setdefault(key := _key(new.text), len(found))
+            if number == len(found):
+                found.append(set(scan(new.text)))
                 holders.append([])
+                work.append((number, new.text))
             found[at].add((new.start, new.end, key))
             holders[number].append((at, new.place))
-    if len(texts) > 1:
-        rising = [(i, found[i]) for i in range(len(texts))]
+    if len(found) > 1:
+        rising = [(i, found[i]) for i in range(len(found))]
         while rising:
             i, new = rising.pop()
             for above, place in holders[i]:
@@ -274,9 +339,9 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     base_spans and spans are ``kind:start:end``, comma-joined, in code points with the end
     exclusive, by start and then kind. The counts are of the text itself; ``layers`` counts the
-    decoded layers, each text once for each place of the original that it was decoded from. A null text is as an empty one. A decoded span covers the whole characters
-    that encode it: the escapes, the base64 groups of four, or a compressed run, with the line
-    breaks in between.
+    decoded layers, each text once for each place of the original that it was decoded from. A null
+    text is as an empty one. A decoded span covers the whole characters that encode it: the
+    escapes, the base64 groups of four, or a compressed run, with the line breaks in between.
     """
     need_columns("secrets", "text_col", docs, [text_col])
     new = ["n_assign", "n_access", "n_hex", "base_spans", "spans", "layers"]
