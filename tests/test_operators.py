@@ -19,6 +19,7 @@ from weft.operators import stats as ST
 from weft.operators import text as T
 from weft.operators import timeseries as TS
 from weft.operators import topics as TP
+from weft.operators import skew
 from weft.operators.components import connected_components
 
 
@@ -117,6 +118,21 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_table_joins_deal_out_hot_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 0), (3, 1), (None, 2), (1, 0)], "k long, v long")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k long, t string")
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    plain = sorted(map(tuple, skew.join_table(rows, table, "k", sizes, 504).collect()))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    dealt = skew.join_table(rows, table, "k", sizes, 504, most=50)
+    assert sorted(map(tuple, dealt.collect())) == plain and len(plain) == 502 and dealt.columns == ["k", "v", "t"]
+    assert got_components(spark, [(1, i) for i in range(2, 300)] + [(300, 301), (302, 301)]) == {**dict.fromkeys(range(1, 300), 1), 300: 300, 301: 300, 302: 300}
+
+
+def got_components(spark, edges):
+    return dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
+
+
 def test_near_pairs_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**63), 2**63 - 1, 20)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.errors import need_columns
+from weft.operators.skew import join_table
 from weft.runtime import checkpoint
 
 
@@ -13,10 +14,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """``(node, component)`` for every node with an edge to another; component is the smallest node.
 
     Each round replaces the edges by two star contractions (every node is linked to the
-    smallest node it sees), so hubs never gather their neighbours in one place: all state is
-    an edge table, grouped with map-side minima. Rounds grow with the logarithm of the
-    longest path. Null ends and self-loops are ignored; repeated edges count once; an empty
-    edge table gives an empty result.
+    smallest node it sees). All state is an edge table, grouped with map-side minima; the
+    minima are broadcast or dealt out to the edges (``join_table``), so the edges of a hub
+    never meet in one place. Rounds grow with the logarithm of the longest path. Null ends and
+    self-loops are ignored; repeated edges count once; an empty edge table gives an empty result.
     """
     need_columns("connected_components", "src/dst", edges, [src, dst])
     a, b = F.col(src), F.col(dst)
@@ -28,9 +29,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        seen_by = join_table(both, least.select("u", F.least("u", "m").alias("m")), "u", least, 2 * now["n"])
+        large = seen_by.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_table(large, least.select("u", "m"), "u", least, 2 * now["n"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"connected_components: no fixpoint after {max_rounds} rounds")
