@@ -122,9 +122,10 @@ def test_table_joins_deal_out_hot_keys(spark, monkeypatch):
     rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 0), (3, 1), (None, 2), (1, 0)], "k long, v long")
     table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k long, t string")
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    plain = sorted(map(tuple, skew.join_table(rows, table, "k", sizes, 504).collect()))
+    plain = sorted(map(tuple, skew.join_table(rows, table, "k", sizes, 3, 504).collect()))
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
-    dealt = skew.join_table(rows, table, "k", sizes, 504, most=50)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    dealt = skew.join_table(rows, table, "k", sizes, 3, 504)
     assert sorted(map(tuple, dealt.collect())) == plain and len(plain) == 502 and dealt.columns == ["k", "v", "t"]
     assert got_components(spark, [(1, i) for i in range(2, 300)] + [(300, 301), (302, 301)]) == {**dict.fromkeys(range(1, 300), 1), 300: 300, 301: 300, 302: 300}
 

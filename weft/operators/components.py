@@ -30,9 +30,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         seen = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        seen_by = join_table(both, least.select("u", F.least("u", "m").alias("m")), "u", least, 2 * now["n"])
+        seen_by = join_table(both, least.select("u", F.least("u", "m").alias("m")), "u", least, 2 * now["n"], 2 * now["n"])
         large = seen_by.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_table(large, least.select("u", "m"), "u", least, 2 * now["n"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_table(large, least.select("u", "m"), "u", least, 2 * now["n"], 2 * now["n"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"connected_components: no fixpoint after {max_rounds} rounds")
