@@ -6,9 +6,9 @@ index therefore lists each distinct fingerprint under every choice of ``k`` of t
 ``r + k`` positions with the bytes there; rows that meet in a list have their shared
 positional bytes tallied, those that reach ``8 - r`` are kept, and the differing bits decide.
 ``k`` follows the number of distinct fingerprints, so that lists stay short at any size;
-every ``k`` finds the same links. Lists over ``LIST_ROWS`` are cut into blocks and each pair
-of blocks is compared in its own task group. A task emits a spanning forest of the links it
-finds, never all pairs.
+every ``k`` finds the same links. Lists over ``LIST_ROWS`` are cut into blocks before they are
+dealt out, and each pair of blocks is a list of its own. A task emits a spanning forest of the
+links it finds, never all pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from weft.errors import OpError, need_columns
 from weft.llm.common import field, keep_first, named_texts, texts_of
 from weft.operators.components import connected_components
+from weft.operators.skew import BROADCAST_ROWS, join_table
 from weft.runtime import checkpoint
 
 SEED = 42
@@ -124,46 +125,22 @@ def list_links(keys: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.
     return forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def _compare(max_bits: int, most: int | None):
-    """Compare the rows of each key of a sorted partition. Lists over ``most`` rows pass on, with their key."""
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def _compare(max_bits: int):
+    """Compare the rows of each key of a sorted partition."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(keys, prints):
-        a, b = list_links(keys, prints, max_bits)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], schema=schema)
-
-    def pass_on(keys, prints):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints), pa.nulls(len(keys), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in list_links(keys, prints, max_bits)], schema=schema)
 
     def run(batches):
         keys = prints = np.zeros(0, np.int64)
-        long_key = None
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
             prints = np.concatenate([prints, batch.column(1).to_numpy()])
-            if long_key is not None:
-                n = int(np.searchsorted(keys, long_key, "right"))
-                yield pass_on(keys[:n], prints[:n])
-                keys, prints = keys[n:], prints[n:]
-                if not len(keys):
-                    continue
-                long_key = None
             last = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
-            if most:
-                values, starts, counts = np.unique(keys[:last], return_index=True, return_counts=True)
-                over = np.repeat(counts > most, counts)
-                if over.any():
-                    yield pass_on(keys[:last][over], prints[:last][over])
-                yield links(keys[:last][~over], prints[:last][~over])
-                if len(keys) - last > most:
-                    long_key = keys[-1]
-                    yield pass_on(keys[last:], prints[last:])
-                    last = len(keys)
-            else:
-                yield links(keys[:last], prints[:last])
+            yield links(keys[:last], prints[:last])
             keys, prints = keys[last:], prints[last:]
-        if len(keys):
-            yield links(keys, prints)
+        yield links(keys, prints)
 
     return run
 
@@ -183,17 +160,14 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 3, list_rows: int = LIS
     masks = [sum(255 << 8 * p for p in chosen) for chosen in combinations(range(max_bits + k), k)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     listed = prints.select(F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("key"), "fp")
-    schema = "key bigint, a bigint, b bigint"
-    found = checkpoint(listed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(max_bits, list_rows), schema))
-    links, rest = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("fp"))
-    if rest.isEmpty():
-        return links
-    blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    cells = rest.join(blocks, "key").withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp")
-    more = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(max_bits, None), schema)
-    return links.unionByName(more.select("a", "b"))
+    blocks = F.ceil(F.col("n") / list_rows).cast("int").alias("blocks")
+    long = checkpoint(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > list_rows).select("key", blocks))
+    few = long.count()
+    if few:
+        both = listed.join(F.broadcast(long) if few <= BROADCAST_ROWS else long, "key", "left")
+        both = both.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
+        listed = both.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "fp")
+    return listed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(max_bits), "a bigint, b bigint")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -205,11 +179,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Repeated rows give repeated rows; an empty table gives none.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle_words))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least_id"))
-    linked = connected_components(fingerprint_links(distinct.select("fp"), max_bits), "a", "b")
-    roots = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
-    named = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(roots.join(named, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")))
+    counts = distinct.agg(F.count(F.lit(1)).alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    linked = connected_components(fingerprint_links(distinct.select("fp"), max_bits), "a", "b").withColumnRenamed("node", "fp")
+    members = checkpoint(linked.join(distinct.select("fp", "least_id"), "fp"))
+    named = members.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    found = join_table(members.select("fp", "component"), named.drop("n"), "component", named, counts["prints"], counts["prints"]).select("fp", "component_id")
+    roots = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    return join_table(prints, roots, "fp", distinct, counts["prints"], counts["rows"]).select("id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
