@@ -118,10 +118,16 @@ def test_similar_groups_against_brute_force(spark):
 def test_similar_in_small_blocks(spark, monkeypatch):
     rng = random.Random(6)
     base = words(rng, 200).split()
-    rows = [(i, " ".join(base[:i] + ["x"] + base[i + 1 :])) for i in range(40)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(40)]
+    for chain in range(3):  # only neighbours are alike
+        base, other = words(rng, 150).split(), words(rng, 150).split()
+        texts += [" ".join(other[:i] + base[i:]) for i in range(0, 120, 7 + chain)]
+    rng.shuffle(texts)
+    sets = [set(similar.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     monkeypatch.setattr(similar, "BLOCK", 8)
-    got = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["component_id"] for r in got.collect()} == {0}
+    got = dict(tuple(r) for r in similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [got[i] for i in range(len(texts))] == union(len(texts), near)
 
 
 def test_similar_edges(spark):
