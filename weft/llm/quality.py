@@ -4,8 +4,9 @@ A linear score over byte frequencies and word and line figures is trained to min
 non-negative unbiased risk: trusted positives give ``prior * R_p(+)``, and the risk of the
 negatives is what unlabelled text has beyond ``prior * R_p(-)``, never less than 0. The prior
 is the part of label 1 among labelled training rows. Trained scores become probabilities by a
-logistic fit to the same labelled rows. Training takes bounded samples (``POSITIVES``,
-``UNLABELLED``, ``CALIBRATION``); scoring reads every whole text in its own task.
+logistic fit to samples of both labels, weighted so that label 1 has the prior. Training takes
+bounded samples by hash of the id (``POSITIVES``, ``UNLABELLED``, ``CALIBRATION``); scoring reads
+every whole text in its own task.
 """
 
 from __future__ import annotations
@@ -66,7 +67,8 @@ class Model:
         return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.margins(x).astype(np.float64) + self.shift)
+        """Rounded, so that a text scores alike whatever it is scored with."""
+        return np.round(_sigmoid(self.slope * self.margins(x).astype(np.float64) + self.shift), 6)
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, labelled: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
@@ -94,19 +96,21 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, labelled:
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     model = Model(mean, scale, w, b, 1.0, 0.0)
-    model.slope, model.shift = _logistic(model.margins(labelled), labels) if len(set(labels)) == 2 else (1.0, 0.0)
+    if len(set(labels)) == 2:
+        weights = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
+        model.slope, model.shift = _logistic(model.margins(labelled), labels, weights)
     return model
 
 
-def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit with slightly softened labels, by Newton steps."""
-    z, t = z.astype(np.float64), np.where(y == 1, 1 - 1e-3, 1e-3)
+def _logistic(z: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a weighted logistic fit with slightly softened labels, by Newton steps."""
+    z, t, w = z.astype(np.float64), np.where(y == 1, 1 - 1e-3, 1e-3), weights / weights.sum()
     a, c = 1.0, 0.0
     for _ in range(50):
         s = _sigmoid(a * z + c)
-        r, h = s - t, s * (1 - s) + 1e-6
-        g = np.array([(r * z).mean() + 1e-3 * a, r.mean()])
-        k = np.array([[(h * z * z).mean() + 1e-3, (h * z).mean()], [(h * z).mean(), h.mean()]])
+        r, h = w * (s - t), w * (s * (1 - s) + 1e-6)
+        g = np.array([(r * z).sum() + 1e-3 * a, r.sum()])
+        k = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum()]])
         d = np.linalg.solve(k, g)
         a, c = a - np.clip(d[0], -1, 1), c - np.clip(d[1], -1, 1)
     return (a, c) if a > 0 else (1.0, 0.0)
@@ -129,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     A row with several labels counts as its largest; null labels and null ids do not count.
     Samples are those with the smallest hashes, ``POSITIVES`` labelled 1, ``UNLABELLED`` of all
-    documents, ``CALIBRATION`` labelled 0 and as many labelled 1 for the logistic fit.
+    documents, ``CALIBRATION`` labelled 0 and as many labelled 1 for the logistic fit. An id on
+    several texts gives one of them, the same in each run.
     """
     need_columns("quality", "id_col/text_col", docs, [id_col, text_col])
     need_columns("quality", "label_col", labels, [id_col, label_col])
@@ -144,11 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         chosen = part if chosen is None else chosen.unionByName(part)
     few = F.broadcast(chosen)  # at most POSITIVES + CALIBRATION + UNLABELLED ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id")
-    found = _with_features(rows).groupBy("id", "kind").agg(F.first("x").alias("x")).orderBy("kind", "id").collect()
+    found = _with_features(rows).groupBy("id", "kind").agg(F.min("x").alias("x")).orderBy("kind", order, "id").collect()
     x = {k: np.frombuffer(b"".join(r["x"] for r in found if r["kind"] == k), np.float32).reshape(-1, WIDTH) for k in "pnu"}
-    few_p = x["p"][: max(CALIBRATION, len(x["n"]))]
-    labelled = np.concatenate([x["n"], few_p])
-    return train(x["p"], x["u"], 0.5 if share is None else float(share), labelled, np.repeat([0, 1], [len(x["n"]), len(few_p)]))
+    positives = x["p"][:CALIBRATION]
+    labelled = np.concatenate([x["n"], positives])
+    return train(x["p"], x["u"], 0.5 if share is None else float(share), labelled, np.repeat([0, 1], [len(x["n"]), len(positives)]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
