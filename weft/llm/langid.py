@@ -17,11 +17,13 @@ from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, S
 
 from weft.errors import need_columns
 from weft.llm.common import fold, schema_with, slices, texts_of
+from weft.operators.skew import BROADCAST_ROWS
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 8, 8
-#: Labelled documents by language that training reads, about; windows from each; languages learned.
-DOCUMENTS, WINDOWS, LANGUAGES = 1000, 6, 200
+#: Labelled documents by language that training reads, about, and windows from each; windows of all languages together, about
+#: (61 MB of bytes; fewer documents are read of each language where there are many, one at least).
+DOCUMENTS, WINDOWS, ALL_WINDOWS = 1000, 6, 240_000
 EPOCHS, BATCH, RATE = 4, 128, 0.005
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
@@ -141,42 +143,46 @@ class Tables:
         starts = np.cumsum([0, *(len(n) for _, n in cut[:-1])])
         p = np.add.reduceat(each * sizes[:, None], starts)
         p /= p.sum(axis=1, keepdims=True)
-        for i, row in zip(known, p, strict=True):
+        for i, row in zip(known, np.round(p, 6), strict=True):  # rounded, so that a text scores alike whatever it is scored with
             names[i], scores[i] = self.languages[int(row.argmax())], float(row.max())
         return names, scores
 
 
 def _training_windows(batches):
+    """``(lang, x)``: up to ``WINDOWS`` windows of each text, one after the other."""
     for batch in batches:
         for part in slices(batch, 1):
-            langs, found = [], []
-            for lang, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+            found = []
+            for text in texts_of(part.column(1)):
                 x, _ = windows(text)
-                for k in sorted({int(i) for i in np.linspace(0, len(x) - 1, WINDOWS)}):
-                    langs.append(lang)
-                    found.append(x[k].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "x"])
+                found.append(x[sorted({int(i) for i in np.linspace(0, len(x) - 1, WINDOWS)})].tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["lang", "x"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tables:
     """Train on rows with text and language outside the held-out fold (crc32 of the id, as text, modulo 5 is 0).
 
-    About ``DOCUMENTS`` of each of the ``LANGUAGES`` most frequent languages are read, those
-    with the smallest hashes of the id, and ``WINDOWS`` windows spread over each text.
+    About ``DOCUMENTS`` of each language are read, those with the smallest hashes of the id, or
+    as many as make ``ALL_WINDOWS`` of all languages together, and ``WINDOWS`` windows spread
+    over each text. Every language that a training row has is learned; the driver holds the
+    windows and a row a language.
     """
     need_columns("language", "columns", docs, [id_col, text_col, lang_col])
-    seen = docs.where(fold(id_col, FOLDS) != HELD_OUT).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counts = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    seen = docs.where(fold(id_col, FOLDS) != HELD_OUT).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    counts = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("id", F.lit(3))).alias("least")).collect()
     if not counts:
         return Network([]).tables()
-    part = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, DOCUMENTS / r["count"])))])
-    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 11).cast("double") / float(1 << 53)
-    picked = seen.where(draw < part[F.col("lang")]).select("lang", "text")
+    most = max(1, min(DOCUMENTS, ALL_WINDOWS // (WINDOWS * len(counts))))
+    parts = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["n"]), r["least"]) for r in counts], "of string, part double, least bigint")
+    number = F.xxhash64("id", F.lit(3))
+    draw = F.shiftrightunsigned(number, 11).cast("double") / float(1 << 53)
+    picked = seen.join(F.broadcast(parts) if len(counts) <= BROADCAST_ROWS else parts, F.col("lang") == F.col("of")).where((draw < F.col("part")) | (number == F.col("least"))).select("lang", "text")
     rows = picked.mapInArrow(_training_windows, StructType([StructField("lang", StringType()), StructField("x", BinaryType())]))
     found = sorted((r["lang"], bytes(r["x"])) for r in rows.collect())
     names = sorted({a for a, _ in found})
+    number_of = {a: i for i, a in enumerate(names)}
     x = np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(-1, WINDOW)
-    return Network(names).train(x, np.array([names.index(a) for a, _ in found])).tables()
+    return Network(names).train(x, np.repeat([number_of[a] for a, _ in found], [len(b) // WINDOW for _, b in found])).tables()
 
 
 def identify(docs: DataFrame, model: Tables, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
