@@ -6,9 +6,11 @@ bytes a frame, 25 frames a second, each frame intra coded, with an ``idx1`` inde
 through the index, decodes the blocks' levels of each frame and compares histograms of
 neighbouring frames; a difference far above those before it starts a new shot.
 
-Frames of one header are coded together: symbols of all frames as arrays on the way in, all
-frames one block at a time on the way out. Other baseline JPEGs (colour, subsampled, with
-texture, with restarts) go through a plain decoder that gives the levels of the first component.
+Frames of one header are coded together, ``FRAMES`` at a time: symbols of all frames as arrays on
+the way in, all frames one block at a time on the way out. Other baseline JPEGs (colour,
+subsampled, with texture, with restarts) go through a plain decoder, whose inverse cosine
+transform gives the pixels of the first component. A file takes some 3.5 bytes for each byte of
+text, so texts beyond some 500 MB exceed what a cell of Spark can hold.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SAMPLES, SIDE, MICROSECONDS = 64, 64, 40_000
 #: Huffman code lengths of the categories 0 to 8 of a level difference.
 _LENGTHS = {5: 2, 3: 3, 4: 3, 7: 3, 1: 4, 2: 4, 0: 5, 6: 6, 8: 7}
 BINS, PAST, FACTOR, LEAST = 16, 12, 3.0, 0.3
+#: Frames that are coded or decoded at a time.
+FRAMES = 1 << 14
 
 
 def _codes(lengths: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
@@ -80,6 +84,10 @@ def _symbols() -> tuple[np.ndarray, np.ndarray]:
 
 def encode_frames(levels: np.ndarray) -> list[bytes]:
     """A JPEG for each row of 64 levels."""
+    return [frame for i in range(0, len(levels), FRAMES) for frame in _encode(levels[i : i + FRAMES])]
+
+
+def _encode(levels: np.ndarray) -> list[bytes]:
     words, sizes = _symbols()
     diff = np.diff(levels.astype(np.int16) - 128, axis=1, prepend=np.int16(0)) + 255
     n = sizes[diff]
@@ -111,41 +119,81 @@ def write_avi(frames: list[bytes], width: int = SIDE, height: int = SIDE, micros
     return _chunk(b"RIFF", b"AVI " + header + movi + _chunk(b"idx1", index.tobytes()))
 
 
+def _parts(data: bytes, at: int, end: int):
+    """``(name, kind of list or b"", start, end)`` of the chunks from ``at`` on; the end is that of the content."""
+    while at + 8 <= end:
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        kind = data[at + 8 : at + 12] if name in (b"LIST", b"RIFF") else b""
+        yield name, kind, at + 8 + len(kind), min(end, at + 8 + size)
+        at += 8 + size + size % 2
+
+
+def _frames_in(data: bytes, at: int, end: int, names: set[bytes]):
+    """The frames of a ``movi`` list, those in its groups of records included."""
+    for name, kind, start, stop in _parts(data, at, end):
+        if name in names:
+            yield data[start:stop]
+        elif kind == b"rec ":
+            yield from _frames_in(data, start, stop, names)
+
+
 def read_avi(data: bytes) -> tuple[int, list[bytes]]:
-    """Microseconds a frame, and the frames of the first video stream, by the index (by the chunks if there is none)."""
+    """Microseconds a frame, and the frames of the first video stream: by the index of a plain file, by the chunks of all parts of others."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    step, movi, index, at = MICROSECONDS, None, None, 12
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, at + 8 + size)
-        elif name == b"LIST" and data[at + 12 : at + 16] == b"avih":
-            step = struct.unpack_from("<I", data, at + 20)[0]
-        elif name == b"idx1":
-            index = np.frombuffer(data, "S4,<u4,<u4,<u4", size // 16, at + 8)
-        at += 8 + size + size % 2
-    if movi is None:
+    step, stream, lists, index, files = MICROSECONDS, None, [], None, 0
+    for _, kind, at, end in _parts(data, 0, len(data)):
+        files += kind in (b"AVI ", b"AVIX")
+        for name, kind, start, stop in _parts(data, at, end):  # noqa: B020
+            if kind == b"movi":
+                lists.append((start, stop))
+            elif name == b"idx1":
+                index = np.frombuffer(data, "S4,<u4,<u4,<u4", (stop - start) // 16, start)
+            elif kind == b"hdrl":
+                heads = list(_parts(data, start, stop))
+                step = next((struct.unpack_from("<I", data, a)[0] for n, _, a, _ in heads if n == b"avih"), step)
+                streams = [data[a + 8 : a + 12] for _, k, a, _ in heads if k == b"strl"]
+                stream = next((i for i, k in enumerate(streams) if k == b"vids"), None)
+    if not lists:
         raise ValueError("an AVI file without frames")
-    if index is not None:
-        kept = index[(index["f0"] == b"00dc") | (index["f0"] == b"00db")]
-        base = movi[0] if len(kept) and data[movi[0] + int(kept["f2"][0]) :][:4] == kept["f0"][0] else 0
-        starts = (kept["f2"].astype(np.int64) + base + 8).tolist()
-        return step, [data[a : a + n] for a, n in zip(starts, kept["f3"].tolist(), strict=True)]
-    frames, at = [], movi[0] + 4
-    while at + 8 <= movi[1]:
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name in (b"00dc", b"00db"):
-            frames.append(data[at + 8 : at + 8 + size])
-        at += 8 + size + size % 2
-    return step, frames
+    if stream is None:
+        raise ValueError("an AVI file without a video stream")
+    names = {b"%02ddc" % stream, b"%02ddb" % stream}
+    if index is not None and files == len(lists) == 1:
+        kept, (start, stop) = index[np.isin(index["f0"], list(names))], lists[0]
+        offsets = kept["f2"].astype(np.int64)
+        base = start - 4 if len(kept) and data[start - 4 + int(offsets[0]) :][:4] == kept["f0"][0] else 0
+        at, ends = offsets + base + 8, offsets + base + 8 + kept["f3"]
+        if not (ends <= stop).all():
+            raise ValueError("an AVI index beyond its frames")
+        return step, [data[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+    return step, [frame for start, stop in lists for frame in _frames_in(data, start, stop, names)]
+
+
+def _standard_tables() -> dict[int, dict[int, tuple[int, int]]]:
+    """The Huffman tables that motion JPEG frames may leave out (JPEG standard, annex K)."""
+    # fixed values: counts of codes by length, then symbols in order
+    dc = ([0, 1, 5, 1, 1, 1, 1, 1, 1], [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1])
+    bright = ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], "01020300041105122131410613516107227114328191A1082342B1C11552D1F02433627282")
+    colour = ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], "000102031104052131061241510761711322328108144291A1B1C109233352F0156272D10A162434E125F1")
+    found = {k: _codes(counts + [0] * (16 - len(counts)), list(range(12))) for k, counts in enumerate(dc)}
+    for k, (counts, symbols) in enumerate((bright, colour)):
+        first = list(bytes.fromhex(symbols))
+        rest = [run << 4 | size for run in range(16) for size in range(1, 11) if (run << 4 | size) not in first]
+        found[16 + k] = _codes(counts, first + rest)
+    return found
+
+
+#: For each coefficient in coded order its place in a block of rows; the cosines of the inverse transform.
+_ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i % 8 if (i // 8 + i % 8) % 2 == 0 else i // 8)))
+_COSINES = np.array([[(0.125**0.5 if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
 
 class Jpeg:
     """The tables of a baseline JPEG header (all before the coded data)."""
 
     def __init__(self, header: bytes):
-        self.quant, self.huff, self.restart = {}, {}, 0
+        self.quant, self.tables, self.huff, self.restart = {}, {}, _standard_tables(), 0
         at = 2
         while at + 4 <= len(header):
             mark, size = struct.unpack_from(">HH", header, at)
@@ -154,7 +202,8 @@ class Jpeg:
                 i = 0
                 while i < len(part):
                     wide = part[i] >> 4
-                    self.quant[part[i] & 15] = struct.unpack_from(">H", part, i + 1)[0] if wide else part[i + 1]
+                    self.tables[part[i] & 15] = list(struct.unpack_from(">64H", part, i + 1)) if wide else list(part[i + 1 : i + 65])
+                    self.quant[part[i] & 15] = self.tables[part[i] & 15][0]
                     i += 1 + 64 * (1 + wide)
             elif mark == 0xFFC4:
                 i = 0
@@ -196,7 +245,7 @@ class Jpeg:
         return self._flat
 
     def levels(self, coded: list[bytes]) -> np.ndarray:
-        """The levels (0 to 255) of the first component's blocks, a row for each frame's coded data."""
+        """The levels (0 to 255) of the first component, an array for each frame's coded data: of its blocks if they are all flat, else of its pixels."""
         if self.plain:
             value, length = self.flat
             data = [c.replace(b"\xff\x00", b"\xff") for c in coded]
@@ -219,14 +268,28 @@ class Jpeg:
                 at += step
                 out[k] = mean
             if whole and (at <= ends).all():
-                return self._scaled(out.T)
-        return np.stack([self._scaled(np.array(self._one(c))) for c in coded])
+                return list(self._scaled(out.T))
+        return [self._picture(np.array(self._one(c))) for c in coded]
+
+    def _picture(self, blocks: np.ndarray) -> np.ndarray:
+        """Blocks of coefficients (in zigzag order) as levels."""
+        if not blocks[:, 1:].any():
+            return self._scaled(blocks[:, 0])
+        h, v, q = self.parts[self.scan[0][0]]
+        wide = np.zeros((len(blocks), 64))
+        wide[:, _ZIGZAG] = blocks * np.array(self.tables[q])
+        pixels = np.einsum("ux,nuv,vy->nxy", _COSINES, wide.reshape(-1, 8, 8), _COSINES, optimize=True)
+        h, v = (1, 1) if len(self.scan) == 1 else (h, v)
+        rows = pixels.reshape(self.down, self.across, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(self.down * v * 8, -1)
+        most = [max(p[i] for p in self.parts.values()) for i in (0, 1)] if len(self.scan) > 1 else (1, 1)
+        rows = rows[: -(-self.height * v // most[1]), : -(-self.width * h // most[0])]
+        return np.clip(np.rint(rows) + 128, 0, 255).astype(np.uint8).ravel()
 
     def _scaled(self, means: np.ndarray) -> np.ndarray:
         return np.clip((means * self.quant[self.parts[self.scan[0][0]][2]] + 4) // 8 + 128, 0, 255).astype(np.uint8)
 
-    def _one(self, coded: bytes) -> list[int]:
-        """All blocks' means of one frame, code by code; what follows a mean is read and left."""
+    def _one(self, coded: bytes) -> list[list[int]]:
+        """The coefficients of all blocks of the first component of one frame, code by code."""
         lookup = {k: {(bits, code): s for s, (code, bits) in t.items()} for k, t in self.huff.items()}
         parts, at = [b""], 0
         while at < len(coded):  # restart marks cut the data
@@ -258,21 +321,27 @@ class Jpeg:
                         return table[bits, code]
                 raise ValueError("a code that no JPEG table has")
 
+            def value(size):
+                extra = take(size) if size else 0
+                return extra if not size or extra >> size - 1 else extra - (1 << size) + 1
+
             mean = dict.fromkeys((c for c, _, _ in self.scan), 0)
             for _ in range(min(self.restart or total, total - done)):
                 for c, dc, ac in self.units:
-                    size = symbol(lookup[dc])
-                    extra = take(size) if size else 0
-                    mean[c] += extra if not size or extra >> size - 1 else extra - (1 << size) + 1
+                    mean[c] += value(symbol(lookup[dc]))
+                    block = [mean[c]] + [0] * 63
                     if c == first:
-                        out.append(mean[c])
+                        out.append(block)
                     k = 1
                     while k < 64:
                         rs = symbol(lookup[16 + ac])
                         if not rs:
                             break
-                        k += (rs >> 4) + 1
-                        take(rs & 15)
+                        k += rs >> 4
+                        if k > 63:
+                            raise ValueError("a JPEG block is too long")
+                        block[k] = value(rs & 15)
+                        k += 1
                 done += 1
         if done < total:
             raise ValueError("a JPEG frame ends too early")
@@ -307,9 +376,11 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
         coded.append(data)
         by.setdefault(head, []).append(i)
     out: list = [None] * len(frames)
-    for head, at in by.items():
-        for i, row in zip(at, _jpeg(head).levels([coded[i] for i in at]), strict=True):
-            out[i] = row
+    for head, every in by.items():
+        for k in range(0, len(every), FRAMES):
+            at = every[k : k + FRAMES]
+            for i, row in zip(at, _jpeg(head).levels([coded[i] for i in at]), strict=True):
+                out[i] = row
     return out
 
 
@@ -317,6 +388,8 @@ def histograms(frames: list[np.ndarray]) -> np.ndarray:
     """The part of each frame's levels in each of ``BINS`` equal bins."""
     if not frames:
         return np.zeros((0, BINS))
+    if len(frames) > FRAMES:
+        return np.concatenate([histograms(frames[i : i + FRAMES]) for i in range(0, len(frames), FRAMES)])
     sizes = np.fromiter(map(len, frames), np.int64, len(frames))
     row = np.repeat(np.arange(len(frames)), sizes)
     counts = np.bincount(row * BINS + np.concatenate(frames) // (256 // BINS), minlength=len(frames) * BINS)
@@ -378,6 +451,12 @@ def encode_media(docs: DataFrame, text_col: str = "text", media_col: str = "medi
     return plain.mapInArrow(run, schema_with(plain, StructField("media", BinaryType()))).toDF(*docs.columns, media_col)
 
 
+def _clips(step: int, levels: list[np.ndarray], starts: list[int]) -> list[tuple]:
+    """``(clip, start_ms, end_ms, frames, level)`` of each shot."""
+    ends = [*starts[1:], len(levels)]
+    return [(k, a * step / 1000, b * step / 1000, b - a, float(np.mean([x.mean() for x in levels[a:b]]))) for k, (a, b) in enumerate(zip(starts, ends, strict=True))]
+
+
 def clip_rows(media: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     """A row for each shot: id, clip (from 0), start_ms, end_ms, frames, level (mean), error.
 
@@ -395,12 +474,11 @@ def clip_rows(media: DataFrame, id_col: str, media_col: str = "media") -> DataFr
                     try:
                         if data is None:
                             raise ValueError("no file")
-                        step, levels, starts = next(iter(_shots_of([data])))
+                        clips = _clips(*next(iter(_shots_of([data]))))
                     except (ValueError, KeyError, IndexError, AttributeError, struct.error) as e:
                         rows.append((k, None, None, None, None, None, str(e) or type(e).__name__))
                         continue
-                    for clip, (a, b) in enumerate(zip(starts, [*starts[1:], len(levels)], strict=True)):
-                        rows.append((k, clip, a * step / 1000, b * step / 1000, b - a, float(np.mean([x.mean() for x in levels[a:b]])), None))
+                    rows += [(k, *clip, None) for clip in clips]
                 ids = part.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i + 1] for r in rows], t) for i, t in enumerate(kinds))], names=schema.names)
@@ -412,8 +490,8 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Store each whole text, read the stored file back, and give figures of both.
 
     Columns: id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (payload read back),
-    media_bytes, media_sha256 (stored file), feature (``frames;shots;first frames of shots``),
-    clips. Null is as empty. Equal texts give equal values.
+    media_bytes, media_sha256 (stored file), feature (the clips as in ``clip_rows``, each
+    ``start_ms-end_ms``, comma-joined), clips (their number). Null is as empty. Equal texts give equal values.
     """
     need_columns("media", "id_col/text_col", docs, [id_col, text_col])
     longs = ["n_bytes", "payload_bytes", "tail_crc32", "media_bytes"]
@@ -427,7 +505,7 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 files = store(found)
                 back = list(_shots_of(files))
                 payloads = [b"".join([x.tobytes() for x in levels]) for _, levels, _ in back]
-                starts = [s for _, _, s in back]
+                clips = [_clips(*x) for x in back]
                 columns = [
                     pa.array([len(t or b"") for t in found], pa.int64()),
                     pa.array([len(p) for p in payloads], pa.int64()),
@@ -435,8 +513,8 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     pa.array([len(f) for f in files], pa.int64()),
                     pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
                     pa.array([hashlib.sha256(f).hexdigest() for f in files]),
-                    pa.array([f"{len(p) // SAMPLES};{len(s)};{','.join(map(str, s))}" for p, s in zip(payloads, starts, strict=True)]),
-                    pa.array([len(s) for s in starts], pa.int32()),
+                    pa.array([",".join(f"{a:.0f}-{b:.0f}" for _, a, b, _, _ in c) for c in clips]),
+                    pa.array([len(c) for c in clips], pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
 
