@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from weft.errors import OpError
 from weft.functions import scalars as S
 from weft.functions import special
-from weft.functions.texts import normalized, washed
+from weft.functions.texts import normalized, washed, words
 from weft.operators import aggregates as A
 from weft.operators import columns as C
 from weft.operators import dedupe as D
 from weft.operators import graph as G
 from weft.operators import joins as J
+from weft.operators import links as L
 from weft.operators import stats as ST
 from weft.operators import text as T
 from weft.operators import timeseries as TS
@@ -76,10 +77,45 @@ def test_scalars(spark):
 
 
 def test_normalised_reposts_are_one_text(spark):
-    df = spark.createDataFrame([(1, "So good! https://t.cn/x"), (2, "@someone so good!"), (3, "so good! [smile]"), (4, "#topic# So  good!"), (5, "https://t.cn/y"), (6, "@a")], "i int, t string")
-    assert {r[0] for r in df.where("i < 5").select(normalized(F.col("t"))).collect()} == {"so good!"}
-    assert values(D.drop_duplicates(df, ["t"], "first", "i", "normalized"), "i") == [1, 5, 6]
-    assert df.select(washed(F.col("t"))).where("i = 5").first()[0] is None
+    texts = ["so good! https://t.cn/x", "@someone so good!", "so good! [smile]", "so  good!//@a:quoted//@b: more", "回复@a://@b:so good!", "//@a:first//@b:so good!", "https://t.cn/y", "@a", "[微笑][微笑]", "ＡＢＣ，哈哈哈哈", "[免费]#美食#", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["n"] for r in df.select("i", normalized(F.col("t")).alias("n")).collect()}
+    assert [got[i] for i in range(6)] == ["so good!"] * 6
+    assert [got[i] for i in range(6, 12)] == ["", "", "", "ABC,哈哈", "[免费]美食", None]
+    assert values(D.drop_duplicates(df, ["t"], "first", "i", "normalized"), "i") == [0, 10, 11, 6, 7, 8, 9]
+    assert values(D.drop_duplicates(df, ["t"], "last", "i", "normalized"), "i") == [10, 11, 5, 6, 7, 8, 9]
+    assert values(D.drop_duplicates(df, ["t"], False, None, "normalized"), "i") == [10, 11, 6, 7, 8, 9]
+
+
+def test_washed_texts(spark):
+    want = {
+        "我也觉得//@张三:说得对//@李四:太离谱了": "我也觉得",
+        "//@张三:说得对": None,
+        "看这个 https://t.cn/A6xyz O网页链接 真的绝了 展开c": "看这个 真的绝了",
+        "正文内容收起d": "正文内容",
+        "正文内容 展开 更多": "正文内容 更多",
+        "请展开说说你的想法": "请展开说说你的想法",
+        "[泪][泪][泪]": None,
+        "。。。！！！": None,
+        "哈哈哈哈哈哈哈哈": "哈哈",
+        "好\u200b的\u200b吧": "好的吧",
+        "@小明 你觉得呢 #三亚旅游# 太美了": "你觉得呢 三亚旅游 太美了",
+        "加微信: abcd1234 领取": "加 领取",
+        "回复@小红: 好": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r["t"]: r["w"] for r in df.select("t", washed(F.col("t")).alias("w")).collect()} == want
+
+
+def test_aggression_families(spark):
+    texts = ["今天路很堵", "分配不均", "你算什么东西，废物", "3号楼", "listen to a@b.example now", "", None]
+    got = [tuple(r) for r in T.aggression(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t").orderBy("i").select("aggression", "aggression_score", "aggression_hits").collect()]
+    assert got == [("none", 0.0, ""), ("none", 0.0, ""), ("severe", 0.6, "abuse:废物；attack:你算什么"), ("severe", 0.6, "privacy:3号楼"), ("severe", 0.6, "privacy:a@b.example"), ("none", 0.0, ""), ("none", 0.0, "")]
+
+
+def test_words_of_mixed_writing(spark):
+    row = spark.range(1).select(words(F.lit("我Love北京 2024年x")).alias("a"), words(F.lit("研究生命起源"), ("研究生", "生命", "起源", "研究")).alias("b"), words(F.lit("字 A")).alias("c")).first()
+    assert row["a"] == ["我", "love", "北京", "2024", "年", "x"] and row["b"] == ["研究生", "命", "起源"] and row["c"] == ["字", "a"]
 
 
 def test_join_null_keys_and_names(spark):
@@ -134,12 +170,19 @@ def got_components(spark, edges):
     return dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
 
 
-def test_near_pairs_against_brute_force(spark):
+@pytest.mark.parametrize(("most", "list_rows"), [(3, 2048), (8, 2048), (8, 3)])
+def test_near_fingerprints_against_brute_force(spark, most, list_rows):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**63), 2**63 - 1, 20)
-    prints = {int(b) for b in base} | {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 62, (4, 2))}
-    got = {tuple(r) for r in D.near_pairs(spark.createDataFrame([(p,) for p in prints], "fp long"), 3).collect()}
-    assert got == {(a, b) for a in prints for b in prints if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    prints = sorted({int(b) for b in base} | {int(b) ^ sum(1 << int(i) for i in set(bits)) for b in base for bits in rng.integers(0, 62, (6, most)).tolist()})
+    near = [(a, b) for a in prints for b in prints if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= most]
+    df = spark.createDataFrame([(p, p, p) for p in prints], "fp long, low long, high long")
+    keyed = D.band_keys(df, most)
+    got = [tuple(r) for r in L.links_by_key(keyed, L.bits_within(most), list_rows).collect()]
+    assert set(got) and dict(zip(*map(list, L.forest(*map(np.array, zip(*got, strict=True)))), strict=True)) == dict(zip(*map(list, L.forest(*map(np.array, zip(*near, strict=True)))), strict=True))
+    ends = L.extremes_by_key(keyed, L.bits_within(most), list_rows).groupBy("fp").agg(F.min("low"), F.max("high")).collect()
+    around = {p: [q for pair in near for q in pair if p in pair] for p in prints}
+    assert {tuple(r) for r in ends} == {(p, min(q), max(q)) for p, q in around.items() if q}
 
 
 def test_semantic_dedupe_is_greedy(spark):
@@ -223,7 +266,6 @@ def test_entities_and_aggression(spark):
     got = {(r["label"], r["text"]) for r in T.entities(df, "i", "t").collect()}
     assert {("PERSON", "Dr. Ann Lee"), ("DATE", "2024-03-01"), ("ORG", "Acme Widgets Inc"), ("LOC", "Salt Lake City")} <= got
     assert values(T.entities(df, "i", "t", ["DATE"]), "label") == ["DATE"]
-    assert values(T.aggression(df, "t").where("i = 3"), "aggression") == [1.0]
 
 
 def network(spark):

@@ -1,54 +1,100 @@
-"""Text normalisation and tokens as built-in expressions."""
+"""Text normalisation and tokens. All but Unicode normalisation are built-in expressions."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: English stop words of the default token rule.
 STOP_WORDS = ("the", "and", "for", "that", "with", "this", "are", "was", "not", "you", "but", "have", "from", "they", "his", "her", "had", "has", "were", "been", "will", "can", "its", "our", "your", "their", "there", "what", "when", "who", "which", "how", "all", "any", "one", "two", "also", "than", "then", "them", "these", "those", "into", "out", "about", "more", "some", "such", "only", "other", "over", "very", "just", "of", "to", "in", "is", "it", "on", "at", "by", "an", "be", "as", "or", "if", "so", "we", "he", "she", "me", "my", "do", "no", "up", "us", "am", "a", "i")
 
-#: What a repost adds to a text, in the order in which it is taken off.
-_NOISE = (
-    ("[​-‏⁠﻿]", ""),
-    (r"(展开全文|收起|全文|网页链接|查看图片)", " "),
-    (r"https?://\S+|www\.\S+", " "),
-    (r"\[[^\[\]\s]{1,12}\]", " "),
-    (r"#[^#\s]{1,60}#", " "),
-    (r"(//|/ /)\s*@[^:：]{1,40}[:：].*$", " "),
-    (r"^\s*(回复|Reply to)\s*@?[^:：]{1,40}[:：]", " "),
-    (r"@[\w\-一-鿿]{1,40}", " "),
-    (r"(.)\1{2,}", "$1$1"),
-)
+#: Names of emoticons, which stand in brackets; other words in brackets are text.
+EMOTICONS = "微笑 大笑 偷笑 挤眼 酷 汗 泪 哭 哈哈 嘻嘻 可爱 爱你 花心 亲亲 允悲 喵喵 太开心 思考 嘘 并不简单 费解 疑问 汗颜 害怕 可怜 失望 怒 抓狂 晕 衰 骷髅 敲打 手心 胜利 握手 抱拳 勾引 拳头 差劲 干杯 礼物 蛋糕 蜡烛 炸弹 便便 咖啡 围脖 赞 鼓掌 心 伤心 围观 威武 钟 麦克风 沙漏 飞机 汽车 房子 月亮 太阳 星星 闪电 下雨 雪花 熊猫 兔子 猪头 公鸡 狗 猴子 老虎 牛 猫 章鱼 螃蟹 蜜蜂 玫瑰 凋谢 向日葵 树叶 大米 面包 啤酒 饮料 茶 苹果 香蕉 西瓜 草莓 樱桃 葡萄 桔子 柠檬".split()
+
+#: What a repost adds to a text.
+_INVISIBLE = r"[\x{200b}-\x{200d}\x{2060}\x{feff}\x{ad}\x{2066}-\x{2069}]"
+_LINKS = r"(?:展开|收起)(?:[0-9A-Za-z]{1,3}|(?=$|\s))|L?微博视频[0-9A-Za-z]*|[Oo]?网页链接|https?://\S+|www\.\S+"
+_NAME = r"@[^\s@:：,，。！？!?、；;/]{1,30}"
+_REPLY = rf"\s*(?:回复)?\s*{_NAME}\s*[:：]\s*"
+_CHAIN = rf"//\s*[^\s@:：]*\s*{_NAME}\s*[:：]\s*"
+_RUN = r"(.)\1{2,}"
+
+
+@F.arrow_udf(StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Unicode normalisation form KC, a batch at a time (Arrow's own function leaves characters decomposed)."""
+    return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
 
 
 def normalized(c: Column) -> Column:
-    """The text that is left when reposts, mentions, topics, links, emoji codes and long runs of a character are taken off."""
-    for pattern, to in _NOISE:
+    """What identifies a text: in one Unicode form, without links, emoticon codes, mentions, reply prefixes and quoted chains.
+
+    A chain ``own words//@a: quoted//@b: quoted`` leaves the own words, or the last quoted ones
+    where there are none but a reply prefix. Topics lose their marks, runs of a character keep two.
+    """
+    c = nfkc(F.regexp_replace(c, _INVISIBLE, ""))
+    for pattern, to in (
+        (rf"(?U){_LINKS}", " "),
+        (rf"\[(?:[A-Za-z0-9_]{{1,16}}|{'|'.join(EMOTICONS)})\]", " "),
+        (r"#([^#]{0,40})#", "$1"),
+        (rf"(?Us)^\s*(?:{_REPLY})?{_CHAIN}(?:.*{_CHAIN})?", ""),
+        (rf"(?Us){_CHAIN}.*$", ""),
+        (rf"(?U)^{_REPLY}", ""),
+        (rf"(?U){_NAME}[:：]?", " "),
+        (_RUN, "$1$1"),
+        (r"(?U)\s+", " "),
+    ):
         c = F.regexp_replace(c, pattern, to)
-    return F.lower(F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " ")))
+    return F.trim(c)
 
 
 def normalized_key(c: Column) -> Column:
     """SHA-1 of the normalised text; empty if nothing is left."""
-    n = normalized(c)
-    return F.when(n != "", F.sha1(n)).otherwise(F.when(c.isNotNull(), F.lit("")))
+    return F.regexp_replace(F.sha1(normalized(c)), "^da39a3ee5e6b4b0d3255bfef95601890afd80709$", "")  # the SHA-1 of an empty text
 
 
-def words(c: Column) -> Column:
-    """Runs of letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+def words(c: Column, lexicon: tuple[str, ...] = ()) -> Column:
+    """Words in lower case: runs of letters and digits; of Han characters the ``lexicon``'s words, longest first, and else each two neighbours (or a lone one)."""
+    plain, han = r"[\p{L}\p{N}&&[^\p{IsHan}]]++", r"\p{IsHan}"
+    known = "|".join(rf"\Q{w.lower()}\E" for w in sorted(lexicon, key=lambda w: (-len(w), w)))
+    if known:
+        two, lone = f"{han}(?!{known}){han}", f"(?:(?<!{han})|(?<={known})){han}(?={known}|(?!{han}))"
+    else:
+        two, lone = f"{han}{han}", f"(?<!{han}){han}(?!{han})"
+    first = f"{known}|" if known else ""
+    return F.regexp_extract_all(F.lower(c), F.lit(f"(?=({first}{two}|{lone}|{plain}))(?:{first}{han}|{plain})"), F.lit(1))
 
 
-def tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS, least: int = 2) -> Column:
+def tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS, least: int = 2, lexicon: tuple[str, ...] = ()) -> Column:
     """Words of two characters or more that are no bare number and no stop word."""
-    kept = F.filter(words(c), lambda w: (F.length(w) >= least) & ~w.rlike(r"^\p{N}+$"))
-    return F.filter(kept, lambda w: ~w.isin(*stop)) if stop else kept
+    return F.filter(words(c, lexicon), lambda w: (F.length(w) >= least) & ~w.rlike(r"^\p{N}+$") & (~w.isin(*stop) if stop else F.lit(True)))
 
 
 def washed(c: Column) -> Column:
-    """Social text without links, mentions, topics, emoji codes, markup and white-space runs; null if under 2 characters or without a letter or digit."""
-    for pattern in (r"<[^>]{1,200}>", r"https?://\S+|www\.\S+", r"@[\w\-一-鿿]{1,40}", r"#[^#\s]{1,60}#", r"\[[^\[\]\s]{1,12}\]", "[​-‏⁠﻿]", r"&[a-zA-Z]{2,8};", r"[\x00-\x08\x0b-\x1f]", r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"):
-        c = F.regexp_replace(c, pattern, " ")
-    c = F.trim(F.regexp_replace(F.regexp_replace(c, r"([!?。！？.,，])\1+", "$1"), r"[\s\p{Z}]+", " "))
-    return F.when((F.length(c) >= 2) & c.rlike(r"[\p{L}\p{N}]"), c)
+    """Social text as it reads: its first line up to a quoted chain, without links, controls of pages, reply prefixes, mentions, emoticon codes and contacts.
+
+    Topics lose their marks, runs of a character keep two. Null if under 2 characters or without a letter or digit.
+    """
+    # fixed values: the patterns of what goes, in their order
+    for pattern, to in (
+        (r"[\x{200b}-\x{200f}\x{2028}\x{2029}\x{2060}\x{feff}]", ""),
+        (r"(?U)https?://\S+|www\.\S+", " "),
+        (r"O?网页链接|L微博视频|微博视频|查看图片", " "),
+        (r"(?U)(?:展开|收起)(?:全文|[A-Za-z])?(?=$|[\s，。！？、,.!?;；:：~～|])", " "),
+        (r"(?U)回复\s*@\S{1,30}?\s*[:：]", " "),
+        (r"(?Us)//\s*@\S{1,30}?\s*[:：].*$", ""),
+        (r"(?s)\n.*$", ""),
+        (r"@[A-Za-z0-9_\-\x{4e00}-\x{9fa5}]{1,30}", " "),
+        (r"#([^#\n]{1,40})#", "$1"),
+        (r"\[[^\[\]\n]{1,10}\]", " "),
+        (r"(?U)(?:[Vv]信|微信|QQ|qq|扣扣)\s*[:：]?\s*[A-Za-z0-9_\-]{4,20}|[1-9]\d{4,11}", " "),
+        (_RUN, "$1$1"),
+        (r"(?U)\s+", " "),
+    ):
+        c = F.regexp_replace(c, pattern, to)
+    # a lone character, or none that is a letter or digit, is taken off whole
+    return F.nullif(F.regexp_replace(F.trim(c), r"(?s)^(?:.?|[^\p{L}\p{N}]*)$", ""), F.lit(""))

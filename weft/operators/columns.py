@@ -112,7 +112,12 @@ def condition(df: DataFrame, column: str, op: str, value=None) -> Column:
     """The test of ``filter_rows`` as a Column that is never null."""
     need_columns("filter_rows", "column", df, [column])
     need_one_of("filter_rows", "op", op, COMPARISONS)
-    c, numeric = _col(column), isinstance(df.schema[column].dataType, NumericType)
+    c, kind = _col(column), df.schema[column].dataType
+    if isinstance(kind, StringType) and op in ("eq", "ne", "in", "not_in"):
+        # numbers of a text column count as such if all its cells are numbers: one row of figures says so
+        numeric = bool(df.agg(F.bool_and(number(c).isNotNull() | c.isNull()) & F.bool_or(c.isNotNull())).first()[0])
+    else:
+        numeric = isinstance(kind, NumericType)
 
     def as_number(v):
         try:
@@ -122,7 +127,7 @@ def condition(df: DataFrame, column: str, op: str, value=None) -> Column:
 
     def equal(v):
         same = c.cast("string") == F.lit(str(v))
-        return same | (c.cast("double") == F.lit(as_number(v))) if numeric and as_number(v) is not None else same
+        return same | (number(c) == F.lit(as_number(v))) if numeric and as_number(v) is not None else same
 
     sure = lambda test: F.coalesce(test, F.lit(False))
     if op in ("eq", "ne"):
@@ -145,8 +150,9 @@ def condition(df: DataFrame, column: str, op: str, value=None) -> Column:
         if not items:
             raise OpError("filter_rows", "value", "the list is empty")
         same = c.cast("string").isin(*map(str, items))
-        numbers = [as_number(x) for x in items if as_number(x) is not None]
-        same = sure(same | c.cast("double").isin(*numbers) if numeric and numbers else same)
+        numbers = [as_number(x) for x in items]
+        numbers = numbers if None not in numbers else []
+        same = sure(same | number(c).isin(*numbers) if numeric and numbers else same)
         return same if op == "in" else ~same
     blank = c.isNull() | (c.cast("string") == "")
     return blank if op == "is_null" else ~blank

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weft.errors import OpError, need_columns, need_one_of
 from weft.functions.texts import normalized, normalized_key, words
 from weft.operators.components import connected_components
+from weft.operators.links import bits_within, links_by_key
+from weft.operators.skew import join_table
 from weft.runtime import checkpoint
 
 
@@ -32,64 +38,84 @@ def drop_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str |
     need_one_of(op, "mode", mode, ("exact", "normalized"))
     if keep is not False and not order_by:
         raise OpError(op, "order_by", f"{keep} needs an order")
-    key = [_col(c) for c in columns]
+    names = [f"d{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    key = [F.col(names[df.columns.index(c)]) for c in columns]
     if mode == "normalized":
-        one = normalized_key(F.concat_ws("\u001e", *[c.cast("string") for c in key]))
-        key = [F.when(one != "", one), F.when(one == "", _col(order_by) if order_by else F.monotonically_increasing_id())]
-    w = Window.partitionBy(*key)
+        rows = rows.withColumn("key", normalized_key(F.concat_ws("\u001e", *[c.cast("string") for c in key])))
+        blank, rows = rows.where("key = ''").drop("key"), rows.where("key <> ''")
+    else:
+        blank, rows = None, rows.withColumn("key", F.struct(*key))
     if keep is False:
-        return df.withColumn("__n", F.count(F.lit(1)).over(w)).where("__n = 1").drop("__n")
-    at = F.row_number().over(w.orderBy(_col(order_by).asc() if keep == "first" else _col(order_by).desc()))
-    return df.withColumn("__n", at).where("__n = 1").drop("__n")
+        many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = rows.join(many, rows["key"].eqNullSafe(many["key"]), "left_anti").drop("key")
+    else:
+        chosen = F.min_by if keep == "first" else F.max_by
+        out = rows.groupBy("key").agg(chosen(F.struct(*names), F.struct(F.lit(0), names[df.columns.index(order_by)])).alias("row")).select("row.*")
+    return (out if blank is None else out.unionByName(blank)).toDF(*df.columns)
 
 
-def with_simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, fp)``: a 64-bit vote of the normalised text's words by frequency, each hashed by SHA-1; texts without words are left out.
+#: Hashes of words that a worker keeps.
+_HASHES: dict[str, np.ndarray] = {}
+_HASHES_KEPT = 1 << 18
 
-    Words are counted before the bits, so a bit sum sees each distinct word of a text once.
-    """
-    counts = df.select(_col(id_col).alias("id"), F.explode(words(normalized(_col(text_col)))).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("h", F.conv(F.substr(F.sha1("w"), F.lit(1), F.lit(16)), 16, -10).cast("long"))
-    sums = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(64)]
-    bits = [F.shiftleft((F.col(f"b{b}") > 0).cast("long"), b) for b in range(64)]
-    value = bits[0]
-    for b in bits[1:]:
-        value = value.bitwiseOR(b)
-    return counts.groupBy("id").agg(*sums).select("id", value.alias("fp"))
+
+def _votes(word: str) -> np.ndarray:
+    """For each bit of a word's hash, the lowest first, 1 or -1."""
+    if word not in _HASHES:
+        if len(_HASHES) >= _HASHES_KEPT:
+            _HASHES.clear()
+        bits = np.unpackbits(np.frombuffer(hashlib.sha1(word.encode()).digest()[7::-1], np.uint8), bitorder="little")
+        _HASHES[word] = bits.astype(np.int64) * 2 - 1
+    return _HASHES[word]
+
+
+def _fingerprints(batches):
+    for batch in batches:
+        prints = []
+        for text in batch.column(1).to_pylist():
+            counts = Counter(text)
+            tally = np.array(list(counts.values()), np.int64) @ np.stack([_votes(w) for w in counts])
+            prints.append(int(np.packbits(tally > 0, bitorder="little").view(np.int64)[0]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["id", "fp"])
+
+
+def with_simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, fp)``: a 64-bit vote of the normalised text's words by frequency, each hashed by SHA-1; texts without words are left out."""
+    rows = df.select(_col(id_col).alias("id"), words(normalized(_col(text_col))).alias("w")).where("size(w) > 0")
+    return rows.mapInArrow(_fingerprints, StructType([StructField("id", rows.schema["id"].dataType), StructField("fp", LongType())]))
 
 
-def near_pairs(prints: DataFrame, max_distance: int) -> DataFrame:
-    """``(a, b)`` of distinct fingerprints at most ``max_distance`` bits apart.
+def band_keys(prints: DataFrame, max_distance: int) -> DataFrame:
+    """``prints`` (fp, ...) under the keys of the bands: two fingerprints at most ``max_distance`` bits apart share one.
 
     64 bits are cut into ``max_distance + k`` bands; two such fingerprints share ``k`` of them,
-    so every choice of ``k`` bands is a join key. ``k`` (1 to 3) follows the number of
-    fingerprints so that keys stay selective; each finds the same pairs. Equal texts are one
-    fingerprint and do not multiply.
+    so every choice of ``k`` bands is a key. ``k`` (1 to 3) follows the number of fingerprints
+    so that lists stay short; each finds the same pairs. Give it distinct fingerprints.
     """
     if max_distance not in range(16):
         raise OpError("near_pairs", "max_distance", f"{max_distance!r} is not from 0 to 15")
-    distinct = prints.select("fp").distinct()
-    n = distinct.count()
-    k = next((k for k in (1, 2, 3) if 2 ** (64 * k / (max_distance + k)) >= n), 3)
+    n = prints.count()
+    k = next((k for k in (1, 2, 3) if 8 * 2 ** (64 * k / (max_distance + k)) >= n), 3)
     bands = max_distance + k
     cuts = [round(64 * i / bands) for i in range(bands + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
     chosen = [sum(x) for x in combinations(masks, k)]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(chosen)])
-    listed = distinct.select("fp", F.explode(keys).alias("key"))
-    a, b = listed.withColumnRenamed("fp", "a"), listed.withColumnRenamed("fp", "b")
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).select("a", "b").distinct()
+    return prints.withColumn("key", F.explode(keys))
 
 
 def near_groups(df: DataFrame, id_col: str, text_col: str, max_distance: int = 8) -> DataFrame:
     """``(id, group)``: the smallest id reachable over texts at most ``max_distance`` bits apart; texts without words are left out."""
     need_columns("near_groups", "columns", df, [id_col, text_col])
     prints = checkpoint(with_simhash(df, id_col, text_col))
-    firsts = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    linked = connected_components(near_pairs(firsts, max_distance), "a", "b")
+    firsts = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    counts = firsts.agg(F.count(F.lit(1)).alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    linked = connected_components(links_by_key(band_keys(firsts.select("fp"), max_distance), bits_within(max_distance)), "a", "b")
     roots = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    names = roots.groupBy("root").agg(F.min("least").alias("group"))
-    return prints.join(roots.join(names, "root").select("fp", "group"), "fp").select("id", "group")
+    names = roots.groupBy("root").agg(F.min("least").alias("group"), F.count(F.lit(1)).alias("n"))
+    named = join_table(roots.select("fp", "root"), names.select("root", "group"), "root", names, counts["prints"], counts["prints"])
+    return join_table(prints, named.select("fp", "group"), "fp", firsts, counts["prints"], counts["rows"]).select("id", "group")
 
 
 def dedupe_similar(df: DataFrame, column: str, id_col: str, max_distance: int = 8) -> DataFrame:

@@ -303,18 +303,20 @@ BURST_POSTS, LIKELY_AT, SUSPECT_AT = 5, 0.67, 0.34
 def bot_scores(df: DataFrame, id_col: str, author_col: str, text_col: str, time_col: str) -> DataFrame:
     """``(author, posts, dup_ratio, peak, bot_score, bot_level)``: 0.6 of the posts that another author nearly repeats (3 bits),
     and 0.4 of how far the busiest ten minutes are above the median author's."""
-    from weft.operators.dedupe import near_pairs, with_simhash
+    from weft.operators.dedupe import band_keys, with_simhash
+    from weft.operators.links import bits_within, extremes_by_key
+    from weft.operators.skew import join_table
     from weft.operators.timeseries import peak_counts
 
     need_columns("bot_scores", "columns", df, [id_col, author_col, text_col, time_col])
     rows = df.where(_col(author_col).isNotNull() & (_col(author_col).cast("string") != ""))
-    prints = with_simhash(rows, id_col, text_col).join(rows.select(_col(id_col).alias("id"), _col(author_col).alias("author")), "id")
-    by_print = checkpoint(prints.groupBy("fp").agg(F.min("author").alias("first"), F.max("author").alias("last")))
-    near = near_pairs(by_print.select("fp"), 3)
-    ends = near.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("fp"), F.col("a").alias("other")))
-    around = ends.join(by_print.select(F.col("fp").alias("other"), "first", "last"), "other").groupBy("fp").agg(F.min("first").alias("near_first"), F.max("last").alias("near_last"))
-    seen = by_print.join(around, "fp", "left").select("fp", F.least("first", "near_first").alias("low"), F.greatest("last", "near_last").alias("high"))
-    dup = prints.join(seen, "fp").groupBy("author").agg(F.sum(((F.col("low") != F.col("author")) | (F.col("high") != F.col("author"))).cast("long")).alias("dup"))
+    of = rows.select(F.struct(_col(id_col).alias("id"), _col(author_col).alias("author")).alias("id"), _col(text_col).alias("text"))
+    prints = checkpoint(with_simhash(of, "id", "text").select("id.author", "fp", F.xxhash64("id.author").alias("code")))
+    by_print = checkpoint(prints.groupBy("fp").agg(F.min("code").alias("low"), F.max("code").alias("high"), F.count(F.lit(1)).alias("n")))
+    counts = by_print.agg(F.count(F.lit(1)).alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    around = extremes_by_key(band_keys(by_print.select("fp", "low", "high"), 3), bits_within(3))
+    seen = by_print.select("fp", "low", "high").unionByName(around).groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    dup = join_table(prints, seen, "fp", by_print, counts["prints"], counts["rows"]).groupBy("author").agg(F.sum(((F.col("low") != F.col("code")) | (F.col("high") != F.col("code"))).cast("long")).alias("dup"))
     posts = rows.groupBy(_col(author_col).alias("author")).agg(F.count(F.lit(1)).alias("posts"))
     peaks = peak_counts(rows, author_col, time_col).select(F.col("key").alias("author"), F.when(F.col("posts") >= BURST_POSTS, F.col("peak")).alias("peak"))
     usual = peaks.agg(F.coalesce(F.percentile("peak", 0.5), F.lit(0.0)).alias("usual"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.errors import OpError, need_columns, need_one_of, need_positive
+from weft.functions.scalars import strip
 from weft.functions.texts import STOP_WORDS, tokens, washed
 
 
@@ -76,26 +77,64 @@ def wash(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("cleaned_text", F.coalesce(clean, F.lit(""))).withColumn("action", F.when(clean.isNull(), "drop").otherwise("keep"))
 
 
-#: Families of hostile wording and their weights.
-HOSTILE = {"insult": (0.45, r"\b(idiot|moron|stupid|dumb|loser|trash|scum)\b"), "shame": (0.30, r"\b(shame on|disgusting|pathetic|ridiculous)\b"), "threat": (0.60, r"\b(kill|beat you|destroy you|hunt you|die)\b"), "command": (0.20, r"\b(shut up|get lost|go away|get out)\b")}
-SEVERE_AT, MILD_AT = 0.5, 0.25
+#: Families of hostile wording as they are looked for, and what each weighs.
+FAMILIES = {
+    "abuse": (
+        0.45,
+        r"傻[逼比逼叉]|滚[开蛋]?|去死|废物|垃圾|贱[人货]|狗东西|王八|畜生|婊子|荡妇|脑残|智障|弱智|神经病"
+        r"|死全家|断子绝孙|不得好死|早死|怎么不去死|活着浪费|去投胎"
+        r"|[\x{4e00}-\x{9fa5}]{0,4}玩意|不要脸|无耻|下贱|恶心透|令人作呕",
+    ),
+    "attack": (
+        0.3,
+        r"(?:你|他|她|它|这|那)[们]?算(?:什么|哪个|哪门子)"
+        r"|有脸|也配|不配|配(?:上|做|当|得上|不上)|什么(?:学历|出身)|生个[孩子]|基因(?:有问题|缺陷)"
+        r"|(?:一家|全家|父母|爹妈|母亲|父亲|家人)(?:都|全)?(?:是|有|没|活该|该死)"
+        r"|(?:活该|该|早就该)(?:死|凉|滚|被封|被骂)|自作自受|不是人",
+    ),
+    "privacy": (
+        0.6,
+        r"1[3-9]\d{9}"
+        r"|\d{17}[\dXx]|\d{15}"
+        r"|\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
+        r"|[\x{4e00}-\x{9fa5}]{2,8}(?:省|市|县|区)[\x{4e00}-\x{9fa5}]{0,10}(?:路|街|街道|巷|大道|新村|花园|小区)[\d零一二三四五六七八九十百]{0,6}(?:号|号楼)?"
+        r"|\d{1,4}(?:号楼|号院|栋|幢|单元|门牌)[\d室]{0,5}"
+        r"|人肉(?:搜索)?|扒(?:了)?(?:出来|出?来|光)|开盒|曝光(?:其|他的|她的)?(?:信息|住址|单位|学校|电话|身份)"
+        r"|(?:家庭住址|工作单位|就职|学籍|学校(?:是|在)|身份证(?:号)?|手机号?(?:码)?|户籍)(?:在|是|为|[:：])",
+    ),
+    "rumour": (
+        0.2,
+        r"听说|据(?:说|传)|内部(?:消息|人)(?:说|透露)?|朋友(?:说|告诉我)|我认识(?:的)?(?:他|她|他们|家属)"
+        r"|被(?:安排|利用|当枪)|幕后(?:黑手|推手)|拿了(?:钱|好处)|收(?:了)?(?:钱|黑钱)"
+        r"|(?:真相|内幕)(?:是|其实)|其实(?:他|她|他们)(?:根本|并|早就)",
+    ),
+}
+#: What each further term of a family adds, how much at most; the share of the second family; the levels.
+REPEAT_STEP, REPEAT_CAP, SECOND_SHARE, SEVERE_AT, MILD_AT = 0.1, 0.2, 0.5, 0.5, 0.25
 
 
 def aggression(df: DataFrame, column: str, families: dict[str, tuple[float, str]] | None = None) -> DataFrame:
-    """``aggression``, ``aggression_level`` and ``aggression_terms`` from word families.
+    """``aggression`` (``severe``, ``mild``, ``none``), ``aggression_score`` and ``aggression_hits`` from word families.
 
-    The heaviest family counts whole and the next by half; each further distinct term adds 0.1, 0.2 at most; 1 is the limit.
+    A family found weighs its figure and a little more for each further distinct term; the
+    heaviest counts whole and the next by half. Hits are ``family:term、term``, the heaviest
+    first. Null and blank cells are ``none``.
     """
     need_columns("aggression", "column", df, [column])
-    families = families or HOSTILE
-    low = F.lower(F.coalesce(_col(column).cast("string"), F.lit("")))
-    terms = {k: F.array_distinct(F.regexp_extract_all(low, F.lit(p if p.startswith("(") else f"({p})"), F.lit(1))) for k, (_, p) in families.items()}
-    every = F.array_distinct(F.flatten(F.array(*terms.values())))
-    weights = F.reverse(F.array_sort(F.array(*[F.when(F.size(t) > 0, families[k][0]).otherwise(0.0) for k, t in terms.items()])))
-    extra = F.least(F.greatest(F.size(every) - 1, F.lit(0)) * 0.1, F.lit(0.2))
-    score = F.round(F.least(F.element_at(weights, 1) + (F.element_at(weights, 2) / 2 if len(families) > 1 else 0) + F.when(F.element_at(weights, 1) > 0, extra).otherwise(0.0), F.lit(1.0)), 4)
-    out = df.withColumn("aggression_terms", F.array_join(every, ",")).withColumn("aggression", score)
-    return out.withColumn("aggression_level", F.when(score >= SEVERE_AT, "severe").when(score >= MILD_AT, "mild").otherwise("none"))
+    families = families or FAMILIES
+    body = F.coalesce(_col(column).cast("string"), F.lit(""))
+    fired = []
+    for order, (name, (weight, pattern)) in enumerate(families.items()):
+        found = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(body, F.lit(f"(?U){pattern}"), F.lit(0)), lambda x: strip(x)), lambda x: x != ""))
+        fired.append(F.struct(F.lit(weight).cast("double").alias("base"), F.lit(order).alias("order"), F.lit(name).alias("family"), found.alias("found")))
+    rows = df.withColumn("__fired", F.filter(F.array(*fired), lambda x: F.size(x["found"]) > 0))
+    weighed = F.transform("__fired", lambda x: F.struct((-x["base"] - F.least(F.lit(REPEAT_CAP), REPEAT_STEP * (F.size(x["found"]) - 1))).alias("minus"), x["order"].alias("order"), F.concat(x["family"], F.lit(":"), F.array_join(x["found"], "、")).alias("hit")))
+    rows = rows.withColumn("__fired", F.array_sort(weighed))
+    exact = -F.coalesce(F.get("__fired", F.lit(0))["minus"], F.lit(0.0)) - SECOND_SHARE * F.coalesce(F.get("__fired", F.lit(1))["minus"], F.lit(0.0))
+    rows = rows.withColumn("aggression_score", exact)
+    level = F.when(F.col("aggression_score") >= SEVERE_AT, "severe").when(F.col("aggression_score") >= MILD_AT, "mild").otherwise("none")
+    rows = rows.withColumn("aggression", level).withColumn("aggression_score", F.round(F.col("aggression_score"), 4) + 0.0)
+    return rows.withColumn("aggression_hits", F.array_join(F.transform("__fired", lambda x: x["hit"]), "；")).drop("__fired")
 
 
 #: Shapes of entities.

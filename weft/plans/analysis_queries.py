@@ -135,20 +135,6 @@ def _(spark, d):
     return T.cooccurrence(load(spark, d, "documents"), "doc_id", "text", window=5)
 
 
-@query("wash", r"SELECT doc_id, 'keep' AS action FROM documents WHERE regexp_matches(text, '[\p{L}\p{N}]')")
-def _(spark, d):
-    return T.wash(load(spark, d, "documents"), "text").select("doc_id", "action")
-
-
-_HOSTILE = "idiot|moron|stupid|dumb|loser|trash|scum", "shame on|disgusting|pathetic|ridiculous", "kill|beat you|destroy you|hunt you|die", "shut up|get lost|go away|get out"
-_FAMILIES = ", ".join(f"CASE WHEN regexp_matches(t, '\\b({w})\\b') THEN {p} ELSE 0 END" for w, p in zip(_HOSTILE, (0.45, 0.30, 0.60, 0.20), strict=True))
-
-
-@query("aggression", f"WITH x AS (SELECT doc_id, lower(text) AS t FROM documents), y AS (SELECT doc_id, list_reverse_sort([{_FAMILIES}]::DOUBLE[]) AS f, len(list_distinct(regexp_extract_all(t, '\\b({'|'.join(_HOSTILE)})\\b', 1))) AS k FROM x), z AS (SELECT doc_id, round(least(f[1] + f[2] / 2 + CASE WHEN f[1] > 0 THEN least((k - 1) * 0.1::DOUBLE, 0.2) ELSE 0 END, 1), 4) AS aggression FROM y) SELECT doc_id, aggression, CASE WHEN aggression >= 0.5 THEN 'severe' WHEN aggression >= 0.25 THEN 'mild' ELSE 'none' END AS aggression_level FROM z")
-def _(spark, d):
-    return T.aggression(load(spark, d, "documents"), "text").select("doc_id", "aggression", "aggression_level")
-
-
 @query("entities")
 def _(spark, d):
     return T.entities(load(spark, d, "documents"), "doc_id", "text")
@@ -242,12 +228,6 @@ def _(spark, d):
     return ST.classify(docs.select("doc_id", "text"), "text", model).select("doc_id", "label")
 
 
-@query("bot_scores")
-def _(spark, d):
-    docs, e = load(spark, d, "documents"), load(spark, d, "events").select(F.col("event_id").alias("doc_id"), "user_id", "ts")
-    return ST.bot_scores(docs.join(e, "doc_id"), "doc_id", "user_id", "text", "ts")
-
-
 # topics
 
 _MAPS = "WITH w AS (SELECT CASE WHEN ts::DATE < '2024-01-11' THEN 1 WHEN ts::DATE < '2024-01-21' THEN 2 ELSE 3 END AS stage, user_id % 3 AS topic, event_type AS keyword, sum(value) AS weight FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2, 3)"

@@ -162,28 +162,6 @@ for _keep, _sql in (("first", "rn = 1"), ("last", "back = 1"), (False, "n = 1"))
     ORACLES[f"drop_duplicates_{str(_keep).lower()}"] = f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS back, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE {_sql}"
 
 
-@query("drop_duplicates_normalized", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
-def _(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("@user ")).otherwise(F.lit("")), "text", F.when(F.col("doc_id") % 3 == 0, F.lit(" https://x.example/1")).otherwise(F.lit("  "))).alias("text"))
-    return D.drop_duplicates(docs, ["text"], "first", "doc_id", "normalized").select("doc_id")
-
-
-@query("dedupe_similar")
-def _(spark, d):
-    return D.dedupe_similar(load(spark, d, "documents"), "text", "doc_id", 3).select("doc_id")
-
-
-@query("near_groups")
-def _(spark, d):
-    return D.near_groups(load(spark, d, "documents"), "doc_id", "text", 8)
-
-
-@query("anti_join_similar")
-def _(spark, d):
-    docs = load(spark, d, "documents")
-    return D.similar_semi(docs, docs.where("lang = 'de'"), "text", "text", "doc_id", "doc_id", 3).select("doc_id")
-
-
 @query("similar_to", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT row_number() OVER (ORDER BY s DESC, vec_id)::INT AS rank, vec_id AS id, s AS similarity FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]) AS s FROM embeddings, q) ORDER BY s DESC, vec_id LIMIT 10")
 def _(spark, d):
     e = load(spark, d, "embeddings")
@@ -193,8 +171,3 @@ def _(spark, d):
 @query("semantic_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45")
 def _(spark, d):
     return D.semantic_pairs(load(spark, d, "embeddings"), "vec_id", "embedding", 0.45)
-
-
-@query("semantic_dedupe")
-def _(spark, d):
-    return D.semantic_dedupe(load(spark, d, "embeddings"), "vec_id", "embedding", 0.45).select("vec_id")
