@@ -123,3 +123,26 @@ def divergence(p: Column, q: Column) -> Column:
     term = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
     one = lambda k: (term(share(p, k), (share(p, k) + share(q, k)) / 2) + term(share(q, k), (share(p, k) + share(q, k)) / 2)) / 2
     return F.aggregate(F.transform(keys, one), F.lit(0.0), lambda a, x: a + x)
+
+
+def value_at(c: Column, path: str) -> Column:
+    """The value at a dotted path (``a.b.1.c``, numbers count list items from 0) of a JSON text; null if any step misses."""
+    steps = [s for s in path.split(".") if s]
+    if not steps:
+        return F.lit(None).cast("string")
+    found = []
+    for shape in range(1 << sum(s.isdigit() for s in steps)):  # a number names a list item, or a key
+        out = "$"
+        for s in steps:
+            if s.isdigit():
+                out, shape = out + (f"['{s}']" if shape & 1 else f"[{s}]"), shape >> 1
+            else:
+                out += f"['{s}']"
+        found.append(F.get_json_object(c, out))
+    return F.coalesce(*found)
+
+
+def names_of(value) -> list[str]:
+    """Column names from a list or from a comma-separated text; blank ones go, nothing gives none."""
+    parts = value if isinstance(value, (list, tuple, set)) else str(value or "").split(",")
+    return [str(x).strip() for x in parts if str(x).strip()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -98,3 +99,14 @@ def washed(c: Column) -> Column:
         c = F.regexp_replace(c, pattern, to)
     # a lone character, or none that is a letter or digit, is taken off whole
     return F.nullif(F.regexp_replace(F.trim(c), r"(?s)^(?:.?|[^\p{L}\p{N}]*)$", ""), F.lit(""))
+
+
+@F.arrow_udf(StringType())
+def _decomposed(text: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(text, form="NFKD")
+
+
+def accent_key(c: Column) -> Column:
+    """A key without case, accents, punctuation and runs of blanks."""
+    plain = F.lower(F.regexp_replace(_decomposed(c), r"\p{M}+", ""))
+    return F.trim(F.regexp_replace(plain, r"[^0-9a-z\x{4e00}-\x{9fff}]+", " "))

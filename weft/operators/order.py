@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.errors import OpError, need_columns, need_positive
+from weft.runtime import checkpoint
 
 
 def sort_rows(df: DataFrame, column: str, ascending: bool = True, ties: list[str] = ()) -> DataFrame:
@@ -18,19 +19,33 @@ def sort_rows(df: DataFrame, column: str, ascending: bool = True, ties: list[str
 def sample_rows(df: DataFrame, n: int | None = None, frac: float | None = None, seed: int | None = None) -> DataFrame:
     """``n`` rows, else about the part ``frac``, by a hash of the whole row, so a rerun takes the same rows.
 
-    Neither: all rows. Equal rows hash alike; a row number among them keeps them apart.
+    Neither: all rows. Equal rows are counted first and draw by their number, each for itself.
     """
     if n is None and frac is None:
         return df
-    seed = 0 if seed is None else seed
-    key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`").cast("string") for c in df.columns])
-    if n is not None:
-        if n < 0:
-            raise OpError("sample_rows", "n", f"{n} is under 0")
-        return df.orderBy(key).limit(n)
-    if not 0 <= frac <= 1:
+    if n is not None and n < 0:
+        raise OpError("sample_rows", "n", f"{n} is under 0")
+    if n is None and not 0 <= frac <= 1:
         raise OpError("sample_rows", "frac", f"{frac!r} is not from 0 to 1")
-    return df.where(F.shiftrightunsigned(key, 11).cast("double") / float(1 << 53) < frac)
+    names = [f"d{i}" for i in range(len(df.columns))]
+    copies = df.toDF(*names).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.expr("sequence(1L, n)")))
+    key = F.xxhash64(F.lit(0 if seed is None else seed), *[F.col(c).cast("string") for c in names], "copy")
+    chosen = copies.orderBy(key).limit(n) if n is not None else copies.where(F.shiftrightunsigned(key, 11).cast("double") / float(1 << 53) < frac)
+    return chosen.select(*names).toDF(*df.columns)
+
+
+def numbered(df: DataFrame, order_by: list[str], number_col: str = "number") -> DataFrame:
+    """``df`` with ``number_col``, from 1, in the given order (nulls first); equal rows in any order.
+
+    Rows are range-partitioned and counted by partition, so no task sees more than its range.
+    """
+    need_columns("numbered", "order_by", df, order_by)
+    keys = [F.col(f"`{c}`") for c in order_by]
+    parts = checkpoint(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return parts.join(F.broadcast(starts), "__part").withColumn(number_col, rank + F.col("__start")).drop("__part", "__start")
 
 
 def page(df: DataFrame, order_by: list[str], offset: int, limit: int) -> DataFrame:

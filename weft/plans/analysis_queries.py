@@ -157,11 +157,6 @@ def _(spark, d):
     return o.select("o_orderkey", S.counted(F.col("text")).alias("counted"), S.leading_number(F.concat(F.format_number(F.floor("o_totalprice"), 0), F.lit(" in all"))).alias("leading"))
 
 
-@query("json_values", "SELECT event_id, json_keys(props)[1] AS first_key FROM events")
-def _(spark, d):
-    return load(spark, d, "events").select("event_id", F.json_object_keys("props")[0].alias("first_key"))
-
-
 # statistics
 
 _PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax")]

@@ -7,9 +7,11 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.errors import OpError
-from weft.operators import aggregates, columns, dedupe, joins, order, stats, text, timeseries, topics
+from weft.functions.scalars import names_of
+from weft.operators import aggregates, charts, columns, dedupe, joins, order, stats, text, timeseries, topics
 from weft.runtime import checkpoint
 from weft.sources.sinks import Lineage, export
 from weft.sources.tables import from_rows, read_table
@@ -31,6 +33,7 @@ for _module, _names in (
     (columns, "select_columns rename_columns strip_whitespace convert_type fill_null drop_null filter_rows column_calc bin_column extract_time bin_time time_filter neutralise_formulas localise explode_links"),
     (joins, "join_tables anti_join reply_graph verify diff compare_snapshots"),
     (aggregates, "groupby_agg query compare_platform sentiment_evolution label_counts kappa chart_aggregate pivot histogram box_stats stacked_shares model_agreement h_index profile"),
+    (charts, "sankey_links sankey_nodes dual_line scatter word_cloud"),
     (order, "sort_rows sample_rows page top_per_group"),
     (dedupe, "drop_duplicates dedupe_similar semantic_dedupe similar_to"),
     (timeseries, "suggest_stages forecast alert stage_order"),
@@ -42,6 +45,8 @@ for _module, _names in (
         register(_name, getattr(_module, _name))
 
 
+#: Parameters that are lists of columns, which may be given as a comma-separated text.
+NAME_LISTS = ("columns", "keys", "group_by", "ties")
 #: Steps that take a second table.
 TWO_TABLES = ("join_tables", "anti_join", "verify", "diff", "compare_snapshots")
 
@@ -52,7 +57,7 @@ def apply_steps(df: DataFrame, steps: list[dict], other: DataFrame | None = None
         name = step.get("op")
         if name not in REGISTRY:
             raise OpError("pipeline", f"step {k}", f"{name!r} is no known step")
-        params = dict(step.get("params") or {})
+        params = {k: names_of(v) if k in NAME_LISTS and isinstance(v, str) else v for k, v in (step.get("params") or {}).items()}
         if name in TWO_TABLES:
             if other is None:
                 raise OpError(name, "other", f"step {k} needs a second table")
@@ -79,8 +84,42 @@ def model_step(df: DataFrame, name: str) -> DataFrame:
     return df.mapInPandas(function, schema)
 
 
-def script(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """A table through a Python function over pandas batches with a stated schema."""
+def compare_models(df: DataFrame, names: list[str], id_col: str) -> DataFrame:
+    """One table of several models' answers: the columns that each gives, ``model``, and ``row``, the row's id.
+
+    Fewer than two models, and models of other columns than the first, are refused by name.
+    """
+    if len(names) < 2:
+        raise OpError("compare_models", "names", f"{len(names)} models; give two at least")
+    out = None
+    for name in names:
+        answers = model_step(df, name)
+        if id_col not in answers.columns:
+            raise OpError("compare_models", "id_col", f"model {name!r} gives no column {id_col!r}")
+        answers = answers.withColumn("model", F.lit(name)).withColumnRenamed(id_col, "row")
+        if out is not None and set(out.columns) != set(answers.columns):
+            raise OpError("compare_models", "names", f"model {name!r} gives other columns than {names[0]!r}")
+        out = answers if out is None else out.unionByName(answers)
+    return out
+
+
+#: Scripts by name: function over pandas batches, schema of what it gives, version.
+SCRIPTS: dict[str, tuple[Callable, str, int]] = {}
+
+
+def register_script(name: str, function: Callable, schema: str) -> int:
+    """Keep a script under a name; a name that is taken gets the next version, which is part of fingerprints. Returns the version."""
+    version = SCRIPTS[name][2] + 1 if name in SCRIPTS else 1
+    SCRIPTS[name] = function, schema, version
+    return version
+
+
+def script(df: DataFrame, function: Callable | str, schema: str = "") -> DataFrame:
+    """A table through a Python function over pandas batches with a stated schema, or through a kept script by its name."""
+    if isinstance(function, str):
+        if function not in SCRIPTS:
+            raise OpError("script", "function", f"no script is named {function!r}")
+        function, schema, _ = SCRIPTS[function]
     return df.mapInPandas(function, schema)
 
 
@@ -91,6 +130,8 @@ def fingerprints(workflow: dict) -> dict[str, str]:
     out: dict[str, str] = {}
     for i in ordered(workflow):
         what = {k: v for k, v in nodes[i].items() if k not in ("id", "x", "y")}
+        if what.get("type") == "script":
+            what["version"] = SCRIPTS[what["name"]][2] if what.get("name") in SCRIPTS else 0
         out[i] = hashlib.sha1(json.dumps([what, [out[p] for p in parents[i]]], sort_keys=True, default=str).encode()).hexdigest()
     return out
 
@@ -112,16 +153,31 @@ def ordered(workflow: dict) -> list[str]:
     return done
 
 
-def run_workflow(spark: SparkSession, workflow: dict) -> dict[str, DataFrame]:
+def stored(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds a table whose writing was completed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def run_workflow(spark: SparkSession, workflow: dict, store: str = "") -> dict[str, DataFrame]:
     """Build each enabled node: ``source`` (path or rows), ``analysis`` (steps), ``merge``, ``fuse``, ``python`` (a registered step), ``model``,
-    ``accumulate`` (folder, identity) and ``output`` (path, format). A node that several others read is checkpointed once."""
+    ``script`` (a kept script), ``accumulate`` (folder, identity) and ``output`` (path, format). A node that several others read is checkpointed once.
+
+    With ``store``, a folder that all executors share, the rows of each node that only computes
+    are written there under its fingerprint, and a later run takes them from there.
+    """
     nodes = {n["id"]: n for n in workflow["nodes"] if not n.get("disabled")}
     links = [(c["from"], c["to"]) for c in workflow.get("connections", []) if c["from"] in nodes and c["to"] in nodes]
     kept = {"nodes": list(nodes.values()), "connections": [{"from": a, "to": b} for a, b in links]}
     out: dict[str, DataFrame] = {}
+    prints = fingerprints(kept) if store else {}
     for i in ordered(kept):
         n, inputs = nodes[i], [out[a] for a, b in links if b == i]
         kind = n.get("type")
+        done = f"{store.rstrip('/')}/{prints[i]}" if store and kind in ("analysis", "merge", "fuse", "python", "model", "script") else ""
+        if done and stored(spark, done):
+            out[i] = spark.read.parquet(done)
+            continue
         if kind != "source" and not inputs:
             raise OpError(kind, "input", f"node {i!r} has none")
         if kind == "source":
@@ -136,6 +192,8 @@ def run_workflow(spark: SparkSession, workflow: dict) -> dict[str, DataFrame]:
             df = apply_steps(inputs[0], [{"op": n["op"], "params": n.get("params")}])
         elif kind == "model":
             df = model_step(inputs[0], n["op"])
+        elif kind == "script":
+            df = script(inputs[0], n["name"])
         elif kind == "accumulate":
             lineage = Lineage(spark, n["folder"], n.get("identity"))
             lineage.append(inputs[0])
@@ -145,5 +203,8 @@ def run_workflow(spark: SparkSession, workflow: dict) -> dict[str, DataFrame]:
             export(df, n["path"], n.get("format", "parquet"), n.get("text_column", ""))
         else:
             raise OpError("workflow", "type", f"{kind!r} of node {i!r} is unknown")
-        out[i] = checkpoint(df) if sum(a == i for a, _ in links) > 1 else df
+        if done:
+            df.write.mode("overwrite").parquet(done)
+            df = spark.read.parquet(done)
+        out[i] = checkpoint(df) if not done and sum(a == i for a, _ in links) > 1 else df
     return out

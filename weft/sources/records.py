@@ -178,3 +178,13 @@ def references(records: DataFrame) -> DataFrame:
     """``(record_id, position, reference, author, year, title, journal, doi)``, a row for each cited reference."""
     rows = records.where("`references` is not null").select("record_id", F.posexplode(F.split("references", ";")).alias("position", "reference")).where("trim(reference) <> ''")
     return rows.select("record_id", "position", F.trim("reference").alias("reference"), parse_reference(F.col("reference")).alias("x")).select("record_id", "position", "reference", "x.*")
+
+
+def open_upload(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
+    """A file of any kind: the records of a bibliographic export if it is one, else the table that its ending names."""
+    from weft.sources.tables import read_table
+
+    end = path.rstrip("/").rpartition(".")[2].lower()
+    if end not in ("parquet", "json", "jsonl", "xls", "xlsx") and (fmt := detect_format(spark, path)):
+        return read_records(spark, path, fmt)
+    return read_table(spark, path, encoding=encoding if end in ("csv", "tsv") else "UTF-8")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import html
+import posixpath
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.errors import OpError, need_columns
 from weft.operators.columns import neutralise_formulas
+from weft.operators.order import numbered
+from weft.runtime import checkpoint
 
 ALIASES = {"md": "markdown", "xls": "excel", "xlsx": "excel", "text": "txt"}
 FORMATS = ("csv", "json", "parquet", "txt", "html", "markdown")
@@ -19,7 +23,8 @@ PAGE_ROWS = 10_000
 def export(df: DataFrame, path: str, fmt: str, text_column: str = "", max_records_per_file: int = 0) -> str:
     """Write a table; files are written by tasks, into a folder. HTML and Markdown are for reading and take ``PAGE_ROWS`` rows at most.
 
-    CSV cells that a spreadsheet would run as a formula get a leading quote. Returns the path.
+    CSV cells that a spreadsheet would run as a formula get a leading quote, and CSV files start
+    with a byte order mark, so that spreadsheets read them as UTF-8. Returns the path.
     """
     fmt = ALIASES.get(fmt.lower(), fmt.lower())
     if fmt == "excel":
@@ -41,33 +46,70 @@ def export(df: DataFrame, path: str, fmt: str, text_column: str = "", max_record
         df.sparkSession.createDataFrame([("\n".join(body),)], "value string").coalesce(1).write.text(path)
     else:
         out = neutralise_formulas(df) if fmt == "csv" else df
+        out = out.withColumnRenamed(out.columns[0], f"\ufeff{out.columns[0]}") if fmt == "csv" else out
         writer = out.write.option("maxRecordsPerFile", max_records_per_file)
         writer.csv(path, header=True, escape='"') if fmt == "csv" else writer.json(path) if fmt == "json" else writer.parquet(path)
     return path
 
 
-def export_graph(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "graphml") -> str:
-    """A pruned network (at most ``PAGE_ROWS`` nodes) as ``graphml``, ``gml``, ``pajek`` or ``csv``. nodes: node, ...; edges: a, b, weight."""
+def tagged_path(path: str, tag: str) -> str:
+    """A path with ``tag`` before the ending of its name; as it is without a tag."""
+    root, end = posixpath.splitext(path)
+    return f"{root}{tag}{end}" if tag else path
+
+
+def stamped_path(spark: SparkSession, path: str, now: datetime | None = None) -> str:
+    """A path with the moment before the ending of its name, and a number if it is there already, so that no export replaces another."""
+    stamp, k = f"-{now or datetime.now():%Y%m%d-%H%M%S}", 1
+    files = spark._jvm.org.apache.hadoop.fs
+    while True:
+        out = tagged_path(path, stamp if k == 1 else f"{stamp}-{k}")
+        place = files.Path(out)
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return out
+        k += 1
+
+
+def export_graph(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "graphml", clusters: DataFrame | None = None) -> str:
+    """A network as ``graphml``, ``gml``, ``pajek`` or ``csv``. nodes: node, ...; edges: a, b, weight; clusters: node, cluster.
+
+    Tasks write the lines; the parts of the folder, one after the other, are the file. Edges
+    whose ends are not among the nodes go. ``csv`` gives a folder each of nodes, edges and clusters.
+    """
     need_columns("export_graph", "nodes", nodes, ["node"])
     need_columns("export_graph", "edges", edges, ["a", "b", "weight"])
     if fmt == "csv":
         export(nodes, f"{path}/nodes", "csv")
         export(edges, f"{path}/edges", "csv")
+        if clusters is not None:
+            export(clusters.select("node", "cluster").orderBy("cluster", "node"), f"{path}/clusters", "csv")
         return path
     if fmt not in ("graphml", "gml", "pajek"):
         raise OpError("export_graph", "fmt", f"{fmt!r} is not one of graphml, gml, pajek, csv")
-    ns = [str(r[0]) for r in nodes.select("node").orderBy("node").limit(PAGE_ROWS + 1).collect()]
-    if len(ns) > PAGE_ROWS:
-        raise OpError("export_graph", "nodes", f"over {PAGE_ROWS} nodes; prune the network or use csv")
-    number = {n: i for i, n in enumerate(ns, 1)}
-    es = [(number[str(r["a"])], number[str(r["b"])], float(r["weight"])) for r in edges.select("a", "b", "weight").orderBy("a", "b").collect()]
-    if fmt == "pajek":
-        lines = [f"*Vertices {len(ns)}", *(f'{i} "{n}"' for n, i in number.items()), "*Edges", *(f"{a} {b} {w:g}" for a, b, w in es)]
-    elif fmt == "gml":
-        lines = ["graph [", *(f'  node [ id {i} label "{html.escape(n)}" ]' for n, i in number.items()), *(f"  edge [ source {a} target {b} weight {w:g} ]" for a, b, w in es), "]"]
-    else:
-        lines = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="w" for="edge" attr.name="weight" attr.type="double"/><key id="l" for="node" attr.name="label" attr.type="string"/>', '<graph edgedefault="undirected">', *(f'<node id="n{i}"><data key="l">{html.escape(n)}</data></node>' for n, i in number.items()), *(f'<edge source="n{a}" target="n{b}"><data key="w">{w:g}</data></edge>' for a, b, w in es), "</graph>", "</graphml>"]
-    nodes.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    listed = checkpoint(numbered(nodes.select(F.col("node").cast("string").alias("node")).where("node is not null").distinct(), ["node"]))
+    end = lambda c: listed.select(F.col("node").alias(c), F.col("number").alias(f"n{c}"))
+    drawn = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.format_string("%s", F.col("weight").cast("double")).alias("w")).join(end("a"), "a").join(end("b"), "b")
+    name = F.col("node")
+    for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        name = F.replace(name, F.lit(sign), F.lit(code))
+    node, edge, head, middle, tail = {
+        "pajek": (F.format_string('%d "%s"', "number", F.replace("node", F.lit('"'), F.lit("'"))), F.format_string("%d %d %s", "na", "nb", "w"), [F.format_string("*Vertices %d", "n")], ["*Edges"], []),
+        "gml": (F.format_string('  node [ id %d label "%s" ]', F.col("number"), name), F.format_string("  edge [ source %d target %d weight %s ]", "na", "nb", "w"), ["graph ["], [], ["]"]),
+        "graphml": (
+            F.format_string('<node id="n%d"><data key="l">%s</data></node>', F.col("number"), name),
+            F.format_string('<edge source="n%d" target="n%d"><data key="w">%s</data></edge>', "na", "nb", "w"),
+            ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="w" for="edge" attr.name="weight" attr.type="double"/><key id="l" for="node" attr.name="label" attr.type="string"/>', '<graph edgedefault="undirected">'],
+            [],
+            ["</graph>", "</graphml>"],
+        ),
+    }[fmt]
+    count = listed.agg(F.count(F.lit(1)).alias("n"))
+    fixed = lambda section, lines: [count.select(F.lit(section).alias("s"), F.lit(i).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), (F.lit(t) if isinstance(t, str) else t).alias("value")) for i, t in enumerate(lines)]
+    parts = [*fixed(0, head), listed.select(F.lit(1).alias("s"), F.col("number").alias("x"), F.lit(0).cast("long").alias("y"), node.alias("value")), *fixed(2, middle), drawn.select(F.lit(3).alias("s"), F.col("na").alias("x"), F.col("nb").alias("y"), edge.alias("value")), *fixed(4, tail)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rows.orderBy("s", "x", "y").select("value").write.text(path)
     return path
 
 
@@ -78,13 +120,14 @@ class Lineage:
     """
 
     def __init__(self, spark: SparkSession, folder: str, identity: list[str] | None = None):
-        self.spark, self.folder, self.identity = spark, folder.rstrip("/"), identity
+        self.spark, self.folder, self.identity, self.capped = spark, folder.rstrip("/"), identity, False
 
     def _all(self) -> DataFrame | None:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.parquet(self.folder)
+            rows = self.spark.read.parquet(self.folder)
+            return rows if "_version" in rows.columns else None  # reset
         except AnalysisException as e:
             if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
@@ -105,8 +148,12 @@ class Lineage:
             raise OpError("lineage", "folder", f"{self.folder} has no data yet")
         return (rows if version is None else rows.where(F.col("_version") <= version)).drop("_version", "_key")
 
-    def append(self, df: DataFrame) -> int:
-        """Add rows with new identities; returns the version, the same as before if there are none. Other columns than before are refused."""
+    def append(self, df: DataFrame, max_rows: int | None = None) -> int:
+        """Add rows with new identities; returns the version, the same as before if there are none. Other columns than before are refused.
+
+        With ``max_rows`` the dataset takes no more rows than that, those with the smallest
+        identities first; ``capped`` then says whether some were left out.
+        """
         keys = self.identity or df.columns
         need_columns("lineage", "identity", df, keys)
         old = self._all()
@@ -116,11 +163,16 @@ class Lineage:
         new = df.withColumn("_key", key).dropDuplicates(["_key"])
         if old is not None:
             new = new.join(old.select("_key"), "_key", "left_anti").select(*df.columns, "_key")
-        version = self.latest()
-        from weft.runtime import checkpoint
-
-        new = checkpoint(new)
+        version, new, self.capped = self.latest(), checkpoint(new), False
+        if max_rows is not None:
+            room = max(0, max_rows - (0 if old is None else old.count()))
+            self.capped = new.count() > room
+            new = checkpoint(new.orderBy("_key").limit(room)) if self.capped else new
         if new.isEmpty():
             return version
         new.withColumn("_version", F.lit(version + 1)).write.mode("append").partitionBy("_version").parquet(self.folder)
         return version + 1
+
+    def reset(self) -> None:
+        """Empty the dataset; the next rows are version 1 again and may have other columns."""
+        self.spark.createDataFrame([], "_key string").write.mode("overwrite").parquet(self.folder)

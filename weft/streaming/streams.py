@@ -49,3 +49,21 @@ def drain(stream: DataFrame, path: str, checkpoint: str, max_records_per_file: i
     """Write what a source has now as Parquet parts; a later call goes on where this one stopped."""
     writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True)
     return (writer.option("maxRecordsPerFile", max_records_per_file) if max_records_per_file else writer).start()
+
+
+def newest(seen: DataFrame, key_col: str, scope: list[str] = ()) -> DataFrame:
+    """``(*scope, newest)``: the greatest key that each scope has seen; without rows there is none."""
+    need_columns("newest", "columns", seen, [key_col, *scope])
+    return seen.groupBy(*scope).agg(F.max(key_col).alias("newest")).where("newest is not null")
+
+
+def newer_than(df: DataFrame, marks: DataFrame, key_col: str, scope: list[str] = ()) -> DataFrame:
+    """Rows whose key is above the newest one seen of their scope; all rows of scopes that were not seen. Null keys go where the scope was seen."""
+    need_columns("newer_than", "columns", df, [key_col, *scope])
+    names = [f"__scope{i}" for i in range(len(scope))]
+    marks = marks.select(*[F.col(c).alias(n) for c, n in zip(scope, names, strict=True)], F.col("newest").alias("__newest"))
+    test = F.lit(True)
+    for c, n in zip(scope, names, strict=True):
+        test = test & F.col(c).eqNullSafe(F.col(n))
+    both = df.join(marks if scope else F.broadcast(marks), test, "left")  # without a scope one row
+    return both.where(F.col("__newest").isNull() | (F.col(key_col) > F.col("__newest"))).select(*df.columns)
