@@ -139,13 +139,21 @@ def max_links(edges: DataFrame, k: int, weight_col: str = "weight", lrf: float =
     return out
 
 
+def top_links(edges: DataFrame, k: int, weight_col: str = "weight") -> DataFrame:
+    """Edges among the ``k`` strongest of their first end ``a``, all edges of that node counted (ties by the other end)."""
+    need_columns("top_links", "weight_col", edges, ["a", "b", weight_col])
+    need_positive("top_links", "k", k)
+    ends = _both(edges, "a", "b", weight_col).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("w"), "y")))
+    return edges.join(ends.where(F.col("r") <= k).select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_semi")
+
+
 def spanning_forest(edges: DataFrame, weight_col: str = "weight") -> DataFrame:
-    """A maximum spanning forest, by rounds in which each component takes its heaviest edge outward (ties by ends)."""
+    """A maximum spanning forest, by rounds in which each component takes its heaviest edge outward (of equal ones the last by its ends)."""
     need_columns("spanning_forest", "weight_col", edges, ["a", "b", weight_col])
     left = checkpoint(edges.select("a", "b", _col(weight_col).alias("w")).withColumn("ca", F.col("a")).withColumn("cb", F.col("b")))
     taken = None
     while not left.isEmpty():
-        best = F.max(F.struct("w", F.xxhash64("a", "b").alias("tie"), "a", "b")).alias("best")
+        best = F.max(F.struct("w", "a", "b")).alias("best")
         both = left.select(F.col("ca").alias("c"), "w", "a", "b").unionByName(left.select(F.col("cb").alias("c"), "w", "a", "b"))
         chosen = checkpoint(both.groupBy("c").agg(best).select("best.a", "best.b").distinct())
         taken = chosen if taken is None else taken.unionByName(chosen)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions import scalars as S
 from weft.functions.texts import STOP_WORDS
 from weft.operators import graph as G
+from weft.operators import order as O
 from weft.operators import stats as ST
 from weft.operators import text as T
 from weft.operators import timeseries as TS
@@ -68,7 +69,17 @@ def _(spark, d):
     return TS.forecast(daily(spark, d), "day", "v", "holt")
 
 
-@query("forecast_holt_winters")
+_HOLT_WINTERS = """WITH RECURSIVE daily AS (SELECT event_type AS g, ts::DATE AS day, sum(value) AS v FROM events GROUP BY 1, 2), n AS (SELECT g, day, v, row_number() OVER (PARTITION BY g ORDER BY day) AS k FROM daily),
+f AS (SELECT g, avg(v) FILTER (k <= 7) AS one, avg(v) FILTER (k > 7 AND k <= 14) AS two, max(k) AS n FROM n GROUP BY 1),
+r AS (SELECT f.g, 0::BIGINT AS k, NULL::DATE AS day, NULL::DOUBLE AS v, NULL::DOUBLE AS p, f.one AS level, (f.two - f.one) / 7 AS slope, (SELECT list(n.v - f.one ORDER BY n.k) FROM n WHERE n.g = f.g AND n.k <= 7) AS c FROM f
+  UNION ALL SELECT g, k, day, v, p, new, 0.3 * (new - level) + 0.7 * slope, list_transform(c, lambda x, i: CASE WHEN i = (k - 1) % 7 + 1 THEN 0.2 * (v - new) + 0.8 * x ELSE x END)
+  FROM (SELECT r.g, n.k, n.day, n.v, r.level + r.slope + r.c[(n.k - 1) % 7 + 1] AS p, 0.5 * (n.v - r.c[(n.k - 1) % 7 + 1]) + 0.5 * (r.level + r.slope) AS new, r.level, r.slope, r.c FROM r JOIN n ON n.g = r.g AND n.k = r.k + 1)),
+e AS (SELECT g, stddev_samp(v - p) * 1.96 AS s FROM r WHERE k > 7 GROUP BY 1), l AS (SELECT r.*, e.s FROM r JOIN f ON f.g = r.g AND f.n = r.k JOIN e ON e.g = r.g)
+SELECT g AS event_type, day::VARCHAR AS period, round(v, 4) AS actual, CASE WHEN k > 7 THEN round(p, 4) END AS predicted, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, 0 AS horizon FROM r WHERE k > 0
+UNION ALL SELECT g, (day + h.h::INT)::VARCHAR, NULL, round(level + h.h * slope + c[(k + h.h - 1) % 7 + 1], 4), round(level + h.h * slope + c[(k + h.h - 1) % 7 + 1] - s * sqrt(h.h), 4), round(level + h.h * slope + c[(k + h.h - 1) % 7 + 1] + s * sqrt(h.h), 4), h.h::INT FROM l, range(1, 4) h(h)"""
+
+
+@query("forecast_holt_winters", _HOLT_WINTERS)
 def _(spark, d):
     by_type = load(spark, d, "events").groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.sum("value").alias("v"))
     return TS.forecast(by_type, "day", "v", "holt_winters", group_by=["event_type"])
@@ -130,7 +141,7 @@ def _(spark, d):
     return T.cooccurrence(load(spark, d, "documents"), "doc_id", "text")
 
 
-@query("word_cooccurrence_window")
+@query("word_cooccurrence_window", f"WITH {_TFIDF}, top AS (SELECT word FROM weights GROUP BY 1 ORDER BY sum(weight) DESC, word LIMIT 30), t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), s AS (SELECT doc_id, i, list_distinct(list_intersect(w[i : i + 4], m)) AS u FROM (SELECT doc_id, w, (SELECT list(word) FROM top) AS m, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)), o AS (SELECT doc_id, i, unnest(u) AS word FROM s WHERE len(u) > 1) SELECT x.word AS a, y.word AS b, count(*) AS count FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.i = y.i AND x.word < y.word GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(spark, d):
     return T.cooccurrence(load(spark, d, "documents"), "doc_id", "text", window=5)
 
@@ -178,26 +189,28 @@ def _(spark, d):
     return ST.correlation(load(spark, d, "labels"), ["quality", "toxic"], "kendall")
 
 
-@query("significance_ttest", "WITH g AS (SELECT o_orderstatus AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS s FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1), f AS (SELECT * FROM g WHERE g = 'F'), o AS (SELECT * FROM g WHERE g = 'O') SELECT 'ttest' AS test, 2 AS groups, f.n + o.n AS n, round((f.m - o.m) / sqrt(f.s / f.n + o.s / o.n), 6) AS statistic, round((f.s / f.n + o.s / o.n) ** 2 / ((f.s / f.n) ** 2 / (f.n - 1) + (o.s / o.n) ** 2 / (o.n - 1)), 3) AS df FROM f, o")
+@query("significance_ttest", "WITH r AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'other' END AS g, o_totalprice AS v FROM orders), g AS (SELECT g, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM r GROUP BY 1), f AS (SELECT * FROM g WHERE g = 'F'), o AS (SELECT * FROM g WHERE g = 'other') SELECT 'ttest' AS test, 2 AS groups, f.n + o.n AS n, round((f.m - o.m) / sqrt(f.s / f.n + o.s / o.n), 6) AS statistic, round((f.s / f.n + o.s / o.n) ** 2 / ((f.s / f.n) ** 2 / (f.n - 1) + (o.s / o.n) ** 2 / (o.n - 1)), 3) AS df, 'F=' || printf('%.4f', f.m) || ';other=' || printf('%.4f', o.m) AS means, abs((f.m - o.m) / sqrt(f.s / f.n + o.s / o.n)) > 1.97 AS significant FROM f, o")
 def _(spark, d):
-    s = ST.significance(load(spark, d, "orders").where("o_orderstatus in ('F', 'O')"), "o_orderstatus", "o_totalprice")
-    return s.select("test", "groups", "n", F.round("statistic", 6).alias("statistic"), F.round("df", 3).alias("df"))
+    orders = load(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "F").otherwise("other"))
+    s = ST.significance(orders, "status", "o_totalprice")
+    return s.select("test", "groups", "n", F.round("statistic", 6).alias("statistic"), F.round("df", 3).alias("df"), "means", "significant")
 
 
-@query("significance_anova", "WITH r AS (SELECT o_orderpriority AS g, o_totalprice AS v FROM orders), t AS (SELECT avg(v) AS m, count(*) AS n FROM r), g AS (SELECT g, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM r GROUP BY 1) SELECT 'anova' AS test, count(*)::INT AS groups, any_value(t.n) AS n, round((sum(g.n * (g.m - t.m) ** 2) / (count(*) - 1)) / (sum((g.n - 1) * g.s) / (any_value(t.n) - count(*))), 6) AS statistic FROM g, t")
+@query("significance_anova", "WITH r AS (SELECT o_orderpriority AS g, o_totalprice AS v FROM orders), t AS (SELECT avg(v) AS m, count(*) AS n FROM r), g AS (SELECT g, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM r GROUP BY 1) SELECT 'anova' AS test, count(*)::INT AS groups, any_value(t.n) AS n, round((sum(g.n * (g.m - t.m) ** 2) / (count(*) - 1)) / (sum((g.n - 1) * g.s) / (any_value(t.n) - count(*))), 6) AS statistic, string_agg(g || '=' || printf('%.4f', g.m), ';' ORDER BY g) AS means, (sum(g.n * (g.m - t.m) ** 2) / (count(*) - 1)) / (sum((g.n - 1) * g.s) / (any_value(t.n) - count(*))) > 2.38 AS significant FROM g, t")
 def _(spark, d):
     s = ST.significance(load(spark, d, "orders"), "o_orderpriority", "o_totalprice", "anova")
-    return s.select("test", "groups", "n", F.round("statistic", 6).alias("statistic"))
+    return s.select("test", "groups", "n", F.round("statistic", 6).alias("statistic"), "means", "significant")
 
 
-@query("significance_mannwhitney", "WITH r AS (SELECT o_orderstatus AS g, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::DOUBLE AS k FROM orders WHERE o_orderstatus IN ('F', 'P')) SELECT 'mannwhitney' AS test, count(*) AS n, sum(k) FILTER (g = 'F') - count(*) FILTER (g = 'F') * (count(*) FILTER (g = 'F') + 1) / 2.0::DOUBLE AS statistic FROM r")
+@query("significance_mannwhitney", "WITH r AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'other' END AS g, o_totalprice AS v, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::DOUBLE AS k FROM orders) SELECT 'mannwhitney' AS test, count(*) AS n, sum(k) FILTER (g = 'F') - count(*) FILTER (g = 'F') * (count(*) FILTER (g = 'F') + 1) / 2.0::DOUBLE AS statistic, 'F=' || printf('%.4f', avg(v) FILTER (g = 'F')) || ';other=' || printf('%.4f', avg(v) FILTER (g = 'other')) AS means FROM r")
 def _(spark, d):
-    return ST.significance(load(spark, d, "orders").where("o_orderstatus in ('F', 'P')"), "o_orderstatus", "o_totalprice", "mannwhitney").select("test", "n", "statistic")
+    orders = load(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "F").otherwise("other"))
+    return ST.significance(orders, "status", "o_totalprice", "mannwhitney").select("test", "n", "statistic", "means")
 
 
-@query("significance_kruskal", "WITH r AS (SELECT o_orderpriority AS g, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0::DOUBLE AS k, o_custkey FROM orders), t AS (SELECT sum(c ** 3 - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY o_custkey)), g AS (SELECT g, sum(k) AS s, count(*)::DOUBLE AS n FROM r GROUP BY 1), n AS (SELECT sum(n) AS n FROM g) SELECT 'kruskal' AS test, round((12 / (any_value(n.n) * (any_value(n.n) + 1)) * sum(s * s / g.n) - 3 * (any_value(n.n) + 1)) / (1 - any_value(t) / (any_value(n.n) ** 3 - any_value(n.n))), 6) AS statistic FROM g, n, t")
+@query("significance_kruskal", "WITH r AS (SELECT o_orderpriority AS g, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0::DOUBLE AS k, o_custkey FROM orders), t AS (SELECT sum(c ** 3 - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY o_custkey)), g AS (SELECT g, sum(k) AS s, count(*)::DOUBLE AS n FROM r GROUP BY 1), n AS (SELECT sum(n) AS n FROM g) SELECT 'kruskal' AS test, round(x, 6) AS statistic, round(exp(-x / 2) * (1 + x / 2), 6) AS p_value, exp(-x / 2) * (1 + x / 2) < 0.05 AS significant FROM (SELECT (12 / (any_value(n.n) * (any_value(n.n) + 1)) * sum(s * s / g.n) - 3 * (any_value(n.n) + 1)) / (1 - any_value(t) / (any_value(n.n) ** 3 - any_value(n.n))) AS x FROM g, n, t)")
 def _(spark, d):
-    return ST.significance(load(spark, d, "orders"), "o_orderpriority", "o_custkey", "kruskal").select("test", F.round("statistic", 6).alias("statistic"))
+    return ST.significance(load(spark, d, "orders"), "o_orderpriority", "o_custkey", "kruskal").select("test", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"), "significant")
 
 
 @query("anomaly")
@@ -210,10 +223,12 @@ def _(spark, d):
     return ST.cluster_texts(load(spark, d, "documents"), "text", 4).select("doc_id", "cluster", "silhouette")
 
 
-@query("dbscan", "WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45) SELECT e.vec_id AS id, count(p.id) = 0 AS alone FROM embeddings e LEFT JOIN p ON p.id = e.vec_id GROUP BY 1")
+@query("dbscan", """WITH RECURSIVE p AS (SELECT a.vec_id AS id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45), core AS (SELECT id FROM p GROUP BY 1 HAVING count(*) >= 2),
+link AS (SELECT * FROM p WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)), reach AS (SELECT id, id AS other FROM core UNION SELECT r.id, l.other FROM reach r JOIN link l ON l.id = r.other),
+named AS (SELECT id, min(other) AS cluster FROM reach GROUP BY 1), border AS (SELECT p.id, arg_min(n.cluster, p.other) AS cluster FROM p JOIN named n ON n.id = p.other WHERE p.id NOT IN (SELECT id FROM core) GROUP BY 1)
+SELECT vec_id AS id, cluster, cluster IS NULL AS is_noise FROM embeddings LEFT JOIN (SELECT * FROM named UNION ALL SELECT * FROM border) c ON c.id = vec_id""")
 def _(spark, d):
-    e = load(spark, d, "embeddings")
-    return ST.dbscan(e, "vec_id", "embedding", 0.55, 2).select("id", F.col("is_noise").alias("alone"))
+    return ST.dbscan(load(spark, d, "embeddings"), "vec_id", "embedding", 0.55, 3)
 
 
 @query("text_classifier")
@@ -299,9 +314,9 @@ def _(spark, d):
     return G.entity_rows(li, "l_orderkey", "s", "y", aliases={"S1": "first"}, exclude=["S2"])
 
 
-@query("entity_years", f"WITH {_ROWS} SELECT entity, count(*) AS documents, min(year)::INT AS first_year, max(year)::INT AS last_year FROM r GROUP BY 1")
+@query("entity_years", f"WITH {_ROWS}, y AS (SELECT entity, year, count(*) AS n FROM r GROUP BY 1, 2) SELECT entity, sum(n)::BIGINT AS documents, min(year)::INT AS first_year, max(year)::INT AS last_year, '{{' || string_agg('\"' || year || '\":' || n, ',' ORDER BY year) || '}}' AS by_year FROM y GROUP BY 1")
 def _(spark, d):
-    return G.entity_years(supplier_rows(spark, d)).drop("by_year")
+    return G.entity_years(supplier_rows(spark, d))
 
 
 for _rule, _value, _where in (("top_n", 5, "k <= 5"), ("top_pct", 10, "k <= greatest(ceil(m * 10 / 100.0), 1)"), ("threshold", 20, "documents >= 20"), ("g_index", 3, "k <= (SELECT max(k) FROM s t WHERE t.slice = s.slice AND cum >= k * k * 3)")):
@@ -353,9 +368,11 @@ def _(spark, d):
     return G.max_links(supplier_edges(spark, d), 10, "count").select("a", "b", "count")
 
 
-@query("spanning_forest", f"WITH {_EDGES} SELECT count(DISTINCT x) - 1 AS edges FROM (SELECT a AS x FROM e UNION SELECT b FROM e)")
+@query("spanning_forest", f"""WITH RECURSIVE {_EDGES}, o AS MATERIALIZED (SELECT a, b, count, row_number() OVER (ORDER BY count DESC, a DESC, b DESC) AS k FROM e),
+walk AS (SELECT [(SELECT min(a) FROM e)] AS seen, NULL::BIGINT AS k UNION ALL SELECT list_append(list_append(w.seen, o.a), o.b), o.k FROM walk w, LATERAL (SELECT a, b, k FROM o WHERE list_contains(w.seen, a) <> list_contains(w.seen, b) ORDER BY k LIMIT 1) o)
+SELECT a, b, count FROM o WHERE k IN (SELECT k FROM walk)""")
 def _(spark, d):
-    return G.spanning_forest(supplier_edges(spark, d), "count").agg(F.count(F.lit(1)).alias("edges"))
+    return G.spanning_forest(supplier_edges(spark, d), "count").select("a", "b", "count")
 
 
 @query("pathfinder")
@@ -363,9 +380,13 @@ def _(spark, d):
     return G.pathfinder(supplier_edges(spark, d), "weight")
 
 
-@query("largest_component", f"WITH {_EDGES} SELECT count(*) AS n FROM e")
+@query("largest_component", f"""WITH RECURSIVE {_EDGES}, {_ENDS}, t AS (SELECT a, b, count FROM e JOIN k p ON p.x = a AND p.y = b AND p.r <= 1 JOIN k q ON q.x = b AND q.y = a AND q.r <= 3), both_ways AS (SELECT a AS x, b AS y FROM t UNION SELECT b, a FROM t),
+reach AS (SELECT x, x AS y FROM both_ways UNION SELECT r.x, l.y FROM reach r JOIN both_ways l ON l.x = r.y), c AS (SELECT x, min(y) AS c FROM reach GROUP BY 1), top AS (SELECT c FROM c GROUP BY 1 ORDER BY count(*) DESC, c LIMIT 1)
+SELECT a, b, count FROM t WHERE a IN (SELECT x FROM c WHERE c = (SELECT c FROM top))""")
 def _(spark, d):
-    return G.largest_component(supplier_edges(spark, d)).agg(F.count(F.lit(1)).alias("n"))
+    edges = supplier_edges(spark, d)
+    best = G.max_links(edges, 3, "count").join(G.top_links(edges, 1, "count"), ["a", "b"], "left_semi")
+    return G.largest_component(best).select("a", "b", "count")
 
 
 @query("degrees", f"WITH {_EDGES}, {_ENDS} SELECT x AS node, count(*) AS degree, sum(w)::DOUBLE AS weighted_degree FROM n GROUP BY 1")
@@ -385,9 +406,9 @@ def _(spark, d):
     return G.page_rank(supplier_edges(spark, d), weight_col="count", rounds=5).select("node", F.round("pagerank", 9).alias("pagerank"))
 
 
-@query("eigenvector")
+@query("eigenvector", _RANK1.split(", o AS")[0] + ", l AS (SELECT x, y, w::DOUBLE AS w FROM n UNION ALL SELECT DISTINCT x, x, 1.0::DOUBLE FROM n), v0 AS (SELECT DISTINCT x AS node, 1.0::DOUBLE AS v FROM n)" + "".join(f", u{k} AS (SELECT l.y AS node, sum(v * w) AS v FROM l JOIN v{k - 1} q ON q.node = l.x GROUP BY 1), v{k} AS (SELECT node, v / (SELECT sqrt(sum(v * v)) FROM u{k}) AS v FROM u{k})" for k in range(1, 10)) + " SELECT node, round(v, 9) AS eigenvector FROM v9")
 def _(spark, d):
-    return G.eigenvector(supplier_edges(spark, d), "count", 9)
+    return G.eigenvector(supplier_edges(spark, d), "count", 9).select("node", F.round("eigenvector", 9).alias("eigenvector"))
 
 
 @query("betweenness")
@@ -418,19 +439,34 @@ def _(spark, d):
     return G.modularity(supplier_edges(spark, d), clusters, "count")
 
 
+_TERMS = "WITH c AS (SELECT event_type AS cluster, user_id AS term, count(*)::DOUBLE AS a FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2), y AS (SELECT *, sum(a) OVER () AS n, sum(a) OVER (PARTITION BY term) AS t, sum(a) OVER (PARTITION BY cluster) AS k, count(*) OVER (PARTITION BY term) AS m, (SELECT count(DISTINCT cluster) FROM c) AS g FROM c), x AS (SELECT cluster, term, {score} AS score FROM y), r AS (SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, term)::INT AS rank, term, round(score, 9) AS score FROM x) SELECT * FROM r WHERE rank <= 5"
+_PART = "CASE WHEN {o} > 0 THEN {o} * ln({o} / ({e})) ELSE 0 END"
+_LLR = " + ".join(_PART.replace("{o}", f"({o})").replace("{e}", e) for o, e in (("a", "t * k / n"), ("t - a", "t * (n - k) / n"), ("k - a", "(n - t) * k / n"), ("n - t - k + a", "(n - t) * (n - k) / n")))
+ORACLES["cluster_terms_llr"] = _TERMS.replace("{score}", f"CASE WHEN a * n >= t * k THEN 1 ELSE -1 END * 2 * ({_LLR})")
+ORACLES["cluster_terms_tfidf"] = _TERMS.replace("{score}", "a / k * (ln((1 + g)::DOUBLE / (1 + m)) + 1)")
+
+
+def cluster_terms(spark, d, method):
+    terms = G.cluster_terms(load(spark, d, "events"), "event_type", "user_id", method, 1000).withColumn("score", F.round("score", 9))
+    return O.top_per_group(terms.drop("rank"), ["cluster"], "score", 5, ["term"]).select("cluster", "rank", "term", "score")
+
+
 for _m in ("llr", "tfidf", "mi"):
-    QUERIES[f"cluster_terms_{_m}"] = lambda spark, d, m=_m: G.cluster_terms(load(spark, d, "events"), "event_type", "user_id", m)
-ORACLES["cluster_terms_mi"] = "WITH c AS (SELECT event_type AS cluster, user_id AS term, count(*)::DOUBLE AS a FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2), x AS (SELECT cluster, term, a / sum(a) OVER () * log2(a * sum(a) OVER () / (sum(a) OVER (PARTITION BY term) * sum(a) OVER (PARTITION BY cluster))) AS score FROM c), r AS (SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term)::INT AS rank, term, score FROM x) SELECT * FROM r WHERE rank <= 5"
+    QUERIES[f"cluster_terms_{_m}"] = lambda spark, d, m=_m: cluster_terms(spark, d, m)
+ORACLES["cluster_terms_mi"] = _TERMS.replace("{score}", "a / n * log2(a * n / (t * k))")
 
 
-@query("structural_variation")
+@query("structural_variation", f"""WITH {_ROWS}, e AS (SELECT x.year AS slice, x.entity AS a, y.entity AS b, count(*) AS count FROM r x JOIN r y ON x.doc = y.doc AND x.year = y.year AND x.entity < y.entity GROUP BY 1, 2, 3), n AS (SELECT slice, a AS node, b AS other, count FROM e UNION ALL SELECT slice, b, a, count FROM e),
+s AS (SELECT slice, node, other, count / sum(count) OVER (PARTITION BY slice, node) AS p FROM n), k AS (SELECT DISTINCT x.slice, x.node FROM s x JOIN s y ON y.node = x.node AND y.slice = x.slice - 1),
+v AS (SELECT k.slice, k.node, o.other, coalesce(x.p, 0) AS p, coalesce(y.p, 0) AS q FROM k JOIN (SELECT slice, node, other FROM s UNION SELECT slice + 1, node, other FROM s) o ON o.slice = k.slice AND o.node = k.node LEFT JOIN s x ON x.slice = k.slice AND x.node = k.node AND x.other = o.other LEFT JOIN s y ON y.slice = k.slice - 1 AND y.node = k.node AND y.other = o.other)
+SELECT slice::INT AS slice, node, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END), 9) AS variation FROM v GROUP BY 1, 2""")
 def _(spark, d):
-    return G.structural_variation(G.cooccurrence_edges(supplier_rows(spark, d), slice_col="year"))
+    return G.structural_variation(G.cooccurrence_edges(supplier_rows(spark, d), slice_col="year")).select("slice", "node", F.round("variation", 9).alias("variation"))
 
 
-@query("overlay", "WITH c AS (SELECT l_suppkey AS entity, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT entity, arg_min(label, (-n, label)) AS label FROM c GROUP BY 1")
+@query("overlay", "WITH c AS (SELECT l_suppkey AS entity, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT entity, arg_min(label, (-n, label)) AS label, '{' || string_agg('\"' || label || '\":' || n, ',' ORDER BY label) || '}' AS counts FROM c GROUP BY 1")
 def _(spark, d):
-    return G.overlay(load(spark, d, "lineitem").withColumnRenamed("l_suppkey", "entity"), "l_returnflag").drop("counts")
+    return G.overlay(load(spark, d, "lineitem").withColumnRenamed("l_suppkey", "entity"), "l_returnflag")
 
 
 @query("source_presence", "SELECT lang AS entity, string_agg(DISTINCT source, ';' ORDER BY source) AS sources, count(DISTINCT source) > 1 AS cross_source FROM documents GROUP BY 1")
@@ -460,6 +496,6 @@ def _(spark, d):
     return G.ego_network(supplier_edges(spark, d), "S1").select("a", "b", "count")
 
 
-@query("adjacency")
+@query("adjacency", f"WITH {_EDGES}, {_ENDS} SELECT x AS node, '[' || string_agg('{{\"target\":\"' || y || '\",\"value\":' || w::DOUBLE || '}}', ',' ORDER BY w DESC, y) || ']' AS links FROM n GROUP BY 1")
 def _(spark, d):
     return G.adjacency(supplier_edges(spark, d))
