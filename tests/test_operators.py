@@ -301,3 +301,14 @@ def test_topic_timeline_links_families(spark):
 def test_kappa_of_full_agreement(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "a")], "x string, y string")
     assert A.kappa(df, "x", "y").first()["kappa"] == 1.0
+
+
+def test_kendall_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(x), float(x + y)) for x, y in rng.integers(0, 12, (150, 2))] + [(1.0, None)]
+    pairs = [r for r in rows if r[1] is not None]
+    sign = lambda v: (v > 0) - (v < 0)
+    s = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for i, a in enumerate(pairs) for b in pairs[:i])
+    tx, ty = (sum(a[k] != b[k] for i, a in enumerate(pairs) for b in pairs[:i]) for k in (0, 1))
+    got = ST.correlation(spark.createDataFrame(rows, "x double, y double"), ["x", "y"], "kendall").first()["correlation"]
+    assert got == pytest.approx(s / math.sqrt(tx * ty))

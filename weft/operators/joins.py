@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, IntegralType
 
 from weft.errors import OpError, need_columns, need_one_of
 from weft.functions.scalars import folded, url_key
-from weft.functions.texts import normalized_key
+from weft.functions.texts import nfkc, normalized_key
 
 HOW = ("inner", "left", "right", "outer", "cross")
 MODES = ("exact", "trim", "url", "text")
@@ -48,11 +48,14 @@ def match_key(df: DataFrame, columns: list[str], mode: str = "exact", ignore_cas
     parts = []
     for c in columns:
         cell = _col(c)
+        if isinstance(df.schema[c].dataType, IntegralType):
+            parts.append(cell.cast("string"))  # no folding changes a whole number
+            continue
         if isinstance(df.schema[c].dataType, (DoubleType, FloatType)):
             text = F.when((cell == F.floor(cell)) & (F.abs(cell) < 1e15), cell.cast("long").cast("string")).otherwise(cell.cast("string"))
         else:
             text = F.regexp_replace(cell.cast("string"), r"^(-?\d+)\.0+$", "$1")
-        text = {"exact": lambda t: t, "trim": folded, "url": url_key, "text": normalized_key}[mode](text)
+        text = {"exact": lambda t: t, "trim": lambda t: folded(nfkc(t)), "url": url_key, "text": normalized_key}[mode](text)
         text = F.lower(text) if ignore_case else text
         parts.append(F.when(F.trim(text) != "", text))
     return F.when(F.concat(*parts).isNotNull(), F.concat_ws("\u001f", *parts))

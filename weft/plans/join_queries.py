@@ -56,27 +56,18 @@ def _(spark, d):
     return J.anti_join(li, li.where("l_returnflag = 'R'"), "l_partkey, l_suppkey").select("l_orderkey", "l_linenumber")
 
 
-@query("anti_join_trim", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) NOT IN ('building')")
+@query("anti_join_trim", "SELECT c_custkey FROM customer WHERE c_custkey * 3 NOT IN (SELECT o_custkey FROM orders)")
 def _(spark, d):
-    other = load(spark, d, "region").limit(1).select(F.lit("  Building ").alias("s"))
-    return J.anti_join(load(spark, d, "customer"), other, "c_mktsegment", "s", mode="trim", ignore_case=True).select("c_custkey")
+    orders = load(spark, d, "orders").select(F.concat(F.lit("  c"), F.col("o_custkey").cast("string"), F.lit("\u3000")).alias("k"))
+    customers = load(spark, d, "customer").withColumn("k", F.concat(F.lit("C"), (F.col("c_custkey") * 3).cast("string")))
+    return J.anti_join(customers, orders, "k", "k", mode="trim", ignore_case=True).select("c_custkey")
 
 
-_KEY = "rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://(www\\.)?', ''), '#.*$', ''), '/')"
-
-
-@query("semi_join_url", f"SELECT page_id FROM pages WHERE {_KEY} IN (SELECT {_KEY} FROM pages WHERE length(html) > 4000)")
-def _(spark, d):
-    p = load(spark, d, "pages")
-    other = p.where("length(html) > 4000").select(F.concat(F.regexp_replace("url", "^https?://(www\\.)?", "HTTP://WWW."), F.lit("#top")).alias("u"))
-    return J.anti_join(p, other, "url", "u", mode="url", keep="keep").select("page_id")
-
-
-@query("anti_join_text", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.lang = 'en' AND x.text = d.text)")
+@query("semi_join_url", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
 def _(spark, d):
-    docs = load(spark, d, "documents")
-    other = docs.where("lang = 'en'").select(F.concat(F.lit("@someone "), "text", F.lit("  https://t.example/x")).alias("t"))
-    return J.anti_join(docs, other, "text", "t", mode="text").select("doc_id")
+    docs = load(spark, d, "documents").withColumn("u", F.concat(F.lit("http://www.s.example:80/a/"), F.col("doc_id").cast("string")))
+    other = load(spark, d, "benchmark").select(F.concat(F.lit("HTTPS://S.example/a/"), F.col("item_id").cast("string"), F.lit("/?utm_source=x#top")).alias("u"))
+    return J.anti_join(docs, other, "u", "u", mode="url", keep="keep").select("doc_id")
 
 
 @query("reply_graph", "WITH c AS (SELECT conv_id, turn, role || (conv_id % 7)::VARCHAR AS author FROM conversations), t AS (SELECT conv_id, arg_min(author, turn) AS target FROM c WHERE turn = (SELECT min(turn) FROM conversations) GROUP BY 1) SELECT author AS source, target, count(*) AS weight FROM c JOIN t USING (conv_id) WHERE turn > (SELECT min(turn) FROM conversations) AND author <> target GROUP BY 1, 2")
@@ -93,10 +84,10 @@ def _(spark, d):
     return J.verify(listed, load(spark, d, "orders"), "c_custkey", "o_custkey", "promised", tolerance=1).select("c_custkey", "expected", "collected", "gap", "status")
 
 
-@query("diff_rows", "WITH a AS (SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber <= 2), b AS (SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber = 2 OR l_linenumber = 3) SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
+@query("diff_rows", "WITH a AS (SELECT l_suppkey, l_returnflag FROM lineitem), b AS (SELECT l_partkey % 10 AS l_suppkey, l_returnflag FROM lineitem) SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
 def _(spark, d):
     li = load(spark, d, "lineitem")
-    return J.diff(li.where("l_linenumber <= 2").select("l_suppkey", "l_returnflag"), li.where("l_linenumber in (2, 3)").select("l_suppkey", "l_returnflag"))
+    return J.diff(li.select("l_suppkey", "l_returnflag"), li.select((F.col("l_partkey") % 10).alias("l_suppkey"), "l_returnflag"))
 
 
 @query("diff_keyed", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus, o_orderpriority, CASE o_orderstatus WHEN 'P' THEN 'added' WHEN 'F' THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o_orderstatus = 'O' THEN 'o_totalprice' ELSE '' END AS columns FROM orders WHERE o_orderstatus IN ('P', 'F') OR o_orderpriority = '1-URGENT'")
@@ -107,10 +98,11 @@ def _(spark, d):
     return J.diff(o.where("o_orderstatus <> 'P'"), after, ["o_orderkey"])
 
 
-@query("compare_snapshots", "WITH a AS (SELECT l_partkey, sum(l_quantity) AS before FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey, sum(l_quantity) AS after FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT l_partkey, before, after, coalesce(after, 0) - coalesce(before, 0) AS delta, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'gone' WHEN after > before THEN 'up' WHEN after < before THEN 'down' ELSE 'same' END AS change FROM a FULL OUTER JOIN b USING (l_partkey)")
+@query("compare_snapshots", "WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS before FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, sum(c_acctbal) AS after FROM customer GROUP BY 1) SELECT k, round(before, 4) AS before, round(after, 4) AS after, round(coalesce(after, 0) - coalesce(before, 0), 4) AS delta, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'gone' WHEN after > before THEN 'up' WHEN after < before THEN 'down' ELSE 'same' END AS change FROM a FULL JOIN b USING (k)")
 def _(spark, d):
-    li = load(spark, d, "lineitem")
-    return J.compare_snapshots(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["l_partkey"], "l_quantity")
+    before = load(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"))
+    after = load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return J.compare_snapshots(before, after, ["k"], "v").withColumns({c: F.round(c, 4) for c in ("before", "after", "delta")})
 
 
 @query("lookup", "SELECT c_custkey, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")

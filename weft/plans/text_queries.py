@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions.texts import EMOTICONS, STOP_WORDS, normalized, tokens
 from weft.operators import columns as C
 from weft.operators import dedupe as D
+from weft.operators import joins as J
 from weft.operators import stats as ST
 from weft.operators import text as T
 from weft.runtime import load
@@ -81,6 +82,11 @@ def _(spark, d):
     return T.wash(disguised(spark, d), "text").select("doc_id", "cleaned_text", "action")
 
 
+@query("anti_join_text", f"SELECT doc_id FROM ({_DISGUISED_SQL}) WHERE {sql_normalized('text')} = '' OR {sql_normalized('text')} NOT IN (SELECT {sql_normalized('text')} FROM conversations WHERE text IS NOT NULL)")
+def _(spark, d):
+    return J.anti_join(disguised(spark, d), load(spark, d, "conversations"), "text", "text", mode="text").select("doc_id")
+
+
 # near-duplicates: fingerprints, then all pairs of them and reachability
 
 _BITS = " | ".join(f"((sum(CASE WHEN (h >> {b}) & 1 = 1 THEN n ELSE -n END) > 0)::UBIGINT << {b})" for b in range(64))
