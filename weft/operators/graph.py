@@ -21,13 +21,24 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def entity_rows(df: DataFrame, id_col: str, entity_col: str, year_col: str = "", split: bool = True, aliases: dict[str, str] | None = None, exclude: list[str] = ()) -> DataFrame:
-    """``(doc, entity, year)``, an entity once a document. A delimited cell is split; aliases rename, excluded names go."""
+def entity_rows(df: DataFrame, id_col: str, entity_col: str, year_col: str = "", split: bool = True, aliases: dict[str, str] | None = None, exclude: list[str] = (), years: tuple[int | None, int | None] = (None, None), floors: dict[str, float] | None = None) -> DataFrame:
+    """``(doc, entity, year)``, an entity once a document. A delimited cell is split; aliases rename, excluded names go.
+
+    ``years`` keeps documents from one year to another (those without a year go then);
+    ``floors`` those whose figures (citations, usage) reach a number, a blank figure being 0.
+    """
+    if any(y is not None for y in years) and not year_col:
+        raise OpError("entity_rows", "years", "a span of years needs year_col")
+    need_columns("entity_rows", "floors", df, list(floors or {}))
+    for column, least in (floors or {}).items():
+        df = df.where(F.coalesce(number(_col(column)), F.lit(0.0)) >= least)
     need_columns("entity_rows", "columns", df, [id_col, entity_col, *([year_col] if year_col else [])])
     cell = _col(entity_col).cast("string")
     items = parts_of(cell) if split else F.array(cell)
     year = number(_col(year_col)).cast("int") if year_col else F.lit(None).cast("int")
     out = df.select(_col(id_col).alias("doc"), F.explode(items).alias("entity"), year.alias("year")).where("entity is not null and entity <> ''")
+    for bound, test in zip(years, (F.col("year") >= F.lit(years[0]), F.col("year") <= F.lit(years[1])), strict=True):
+        out = out.where(test) if bound is not None else out
     if aliases:
         table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
         out = out.withColumn("entity", F.coalesce(table[F.col("entity")], F.col("entity")))
@@ -43,14 +54,21 @@ def entity_years(rows: DataFrame) -> DataFrame:
     return by.groupBy("entity").agg(F.sum("n").alias("documents"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), counts.alias("by_year"))
 
 
-def select_nodes(rows: DataFrame, rule: str = "top_n", value: float = 50, slice_col: str | None = None) -> DataFrame:
+def select_nodes(rows: DataFrame, rule: str = "top_n", value: float = 50, slice_col: str | None = None, look_back: int = 0) -> DataFrame:
     """``(slice, entity, documents)`` chosen in each slice: ``top_n``, ``top_pct`` of the entities, ``g_index`` or a ``threshold`` of documents.
 
     g-index: the largest g whose first g entities have ``value * g * g`` documents or more together.
+    With ``look_back`` the documents of so many (numbered) slices before count as well.
     """
     need_one_of("select_nodes", "rule", rule, ("top_n", "top_pct", "g_index", "threshold"))
+    if look_back and not slice_col:
+        raise OpError("select_nodes", "look_back", "there are no slices to look back on")
     key = _col(slice_col) if slice_col else F.lit(0)
     freq = rows.groupBy(key.alias("slice"), "entity").agg(F.count_distinct("doc").alias("documents"))
+    if look_back:
+        seen = freq.select("slice").distinct()
+        later = freq.select(F.explode(F.sequence("slice", F.col("slice") + look_back)).alias("slice"), "entity", "documents")
+        freq = later.join(seen, "slice", "left_semi").groupBy("slice", "entity").agg(F.sum("documents").alias("documents"))
     order = Window.partitionBy("slice").orderBy(F.desc("documents"), "entity")
     ranked = freq.withColumn("r", F.row_number().over(order))
     if rule == "threshold":
@@ -399,6 +417,30 @@ def cluster_terms(rows: DataFrame, cluster_col: str, term_col: str, method: str
     return ranked.where(F.col("rank") <= topn).select("cluster", "rank", "term", "score")
 
 
+def lsi_terms(rows: DataFrame, doc_col: str, term_col: str, topn: int = 5, rounds: int = 30) -> DataFrame:
+    """``(rank, term, weight)``: terms by their part in the first singular vector of the TF-IDF matrix, documents scaled to length 1.
+
+    Power iteration over the cells of the matrix; only sums by document and by term are shuffled.
+    """
+    need_columns("lsi_terms", "columns", rows, [doc_col, term_col])
+    need_positive("lsi_terms", "topn", topn)
+    cells = rows.select(_col(doc_col).alias("doc"), _col(term_col).alias("term")).where("doc is not null and term is not null").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = cells.agg(F.count_distinct("doc").alias("n"))
+    idf = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # total is one row
+    raw = cells.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    matrix = checkpoint(raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w")))
+    vector = matrix.select("term").distinct().withColumn("v", F.lit(1.0))
+    for k in range(rounds):
+        by_doc = matrix.join(vector, "term").groupBy("doc").agg(F.sum(F.col("w") * F.col("v")).alias("u"))
+        vector = matrix.join(by_doc, "doc").groupBy("term").agg(F.sum(F.col("w") * F.col("u")).alias("v"))
+        length = vector.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+        vector = vector.crossJoin(F.broadcast(length)).select("term", (F.col("v") / F.col("length")).alias("v"))  # length is one row
+        vector = checkpoint(vector) if k % 3 == 2 or k == rounds - 1 else vector
+    top = vector.select("term", F.abs("v").alias("weight")).orderBy(F.desc("weight"), "term").limit(topn)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("weight"), "term")).alias("rank"), "term", "weight")  # topn rows
+
+
 def structural_variation(edges: DataFrame) -> DataFrame:
     """``(slice, node, variation)``: divergence, in bits, of a node's neighbours from those of the slice before."""
     ends = edges.select("slice", F.col("a").alias("node"), F.col("b").alias("other"), "count").unionByName(edges.select("slice", F.col("b").alias("node"), F.col("a").alias("other"), "count"))

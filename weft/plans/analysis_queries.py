@@ -456,6 +456,27 @@ for _m in ("llr", "tfidf", "mi"):
 ORACLES["cluster_terms_mi"] = _TERMS.replace("{score}", "a / n * log2(a * n / (t * k))")
 
 
+_LSI = "WITH c AS (SELECT l_suppkey AS doc, l_partkey % 50 AS term, count(*)::DOUBLE AS tf FROM lineitem GROUP BY 1, 2), i AS (SELECT term, ln((1 + (SELECT count(DISTINCT doc) FROM c))::DOUBLE / (1 + count(*))) + 1 AS idf FROM c GROUP BY 1), m AS (SELECT doc, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY doc)) AS w FROM c JOIN i USING (term)), v0 AS (SELECT DISTINCT term, 1.0::DOUBLE AS v FROM m)"
+_LSI += "".join(f", u{k} AS (SELECT doc, sum(w * v) AS u FROM m JOIN v{k - 1} USING (term) GROUP BY 1), x{k} AS (SELECT term, sum(w * u) AS v FROM m JOIN u{k} USING (doc) GROUP BY 1), v{k} AS (SELECT term, v / (SELECT sqrt(sum(v * v)) FROM x{k}) AS v FROM x{k})" for k in range(1, 7))
+
+
+@query("lsi_terms", _LSI + " SELECT row_number() OVER (ORDER BY round(abs(v), 9) DESC, term)::INT AS rank, term, round(abs(v), 9) AS weight FROM v6 QUALIFY rank <= 10")
+def _(spark, d):
+    found = G.lsi_terms(load(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 50).alias("term")), "l_suppkey", "term", 50, 6)
+    return O.top_per_group(found.select(F.lit(0).alias("g"), "term", F.round("weight", 9).alias("weight")), ["g"], "weight", 10, ["term"]).select("rank", "term", "weight")
+
+
+@query("entity_floors", "SELECT l_orderkey AS doc, 'S' || l_suppkey AS entity, min(year(l_shipdate))::INT AS year FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 1998 AND l_quantity >= 10 AND coalesce(l_tax, 0) >= 0.02 GROUP BY 1, 2")
+def _(spark, d):
+    li = load(spark, d, "lineitem").withColumn("s", F.concat(F.lit("S"), "l_suppkey")).withColumn("y", F.year("l_shipdate"))
+    return G.entity_rows(li, "l_orderkey", "s", "y", years=(1996, 1998), floors={"l_quantity": 10, "l_tax": 0.02})
+
+
+@query("select_nodes_look_back", f"WITH {_ROWS}, f AS (SELECT year, entity, count(*) AS n FROM r GROUP BY 1, 2), s AS (SELECT y.year::INT AS slice, f.entity, sum(f.n)::BIGINT AS documents FROM (SELECT DISTINCT year FROM f) y JOIN f ON f.year BETWEEN y.year - 2 AND y.year GROUP BY 1, 2) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY slice ORDER BY documents DESC, entity) <= 5")
+def _(spark, d):
+    return G.select_nodes(supplier_rows(spark, d), "top_n", 5, "year", look_back=2)
+
+
 @query("structural_variation", f"""WITH {_ROWS}, e AS (SELECT x.year AS slice, x.entity AS a, y.entity AS b, count(*) AS count FROM r x JOIN r y ON x.doc = y.doc AND x.year = y.year AND x.entity < y.entity GROUP BY 1, 2, 3), n AS (SELECT slice, a AS node, b AS other, count FROM e UNION ALL SELECT slice, b, a, count FROM e),
 s AS (SELECT slice, node, other, count / sum(count) OVER (PARTITION BY slice, node) AS p FROM n), k AS (SELECT DISTINCT x.slice, x.node FROM s x JOIN s y ON y.node = x.node AND y.slice = x.slice - 1),
 v AS (SELECT k.slice, k.node, o.other, coalesce(x.p, 0) AS p, coalesce(y.p, 0) AS q FROM k JOIN (SELECT slice, node, other FROM s UNION SELECT slice + 1, node, other FROM s) o ON o.slice = k.slice AND o.node = k.node LEFT JOIN s x ON x.slice = k.slice AND x.node = k.node AND x.other = o.other LEFT JOIN s y ON y.slice = k.slice - 1 AND y.node = k.node AND y.other = o.other)

@@ -208,3 +208,14 @@ def run_workflow(spark: SparkSession, workflow: dict, store: str = "") -> dict[s
             df = spark.read.parquet(done)
         out[i] = checkpoint(df) if not done and sum(a == i for a, _ in links) > 1 else df
     return out
+
+
+def compare_runs(spark: SparkSession, store: str, before: dict, after: dict, node: str, keys: list[str] | None = None) -> DataFrame:
+    """The rows in which a node's stored output of one workflow differs from that of another, as in ``diff``; a node that was not run is refused."""
+    tables = []
+    for name, work in (("before", before), ("after", after)):
+        prints = fingerprints(work)
+        if node not in prints or not stored(spark, f"{store.rstrip('/')}/{prints[node]}"):
+            raise OpError("compare_runs", name, f"node {node!r} has no stored output")
+        tables.append(spark.read.parquet(f"{store.rstrip('/')}/{prints[node]}"))
+    return joins.diff(*tables, keys)

@@ -212,6 +212,27 @@ def _(spark, d):
     return again.toDF("o_orderstatus", "o_orderkey_count")
 
 
+@query("compare_runs", "SELECT o_orderkey, o_totalprice, 'removed' AS change, '' AS columns FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 100000")
+def _(spark, d):
+    def work(bound):
+        step = {"op": "filter_rows", "params": {"column": "o_totalprice", "op": "gt", "value": bound}}
+        cut = {"op": "select_columns", "params": {"columns": "o_orderkey, o_totalprice"}}
+        return {"nodes": [{"id": "s", "type": "source", "path": f"{d}/orders.parquet"}, {"id": "a", "type": "analysis", "steps": [step, cut]}], "connections": [{"from": "s", "to": "a"}]}
+
+    store = folder(spark, "runs")
+    for bound in (1000, 100000):
+        flow.run_workflow(spark, work(bound), store)
+    return flow.compare_runs(spark, store, work(1000), work(100000), "a", ["o_orderkey"])
+
+
+@query("watch_changes", "WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, sum(c_acctbal) AS v FROM customer GROUP BY 1) SELECT k, round(a.v, 4) AS before, round(b.v, 4) AS after, round(coalesce(b.v, 0) - coalesce(a.v, 0), 4) AS delta, CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'gone' WHEN b.v > a.v THEN 'up' WHEN b.v < a.v THEN 'down' ELSE 'same' END AS change FROM a FULL JOIN b USING (k)")
+def _(spark, d):
+    watch = K.Watch(spark, folder(spark, "watch"), ["k"], "v")
+    watch.capture(load(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v")))
+    changes = watch.capture(load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")))
+    return changes.withColumns({c: F.round(c, 4) for c in ("before", "after", "delta")})
+
+
 @query("script_step", "SELECT s_suppkey, s_acctbal * 2 AS twice FROM supplier")
 def _(spark, d):
     def twice(batches):

@@ -176,3 +176,21 @@ class Lineage:
     def reset(self) -> None:
         """Empty the dataset; the next rows are version 1 again and may have other columns."""
         self.spark.createDataFrame([], "_key string").write.mode("overwrite").parquet(self.folder)
+
+
+class Watch:
+    """Captures of one table in a shared folder, each compared with the one before."""
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], value: str):
+        self.data, self.keys, self.value = Lineage(spark, folder), keys, value
+
+    def capture(self, df: DataFrame) -> DataFrame:
+        """Keep the sums of the value by key, and give what changed since the last capture as in ``compare_snapshots``; all is new the first time."""
+        from weft.operators.joins import compare_snapshots
+
+        need_columns("watch", "columns", df, [*self.keys, self.value])
+        now = df.groupBy(*self.keys).agg(F.sum(self.value).alias(self.value))
+        number = self.data.latest() + 1
+        self.data.append(now.withColumn("capture", F.lit(number)))
+        every = self.data.read()
+        return compare_snapshots(every.where(F.col("capture") == number - 1), every.where(F.col("capture") == number), self.keys, self.value)
