@@ -39,33 +39,26 @@ def network(spark, k=None):
 
 
 def paths(edges):
-    """Betweenness by breadth-first search from every node."""
-    near = collections.defaultdict(set)
-    for a, b, _ in edges:
-        near[a].add(b)
-        near[b].add(a)
+    """Betweenness by the shortest paths from every node, an edge being as long as one over its weight."""
+    near = collections.defaultdict(dict)
+    for a, b, w in edges:
+        near[a][b] = near[b][a] = 1 / w
     total = dict.fromkeys(near, 0.0)
     for s in near:
-        far, ways, level = {s: 0}, collections.Counter({s: 1}), [s]
-        order = []
-        while level:
-            order += level
-            after = []
-            for x in level:
-                for y in sorted(near[x]):
-                    if y not in far:
-                        far[y] = far[x] + 1
-                        after.append(y)
-                    if far[y] == far[x] + 1:
-                        ways[y] += ways[x]
-            level = after
-        share = collections.Counter()
-        for y in reversed(order):
-            for x in near[y]:
-                if far[x] == far[y] - 1:
-                    share[x] += ways[x] / ways[y] * (1 + share[y])
-            if y != s:
-                total[y] += share[y]
+        far, left, order = {s: 0.0}, set(near), []
+        while left and (x := min((far.get(v, math.inf), v) for v in left))[0] < math.inf:
+            left.remove(x[1])
+            order.append(x[1])
+            for y, length in near[x[1]].items():
+                far[y] = min(far.get(y, math.inf), x[0] + length)
+        ways, share = collections.Counter({s: 1}), collections.Counter()
+        before = {y: [x for x in near[y] if x in far and abs(far[x] + near[x][y] - far[y]) <= 1e-9 * far[y]] for y in order if y != s}
+        for y in order[1:]:
+            ways[y] = sum(ways[x] for x in before[y])
+        for y in reversed(order[1:]):
+            for x in before[y]:
+                share[x] += ways[x] / ways[y] * (1 + share[y])
+            total[y] += share[y]
     n = len(near)
     return {k: v / max(1, (n - 1) * (n - 2)) for k, v in total.items()}
 

@@ -257,64 +257,49 @@ def eigenvector(edges: DataFrame, weight_col: str = "weight", rounds: int = 30)
     return values.withColumnRenamed("v", "eigenvector")
 
 
-#: Edges that betweenness may broadcast to its tasks (a fixed limit of the network size).
-NETWORK_EDGES = 100_000
-#: Sources of shortest paths above this many nodes, evenly spread over the node names.
-SOURCES = 500
+#: Path lengths that differ by less than this part are equal.
+_SAME = 1e-9
 
 
-def betweenness(edges: DataFrame, exact_nodes: int = 2000) -> DataFrame:
-    """``(node, betweenness)``, scaled by pairs, over unweighted shortest paths; over ``exact_nodes`` nodes from ``SOURCES`` sources, scaled up.
+def betweenness(edges: DataFrame, weight_col: str = "weight", sources: DataFrame | None = None) -> DataFrame:
+    """``(node, betweenness)``, scaled by pairs, over shortest paths; an edge is as long as one over its weight.
 
-    The sources are spread over tasks; each holds the network, which is refused over ``NETWORK_EDGES``.
+    Paths start from all nodes, or from those of ``sources`` (one column), and are scaled up
+    then. State are tables of (source, node): distances by relaxation, numbers of paths and
+    shares by sums along the edges of shortest paths, each in as many rounds as such a path
+    has edges. Nothing is collected; the work is that of sources times edges.
     """
-    count = edges.count()
-    if count > NETWORK_EDGES:
-        raise OpError("betweenness", "edges", f"{count} edges are over {NETWORK_EDGES}; prune the network first")
-    rows = edges.select("a", "b").collect()
-    names = sorted({x for r in rows for x in r})
-    at = {x: i for i, x in enumerate(names)}
-    near: list[list[int]] = [[] for _ in names]
-    for r in rows:
-        near[at[r["a"]]].append(at[r["b"]])
-        near[at[r["b"]]].append(at[r["a"]])
-    n = len(names)
-    spark = edges.sparkSession
-    if not n:
-        return spark.createDataFrame([], f"node {dict(edges.dtypes)['a']}, betweenness double")
-    sources = range(n) if n <= exact_nodes else sorted({int(i * n / SOURCES) for i in range(SOURCES)})
-    held = spark.sparkContext.broadcast(near)
-    scale = n / len(sources) / max(1, (n - 1) * (n - 2))
-
-    def paths(batches):
-        graph = held.value
-        total = np.zeros(len(graph))
-        for pdf in batches:
-            for s in pdf["id"]:
-                far, ways, order, before = np.full(len(graph), -1), np.zeros(len(graph)), [int(s)], [[] for _ in graph]
-                far[s], ways[s], head = 0, 1, 0
-                while head < len(order):
-                    x = order[head]
-                    head += 1
-                    for y in graph[x]:
-                        if far[y] < 0:
-                            far[y] = far[x] + 1
-                            order.append(y)
-                        if far[y] == far[x] + 1:
-                            ways[y] += ways[x]
-                            before[y].append(x)
-                share = np.zeros(len(graph))
-                for y in reversed(order):
-                    for x in before[y]:
-                        share[x] += ways[x] / ways[y] * (1 + share[y])
-                    if y != s:
-                        total[y] += share[y]
-        yield pd.DataFrame({"i": np.arange(len(graph)), "b": total})
-
-    seeds = spark.createDataFrame([(int(i),) for i in sources], "id int").repartition(min(len(sources), spark.sparkContext.defaultParallelism))
-    sums = seeds.mapInPandas(paths, "i int, b double").groupBy("i").agg(F.sum("b").alias("b"))
-    table = spark.createDataFrame(list(enumerate(names)), f"i int, node {dict(edges.dtypes)['a']}")
-    return table.join(sums, "i").select("node", (F.col("b") * scale).alias("betweenness"))
+    need_columns("betweenness", "weight_col", edges, ["a", "b", weight_col])
+    links = checkpoint(_both(edges, "a", "b", weight_col).where("w > 0 and x <> y").groupBy("x", "y").agg((1 / F.max("w")).alias("length")))
+    nodes = checkpoint(links.select(F.col("x").alias("node")).distinct())
+    starts = nodes if sources is None else nodes.join(sources.select(F.col(sources.columns[0]).alias("node")).distinct(), "node", "left_semi")
+    far = checkpoint(starts.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("new")))
+    while not far.where("new").isEmpty():
+        reached = far.where("new").join(links, F.col("v") == F.col("x")).groupBy("s", F.col("y").alias("v")).agg(F.min(F.col("d") + F.col("length")).alias("c"))
+        shorter = F.col("c").isNotNull() & (F.col("d").isNull() | (F.col("c") < F.col("d") * (1 - _SAME)))
+        far = checkpoint(far.drop("new").join(reached, ["s", "v"], "full_outer").select("s", "v", F.when(shorter, F.col("c")).otherwise(F.col("d")).alias("d"), shorter.alias("new")))
+    from_, to = far.select("s", F.col("v").alias("u"), F.col("d").alias("du")), far.select("s", "v", F.col("d").alias("dv"))
+    steps = from_.join(links, F.col("u") == F.col("x")).select("s", "u", F.col("y").alias("v"), (F.col("du") + F.col("length")).alias("d"))
+    steps = checkpoint(steps.join(to, ["s", "v"]).where(F.abs(F.col("d") - F.col("dv")) <= _SAME * F.col("dv")).select("s", "u", "v"))
+    one = starts.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("n"))
+
+    ways, seen, rounds = one, None, 0
+    while True:  # numbers of paths are whole, so their sums are exact and the table stays once it is right
+        ways = checkpoint(steps.join(ways.select("s", F.col("v").alias("u"), "n"), ["s", "u"]).groupBy("s", "v").agg(F.sum("n").alias("n")).unionByName(one))
+        now = ways.agg(F.bit_xor(F.xxhash64("s", "v", "n"))).first()[0]
+        if now == seen:
+            break
+        seen, rounds = now, rounds + 1
+    parts = steps.join(ways.select("s", F.col("v").alias("u"), F.col("n").alias("nu")), ["s", "u"]).join(ways.select("s", "v", F.col("n").alias("nv")), ["s", "v"])
+    parts = checkpoint(parts.select("s", "u", "v", (F.col("nu") / F.col("nv")).alias("part")))
+    shares = starts.select(F.col("node").alias("s"), F.col("node").alias("u"), F.lit(0.0).alias("share"))
+    for _ in range(rounds):  # as many edges as a path has at most
+        behind = parts.join(shares.select("s", F.col("u").alias("v"), "share"), ["s", "v"], "left")
+        shares = checkpoint(behind.groupBy("s", "u").agg(F.sum(F.col("part") * (1 + F.coalesce("share", F.lit(0.0)))).alias("share")))
+    sums = shares.where("u <> s").groupBy(F.col("u").alias("node")).agg(F.sum("share").alias("b"))
+    counts = nodes.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(starts.agg(F.count(F.lit(1)).alias("k"))))  # one row each
+    scale = F.col("n") / F.col("k") / F.greatest(F.lit(1), (F.col("n") - 1) * (F.col("n") - 2))
+    return nodes.join(sums, "node", "left").crossJoin(F.broadcast(counts)).select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def bursts(rows: DataFrame, node_col: str, time_col: str, gamma: float = 1.0, ratio: float = 2.0, min_duration: int = 1) -> DataFrame:

@@ -413,7 +413,7 @@ def _(spark, d):
 
 @query("betweenness")
 def _(spark, d):
-    return G.betweenness(G.max_links(supplier_edges(spark, d), 5, "count"))
+    return G.betweenness(G.max_links(supplier_edges(spark, d), 5, "count"), "count")
 
 
 @query("bursts")
@@ -425,7 +425,7 @@ def _(spark, d):
 def _(spark, d):
     edges = G.max_links(supplier_edges(spark, d), 5, "count")
     rows = load(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("s"), F.year("l_shipdate").alias("y"))
-    return G.sigma(G.betweenness(edges), G.bursts(rows, "s", "y", gamma=0.2, ratio=1.2))
+    return G.sigma(G.betweenness(edges, "count"), G.bursts(rows, "s", "y", gamma=0.2, ratio=1.2))
 
 
 @query("spectral_clusters")
