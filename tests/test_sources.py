@@ -9,7 +9,7 @@ from weft.streaming import streams
 
 RIS = "TY  - JOUR\nTI  - First paper\nAU  - Lee, A\nAU  - Kim, B\nPY  - 2019/03\nJO  - Testing\nSP  - 1\nEP  - 9\nKW  - one\nKW  - two\nDO  - 10.1000/x1\nER  - \nTY  - JOUR\nTI  - Second paper\nAU  - Roe, C\nPY  - 2018\nER  - \n"
 WOS = "FN Test\nVR 1.0\nPT J\nAU Lee, A\n   Kim, B\nTI A long\n   title\nSO TESTING\nPY 2018\nCR Roe C, 2001, NATURE, V1\n   Poe D, 2002, CELL, V2\nER\n\nPT J\nAU Roe, C\nTI Other\nPY 2017\nER\n\nEF\n"
-BIB = "@article{a1,\n title = {A {Nested} title},\n author = {Lee, A and Kim, B},\n year = 2016,\n journal = \"Testing\",\n doi = {10.1000/b1}\n}\n@book{b2,\n title={Second},\n year={2015}\n}\n"
+BIB = "@article{a1,\n title = {A {{{Nes}t}ed} title},\n author = {Lee, A and Kim, B},\n year = 2016,\n journal = \"Testing\",\n doi = {10.1000/b1}\n}\n@book{b2,\n title={Second},\n year={2015}\n}\n"
 PUBMED = "PMID- 1\nTI  - A study\n      of things\nFAU - Lee, Ann\nFAU - Kim, Bo\nDP  - 2014 Mar\nJT  - Testing\nAID - 10.1000/p1 [doi]\n\nPMID- 2\nTI  - Next\nDP  - 2013\n"
 ENW = "%0 Journal Article\n%T Title one\n%A Lee, A\n%A Kim, B\n%D 2012\n%J Testing\n\n%0 Journal Article\n%T Title two\n%D 2011\n"
 NET = "{Reference Type}: Journal Article\n{Title}: Title one\n{Author}: Lee, A\n{Author}: Kim, B\n{Year}: 2010\n{Journal}: Testing\n\n{Reference Type}: Journal Article\n{Title}: Title two\n{Year}: 2009\n"

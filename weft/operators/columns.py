@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from weft.errors import OpError, need_columns, need_one_of
 from weft.functions.scalars import blank_to_null, moment, number, strip, truth
+from weft.runtime import checkpoint
 
 COMPARISONS = ("eq", "ne", "gt", "gte", "lt", "lte", "contains", "not_contains", "in", "not_in", "is_null", "not_null")
 
@@ -87,16 +88,26 @@ def fill_null(df: DataFrame, columns: list[str] | None = None, value=None, metho
         if not order_by:
             raise OpError("fill_null", "order_by", "rows have no order of their own; name the columns that order them")
         need_columns("fill_null", "order_by", df, order_by)
-    texts, out = set(_text_columns(df)), {}
-    for c in columns:
-        cell = blank_to_null(_col(c)) if c in texts else _col(c)
-        if method:
-            w = Window.partitionBy(*map(_col, group_by or [])).orderBy(*map(_col, order_by))
-            back = method in ("ffill", "pad")
-            out[c] = F.last(cell, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first(cell, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        else:
-            out[c] = F.coalesce(cell, F.lit(value).cast(df.schema[c].dataType))
-    return df.withColumns(out)
+    texts = set(_text_columns(df))
+    cells = {c: blank_to_null(_col(c)) if c in texts else _col(c) for c in columns}
+    if not method:
+        return df.withColumns({c: F.coalesce(cell, F.lit(value).cast(df.schema[c].dataType)) for c, cell in cells.items()})
+    back = method in ("ffill", "pad")
+    carried = (lambda cell, w: F.last(cell, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) if back else (lambda cell, w: F.first(cell, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    if group_by:
+        w = Window.partitionBy(*map(_col, group_by)).orderBy(*map(_col, order_by))
+        return df.withColumns({c: carried(cell, w) for c, cell in cells.items()})
+    # without groups: ranges of the order, each filled on its own, then from the ranges before (or after) it
+    keys = [_col(c) for c in order_by]
+    parts = checkpoint(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    end = F.max_by if back else F.min_by
+    ends = parts.groupBy("__part").agg(*[end(cell, F.when(cell.isNotNull(), F.struct(*keys))).alias(f"__e{i}") for i, cell in enumerate(cells.values())])
+    along = Window.orderBy("__part")  # a row a partition
+    from_others = (lambda e: F.last(e, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))) if back else (lambda e: F.first(e, ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)))
+    others = ends.select("__part", *[from_others(F.col(f"__e{i}")).alias(f"__e{i}") for i in range(len(cells))])
+    w = Window.partitionBy("__part").orderBy(*keys)
+    filled = parts.withColumns({f"__f{i}": carried(cell, w) for i, cell in enumerate(cells.values())}).join(F.broadcast(others), "__part")
+    return filled.withColumns({c: F.coalesce(f"__f{i}", f"__e{i}") for i, c in enumerate(cells)}).select(*df.columns)
 
 
 def drop_null(df: DataFrame, columns: list[str] | None = None, how: str = "any") -> DataFrame:

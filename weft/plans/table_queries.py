@@ -254,3 +254,15 @@ def _(spark, d):
 def flagship(spark, d):
     """Order value by priority, with further measures."""
     return QUERIES["groupby_agg"](spark, d)
+
+
+@query("fill_null_ffill_all", "SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT event_id, CASE WHEN event_id % 7 > 4 THEN value END AS v FROM events)")
+def _(spark, d):
+    e = load(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 > 4, F.col("value")).alias("v"))
+    return C.fill_null(e, ["v"], method="ffill", order_by=["event_id"])
+
+
+@query("fill_null_bfill_all", "SELECT event_id, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM (SELECT event_id, CASE WHEN event_id % 7 > 4 THEN value END AS v FROM events)")
+def _(spark, d):
+    e = load(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 > 4, F.col("value")).alias("v"))
+    return C.fill_null(e, ["v"], method="bfill", order_by=["event_id"])

@@ -32,6 +32,8 @@ TABLES = {
     "pubmed_csv": {"title": ("Title",), "authors": ("Authors",), "affiliations": (), "journal": ("Journal/Book",), "year": ("Publication Year",), "volume": (), "issue": (), "pages": (), "keywords": (), "abstract": (), "references": (), "doi": ("DOI",)},
     "wos_table": {"title": ("TI", "Article Title"), "authors": ("AU", "Authors"), "affiliations": ("C1", "Addresses"), "journal": ("SO", "Source Title"), "year": ("PY", "Publication Year"), "volume": ("VL", "Volume"), "issue": ("IS", "Issue"), "pages": ("BP", "Start Page"), "keywords": ("DE", "Author Keywords"), "abstract": ("AB", "Abstract"), "references": ("CR", "Cited References"), "doi": ("DI", "DOI")},
 }
+#: Braces within braces of a BibTeX value.
+NESTED = 8
 _LISTS = ("authors", "affiliations", "keywords", "references")
 
 
@@ -72,12 +74,15 @@ def read_tagged(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a BibTeX file; values in braces (nested once), quotes or bare numbers."""
+    """Records of a BibTeX file; values in braces (nested up to ``NESTED`` times), quotes or bare numbers."""
+    inner = r"[^{}]*+"
+    for _ in range(NESTED):
+        inner = r"(?:[^{}]|\{" + inner + r"\})*+"
     rows = spark.read.text(path, lineSep="\n@").select(F.regexp_replace("value", "\r", "").alias("r"))
 
     def value(name: str) -> Column:
         key = rf"(?is)(?:^|[,\s]){name}\s*=\s*"
-        braces = F.regexp_extract("r", key + r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}", 1)
+        braces = F.regexp_extract("r", key + r"\{(" + inner + r")\}", 1)
         quotes = F.regexp_extract("r", key + r'"([^"]*)"', 1)
         bare = F.regexp_extract("r", key + r"(\d+)", 1)
         text = F.when(braces != "", braces).when(quotes != "", quotes).otherwise(bare)
