@@ -182,6 +182,43 @@ def spanning_forest(edges: DataFrame, weight_col: str = "weight") -> DataFrame:
     return edges.where("false") if taken is None else edges.join(taken, ["a", "b"], "left_semi")
 
 
+def _bottleneck_edges(edges: DataFrame, weight_col: str, group_col: str | None) -> DataFrame:
+    """The edges whose ends no path of heavier edges connects.
+
+    The weights of each part of the network are halved again and again, all parts in one round:
+    the heavier edges are a part of their own, and the lighter ones go on with what the heavier
+    ones connect as one node; a lighter edge within such a node goes. Each edge is in one part.
+    """
+    from weft.operators.order import numbered
+
+    names = [f"e{i}" for i in range(len(edges.columns))]
+    rows = edges.toDF(*names)
+    of = {c: F.col(n) for c, n in zip(edges.columns, names, strict=True)}
+    group = of[group_col] if group_col else F.lit(0)
+    rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+    ends = lambda end: F.struct(group.alias("g"), of[end].alias("n"))
+    nodes = checkpoint(numbered(rows.select(F.explode(F.array(ends("a"), ends("b"))).alias("x")).distinct(), ["x"]))
+    ranks = checkpoint(numbered(rows.select((-of[weight_col].cast("double")).alias("w")).distinct(), ["w"]))
+    most, total = ranks.count(), nodes.count()
+    left = rows.select("row", ends("a").alias("xa"), ends("b").alias("xb"), (-of[weight_col].cast("double")).alias("w")).join(ranks.withColumnRenamed("number", "rank"), "w")
+    left = left.join(nodes.select(F.col("x").alias("xa"), F.col("number").alias("u")), "xa").join(nodes.select(F.col("x").alias("xb"), F.col("number").alias("v")), "xb").where("u <> v")
+    # part: the first rank of the part; ranks from 0
+    left = checkpoint(left.select("row", (F.col("rank") - 1).alias("rank"), F.lit(0).cast("long").alias("part"), F.col("u").cast("decimal(38,0)").alias("u"), F.col("v").cast("decimal(38,0)").alias("v")))
+    size = 1 << max(0, (most - 1).bit_length())
+    while size > 1:
+        size //= 2
+        heavy = (F.col("rank") - F.col("part")) < size
+        key = lambda end: F.col("part").cast("decimal(38,0)") * F.lit(total + 1).cast("decimal(20,0)") + F.col(end)
+        keyed = left.withColumn("ku", key("u").cast("decimal(38,0)")).withColumn("kv", key("v").cast("decimal(38,0)")).withColumn("heavy", heavy)
+        one = checkpoint(connected_components(keyed.where("heavy"), "ku", "kv"))
+        name = lambda end: one.select(F.col("node").alias(f"k{end}"), F.col("component").alias(f"c{end}"))  # noqa: B023, E731
+        light = keyed.where("not heavy").join(name("u"), "ku", "left").join(name("v"), "kv", "left")
+        light = light.select("row", "rank", (F.col("part") + size).alias("part"), *[(F.coalesce(f"c{e}", f"k{e}") - F.col("part").cast("decimal(38,0)") * F.lit(total + 1).cast("decimal(20,0)")).cast("decimal(38,0)").alias(e) for e in "uv"]).where("u <> v")
+        left = checkpoint(keyed.where("heavy").select("row", "rank", "part", "u", "v").unionByName(light))
+    kept = rows.join(left.select("row"), "row", "left_semi")
+    return kept.select(*names).toDF(*edges.columns)
+
+
 #: Work that one Pathfinder group may take (a fixed limit): nodes cubed.
 PATHFINDER_WORK = 4e8
 
@@ -189,11 +226,14 @@ PATHFINDER_WORK = 4e8
 def pathfinder(edges: DataFrame, weight_col: str = "weight", r: float = float("inf"), group_col: str | None = None) -> DataFrame:
     """Edges that no detour shortens; the length of an edge is one over its weight, of a detour the r-norm of its edges (inf: the longest).
 
-    Each network of ``group_col`` is one group; over ``PATHFINDER_WORK`` is refused.
+    For infinity networks of any size take as many rounds as weights can be halved. For 1 and 2
+    each network of ``group_col`` is one group, and over ``PATHFINDER_WORK`` is refused.
     """
     need_columns("pathfinder", "weight_col", edges, ["a", "b", weight_col])
     if r not in (1, 2, float("inf")):
         raise OpError("pathfinder", "r", f"{r!r} is not 1, 2 or infinity")
+    if r == float("inf"):
+        return _bottleneck_edges(edges, weight_col, group_col)
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
         names, ends = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
@@ -205,8 +245,7 @@ def pathfinder(edges: DataFrame, weight_col: str = "weight", r: float = float("i
         np.fill_diagonal(d, 0)
         d[i, j] = d[j, i] = length
         for k in range(len(names)):
-            via = np.maximum(d[:, k, None], d[None, k]) if r == float("inf") else (d[:, k, None] ** r + d[None, k] ** r) ** (1 / r)
-            np.minimum(d, via, out=d)
+            np.minimum(d, (d[:, k, None] ** r + d[None, k] ** r) ** (1 / r), out=d)
         return pdf[length <= d[i, j] * (1 + 1e-12)]
 
     return edges.groupBy(*([_col(group_col)] if group_col else [])).applyInPandas(prune, edges.schema)
