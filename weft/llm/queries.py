@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import audit, decontam, langid, linededup, media, mixing, quality, rules, secrets, sharding, simhash, tokens
+from weft.llm import audit, decontam, langid, linededup, media, mixing, negatives, quality, rules, secrets, sharding, simhash, tokens
 from weft.llm.common import fold
 from weft.runtime import load
 
@@ -73,6 +73,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.mask_counts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.quantized(load(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judged(load(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_quality_rules": op13_quality_rules,
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.ORACLE, "op11_filter_audit": audit.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.ORACLE, "op11_filter_audit": audit.ORACLE, "op12_hard_negatives": negatives.ORACLE}
