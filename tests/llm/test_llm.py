@@ -634,6 +634,26 @@ def test_token_rules_and_edges(spark):
         tokens.section_tokens(odd(spark), rule="last")
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\u3000", " \t\n", "\x1c", "a", "1", "#"])
+def test_runs_of_any_length(spark, monkeypatch, run):
+    encoding, _ = tokens.encoder(tokens.VOCABULARY)
+    for text in (f"word{run * 3000}next", f"{run * 3000}", f"{run * 3000} next {run * 2000}", f"a{run * 3000}!"):
+        whole = encoding.encode_ordinary(text)
+        monkeypatch.setattr(tokens, "_LONG_RUN", re.compile(tokens._LONG_RUN.pattern.replace("10000", "7")))
+        assert tokens.token_ids(encoding, text) == whole
+        monkeypatch.undo()
+    if run in " \nawl":
+        df = spark.createDataFrame([(1, run * 3_000_000 + "x"), (2, "b")], "doc_id long, text string")
+        got = tokens.document_tokens(tokens.section_tokens(df)).collect()
+        assert {r["id"]: r["n_tokens"] for r in got}[1] > 100_000
+
+
+def test_sections_add_up_on_broken_utf8(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ab\xff\xffcd\n\xffxyz"))], "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    got = tokens.section_tokens(df).collect()
+    assert len(got) == 2 and sum(r["n_tokens"] for r in got) == got[0]["doc_tokens"] and (got[0]["end"], got[1]["end"]) == (7, 11)
+
+
 # 9 quality
 
 

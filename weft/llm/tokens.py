@@ -27,6 +27,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: What splits text before the merges of the public rank files (a fixed value of theirs).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("largest", "first")
+#: A run of white space (as the pattern has it) that the pattern's engine is not given; it backtracks and would run out of stack.
+_LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 
 
 @lru_cache(2)
@@ -40,6 +42,20 @@ def encoder(vocabulary: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def token_ids(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """The tokens of a text with runs of any length.
+
+    In the pattern a run of white space is one piece, less its last character where text follows; so long ones are cut out and encoded as the piece that they are.
+    """
+    ids, at = [], 0
+    for m in _LONG_RUN.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : m.start()])
+        ids += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str = "largest") -> np.ndarray:
     """Tokens of each section. ends: where the tokens end; bounds: where the sections start, then where the last ends."""
     n = len(bounds) - 1
@@ -65,7 +81,8 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id, section, start, end, n_tokens, doc_tokens)``, a row for each section of each whole text.
 
     start and end are in characters, end exclusive. ``separator`` is a regular expression over
-    bytes. A null or empty text has one empty section without tokens. Repeated rows repeat.
+    bytes. A null or empty text has one empty section without tokens. Repeated rows repeat. Bytes that are
+    no UTF-8 are read as replacement characters, in the sections as in the tokens.
     """
     need_columns("tokens", "id_col/text_col", docs, [id_col, text_col])
     need_one_of("tokens", "rule", rule, RULES)
@@ -79,8 +96,9 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for part in slices(batch, 1):
                 row, out = [], [[] for _ in kinds]
                 for k, raw in enumerate(texts_of(part.column(1))):
-                    text = raw or b""
-                    ends = np.cumsum(sizes[encoding.encode_ordinary(text.decode("utf-8", "replace"))]) if text else np.zeros(0, np.int64)
+                    whole = (raw or b"").decode("utf-8", "replace")
+                    text = whole.encode()
+                    ends = np.cumsum(sizes[token_ids(encoding, whole)]) if text else np.zeros(0, np.int64)
                     bounds = sections(text, cut) if text else np.array([0, 0])
                     at = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])[bounds]
                     row.append(np.full(len(bounds) - 1, k))
