@@ -531,6 +531,32 @@ def test_long_streams_in_pieces(monkeypatch):
         assert [k for _, _, k in secrets.find(text)[1]] == ["assign", "access"]
 
 
+def test_chains_of_escapes_are_linear_work(spark):
+    plain = "password=hunter2222"
+    chains = {
+        "%" + "25" * 20_000 + "70" + plain[1:]: 1,
+        "\\u005c" + "u005c" * 8_000 + "u0070" + plain[1:]: 1,
+        "%5cu0025" + "5cu0025" * 6_000 + "5cu0070" + plain[1:]: 1,
+        "\\x5c" + "x5c" * 13_000 + "x70" + plain[1:]: 1,
+        "%2" + "%3" * 20_000 + "%35 " + plain: 1,
+        "%2525" * 8_000 + plain: 1,
+        "%25" * 13_000: 0,
+        ("".join(f"%{ord(c):02x}" for c in plain) + " ") * 700: 700,
+    }
+    for text, n in chains.items():
+        start = time.perf_counter()
+        _, every, layers = secrets.find(text)
+        assert time.perf_counter() - start < 1 and layers < 10
+        assert sum(k == "assign" for _, _, k in every) == n and all(0 <= a < b <= len(text) for a, b, _ in every)
+    for depth in range(1, 7):  # as deep as it goes, the secret covers its code
+        code = "%" + "25" * depth + "70" + plain[1:]
+        assert (0, len(code), "assign") in secrets.find(code)[1]
+        code = "".join(f"%{'25' * depth}{ord(c):02x}" for c in plain)
+        assert [text for a, b, k in secrets.find(code)[1] if k == "assign" for text in [code[a:b]]] == [code]
+    long = spark.createDataFrame([(1, (next(iter(chains)) + " ") * 50), (2, "\\u005c" * 300_000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"].count("assign") for r in secrets.find_secrets(long).collect()} == {1: 50, 2: 0}
+
+
 def test_secret_edges(spark):
     assert secrets.find("%25" * 50)[2] < 60  # runs dry
     assert secrets.find("%zz \\u12 AAAA" * 10)[1] == []

@@ -7,8 +7,9 @@ unpack to text. A run is in the standard or the URL-safe alphabet and may be wra
 Streams that unpack to much are read piece by piece, cut where no pattern and no encoded run can
 be, so a worker holds a piece of ``UNPACKED`` bytes or the longest run, whatever they unpack to.
 A layer text is scanned and unwrapped once, so the list runs dry, but each place where it stands
-is kept: spans found in it are mapped back, step by step, to the characters of the original text
-that they were decoded from, once for each place.
+is kept: spans found in it are mapped back to the characters of the original text that they were
+decoded from, once for each place. A chain in which each escape only gives the start of the next
+one (``%252525...``) is decoded to its end at once, so a text costs no more the deeper it nests.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from bisect import bisect_right
 from functools import partial
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -63,43 +65,97 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """A decoded text, or streams that unpack to it, and how its characters lie in the layer above, of which it covers ``start`` to ``end``."""
+    """What a base64 run encodes: a text, or streams that unpack to it; and how its characters lie in the text above, of which it covers ``start`` to ``end``."""
 
     def __init__(self, text: str | bytes, start: int, end: int, place):
         self.text, self.start, self.end, self.place = text, start, end, place
 
 
-def _escapes(text: str, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with all escape runs decoded; a character of a run maps to its own escape where lengths tell, else to the run."""
-    pieces, new_at, old_at, whole = [], [0], [(0, 0, 1)], 0  # from new_at on: (old start, run's length or 0, old characters a new one)
-    at = size = 0
+class Decoded:
+    """A text with its escapes decoded; ``first`` and ``last`` are where each character's code starts and ends in the text above."""
+
+    def __init__(self, text: str, first: np.ndarray, last: np.ndarray):
+        self.text, self.first, self.last = text, first, last
+
+
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+
+
+#: What turns an open "%" or "\\" and the plain text behind it into the next open one, and many such steps that leave the same one open.
+_CHAINS = {"%": re.compile(r"(?:25)+"), "\\": re.compile(r"(?:u005[cC]|x5[cC])+")}
+_STEPS = {"%": re.compile(r"(?P<percent>25)|(?P<slash>5[cC])"), "\\": re.compile(r"(?P<percent>u0025|x25|u\{0{0,4}25\}|U00000025)|(?P<slash>u005[cC]|x5[cC]|u\{0{0,4}5[cC]\}|U0000005[cC])")}
+
+
+def _opened(text: str, at: int, opener: str) -> tuple[int, str]:
+    """The end of a chain of escapes that goes on at ``at``, each giving the start of the next one, and the last such start."""
+    while True:
+        m = _CHAINS[opener].match(text, at)
+        if m:
+            at = m.end()
+        m = _STEPS[opener].match(text, at)
+        if not m:
+            return at, opener
+        at, opener = m.end(), "%" if m.lastgroup == "percent" else "\\"
+
+
+def _closed(text: str, low: int, start: int, digit: str) -> tuple[int, str]:
+    """The start of a chain to the left of ``start``, where each decoded digit completes the escape before it, and the last such digit."""
+    while start - 4 >= low and text[start - 2] == "%" and text[start - 1] in "346" and text[start - 4] == "%" and text[start - 3] in _HEX_DIGITS:
+        new = chr(int(text[start - 1] + digit, 16))
+        if new not in _HEX_DIGITS:
+            break
+        start, digit = start - 2, new
+    return start, digit
+
+
+def _escapes(text: str, pattern: re.Pattern, decode) -> Decoded | None:
+    """The layer with all escape runs decoded; a character of a run maps to its own escape where lengths tell, else to the run.
+
+    Where an escape only gives the start of another one (``%2525...``), and that again, the layers in between hold nothing
+    but shorter forms of this chain; they are skipped, so that a chain of any length is two layers. So are those of digits
+    that complete the escape before them (``%3%3%35``).
+    """
+    pieces, sizes, starts, steps, widths = [], [], [], [], []  # of each piece: text, characters, where it starts above, characters above for one here, and how many it maps to
+
+    def piece(got: str, start: int, end: int, plain: bool = False) -> None:
+        step = 1 if plain else (end - start) // len(got) if got and (end - start) % len(got) == 0 else 0
+        pieces.append(got)
+        sizes.append(len(got))
+        starts.append(start)
+        steps.append(step)
+        widths.append(step or end - start)
+
+    at = whole = 0
     for m in pattern.finditer(text):
-        got = decode(m[0])
+        run = m[0]
+        got = decode(run)
         if got is None:
             continue
-        plain = text[at : m.start()]
-        pieces += [plain, got]
-        size += len(plain)
-        n = m.end() - m.start()
-        new_at.append(size)
-        old_at.append((m.start(), n, n // len(got) if len(got) and n % len(got) == 0 else 0))
-        size += len(got)
-        new_at.append(size)
-        old_at.append((m.end(), 0, 1))
-        at, whole = m.end(), whole + 1
+        start, end, whole = m.start(), m.end(), whole + 1
+        unit = 3 if run[0] == "%" else 4 if run[1] == "x" else 6 if run[1] == "u" and run[2] != "{" else len(run)
+        low, first = start, ""
+        if unit == 3 and got and got[0] in _HEX_DIGITS:
+            low, first = _closed(text, at, start, got[0])
+        high, last = (end, "") if got[-1:] not in _STEPS else _opened(text, end, got[-1])
+        if low < start and high > end and len(run) == unit:
+            low, first = start, ""
+        piece(text[at:low], at, low, True)
+        if low < start:
+            piece(first, low, start + unit)
+            got, start = got[1:], start + unit
+        if high > end:
+            piece(got[:-1], start, end - unit)
+            piece(last, end - unit, high)
+        elif start < end:
+            piece(got, start, end)
+        at = high
     if not whole:
         return None
-    pieces.append(text[at:])
-
-    def place(start: int, end: int) -> tuple[int, int]:
-        i, j = bisect_right(new_at, start) - 1, bisect_right(new_at, end - 1) - 1
-        old, run, step = old_at[i]
-        first = old + (start - new_at[i]) * (step if run else 1) if not run or step else old
-        old, run, step = old_at[j]
-        last = old + (end - new_at[j]) * (step if run else 1) if not run or step else old + run
-        return first, last
-
-    return Layer("".join(pieces), 0, len(text), place)
+    piece(text[at:], at, len(text), True)
+    count = np.array(sizes)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    first = np.repeat(starts, count) + within * np.repeat(steps, count)
+    return Decoded("".join(pieces), first, first + np.repeat(widths, count))
 
 
 def _url(run: str) -> str | None:
@@ -282,34 +338,37 @@ def _key(text: str) -> bytes:
 def unwrap(text: str, base: list[tuple[int, int, str]]) -> tuple[set[tuple[int, int, str]], set[tuple[int, int, bytes]]]:
     """``(start, end, kind)`` of all spans and ``(start, end, digest)`` of all layers below the text, in its characters; ``base`` are its own spans.
 
-    Each distinct layer text is scanned and unwrapped once, the newest first, so that few are
-    held. What is found in it then rises through every layer that holds it, once for each of
-    its places, until nothing is new.
+    A text that base64 runs encode is a node, the whole text is the first. A node's escapes are decoded layer by layer, with
+    the place of each character in the node carried along, and each distinct layer is scanned once. Runs of a layer are
+    nodes of their own, each distinct text once, the newest first, so that few are held. What is found in a node rises
+    through the nodes that hold it, once for each place, until nothing is new; nodes are a quarter shorter from level to
+    level, so what rises does not grow with the depth of escapes.
     """
-    keys, holders, found, work = {_key(text): 0}, [[]], [set(base)], [(0, text)]
+    keys, holders, found, families, work = {_key(text): 0}, [[]], [set(base)], [set()], [(0, text)]
     while work:
         at, here = work.pop()
-        layers = []
         if isinstance(here, str):
-            if "%" in here:
-                layers.append(_escapes(here, _URL, _url))
-            if "\\" in here:
-                layers.append(_escapes(here, _UNICODE, _unicode))
-            layers = [*filter(None, layers), *_base64(here)]
+            more = _family(here, families[at], found[at])
         elif (new := next(here, None)) is not None:
-            layers = [new]
+            more = [(new, None)]
             work.append((at, here))
-        for new in layers:
+        else:
+            continue
+        for new, place in more:
             if isinstance(new.text, bytes):
-                work.append((at, map(partial(_piece, new), _pieces(new.text))))
+                work.append((at, map(partial(_piece, new), _pieces(new.text)) if place is None else _placed(new, place)))
                 continue
             number = keys.setdefault(key := _key(new.text), len(found))
             if number == len(found):
                 found.append(set(scan(new.text)))
                 holders.append([])
+                families.append({key})
                 work.append((number, new.text))
-            found[at].add((new.start, new.end, key))
-            holders[number].append((at, new.place))
+            start, end = (new.start, new.end) if place is None else place(new.start, new.end)
+            if (start, end, number) in found[at]:  # seen in another layer of the node
+                continue
+            found[at].add((start, end, number))
+            holders[number].append((at, new.place if place is None else lambda a, b, inner=new.place, outer=place: outer(*inner(a, b))))
     if len(found) > 1:
         rising = [(i, found[i]) for i in range(len(found))]
         while rising:
@@ -319,7 +378,40 @@ def unwrap(text: str, base: list[tuple[int, int, str]]) -> tuple[set[tuple[int,
                 if more:
                     found[above] |= more
                     rising.append((above, more))
-    return {x for x in found[0] if isinstance(x[2], str)}, {x for x in found[0] if isinstance(x[2], bytes)}
+    layers = {(a, b, key) for a, b, what in found[0] if isinstance(what, int) for key in families[what]}
+    return {x for x in found[0] if isinstance(x[2], str)}, layers | {(0, len(text), key) for key in families[0]}
+
+
+def _placed(of: Layer, place):
+    """The pieces of a layer's streams, placed in the node that holds it."""
+    start, end = place(of.start, of.end)
+    return (Layer(t, start, end, lambda a, b: (start, end)) for t in _pieces(of.text))
+
+
+def _family(text: str, seen: set[bytes], spans: set):
+    """``(layer, place)`` of each base64 run in a node and in the layers of its escapes; ``place`` maps to the node, None in the node itself.
+
+    Adds the digests of the layers to ``seen``, and what they hold to ``spans``.
+    """
+    own, todo = _key(text), [(text, None, None)]
+    while todo:
+        here, start_of, end_of = todo.pop()
+        for sign, pattern, decode in (("%", _URL, _url), ("\\", _UNICODE, _unicode)):
+            new = _escapes(here, pattern, decode) if sign in here else None
+            if new is None or (key := _key(new.text)) in seen or key == own:
+                continue
+            seen.add(key)
+            start = new.first if start_of is None else start_of[new.first]
+            end = new.last if end_of is None else end_of[new.last - 1]
+            spans |= {(int(start[a]), int(end[b - 1]), kind) for a, b, kind in scan(new.text)}
+            todo.append((new.text, start, end))
+        place = None if start_of is None else partial(_through, start_of, end_of)
+        for layer in _base64(here):
+            yield layer, place
+
+
+def _through(start_of: np.ndarray, end_of: np.ndarray, start: int, end: int) -> tuple[int, int]:
+    return int(start_of[start]), int(end_of[end - 1])
 
 
 def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:
