@@ -621,7 +621,42 @@ def test_a_very_long_line_is_linear_work(spark):
 def test_lines_of_rows_with_one_id_or_none(spark):
     texts = [(None, "a b c d e f\nx"), (None, "a b c d e g"), (-5, "a b c d e h"), (3, "a b c d e h\nk l m n o p"), (3, "k l m n o q")]
     got = {(r["id"], r["n_lines"]): (r["n_exact"], r["n_near"]) for r in linededup.dedup_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got[(-5, 1)] == (0, 1) and got[(3, 2)] == (0, 1) and got[(3, 1)] == (0, 0)  # line 0 stays in the other row of 3, and so here
+    assert got[(-5, 1)] == (0, 1) and got[(3, 1)] == (0, 0) and got[(3, 2)] == (1, 1)  # of the row of 3 with two lines, the first came in -5, the second is near the other row's
+    assert sorted([got[(None, 1)], got[(None, 2)]]) == [(0, 0), (0, 1)]
+    for kind in ("long", "string"):
+        rows = [(None, "same line of six words here\nown %d" % (i % 3), i) for i in range(9)] + [(None, None, 20), (None, "", 21)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, doc int").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+        assert linededup.dedup_report(df).agg(F.sum("n_kept"), F.sum("n_lines"), F.count("*")).first()[:] == (4, 18, 11)
+        left = linededup.drop_lines(df).collect()
+        assert len(left) == 11 and sorted(r["doc"] for r in left) == sorted(r[2] for r in rows)
+        assert sorted(line for r in left for line in (r["text"] or "").split("\n") if line) == ["own 0", "own 1", "own 2", "same line of six words here"]
+        assert {r["doc"]: r["text"] for r in left if r["doc"] >= 20} == {20: None, 21: ""}
+
+
+@pytest.mark.parametrize("name", ["none", "one"])
+def test_rows_without_own_ids_are_linear_work(spark, name):
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(30)) for _ in range(1500)]
+    took = {}
+    for kind in ("own", name):
+        ids = {"own": range(len(texts)), "none": [None] * len(texts), "one": [7] * len(texts)}[kind]
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        start = time.perf_counter()
+        rows = linededup.dedup_report(df).agg(F.sum("n_lines"), F.count("*")).first()
+        took[kind] = time.perf_counter() - start
+        assert rows[:] == (1500 * 30, 1500)
+    assert took[name] < 2 * took["own"] + 5
+
+
+def test_very_many_variants_of_one_line(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", 100)
+    from weft.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 1000)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 100)
+    lines = ["a template line with one word that is other"] + [f"a template line with one w{i} that is other" for i in range(20_000)]
+    df = spark.createDataFrame([(i // 100, "\n".join(lines[i : i + 100])) for i in range(0, len(lines), 100)], "doc_id long, text string")
+    assert linededup.dedup_report(df).agg(F.sum("n_kept"), F.sum("n_near")).first()[:] == (1, 20_000)
 
 
 # 8 tokens
