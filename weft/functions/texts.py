@@ -58,8 +58,13 @@ def normalized_key(c: Column) -> Column:
     return F.regexp_replace(F.sha1(normalized(c)), "^da39a3ee5e6b4b0d3255bfef95601890afd80709$", "")  # the SHA-1 of an empty text
 
 
-def words(c: Column, lexicon: tuple[str, ...] = ()) -> Column:
-    """Words in lower case: runs of letters and digits; of Han characters the ``lexicon``'s words, longest first, and else each two neighbours (or a lone one)."""
+def words(c: Column, lexicon=()) -> Column:
+    """Words in lower case: runs of letters and digits; of Han characters the ``lexicon``'s words, longest first, and else each two neighbours (or a lone one).
+
+    A ``Lexicon`` of the segment module, with what each word costs, cuts Han characters by the path of least cost instead.
+    """
+    if hasattr(lexicon, "cut"):
+        return lexicon.words(c)
     plain, han = r"[\p{L}\p{N}&&[^\p{IsHan}]]++", r"\p{IsHan}"
     known = "|".join(rf"\Q{w.lower()}\E" for w in sorted(lexicon, key=lambda w: (-len(w), w)))
     if known:
@@ -70,7 +75,7 @@ def words(c: Column, lexicon: tuple[str, ...] = ()) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"(?=({first}{two}|{lone}|{plain}))(?:{first}{han}|{plain})"), F.lit(1))
 
 
-def tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS, least: int = 2, lexicon: tuple[str, ...] = ()) -> Column:
+def tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS, least: int = 2, lexicon=()) -> Column:
     """Words of two characters or more that are no bare number and no stop word."""
     return F.filter(words(c, lexicon), lambda w: (F.length(w) >= least) & ~w.rlike(r"^\p{N}+$") & (~w.isin(*stop) if stop else F.lit(True)))
 

@@ -243,12 +243,12 @@ def anomaly(df: DataFrame, columns: list[str] | None = None, contamination: floa
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > cut)
 
 
-def text_features(df: DataFrame, column: str, vocabulary: int = 3000, ngrams: int = 1):
+def text_features(df: DataFrame, column: str, vocabulary: int = 3000, ngrams: int = 1, lexicon=()):
     """``(fitted pipeline, df with a unit TF-IDF vector in features)``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 
-    words = tokens(F.coalesce(_col(column).cast("string"), F.lit("")))
+    words = tokens(F.coalesce(_col(column).cast("string"), F.lit("")), lexicon=lexicon)
     grams = F.concat(words, F.transform(F.slice(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1_000_000).alias("b")), 1, 1_000_000), lambda p: F.concat_ws(" ", p["a"], p["b"]))) if ngrams > 1 else words
     prepared = df.withColumn("__words", grams)
     model = Pipeline(stages=[CountVectorizer(inputCol="__words", outputCol="__tf", vocabSize=vocabulary), IDF(inputCol="__tf", outputCol="__idf"), Normalizer(inputCol="__idf", outputCol="features")]).fit(prepared)

@@ -11,18 +11,32 @@ from pyspark.sql import functions as F
 from weft.errors import OpError, need_columns, need_one_of, need_positive
 from weft.functions.scalars import strip
 from weft.functions.texts import STOP_WORDS, tokens, washed
+from weft.operators.segment import learned
+from weft.operators.skew import join_table
+from weft.runtime import checkpoint
 
 
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def word_counts(df: DataFrame, column: str, top_n: int = 120, mode: str = "word_freq", stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """The ``top_n`` words: with counts (``word_freq``), alone (``words_only``) or as one line (``csv_line``)."""
+def _words(df: DataFrame, column: str, stop: tuple[str, ...], lexicon) -> Column:
+    """The tokens of a column; ``lexicon`` is a list of Han words, a ``Lexicon``, or ``learned`` for the one that the column gives by itself."""
+    need_columns("words", "column", df, [column])
+    if lexicon == "learned":
+        lexicon = learned(df, column)
+    return tokens(_col(column), stop, lexicon=lexicon)
+
+
+def word_counts(df: DataFrame, column: str, top_n: int = 120, mode: str = "word_freq", stop: tuple[str, ...] = STOP_WORDS, lexicon=()) -> DataFrame:
+    """The ``top_n`` words: with counts (``word_freq``), alone (``words_only``) or as one line (``csv_line``).
+
+    ``lexicon`` says what words Han text has: a list, a ``Lexicon``, or ``learned``.
+    """
     need_columns("word_counts", "column", df, [column])
     need_one_of("word_counts", "mode", mode, ("word_freq", "words_only", "csv_line"))
     need_positive("word_counts", "top_n", top_n)
-    out = df.select(F.explode(tokens(_col(column), stop)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("frequency")).orderBy(F.desc("frequency"), "word").limit(top_n)
+    out = df.select(F.explode(_words(df, column, stop, lexicon)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("frequency")).orderBy(F.desc("frequency"), "word").limit(top_n)
     if mode == "words_only":
         return out.select("word")
     if mode == "csv_line":
@@ -31,27 +45,39 @@ def word_counts(df: DataFrame, column: str, top_n: int = 120, mode: str = "word_
     return out
 
 
-def tf_idf(df: DataFrame, id_col: str, column: str, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """``(id, word, tf, weight)``: tf times ``ln((1 + n) / (1 + df)) + 1``, each text scaled to length 1. n counts texts with words."""
+def tf_idf(df: DataFrame, id_col: str, column: str, stop: tuple[str, ...] = STOP_WORDS, lexicon=(), idf: DataFrame | None = None) -> DataFrame:
+    """``(id, word, tf, weight)``: tf times ``ln((1 + n) / (1 + df)) + 1``, each text scaled to length 1. n counts texts with words.
+
+    Texts are split once and their counts written once; a common word's rows are dealt out to meet its figure. With ``idf``,
+    a table ``(word, idf)`` with one row a word, its figures count instead, and of words that it does not have the median of them.
+    """
     need_columns("tf_idf", "columns", df, [id_col, column])
-    tf = df.select(_col(id_col).alias("id"), F.explode(tokens(_col(column), stop)).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    total = tf.agg(F.count_distinct("id").alias("n"))
-    idf = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # total is one row
-    raw = tf.join(idf, "word").withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "word", "tf", (F.col("raw") / F.col("norm")).alias("weight"))
+    words = _words(df, column, stop, lexicon)
+    tf = checkpoint(df.select(_col(id_col).alias("id"), F.explode(words).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf")))
+    by_word = checkpoint(tf.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    size = by_word.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if idf is None:
+        n = tf.select("id").distinct().count()
+        table = by_word.select("word", (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1).alias("idf"))
+    else:
+        need_columns("tf_idf", "idf", idf, ["word", "idf"])
+        usual = idf.agg(F.percentile("idf", 0.5)).first()[0]
+        table = by_word.join(idf.groupBy("word").agg(F.max("idf").alias("idf")), "word", "left").select("word", F.coalesce("idf", F.lit(usual), F.lit(1.0)).cast("double").alias("idf"))
+    raw = join_table(tf, table, "word", by_word, size["words"], size["rows"]).withColumn("raw", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))  # the distinct words of a text
+    return raw.select("id", "word", "tf", F.try_divide(F.col("raw"), norm).alias("weight"))
 
 
-def keywords(df: DataFrame, id_col: str, column: str, top_k: int = 10, per_row: bool = False, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """Words by the sum of their TF-IDF weights, or the ``top_k`` of each text."""
-    weights = tf_idf(df, id_col, column, stop)
+def keywords(df: DataFrame, id_col: str, column: str, top_k: int = 10, per_row: bool = False, stop: tuple[str, ...] = STOP_WORDS, lexicon=(), idf: DataFrame | None = None) -> DataFrame:
+    """Words by the sum of their TF-IDF weights, or the ``top_k`` of each text; ``lexicon`` and ``idf`` as in ``tf_idf``."""
+    weights = tf_idf(df, id_col, column, stop, lexicon, idf)
     if not per_row:
         return weights.groupBy("word").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "word").limit(top_k)
     order = Window.partitionBy("id").orderBy(F.desc("weight"), "word")
     return weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("id", "rank", "word", "weight")
 
 
-def cooccurrence(df: DataFrame, id_col: str, column: str, topn: int = 30, min_count: int = 2, window: int = 0, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+def cooccurrence(df: DataFrame, id_col: str, column: str, topn: int = 30, min_count: int = 2, window: int = 0, stop: tuple[str, ...] = STOP_WORDS, lexicon=()) -> DataFrame:
     """``(a, b, count)`` of the ``topn`` (up to 120) heaviest words: texts with both, or with a window the word windows with both.
 
     At most ``topn`` words take part, so a text gives at most ``topn`` squared pairs whatever its length.
@@ -59,8 +85,10 @@ def cooccurrence(df: DataFrame, id_col: str, column: str, topn: int = 30, min_co
     need_columns("cooccurrence", "columns", df, [id_col, column])
     if not 2 <= topn <= 120:
         raise OpError("cooccurrence", "topn", f"{topn} is not from 2 to 120")
-    chosen = [r["word"] for r in keywords(df, id_col, column, topn, stop=stop).collect()]  # at most 120 words
-    rows, words = df.select(tokens(_col(column), stop).alias("w")), F.col("w")
+    if lexicon == "learned":
+        lexicon = learned(df, column)
+    chosen = [r["word"] for r in keywords(df, id_col, column, topn, stop=stop, lexicon=lexicon).collect()]  # at most 120 words
+    rows, words = df.select(_words(df, column, stop, lexicon).alias("w")), F.col("w")
     if window:
         spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - window + 1, F.lit(1))), lambda i: F.slice(words, i, window))
         units = rows.select(F.explode(spans).alias("u")).select(F.array_sort(F.array_distinct(F.filter("u", lambda w: w.isin(*chosen)))).alias("u"))
@@ -162,12 +190,12 @@ def entities(df: DataFrame, id_col: str, column: str, types: list[str] | None =
     return df.select(_col(id_col).alias("id"), _col(column).alias("text")).mapInPandas(find, f"id {dict(df.dtypes)[id_col]}, text string, label string, start int, end int")
 
 
-def text_rank(df: DataFrame, column: str, top_k: int = 10, span: int = 5, rounds: int = 10, damping: float = 0.85, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+def text_rank(df: DataFrame, column: str, top_k: int = 10, span: int = 5, rounds: int = 10, damping: float = 0.85, stop: tuple[str, ...] = STOP_WORDS, lexicon=()) -> DataFrame:
     """``(word, score)`` by PageRank over words that stand within ``span`` words of each other."""
     from weft.operators.graph import page_rank
 
     need_columns("text_rank", "column", df, [column])
-    rows, w = df.select(tokens(_col(column), stop).alias("w")), F.col("w")
+    rows, w = df.select(_words(df, column, stop, lexicon).alias("w")), F.col("w")
     near = F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, span - 1), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
     edges = rows.select(F.explode(near).alias("p")).where("p.a <> p.b").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return page_rank(edges, "a", "b", "weight", rounds, damping).select(F.col("node").alias("word"), F.col("pagerank").alias("score")).orderBy(F.desc("score"), "word").limit(top_k)

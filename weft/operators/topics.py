@@ -18,14 +18,14 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def fit_lda(df: DataFrame, column: str, k: int, vocabulary: int = 2000, min_df: int = 2, rounds: int = 20, seed: int = 42):
-    """``(vectorizer, model, rows with counts)``."""
+def fit_lda(df: DataFrame, column: str, k: int, vocabulary: int = 2000, min_df: int = 2, rounds: int = 20, seed: int = 42, lexicon=()):
+    """``(vectorizer, model, rows with counts)``; ``lexicon`` says what words Han text has."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     need_columns("topics", "column", df, [column])
     need_positive("topics", "k", k)
-    rows = df.withColumn("__words", tokens(F.coalesce(_col(column).cast("string"), F.lit("")), STOP_WORDS)).where("size(__words) > 0")
+    rows = df.withColumn("__words", tokens(F.coalesce(_col(column).cast("string"), F.lit("")), STOP_WORDS, lexicon=lexicon)).where("size(__words) > 0")
     words = CountVectorizer(inputCol="__words", outputCol="features", vocabSize=vocabulary, minDF=min_df).fit(rows)
     counted = checkpoint(words.transform(rows).drop("__words"))
     return words, LDA(k=k, maxIter=rounds, seed=seed, featuresCol="features", optimizer="online").fit(counted), counted

@@ -8,6 +8,7 @@ from weft.functions.texts import EMOTICONS, STOP_WORDS, normalized, tokens
 from weft.operators import columns as C
 from weft.operators import dedupe as D
 from weft.operators import joins as J
+from weft.operators import segment as SG
 from weft.operators import stats as ST
 from weft.operators import text as T
 from weft.runtime import load
@@ -194,6 +195,49 @@ def _(spark, d):
     return ids.select("doc_id", F.array_join(words(F.col("x"), ("北京", "北京大学", "大学")), "|").alias("words"))
 
 
+# words of Han text: the words of parts and of their events run together, each written as two or three characters
+
+_HAN_WORD = "translate(substr(md5(W), 1, CASE WHEN substr(md5(W), 4, 1) < '8' THEN 2 ELSE 3 END), '0123456789abcdef', '天地玄黄宇宙洪荒日月盈昃辰宿列张')"
+_PLANTED = f"""SELECT p_partkey, list_transform(string_split(lower(p_type || ' ' || p_name || ' ' || replace(p_brand, '#', '')), ' '), lambda w: {_HAN_WORD.replace('W', 'w')}) AS planted FROM part"""
+_RUNS = rf"runs AS (SELECT run, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(t, '\p{{Han}}+')) AS run FROM (SELECT array_to_string(planted, '') || ' ok' AS t FROM ({_PLANTED}))) GROUP BY 1)"
+_LEARNED = f"""{_RUNS},
+grams AS (SELECT substr(run, i, k) AS word, CASE WHEN i > 1 THEN substr(run, i - 1, 1) ELSE '' END AS before, substr(run, i + k, 1) AS behind, n
+  FROM (SELECT run, n, unnest(range(1, len(run) + 1)) AS i FROM runs), range(1, 5) r(k) WHERE i + k - 1 <= len(run)),
+sides AS (SELECT word, 0 AS side, before AS x, sum(n) AS n FROM grams GROUP BY 1, 3 UNION ALL SELECT word, 1, behind, sum(n) FROM grams GROUP BY 1, 3),
+counts AS (SELECT word, any_value(n) AS n, min(h) AS freedom FROM (SELECT word, side, sum(n)::BIGINT AS n, ln(sum(n)) - sum(CASE WHEN x = '' THEN 0 ELSE n * ln(n) END) / sum(n) AS h FROM sides GROUP BY 1, 2) GROUP BY 1),
+total AS (SELECT sum(n)::DOUBLE AS total FROM counts WHERE len(word) = 1),
+cuts AS (SELECT c.word, min(ln(c.n::DOUBLE * total / (l.n::DOUBLE * r.n))) AS cohesion FROM (SELECT word, n, unnest(range(1, len(word))) AS k FROM counts WHERE len(word) > 1 AND n >= 5) c, total
+  JOIN counts l ON l.word = substr(c.word, 1, c.k) JOIN counts r ON r.word = substr(c.word, c.k + 1) GROUP BY 1),
+lexicon AS (SELECT word, n, cohesion, freedom FROM counts JOIN cuts USING (word) WHERE n >= 5 AND cohesion >= 2 AND freedom >= 1 UNION ALL SELECT word, n, NULL, NULL FROM counts WHERE len(word) = 1)"""
+
+
+def planted(spark, d):
+    word = "translate(substr(md5(w), 1, if(substr(md5(w), 4, 1) < '8', 2, 3)), '0123456789abcdef', '天地玄黄宇宙洪荒日月盈昃辰宿列张')"
+    words = F.expr(f"transform(split(lower(concat(p_type, ' ', p_name, ' ', replace(p_brand, '#', ''))), ' '), w -> {word})")
+    return load(spark, d, "part").select("p_partkey", F.concat(F.array_join(words, ""), F.lit(" ok")).alias("text"))
+
+
+@query("lexicon_learned", f"WITH {_LEARNED} SELECT word, n, round(cohesion, 6) AS cohesion, round(freedom, 6) AS freedom FROM lexicon")
+def _(spark, d):
+    found = SG.learn_lexicon(planted(spark, d), "text", min_cohesion=2.0)
+    return found.select("word", "n", F.round("cohesion", 6).alias("cohesion"), F.round("freedom", 6).alias("freedom"))
+
+
+@query(
+    "tokenize_learned",
+    f"""WITH RECURSIVE {_LEARNED},
+costs AS (SELECT word, round(1000000 * ln((SELECT sum(n) FROM lexicon)::DOUBLE / n))::BIGINT AS cost FROM lexicon),
+edges AS (SELECT run, i + k - 1 AS stop, k, cost FROM (SELECT run, unnest(range(1, len(run) + 1)) AS i FROM runs), range(1, 5) r(k) JOIN costs ON word = substr(run, i, k) WHERE i + k - 1 <= len(run)),
+best AS (SELECT run, 0::BIGINT AS i, [0::BIGINT] AS cost, []::BIGINT[] AS step FROM runs UNION ALL
+  SELECT run, i + 1, list_append(cost, c[1]), list_append(step, -c[2]) FROM (SELECT b.run, b.i, b.cost, b.step, (SELECT min([b.cost[e.stop - e.k + 1] + e.cost, -e.k]) FROM edges e WHERE e.run = b.run AND e.stop = b.i + 1) AS c FROM best b WHERE b.i < len(b.run))),
+walk AS (SELECT run, step, len(run)::BIGINT AS pos, []::VARCHAR[] AS words FROM best WHERE i = len(run) UNION ALL SELECT run, step, pos - step[pos], list_prepend(substr(run, pos - step[pos] + 1, step[pos]), words) FROM walk WHERE pos > 0),
+cut AS (SELECT run, words FROM walk WHERE pos = 0)
+SELECT p_partkey, array_to_string(words, '|') || '|ok' AS words FROM (SELECT p_partkey, array_to_string(planted, '') AS run FROM ({_PLANTED})) JOIN cut USING (run)""",
+)
+def _(spark, d):
+    return SG.cut_words(planted(spark, d), "text", min_cohesion=2.0).select("p_partkey", F.array_join("words", "|").alias("words"))
+
+
 _HOSTILE = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '废物 ' WHEN 1 THEN '听说 ' WHEN 2 THEN '废物，垃圾，废物 ' WHEN 3 THEN '他也配 ' WHEN 4 THEN '开盒 ' WHEN 5 THEN '听说要开盒，废物 ' ELSE '' END || regexp_replace(text, '[0-9@]', '', 'g') AS text FROM documents"""
 
 
