@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import Counter
 from itertools import combinations
 
@@ -15,6 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from weft.errors import OpError, need_columns, need_one_of
 from weft.functions.texts import normalized, normalized_key, words
+from weft.operators import dense
 from weft.operators.components import connected_components
 from weft.operators.links import bits_within, links_by_key
 from weft.operators.skew import join_table
@@ -149,54 +149,40 @@ def similar_to(df: DataFrame, id_col: str, vector_col: str, query: list[float],
     return out.select(F.row_number().over(Window.orderBy(F.desc("similarity"), "id")).alias("rank"), "id", "similarity")  # top_k rows
 
 
-def semantic_pairs(df: DataFrame, id_col: str, vector_col: str, threshold: float = 0.92, seed: int = 5) -> DataFrame:
-    """``(a, b, similarity)`` with a < b at or over ``threshold``, found through random-plane signs.
+def semantic_pairs(df: DataFrame, id_col: str, vector_col: str, threshold: float = 0.92) -> DataFrame:
+    """``(a, b, similarity)`` with a < b of all pairs at or over ``threshold`` by cosine, found exactly.
 
-    Each of several tables keys a vector by the signs of some planes; their number grows with
-    the logarithm of the rows, and there are so many tables that a pair at the threshold is
-    missed once in ten thousand. The cosine itself decides. Give it distinct vectors.
+    Each pair of rows gives a row, so give it distinct vectors. Rows without a vector, or with one of length 0, are in none;
+    ids are distinct.
     """
     need_columns("semantic_pairs", "columns", df, [id_col, vector_col])
-    kind = dict(df.dtypes)[id_col]
-    rows = df.select(_col(id_col).alias("id"), _col(vector_col).alias("v")).where("v is not null and size(v) > 0")
-    first, n = rows.select("v").limit(1).collect(), rows.count()
-    if not first:
-        return df.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
-    planes = max(4, math.ceil(math.log2(max(2, n / 8))))
-    same = (1 - math.acos(threshold) / math.pi) ** planes
-    tables = math.ceil(math.log(1e-4) / math.log(1 - same))
-    normals = np.random.default_rng(seed).standard_normal((tables * planes, len(first[0]["v"])))
-
-    def keys(batches):
-        for pdf in batches:
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            signs = (x @ normals.T > 0).reshape(len(x), tables, planes)
-            codes = (signs * (1 << np.arange(planes))).sum(axis=2) + (np.arange(tables) << planes)
-            yield pdf[["id"]].assign(keys=list(codes.astype("int64")))
-
-    listed = rows.mapInPandas(keys, f"id {kind}, keys array<bigint>").select("id", F.explode("keys").alias("key"))
-    a, b = listed.withColumnRenamed("id", "a"), listed.withColumnRenamed("id", "b")
-    pairs = a.join(b, "key").where("a < b").select("a", "b").distinct()
-    va, vb = rows.select(F.col("id").alias("a"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    dense.need_threshold("semantic_pairs", threshold)
+    rows = df.select(_col(id_col).alias("id"), dense.unit(_col(vector_col)).alias("u")).where("u is not null and not exists(u, x -> isnan(x))")
+    return dense.pairs(rows, threshold)
 
 
 def semantic_dedupe(df: DataFrame, id_col: str, vector_col: str, threshold: float = 0.92) -> DataFrame:
     """Greedy in order of id: a row goes if a row that stays before it is at ``threshold`` or over; rows without a vector, or with one of length 0, stay.
 
-    Of equal vectors only the first can stay, so only it is compared. Pairs are then decided in
-    rounds: a row without an undecided or staying earlier partner stays and its later partners go.
+    Of vectors of one direction only the first can stay, so only it is compared. The rest is decided in rounds: a row
+    without an undecided earlier near row stays, and what is near it goes. A round takes figures by row, never pairs.
     """
+    from weft.operators.order import numbered
+
     need_columns("semantic_dedupe", "columns", df, [id_col, vector_col])
-    norm = F.aggregate(_col(vector_col), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = df.where(norm > 0).select(_col(id_col).alias("id"), _col(vector_col).alias("v"))
-    firsts = checkpoint(rows.groupBy("v").agg(F.min("id").alias("id")))
-    gone = rows.select(F.col("id").alias("x")).join(firsts.select(F.col("id").alias("x")), "x", "left_anti")
-    left = checkpoint(semantic_pairs(firsts, "id", "v", threshold).select("a", "b"))
+    dense.need_threshold("semantic_dedupe", threshold)
+    held, classes = dense.directions(df, id_col, vector_col)
+    first = classes.select(F.col("id").alias("x"))
+    gone = held.select(F.col("id").alias("x")).join(first, "x", "left_anti")
+    rows = checkpoint(numbered(classes.select("id", "u"), ["id"]).select(F.col("number").cast("long").alias("id"), F.col("id").alias("x"), "u", F.lit(1).cast("long").alias("n")))
+    left = rows
     while not left.isEmpty():
-        stays = left.select(F.col("a").alias("x")).distinct().join(left.select(F.col("b").alias("x")).distinct(), "x", "left_anti")
-        goes = checkpoint(left.join(stays, left["a"] == stays["x"], "left_semi").select(F.col("b").alias("x")).distinct())
-        gone = gone.unionByName(goes)
-        decided = goes.unionByName(stays)
-        left = checkpoint(left.join(decided.select(F.col("x").alias("a")), "a", "left_anti").join(goes.select(F.col("x").alias("b")), "b", "left_anti"))
+        least = checkpoint(dense.figures(left.withColumn("flag", F.lit(True)), threshold, "least").groupBy("id").agg(F.min("n").alias("least")))
+        if least.isEmpty():
+            break
+        stays = left.join(least.where("least < id"), "id", "left_anti").select("id")
+        flagged = left.join(stays.withColumn("flag", F.lit(True)), "id", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
+        goes = checkpoint(dense.figures(checkpoint(flagged), threshold, "least").select("id").distinct().join(stays, "id", "left_anti"))
+        gone = gone.unionByName(left.join(goes, "id", "left_semi").select("x"))
+        left = checkpoint(left.join(goes, "id", "left_anti").join(stays, "id", "left_anti"))
     return df.join(gone.distinct(), _col(id_col) == F.col("x"), "left_anti")

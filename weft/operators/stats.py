@@ -14,7 +14,6 @@ from weft.errors import OpError, need_columns, need_one_of
 from weft.functions.scalars import number
 from weft.functions.special import chi2_tail, f_tail, normal_two_sided, t_two_sided
 from weft.functions.texts import tokens
-from weft.operators.components import connected_components
 from weft.operators.order import numbered
 from weft.runtime import checkpoint
 
@@ -272,20 +271,37 @@ def cluster_texts(df: DataFrame, column: str, k: int = 5, vocabulary: int = 3000
 
 def dbscan(df: DataFrame, id_col: str, vector_col: str, eps: float = 0.3, min_samples: int = 5) -> DataFrame:
     """``(id, cluster, is_noise)`` by cosine distance: rows with ``min_samples`` rows within ``eps`` (itself counted) are cores,
-    linked cores are a cluster (named by its smallest core), others join the cluster of their smallest core neighbour."""
-    from weft.operators.dedupe import semantic_pairs
+    linked cores are a cluster (named by its smallest core), others join the cluster of their smallest core neighbour.
+
+    Exact. Rows of one direction are compared once and counted as often as they are there; what a cell gives are counts,
+    forests and least neighbours, never pairs. Ids are distinct; rows without a direction are noise.
+    """
+    from weft.operators import dense
+    from weft.operators.order import numbered
+    from weft.operators.skew import join_table
+    from weft.operators.sparse import density_clusters
 
     need_columns("dbscan", "columns", df, [id_col, vector_col])
-    ids = df.select(_col(id_col).alias("id"))
-    pairs = checkpoint(semantic_pairs(df, id_col, vector_col, 1 - eps).select("a", "b"))
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    near = ids.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left")
-    cores = checkpoint(near.where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id"))
-    linked = pairs.join(cores.select(F.col("id").alias("a")), "a", "left_semi").join(cores.select(F.col("id").alias("b")), "b", "left_semi")
-    named = checkpoint(cores.join(connected_components(linked, "a", "b").select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster")))
-    border = ends.join(named.select(F.col("id").alias("other"), "cluster"), "other").join(cores, "id", "left_anti").groupBy("id").agg(F.min_by("cluster", "other").alias("cluster"))
-    found = named.unionByName(border.select("id", "cluster"))
-    return ids.join(found, "id", "left").select("id", "cluster", F.col("cluster").isNull().alias("is_noise"))
+    dense.need_threshold("dbscan", 1 - eps)
+    members, classes = dense.directions(df, id_col, vector_col)
+    rows = checkpoint(numbered(classes, ["id"]).select(F.col("number").cast("long").alias("id"), F.col("id").alias("first"), "key", "n", "u"))
+    near = dense.figures(rows.withColumn("flag", F.lit(True)), 1 - eps, "near").groupBy("id").agg(F.sum("n").alias("n"))
+
+    def flagged(cores):
+        return rows.join(cores.withColumn("flag", F.lit(True)), "id", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
+
+    def links(cores):
+        return dense.figures(flagged(cores), 1 - eps, "forest").select(F.col("id").alias("a"), F.col("n").alias("b"))
+
+    def border(cores):
+        found = dense.figures(flagged(cores), 1 - eps, "least").groupBy("id").agg(F.min("n").alias("other"))
+        return found.join(cores, "id", "left_anti")
+
+    found = checkpoint(density_clusters(rows.select("id", "n"), checkpoint(near), links, border, min_samples))
+    names = rows.select(F.col("id").alias("cluster"), F.col("first").alias("name"))
+    by_key = checkpoint(rows.select("id", "key", "n").join(found, "id").join(names, "cluster").select("key", "n", F.col("name").alias("cluster")))
+    named = join_table(members, by_key.select("key", "cluster"), "key", by_key, by_key.count(), members.count()).select("id", "cluster")
+    return df.select(_col(id_col).alias("id")).join(named, "id", "left").select("id", "cluster", F.col("cluster").isNull().alias("is_noise"))
 
 
 def train_classifier(df: DataFrame, column: str, label_col: str, vocabulary: int = 20_000):

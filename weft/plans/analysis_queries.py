@@ -8,6 +8,7 @@ from weft.functions import scalars as S
 from weft.functions.texts import STOP_WORDS
 from weft.operators import graph as G
 from weft.operators import order as O
+from weft.operators import sparse as SP
 from weft.operators import stats as ST
 from weft.operators import text as T
 from weft.operators import timeseries as TS
@@ -223,6 +224,34 @@ def _(spark, d):
     return ST.cluster_texts(load(spark, d, "documents"), "text", 4).select("doc_id", "cluster", "silhouette")
 
 
+def _density(near: str, ids: str, count: int) -> str:
+    """SQL of density clusters: near is (id, other), both ways."""
+    return f"""p AS ({near}), core AS (SELECT id FROM p GROUP BY 1 HAVING count(*) >= {count - 1}),
+link AS (SELECT * FROM p WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)), reach AS (SELECT id, id AS other FROM core UNION SELECT r.id, l.other FROM reach r JOIN link l ON l.id = r.other),
+named AS (SELECT id, min(other) AS cluster FROM reach GROUP BY 1), border AS (SELECT p.id, arg_min(n.cluster, p.other) AS cluster FROM p JOIN named n ON n.id = p.other WHERE p.id NOT IN (SELECT id FROM core) GROUP BY 1)
+SELECT i.id, cluster, cluster IS NULL AS is_noise FROM ({ids}) i LEFT JOIN (SELECT * FROM named UNION ALL SELECT * FROM border) c ON c.id = i.id"""
+
+
+_NEAR_TEXTS = "SELECT x.id, y.id AS other FROM weights x JOIN weights y ON x.word = y.word AND x.id <> y.id GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= {}"
+
+
+@query("cosine_texts", f"WITH {_TFIDF} SELECT x.id AS a, y.id AS b, round(sum(x.weight * y.weight), 6) AS similarity FROM weights x JOIN weights y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2 HAVING sum(x.weight * y.weight) >= 0.5")
+def _(spark, d):
+    members, classes = SP.text_vectors(load(spark, d, "documents"), "doc_id", "text")
+    pairs = SP.cosine_pairs(classes, 0.5).select("a", "b", "similarity")
+    # pairs of distinct vectors, then their members
+    of = members.join(classes.select("key", F.col("id").alias("class")), "key").select("id", "class")
+    across = pairs.join(of.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(of.select(F.col("class").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "similarity")
+    within = of.select("class", F.col("id").alias("x")).join(of.select("class", F.col("id").alias("y")), "class").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    both = across.unionByName(within)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("dbscan_texts", f"WITH RECURSIVE {_TFIDF}, {_density(_NEAR_TEXTS.format(0.4), 'SELECT doc_id AS id FROM documents', 3)}")
+def _(spark, d):
+    return SP.dbscan_texts(load(spark, d, "documents"), "doc_id", "text", 0.6, 3, None)
+
+
 @query("dbscan", """WITH RECURSIVE p AS (SELECT a.vec_id AS id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45), core AS (SELECT id FROM p GROUP BY 1 HAVING count(*) >= 2),
 link AS (SELECT * FROM p WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)), reach AS (SELECT id, id AS other FROM core UNION SELECT r.id, l.other FROM reach r JOIN link l ON l.id = r.other),
 named AS (SELECT id, min(other) AS cluster FROM reach GROUP BY 1), border AS (SELECT p.id, arg_min(n.cluster, p.other) AS cluster FROM p JOIN named n ON n.id = p.other WHERE p.id NOT IN (SELECT id FROM core) GROUP BY 1)
