@@ -76,24 +76,6 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def k_means(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100) -> np.ndarray:
-    """Clusters of rows from spread-out seeds, numbered by size."""
-    rng = np.random.default_rng(seed)
-    centres = x[[int(rng.integers(len(x)))]]
-    while len(centres) < min(k, len(x)):
-        d = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-        centres = np.vstack([centres, x[int(rng.choice(len(x), p=d / d.sum()))] if d.sum() > 0 else x[len(centres)]])
-    label = None
-    for _ in range(rounds):
-        new = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        if label is not None and (new == label).all():
-            break
-        label = new
-        centres = np.stack([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(len(centres))])
-    order = np.argsort(-np.bincount(label, minlength=len(centres)), kind="stable")
-    return np.argsort(order)[label]
-
-
 def classical_mds(distance: np.ndarray, dims: int = 2) -> np.ndarray:
     """Points whose distances come near the given ones."""
     n = len(distance)

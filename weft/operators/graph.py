@@ -12,6 +12,7 @@ from weft.errors import OpError, need_columns, need_one_of, need_positive
 from weft.functions.scalars import number, parts_of
 from weft.functions.special import log_choose
 from weft.operators.components import connected_components
+from weft.operators.spectral import spectral_clusters  # noqa: F401  a part of the network operators
 from weft.runtime import checkpoint
 
 STRENGTHS = ("cosine", "dice", "jaccard", "association")
@@ -219,36 +220,63 @@ def _bottleneck_edges(edges: DataFrame, weight_col: str, group_col: str | None)
     return kept.select(*names).toDF(*edges.columns)
 
 
-#: Work that one Pathfinder group may take (a fixed limit): nodes cubed.
-PATHFINDER_WORK = 4e8
+def pathfinder(edges: DataFrame, weight_col: str = "weight", r: float = float("inf"), group_col: str | None = None, lmax: int = 0, dmax: float = 1.0, length: str = "inverse") -> DataFrame:
+    """Edges that no detour shortens; the length of a detour is the r-norm of those of its edges (inf: the longest).
 
-
-def pathfinder(edges: DataFrame, weight_col: str = "weight", r: float = float("inf"), group_col: str | None = None) -> DataFrame:
-    """Edges that no detour shortens; the length of an edge is one over its weight, of a detour the r-norm of its edges (inf: the longest).
-
-    For infinity networks of any size take as many rounds as weights can be halved. For 1 and 2
-    each network of ``group_col`` is one group, and over ``PATHFINDER_WORK`` is refused.
+    An edge is as long as one over its weight (``inverse``), or one less its weight, at least 0 (``complement``). Detours have
+    up to ``lmax`` edges, 0 for any number. Of the edges that stay only the part ``dmax``, rounded up, is kept, the heaviest
+    first, of equal ones the first by ends. Each value of ``group_col`` is a network of its own; networks of any size.
     """
     need_columns("pathfinder", "weight_col", edges, ["a", "b", weight_col])
+    need_one_of("pathfinder", "length", length, ("inverse", "complement"))
     if r not in (1, 2, float("inf")):
         raise OpError("pathfinder", "r", f"{r!r} is not 1, 2 or infinity")
-    if r == float("inf"):
-        return _bottleneck_edges(edges, weight_col, group_col)
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, ends = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        if len(names) ** 3 > PATHFINDER_WORK:
-            raise OpError("pathfinder", "edges", f"{len(names)} nodes are too many")
-        i, j = ends[: len(pdf)], ends[len(pdf) :]
-        length = 1 / pdf[weight_col].to_numpy(float)
-        d = np.full((len(names), len(names)), np.inf)
-        np.fill_diagonal(d, 0)
-        d[i, j] = d[j, i] = length
-        for k in range(len(names)):
-            np.minimum(d, (d[:, k, None] ** r + d[None, k] ** r) ** (1 / r), out=d)
-        return pdf[length <= d[i, j] * (1 + 1e-12)]
-
-    return edges.groupBy(*([_col(group_col)] if group_col else [])).applyInPandas(prune, edges.schema)
+    if not isinstance(lmax, int) or lmax < 0 or lmax == 1:
+        raise OpError("pathfinder", "lmax", f"{lmax!r} is not 0 or a whole number of 2 or more")
+    if not 0 < dmax <= 1:
+        raise OpError("pathfinder", "dmax", f"{dmax!r} is not over 0 and up to 1")
+    kept = _bottleneck_edges(edges, weight_col, group_col) if r == float("inf") and not lmax else _without_detours(edges, weight_col, r, group_col, lmax, length)
+    if dmax == 1:
+        return kept
+    group = [_col(group_col)] if group_col else [F.lit(0)]
+    names = kept.columns
+    held = checkpoint(kept.withColumn("__g", F.struct(*group)))
+    sizes = held.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy("__g").orderBy(_col(weight_col).desc(), "a", "b")
+    ranked = held.withColumn("__r", F.row_number().over(order))
+    return ranked.join(sizes, "__g").where(F.col("__r") <= F.greatest(F.ceil(F.col("__n") * dmax), F.lit(1))).select(*names)
+
+
+def _without_detours(edges: DataFrame, weight_col: str, r: float, group_col: str | None, lmax: int, length: str) -> DataFrame:
+    """Edges that no path of two to ``lmax`` edges is shorter than.
+
+    Paths grow edge by edge from the ends of all edges at once, as a table of the shortest one from each source to each node
+    reached. A path longer than the longest edge of its source can shorten none, and is dropped; only what got shorter in one
+    round goes on in the next, so the table holds what lies within an edge's length and never all pairs.
+    """
+    group = _col(group_col) if group_col else F.lit(0)
+    w = _col(weight_col).cast("double")
+    long = 1 / w if length == "inverse" else F.greatest(F.lit(0.0), 1 - w)
+    cost = long * long if r == 2 else long  # squares add up as lengths do
+    names = edges.columns
+    rows = checkpoint(edges.withColumn("__row", F.monotonically_increasing_id()).withColumn("__g", group).withColumn("__c", cost))
+    ends = lambda a, b: rows.where("__c is not null and a <> b").select(F.struct("__g", F.col(a).alias("n")).alias("x"), F.struct("__g", F.col(b).alias("n")).alias("y"), F.col("__c").alias("c"))
+    links = checkpoint(ends("a", "b").unionByName(ends("b", "a")).groupBy("x", "y").agg(F.min("c").alias("c")))
+    reach = links.groupBy("x").agg(F.max("c").alias("most"))
+    far = checkpoint(links.join(reach, "x").select(F.col("x").alias("s"), F.col("y").alias("v"), "c", "most"))
+    best, new, hops = far, far, 1
+    while (not lmax or hops < lmax) and not new.isEmpty():
+        step = new.join(links.select(F.col("x").alias("v"), F.col("y").alias("to"), F.col("c").alias("more")), "v").where("s <> to")
+        total = F.greatest("c", "more") if r == float("inf") else F.col("c") + F.col("more")
+        found = step.select("s", F.col("to").alias("v"), total.alias("c"), "most").where("c <= most * (1 + 1e-12)").groupBy("s", "v").agg(F.min("c").alias("c"), F.max("most").alias("most"))
+        better = found.join(best.select("s", "v", F.col("c").alias("old")), ["s", "v"], "left").where("old is null or c < old * (1 - 1e-12)").drop("old")
+        new = checkpoint(better)
+        best = checkpoint(best.join(new.select("s", "v"), ["s", "v"], "left_anti").unionByName(new))
+        hops += 1
+    short = best.select("s", "v", "c")
+    of = rows.select("__row", F.struct("__g", F.col("a").alias("n")).alias("s"), F.struct("__g", F.col("b").alias("n")).alias("v"), F.col("__c").alias("own"))
+    kept = of.join(short, ["s", "v"], "left").where("own <= coalesce(c, own) * (1 + 1e-9)")
+    return rows.join(kept.select("__row"), "__row", "left_semi").select(*names)
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -387,33 +415,6 @@ def sigma(centrality: DataFrame, burst: DataFrame) -> DataFrame:
     return centrality.join(weight, "node", "left").select("node", F.pow(F.col("betweenness") + 1, F.coalesce("w", F.lit(0.0))).alias("sigma"))
 
 
-#: Nodes that the spectral step may hold (a fixed limit).
-CLUSTER_NODES = 2000
-
-
-def spectral_clusters(edges: DataFrame, k: int = 0, weight_col: str = "weight", seed: int = 42) -> DataFrame:
-    """``(node, cluster)`` from the normalised Laplacian of a network of up to ``CLUSTER_NODES`` nodes; ``k`` 0 takes the largest eigenvalue gap."""
-    from weft.functions.special import k_means
-
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("n")).distinct().count()
-    if nodes > CLUSTER_NODES:
-        raise OpError("spectral_clusters", "edges", f"{nodes} nodes are over {CLUSTER_NODES}; prune the network first")
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, ends = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        w = np.zeros((len(names), len(names)))
-        i, j = ends[: len(pdf)], ends[len(pdf) :]
-        w[i, j] = w[j, i] = pdf[weight_col]
-        scale = 1 / np.sqrt(np.maximum(w.sum(axis=1), 1e-12))
-        values, vectors = np.linalg.eigh(np.eye(len(names)) - w * scale[:, None] * scale)
-        most = min(len(names) - 1, 20)
-        n = k or (int(np.diff(values[: most + 1]).argmax()) + 1 if most > 1 else 1)
-        x = vectors[:, :n] / np.maximum(np.linalg.norm(vectors[:, :n], axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({"node": names, "cluster": k_means(x, n, seed)})
-
-    return edges.groupBy().applyInPandas(split, f"node {dict(edges.dtypes)['a']}, cluster int")
-
-
 def modularity(edges: DataFrame, clusters: DataFrame, weight_col: str = "weight") -> DataFrame:
     """One row: the modularity of a clustering ``(node, cluster)``."""
     named = edges.join(clusters.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), "a").join(clusters.select(F.col("node").alias("b"), F.col("cluster").alias("cb")), "b")

@@ -254,19 +254,25 @@ def text_features(df: DataFrame, column: str, vocabulary: int = 3000, ngrams: in
     return model, model.transform(prepared)
 
 
-def cluster_texts(df: DataFrame, column: str, k: int = 5, vocabulary: int = 3000, seed: int = 42) -> DataFrame:
-    """``df`` with ``cluster`` (k-means of TF-IDF vectors) and the clustering's ``silhouette``."""
+def cluster_texts(df: DataFrame, column: str, k: int = 5, vocabulary: int = 3000, seed: int = 42, most: int = 0, lexicon=()) -> DataFrame:
+    """``df`` with ``cluster`` (k-means of TF-IDF vectors) and the clustering's ``silhouette``.
+
+    With ``most`` the number of clusters is the one from ``k`` to ``most`` with the largest silhouette, the smaller of equals.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
     need_columns("cluster_texts", "column", df, [column])
-    if k < 2:
-        raise OpError("cluster_texts", "k", f"{k} is under 2")
-    _, rows = text_features(df, column, vocabulary)
+    if k < 2 or most and most < k:
+        raise OpError("cluster_texts", "k", f"{k} is under 2, or over most")
+    _, rows = text_features(df, column, vocabulary, lexicon=lexicon)
     rows = checkpoint(rows)
-    out = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows).transform(rows)
-    value = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out)
-    return out.select(*map(_col, df.columns), "cluster", F.lit(value).alias("silhouette"))
+    tried = []
+    for n in range(k, (most or k) + 1):
+        out = KMeans(k=n, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows).transform(rows)
+        tried.append((-ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out), n, out))
+    value, _, out = min(tried, key=lambda x: x[:2])
+    return out.select(*map(_col, df.columns), "cluster", F.lit(-value).alias("silhouette"))
 
 
 def dbscan(df: DataFrame, id_col: str, vector_col: str, eps: float = 0.3, min_samples: int = 5) -> DataFrame:

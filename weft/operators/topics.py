@@ -154,3 +154,39 @@ def topic_labels(weights: DataFrame, topn: int = 3) -> DataFrame:
     need_columns("topic_labels", "weights", weights, ["topic", "keyword", "weight"])
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "keyword"))), 1, topn)
     return weights.groupBy("topic").agg(F.array_join(top["keyword"], "·").alias("label"))
+
+
+def vector_topics(df: DataFrame, id_col: str, vector_col: str, column: str, k: int = 5, topn: int = 10, stop: tuple[str, ...] = STOP_WORDS, lexicon=(), seed: int = 42) -> DataFrame:
+    """``(topic, rank, keyword, weight, documents)``: spherical k-means of a vector column, and the words that stand out in each cluster.
+
+    A word weighs its part of the words of the cluster times ``ln(1 + a / f)``, with ``f`` its count in all clusters and ``a``
+    the mean number of words of a cluster. Topics are numbered from 1 in the order of their smallest ids, which are distinct;
+    rows without a direction are in none, and a topic without words has no rows.
+    """
+    from weft.operators.text import _words
+
+    need_columns("vector_topics", "columns", df, [id_col, vector_col, column])
+    need_positive("vector_topics", "k", k)
+    need_positive("vector_topics", "topn", topn)
+    named = vector_clusters(df, id_col, vector_col, k, seed).select(F.col(id_col).alias("id"), (F.col("cluster") + 1).alias("topic"))
+    named = checkpoint(named)
+    sizes = named.groupBy("topic").agg(F.count(F.lit(1)).alias("documents"))
+    words = df.select(_col(id_col).alias("id"), F.explode(_words(df, column, stop, lexicon)).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    cells = checkpoint(words.join(named, "id").groupBy("topic", "word").agg(F.sum("n").alias("n")))
+    by_topic = cells.groupBy("topic").agg(F.sum("n").alias("m"))
+    mean = cells.agg((F.sum("n") / F.count_distinct("topic")).alias("a"))
+    by_word = cells.groupBy("word").agg(F.sum("n").alias("f"))  # at most k rows of cells a word
+    both = cells.join(by_word, "word").join(F.broadcast(by_topic), "topic").crossJoin(F.broadcast(mean))  # k rows, and one
+    weighed = both.withColumn("weight", F.col("n") / F.col("m") * F.log(1 + F.col("a") / F.col("f")))
+    ranked = weighed.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 12)), "word"))).where(F.col("rank") <= topn)
+    return ranked.join(F.broadcast(sizes), "topic").select("topic", "rank", F.col("word").alias("keyword"), "weight", "documents")
+
+
+def vector_clusters(df: DataFrame, id_col: str, vector_col: str, k: int, seed: int = 42) -> DataFrame:
+    """``(id, cluster)`` by k-means of the directions of a vector column; rows without a direction are left out."""
+    from weft.operators.dense import unit
+    from weft.operators.spectral import clustered
+
+    need_columns("vector_clusters", "columns", df, [id_col, vector_col])
+    points = df.select(_col(id_col), unit(_col(vector_col)).alias("u")).where("u is not null and not exists(u, x -> isnan(x))")
+    return clustered(points, id_col, "u", k, seed)

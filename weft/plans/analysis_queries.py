@@ -9,6 +9,7 @@ from weft.functions.texts import STOP_WORDS
 from weft.operators import graph as G
 from weft.operators import order as O
 from weft.operators import sparse as SP
+from weft.operators import spectral as SC
 from weft.operators import stats as ST
 from weft.operators import text as T
 from weft.operators import timeseries as TS
@@ -409,6 +410,21 @@ def _(spark, d):
     return G.pathfinder(supplier_edges(spark, d), "weight")
 
 
+_LINKS = "l AS (SELECT a AS x, b AS y, 1.0::DOUBLE / count AS c FROM e UNION ALL SELECT b, a, 1.0::DOUBLE / count FROM e)"
+
+
+@query("pathfinder_sums", f"WITH {_EDGES}, {_LINKS}, two AS (SELECT p.x, q.y, min(p.c + q.c) AS c FROM l p JOIN l q ON p.y = q.x AND p.x <> q.y GROUP BY 1, 2) SELECT a, b, count FROM e LEFT JOIN two ON x = a AND y = b WHERE 1.0::DOUBLE / count <= coalesce(c, 1e9) * (1 + 1e-9)")
+def _(spark, d):
+    return G.pathfinder(supplier_edges(spark, d), "count", 1, lmax=2).select("a", "b", "count")
+
+
+@query("pathfinder_squares", f"""WITH {_EDGES}, {_LINKS}, two AS (SELECT p.x, q.y, min(p.c * p.c + q.c * q.c) AS c FROM l p JOIN l q ON p.y = q.x AND p.x <> q.y GROUP BY 1, 2), three AS (SELECT p.x, q.y, min(p.c + q.c * q.c) AS c FROM two p JOIN l q ON p.y = q.x AND p.x <> q.y GROUP BY 1, 2),
+best AS (SELECT x, y, min(c) AS c FROM (SELECT * FROM two UNION ALL SELECT * FROM three) GROUP BY 1, 2), kept AS (SELECT a, b, count FROM e LEFT JOIN best ON x = a AND y = b WHERE (1.0::DOUBLE / count) ** 2 <= coalesce(c, 1e9) * (1 + 1e-9))
+SELECT a, b, count FROM kept QUALIFY row_number() OVER (ORDER BY count DESC, a, b) <= ceil((SELECT count(*) FROM kept) * 0.6::DOUBLE)""")
+def _(spark, d):
+    return G.pathfinder(supplier_edges(spark, d), "count", 2, lmax=3, dmax=0.6).select("a", "b", "count")
+
+
 @query("largest_component", f"""WITH RECURSIVE {_EDGES}, {_ENDS}, t AS (SELECT a, b, count FROM e JOIN k p ON p.x = a AND p.y = b AND p.r <= 1 JOIN k q ON q.x = b AND q.y = a AND q.r <= 3), both_ways AS (SELECT a AS x, b AS y FROM t UNION SELECT b, a FROM t),
 reach AS (SELECT x, x AS y FROM both_ways UNION SELECT r.x, l.y FROM reach r JOIN both_ways l ON l.x = r.y), c AS (SELECT x, min(y) AS c FROM reach GROUP BY 1), top AS (SELECT c FROM c GROUP BY 1 ORDER BY count(*) DESC, c LIMIT 1)
 SELECT a, b, count FROM t WHERE a IN (SELECT x FROM c WHERE c = (SELECT c FROM top))""")
@@ -462,6 +478,44 @@ def _(spark, d):
     return G.spectral_clusters(G.max_links(supplier_edges(spark, d), 8, "count"), 4, "count")
 
 
+@query("spectral_planted", f"WITH {_EDGES}, all_nodes AS (SELECT DISTINCT unnest([a, b]) AS node FROM e), parts AS (SELECT *, min(node) OVER (PARTITION BY substr(node, 2)::INT % 3) AS first FROM all_nodes) SELECT node, (dense_rank() OVER (ORDER BY first) - 1)::INT AS cluster FROM parts")
+def _(spark, d):
+    # communities are planted by weight; the largest gap has to give their number
+    third = lambda c: F.substr(c, F.lit(2)).cast("int") % 3
+    edges = supplier_edges(spark, d).withColumn("count", F.col("count") * F.when(third("a") == third("b"), 40).otherwise(1))
+    return G.spectral_clusters(edges, 0, "count")
+
+
+_SILHOUETTE = """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id, a.label, b.label AS other, {far} AS d FROM v a JOIN v b ON a.id <> b.id),
+m AS (SELECT id, label, other, avg(d) AS d, count(*) AS n FROM p GROUP BY 1, 2, 3), s AS (SELECT id, label, coalesce(max(d) FILTER (other = label), 0) AS a, min(d) FILTER (other <> label) AS b, coalesce(max(n) FILTER (other = label), 0) AS n FROM m GROUP BY 1, 2)
+SELECT id, label AS cluster, CASE WHEN n = 0 OR b IS NULL THEN 0 ELSE round((b - a) / greatest(a, b), 6) END AS silhouette FROM s"""
+
+
+@query("silhouettes", _SILHOUETTE.format(far="list_distance(a.e, b.e) ** 2"))
+def _(spark, d):
+    found = SC.silhouettes(load(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return found.select("id", "cluster", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("silhouettes_cosine", _SILHOUETTE.format(far="1 - list_cosine_similarity(a.e, b.e)"))
+def _(spark, d):
+    found = SC.silhouettes(load(spark, d, "embeddings"), "vec_id", "embedding", "label", "cosine")
+    return found.select("id", "cluster", F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("vector_topics", f"""WITH t AS (SELECT doc_id, lang, {_TOKENS} AS w FROM documents JOIN embeddings ON vec_id = doc_id), firsts AS (SELECT lang, min(doc_id) AS first, count(*) AS documents FROM t GROUP BY 1), topics AS (SELECT lang, documents, row_number() OVER (ORDER BY first)::INT AS topic FROM firsts),
+cells AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM t) GROUP BY 1, 2), s AS (SELECT lang, word, n, sum(n) OVER (PARTITION BY lang) AS m, sum(n) OVER (PARTITION BY word) AS f, (SELECT sum(n) / count(DISTINCT lang) FROM cells) AS a FROM cells),
+ranked AS (SELECT *, n / m * ln(1 + a / f) AS weight FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(n / m * ln(1 + a / f), 12) DESC, word) <= 8)
+SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 12) DESC, word)::INT AS rank, word AS keyword, round(weight, 9) AS weight, documents FROM ranked JOIN topics USING (lang)""")
+def _(spark, d):
+    # vectors that point where the language does, more or less
+    langs = [F.when(F.col("lang") == x, 6.0).otherwise(0.0) for x in ("de", "en", "es", "fr")]
+    both = load(spark, d, "documents").join(load(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    both = both.withColumn("v", F.concat(F.array(*langs), F.transform("embedding", lambda x: x.cast("double"))))
+    found = TP.vector_topics(both, "doc_id", "v", "text", 4, 8)
+    return found.withColumn("weight", F.round("weight", 9))
+
+
 @query("modularity", f"WITH {_EDGES}, c AS (SELECT *, substr(a, 2)::INT % 3 AS ca, substr(b, 2)::INT % 3 AS cb FROM e), m AS (SELECT sum(count) AS m FROM c), g AS (SELECT k, sum(count) AS g FROM (SELECT ca AS k, count FROM c UNION ALL SELECT cb, count FROM c) GROUP BY 1), i AS (SELECT ca AS k, sum(count) AS i FROM c WHERE ca = cb GROUP BY 1) SELECT sum(coalesce(i, 0) / m - (g / (2 * m)) ** 2) AS modularity FROM g LEFT JOIN i USING (k), m")
 def _(spark, d):
     clusters = supplier_nodes(spark, d).select(F.col("entity").alias("node"), (F.substr("entity", F.lit(2)).cast("int") % 3).alias("cluster"))
