@@ -13,6 +13,7 @@ from weft.functions.texts import normalized, washed, words
 from weft.operators import aggregates as A
 from weft.operators import columns as C
 from weft.operators import dedupe as D
+from weft.operators import entities as EN
 from weft.operators import graph as G
 from weft.operators import joins as J
 from weft.operators import links as L
@@ -261,11 +262,48 @@ def test_alert_without_signal_has_one_row(spark):
     assert [r["signal"] for r in TS.alert(df, "p", "i").collect()] == ["none"]
 
 
-def test_entities_and_aggression(spark):
-    df = spark.createDataFrame([(1, "Dr. Ann Lee met Acme Widgets Inc on 2024-03-01 at Salt Lake City"), (2, None), (3, "you idiot, shut up or die")], "i int, t string")
-    got = {(r["label"], r["text"]) for r in T.entities(df, "i", "t").collect()}
-    assert {("PERSON", "Dr. Ann Lee"), ("DATE", "2024-03-01"), ("ORG", "Acme Widgets Inc"), ("LOC", "Salt Lake City")} <= got
-    assert values(T.entities(df, "i", "t", ["DATE"]), "label") == ["DATE"]
+def test_entities_by_plain_patterns(spark):
+    """The families written as the patterns that they stand for."""
+    import random
+    import re
+
+    han = r"[\u4e00-\u9fa5]"
+    plain = [
+        ("PERSON", re.compile(f"(?:{han}{{2,4}}|[{EN.SURNAMES}])(?:{'|'.join(EN.HONORIFICS)})"), 0),
+        ("ORG", re.compile(f"{han}{{2,}}(?:{'|'.join(EN.ORG_ENDS)})"), 0),
+        ("LOC", re.compile(f"(?:{'|'.join(EN.LOC_CUES)})({han}{{2,}}(?:{'|'.join(EN.LOC_ENDS)}))"), 1),
+        ("DATE", re.compile(r"\d{4}年\d{1,2}月\d{1,2}日|\d{4}年\d{1,2}月|\d{1,2}月\d{1,2}日"), 0),
+    ]
+    rng = random.Random(2)
+    parts = [*EN.HONORIFICS, *EN.ORG_ENDS, *EN.LOC_CUES, *EN.LOC_ENDS, *"王李的了天地", " ", "x", "2024年5月", "12月3日", "，"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(400)] + [None, "", "  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("text", F.lit(1)).repartition(3)
+    want = {(i, m[g], k, m.start(g), m.end(g)) for i, t in enumerate(texts) for k, p, g in plain for m in p.finditer(t or "")}
+    assert {tuple(r) for r in EN.entities(df, "i", "t").collect()} == want and len({w[2] for w in want}) == 4
+    assert {tuple(r) for r in EN.entities(df, "i", "t", ["LOC"]).collect()} == {w for w in want if w[2] == "LOC"}
+    long = spark.createDataFrame([(1, "在" + "天" * 300_000 + "湖" + "地" * 300_000)], "i int, t string")
+    assert [r[2:] for r in EN.entities(long, "i", "t").collect()] == [("LOC", 1, 300_002)]
+    with pytest.raises(OpError):
+        EN.entities(df, "i", "t", ["ANIMAL"])
+
+
+def test_gazetteer_by_plain_search(spark):
+    import random
+
+    rng = random.Random(3)
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): rng.choice("XY") for _ in range(9)}
+    texts = ["".join(rng.choice("abcd ") for _ in range(40)) for _ in range(60)]
+    want = set()
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            hit = max((w for w in terms if t.startswith(w, at)), key=len, default=None)
+            if hit:
+                want.add((i, hit, terms[hit], at, at + len(hit)))
+            at += len(hit) if hit else 1
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    gazetteer = spark.createDataFrame([*terms.items(), ("", "X"), (None, "X"), ("q", None)], "term string, label string")
+    assert {tuple(r) for r in EN.entities(df, "i", "t", gazetteer=gazetteer).collect()} == want and len(want) > 100
 
 
 def network(spark):

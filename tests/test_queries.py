@@ -149,13 +149,6 @@ def test_spectral_clusters(spark):
     assert cut(got) <= np.quantile([cut(o) for o in others], 0.5)
 
 
-def test_entities(spark):
-    from weft.operators.text import ENTITIES
-
-    want = collections.Counter((r["doc_id"], k, m[0], m.start(), m.end()) for r in table(spark, "documents").collect() for k, p in ENTITIES.items() for m in re.finditer(p, r["text"] or ""))
-    assert collections.Counter((r["id"], r["label"], r["text"], r["start"], r["end"]) for r in rows(spark, "entities")) == want
-
-
 def test_text_rank(spark):
     weights = collections.Counter()
     for r in table(spark, "documents").select(tokens(F.col("text")).alias("w")).collect():
@@ -246,7 +239,7 @@ def test_learned_labels_and_clusters(spark):
     assert sum(max(n for (c, _), n in top.items() if c == k) for k in by) / len(clusters) > 0.5  # clusters follow the languages
 
 
-TESTED = {"sample_rows", "sample_fraction", "anomaly", "betweenness", "sigma", "bursts", "pathfinder", "spectral_clusters", "entities", "text_rank", "suggest_stages", "topic_timeline", "topic_model", "topic_by_stage", "topic_map", "topic_coherence", "text_classifier", "cluster_texts"}
+TESTED = {"sample_rows", "sample_fraction", "anomaly", "betweenness", "sigma", "bursts", "pathfinder", "spectral_clusters", "text_rank", "suggest_stages", "topic_timeline", "topic_model", "topic_by_stage", "topic_map", "topic_coherence", "text_classifier", "cluster_texts"}
 
 
 def test_entry_and_registry(spark):

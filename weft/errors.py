@@ -12,7 +12,10 @@ class OpError(ValueError):
 
 
 def need_columns(op: str, param: str, df, names) -> None:
-    """Refuse columns that ``df`` does not have."""
+    """Refuse columns that ``df`` does not have. Every operator asks this first, so the package is sent to the workers here."""
+    from weft.runtime import ship
+
+    ship(df.sparkSession)
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise OpError(op, param, f"no such column: {', '.join(map(repr, missing))}; there are {', '.join(df.columns)}")

@@ -1,10 +1,7 @@
-"""Text steps: word counts, TF-IDF, co-occurrence, keywords, washing, lexicon scores and named entities."""
+"""Text steps: word counts, TF-IDF, co-occurrence, keywords, washing and lexicon scores."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,31 +162,6 @@ def aggression(df: DataFrame, column: str, families: dict[str, tuple[float, str]
     return rows.withColumn("aggression_hits", F.array_join(F.transform("__fired", lambda x: x["hit"]), "；")).drop("__fired")
 
 
-#: Shapes of entities.
-ENTITIES = {
-    "DATE": r"\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b|\d{4}年\d{1,2}月(?:\d{1,2}日)?",
-    "ORG": r"\b(?:[A-Z][\w&]+ )+(?:Inc|Ltd|LLC|Corp|Company|University|Institute|Bank|Group)\b\.?",
-    "LOC": r"\b(?:[A-Z][a-z]+ )+(?:City|County|Province|Street|River|Lake|Island)\b",
-    "PERSON": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+(?: [A-Z][a-z]+)?",
-}
-
-
-def entities(df: DataFrame, id_col: str, column: str, types: list[str] | None = None) -> DataFrame:
-    """``(id, text, label, start, end)`` of the entities of the wanted types, in code points."""
-    need_columns("entities", "columns", df, [id_col, column])
-    for t in types or []:
-        need_one_of("entities", "types", t, ENTITIES)
-    wanted = [(k, p) for k, p in ENTITIES.items() if not types or k in types]
-
-    def find(batches):
-        shapes = [(k, re.compile(p)) for k, p in wanted]
-        for pdf in batches:
-            rows = [(i, m[0], k, m.start(), m.end()) for i, text in zip(pdf["id"], pdf["text"], strict=True) for k, p in shapes for m in p.finditer(text or "")]
-            yield pd.DataFrame(rows, columns=["id", "text", "label", "start", "end"])
-
-    return df.select(_col(id_col).alias("id"), _col(column).alias("text")).mapInPandas(find, f"id {dict(df.dtypes)[id_col]}, text string, label string, start int, end int")
-
-
 def text_rank(df: DataFrame, column: str, top_k: int = 10, span: int = 5, rounds: int = 10, damping: float = 0.85, stop: tuple[str, ...] = STOP_WORDS, lexicon=()) -> DataFrame:
     """``(word, score)`` by PageRank over words that stand within ``span`` words of each other."""
     from weft.operators.graph import page_rank

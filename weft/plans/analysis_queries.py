@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import scalars as S
 from weft.functions.texts import STOP_WORDS
+from weft.operators import entities as EN
 from weft.operators import graph as G
 from weft.operators import order as O
 from weft.operators import sparse as SP
@@ -148,9 +149,15 @@ def _(spark, d):
     return T.cooccurrence(load(spark, d, "documents"), "doc_id", "text", window=5)
 
 
-@query("entities")
+@query(
+    "entities",
+    """WITH said(k, text, label, a, b) AS (VALUES (0, '张伟先生', 'PERSON', 0, 4), (0, '张伟先生在北京市海淀区中关村的北京大学', 'ORG', 0, 19), (0, '北京市海淀区中关村', 'LOC', 5, 14), (1, '日李女士', 'PERSON', 8, 12), (1, '2024年5月1日', 'DATE', 0, 9), (2, '王总裁', 'PERSON', 0, 3), (3, '杭州西湖', 'LOC', 6, 10), (3, '12月3日', 'DATE', 0, 5))
+SELECT doc_id AS id, s.text, label, a AS start, b AS "end" FROM documents JOIN said s ON s.k = doc_id % 5""",
+)
 def _(spark, d):
-    return T.entities(load(spark, d, "documents"), "doc_id", "text")
+    docs = load(spark, d, "documents")
+    said = F.when(F.col("doc_id") % 5 == 0, "张伟先生在北京市海淀区中关村的北京大学工作").when(F.col("doc_id") % 5 == 1, "2024年5月1日李女士来自").when(F.col("doc_id") % 5 == 2, "王总裁").when(F.col("doc_id") % 5 == 3, "12月3日到杭州西湖").otherwise("大学")
+    return EN.entities(docs.select("doc_id", F.concat(said, F.lit(" "), "text").alias("text")), "doc_id", "text")
 
 
 @query("text_rank")

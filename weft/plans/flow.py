@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.errors import OpError
 from weft.functions.scalars import names_of
-from weft.operators import aggregates, charts, columns, dedupe, joins, order, segment, sparse, spectral, stats, text, timeseries, topics
+from weft.operators import aggregates, charts, columns, dedupe, entities, joins, order, segment, sparse, spectral, stats, text, timeseries, topics
 from weft.runtime import checkpoint
 from weft.sources.sinks import Lineage, export
 from weft.sources.tables import from_rows, read_table
@@ -38,9 +38,10 @@ for _module, _names in (
     (dedupe, "drop_duplicates dedupe_similar semantic_dedupe similar_to"),
     (timeseries, "suggest_stages forecast alert stage_order"),
     (segment, "learn_lexicon cut_words"),
+    (entities, "entities"),
     (sparse, "dbscan_texts"),
     (spectral, "silhouettes"),
-    (text, "word_counts keywords cooccurrence wash aggression entities text_rank"),
+    (text, "word_counts keywords cooccurrence wash aggression text_rank"),
     (stats, "correlation significance anomaly cluster_texts dbscan bot_scores"),
     (topics, "topic_model topic_by_stage topic_map topic_salience topic_coherence topic_flow topic_timeline topic_labels vector_topics vector_clusters"),
 ):
