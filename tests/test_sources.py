@@ -115,3 +115,22 @@ def test_streams_equal_batches(spark, tmp_path):
     seen = streams.first_seen(stream, ["user_id"])
     streams.drain(seen, str(tmp_path / "out"), str(tmp_path / "c3")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("user_id").distinct().count()
+
+
+def test_bibtex_values_at_any_depth(spark, tmp_path):
+    from weft.sources.records import bibtex_fields, bibtex_problems, read_bibtex
+
+    deep = "{" * 40 + "deep" + "}" * 40
+    text = (
+        "% a comment, with a {brace\n@string{jcp = {x}}\n@article{a1,\n  title = {On " + deep + " {T}itles, \"quoted\" = too},\n  author = \"Ann {\\\"O}ne and Bob Two\",\n  year = 2020 , journal = {J} # { of } # \"K\",\n keywords={a, b; c}}\n"
+        "@article{b2, title = {Second}, year = {1999}, abstract = {never {closed,\n author = {Lost}\n"
+        "@inproceedings{c3,TITLE=\"Third {with \" inside}\",booktitle={Proc},year=\"2001\"}\n@misc{d4}\n@misc{e5, year = 2000}\n"
+    )
+    (tmp_path / "x.bib").write_text(text)
+    got = {r["title"]: r for r in read_bibtex(spark, str(tmp_path / "x.bib")).collect()}
+    assert set(got) == {'On deep Titles, "quoted" = too', "Second", 'Third with " inside'}
+    first = got['On deep Titles, "quoted" = too']
+    assert (first["authors"], first["year"], first["journal"], first["keywords"]) == ('Ann \\"One;Bob Two', 2020, "J of K", "a;b;c")
+    assert got["Second"]["year"] == 1999 and got["Second"]["authors"] is None and got['Third with " inside']["journal"] == "Proc"
+    assert [(r["head"][:11], r["field"]) for r in bibtex_problems(spark, str(tmp_path / "x.bib")).collect()] == [("article{b2,", "abstract")]
+    assert bibtex_fields("article{k, title = {" + "{" * 100_000 + "}" * 100_000 + "}, year = 3}") == ({"title": "{" * 100_000 + "}" * 100_000, "year": "3"}, None)

@@ -18,7 +18,7 @@ from weft.operators import dense
 from weft.operators.components import connected_components
 from weft.operators.links import bits_within, links_by_key
 from weft.operators.skew import join_table
-from weft.runtime import checkpoint
+from weft.runtime import checkpoint, spread
 
 
 def _col(name: str) -> Column:
@@ -42,17 +42,20 @@ def drop_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str |
     rows = df.toDF(*names)
     key = [F.col(names[df.columns.index(c)]) for c in columns]
     if mode == "normalized":
-        rows = rows.withColumn("key", normalized_key(F.concat_ws("\u001e", *[c.cast("string") for c in key])))
-        blank, rows = rows.where("key = ''").drop("key"), rows.where("key <> ''")
+        rows = spread(rows).withColumn("key", normalized_key(F.concat_ws("\u001e", *[c.cast("string") for c in key])))
+        rows = rows.withColumn("key", F.struct("key", F.when(F.col("key") == "", F.monotonically_increasing_id()).alias("row")))  # what is blank is a group of its own
     else:
-        blank, rows = None, rows.withColumn("key", F.struct(*key))
-    if keep is False:
+        rows = rows.withColumn("key", F.struct(*key))
+    if keep is False and mode == "normalized":
+        first = F.min_by(F.struct(*names), F.struct(F.lit(0)))
+        out = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first.alias("row")).where("n = 1").select("row.*")
+    elif keep is False:
         many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         out = rows.join(many, rows["key"].eqNullSafe(many["key"]), "left_anti").drop("key")
     else:
         chosen = F.min_by if keep == "first" else F.max_by
         out = rows.groupBy("key").agg(chosen(F.struct(*names), F.struct(F.lit(0), names[df.columns.index(order_by)])).alias("row")).select("row.*")
-    return (out if blank is None else out.unionByName(blank)).toDF(*df.columns)
+    return out.toDF(*df.columns)
 
 
 #: Hashes of words that a worker keeps.
@@ -72,17 +75,18 @@ def _votes(word: str) -> np.ndarray:
 
 def _fingerprints(batches):
     for batch in batches:
-        prints = []
-        for text in batch.column(1).to_pylist():
-            counts = Counter(text)
+        prints, texts = [], batch.column(1).to_pylist()
+        with_words = [i for i, text in enumerate(texts) if text]
+        for i in with_words:
+            counts = Counter(texts[i])
             tally = np.array(list(counts.values()), np.int64) @ np.stack([_votes(w) for w in counts])
             prints.append(int(np.packbits(tally > 0, bitorder="little").view(np.int64)[0]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(with_words, pa.int64())), pa.array(prints, pa.int64())], names=["id", "fp"])
 
 
 def with_simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, fp)``: a 64-bit vote of the normalised text's words by frequency, each hashed by SHA-1; texts without words are left out."""
-    rows = df.select(_col(id_col).alias("id"), words(normalized(_col(text_col))).alias("w")).where("size(w) > 0")
+    rows = spread(df.select(_col(id_col).alias("id"), _col(text_col).alias("text"))).select("id", words(normalized(F.col("text"))).alias("w"))
     return rows.mapInArrow(_fingerprints, StructType([StructField("id", rows.schema["id"].dataType), StructField("fp", LongType())]))
 
 

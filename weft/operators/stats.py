@@ -248,7 +248,8 @@ def text_features(df: DataFrame, column: str, vocabulary: int = 3000, ngrams: in
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 
     words = tokens(F.coalesce(_col(column).cast("string"), F.lit("")), lexicon=lexicon)
-    grams = F.concat(words, F.transform(F.slice(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1_000_000).alias("b")), 1, 1_000_000), lambda p: F.concat_ws(" ", p["a"], p["b"]))) if ngrams > 1 else words
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    grams = F.concat(words, F.array_compact(pairs)) if ngrams > 1 else words
     prepared = df.withColumn("__words", grams)
     model = Pipeline(stages=[CountVectorizer(inputCol="__words", outputCol="__tf", vocabSize=vocabulary), IDF(inputCol="__tf", outputCol="__idf"), Normalizer(inputCol="__idf", outputCol="features")]).fit(prepared)
     return model, model.transform(prepared)

@@ -53,6 +53,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as run at once, if it is read by fewer: for costly work on rows of a small or badly cut file."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not use yet, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -6,11 +6,15 @@ many tasks and a row is a record; tags are taken apart by built-in functions.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.errors import OpError
 from weft.functions.scalars import year_of
+from weft.runtime import ship
 
 COLUMNS = ("title", "authors", "affiliations", "journal", "year", "volume", "issue", "pages", "keywords", "abstract", "references", "doi")
 
@@ -32,8 +36,6 @@ TABLES = {
     "pubmed_csv": {"title": ("Title",), "authors": ("Authors",), "affiliations": (), "journal": ("Journal/Book",), "year": ("Publication Year",), "volume": (), "issue": (), "pages": (), "keywords": (), "abstract": (), "references": (), "doi": ("DOI",)},
     "wos_table": {"title": ("TI", "Article Title"), "authors": ("AU", "Authors"), "affiliations": ("C1", "Addresses"), "journal": ("SO", "Source Title"), "year": ("PY", "Publication Year"), "volume": ("VL", "Volume"), "issue": ("IS", "Issue"), "pages": ("BP", "Start Page"), "keywords": ("DE", "Author Keywords"), "abstract": ("AB", "Abstract"), "references": ("CR", "Cited References"), "doi": ("DI", "DOI")},
 }
-#: Braces within braces of a BibTeX value.
-NESTED = 8
 _LISTS = ("authors", "affiliations", "keywords", "references")
 
 
@@ -73,19 +75,86 @@ def read_tagged(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return _finished(rows, fmt, {n: values(n, fields[n]) for n in COLUMNS})
 
 
+_NAME = re.compile(r"[\s,]*([A-Za-z][\w:.+-]*)\s*=\s*")
+_BRACE, _QUOTE_END, _BARE, _JOIN = re.compile(r"[{}]"), re.compile(r'[{}"]'), re.compile(r"[^\s,{}#\"]+"), re.compile(r"\s*#\s*")
+
+
+def _closing(text: str, at: int, quoted: bool) -> int:
+    """Where the value that starts at ``at`` ends: at its closing brace, or at a quotation mark outside of braces; -1 without one."""
+    open_ = 0 if quoted else 1
+    for m in (_QUOTE_END if quoted else _BRACE).finditer(text, at):
+        if m[0] == '"':
+            if not open_:
+                return m.start()
+        else:
+            open_ += 1 if m[0] == "{" else -1
+            if not open_ and not quoted:
+                return m.start()
+            if open_ < 0:
+                return -1
+    return -1
+
+
+def bibtex_fields(entry: str) -> tuple[dict[str, str], str | None]:
+    """The fields of an entry by name in lower case, the first of each, and the name of a field that does not end.
+
+    Values are in braces of any depth, in quotation marks or bare numbers, and may be joined by ``#``; one that does not end
+    is left out, and what follows it with it.
+    """
+    out: dict[str, str] = {}
+    at = entry.find("{") + 1
+    comma = entry.find(",", at) if at else -1
+    at = comma if comma >= 0 else len(entry)
+    while m := _NAME.match(entry, at):
+        at, parts = m.end(), []
+        while True:
+            sign = entry[at : at + 1]
+            if sign in ("{", '"') and sign:
+                end = _closing(entry, at + 1, sign == '"')
+                if end < 0:
+                    return out, m[1].lower()
+                parts.append(entry[at + 1 : end])
+                at = end + 1
+            elif bare := _BARE.match(entry, at):
+                parts.append(bare[0] if bare[0].isdigit() else "")
+                at = bare.end()
+            else:
+                break
+            if not (join := _JOIN.match(entry, at)):
+                break
+            at = join.end()
+        out.setdefault(m[1].lower(), "".join(parts))
+    return out, None
+
+
+def _bibtex_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(head, fields, unended)`` of each entry of a BibTeX file."""
+    ship(spark)
+    rows = spark.read.text(path, lineSep="\n@").select(F.regexp_replace("value", "\r", "").alias("r")).where(r"r rlike '(?s)^\\s*@?\\s*[A-Za-z]+\\s*\\{'")
+
+    def run(batches):
+        for batch in batches:
+            found = [(e.split("\n", 1)[0][:200], *bibtex_fields(e)) for e in batch.column(0).to_pylist()]
+            columns = [pa.array([h for h, _, _ in found], pa.string()), pa.array([list(f.items()) for _, f, _ in found], pa.map_(pa.string(), pa.string())), pa.array([u for _, _, u in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["head", "fields", "unended"])
+
+    return rows.mapInArrow(run, "head string, fields map<string,string>, unended string")
+
+
+def bibtex_problems(spark: SparkSession, path: str) -> DataFrame:
+    """``(head, field)``: the first line of each entry with a value that does not end, and the name of that field."""
+    return _bibtex_rows(spark, path).where("unended is not null").select("head", F.col("unended").alias("field"))
+
+
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a BibTeX file; values in braces (nested up to ``NESTED`` times), quotes or bare numbers."""
-    inner = r"[^{}]*+"
-    for _ in range(NESTED):
-        inner = r"(?:[^{}]|\{" + inner + r"\})*+"
-    rows = spark.read.text(path, lineSep="\n@").select(F.regexp_replace("value", "\r", "").alias("r"))
+    """Records of a BibTeX file; values in braces of any depth, quotation marks or bare numbers.
+
+    Of an entry with a value that does not end the fields before it count; ``bibtex_problems`` names such entries.
+    """
+    rows = _bibtex_rows(spark, path)
 
     def value(name: str) -> Column:
-        key = rf"(?is)(?:^|[,\s]){name}\s*=\s*"
-        braces = F.regexp_extract("r", key + r"\{(" + inner + r")\}", 1)
-        quotes = F.regexp_extract("r", key + r'"([^"]*)"', 1)
-        bare = F.regexp_extract("r", key + r"(\d+)", 1)
-        text = F.when(braces != "", braces).when(quotes != "", quotes).otherwise(bare)
+        text = F.try_element_at("fields", F.lit(name))
         return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(text, r"[{}]", ""), r"\s+", " ")), F.lit(""))
 
     names = {"title": "title", "authors": "author", "affiliations": "affiliation", "journal": "journal", "year": "year", "volume": "volume", "issue": "number", "pages": "pages", "keywords": "keywords", "abstract": "abstract", "references": "cited-references", "doi": "doi"}
