@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from weft.errors import OpError
 from weft.plans import flow
@@ -117,6 +118,43 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("user_id").distinct().count()
 
 
+def test_an_append_reads_only_what_may_hold_its_keys(spark, tmp_path, monkeypatch):
+    from weft.sources import lineage
+
+    monkeypatch.setattr(lineage, "PART_KEYS", 100)
+    store = Lineage(spark, str(tmp_path / "store"), ["k"])
+    for i in range(3):  # three versions of ten parts
+        assert store.append(spark.range(i * 1000, (i + 1) * 1000).select(F.col("id").alias("k"), F.lit(i).alias("v"))) == i + 1
+        assert store.parts_read == 0  # all keys are new
+    assert store.append(spark.createDataFrame([(1500, 9)], "k long, v int")) == 3 and store.parts_read == 1
+    assert store.append(spark.createDataFrame([(1500, 9), (7, 9), (5000, 9)], "k long, v int")) == 4 and store.parts_read == 2
+    assert sorted(r["k"] for r in store.read().collect()) == [*range(3000), 5000] and store.read(2).count() == 2000
+    assert store.read().where("k in (7, 1500)").agg(F.max("v")).first()[0] == 1
+    capped = store.append(spark.range(6000, 7000).select(F.col("id").alias("k"), F.lit(0).alias("v")), max_rows=3101)
+    assert capped == 5 and store.capped and store.read().count() == 3101
+
+
+def test_a_failed_append_leaves_no_trace(spark, tmp_path, monkeypatch):
+    from weft.sources import lineage
+
+    store, rows = Lineage(spark, str(tmp_path / "store"), ["k"]), spark.range(50).select(F.col("id").alias("k"))
+    store.append(rows)
+    before = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file())
+    with monkeypatch.context() as m:
+        m.setattr(lineage, "_filter", lambda pdf: 1 / 0)
+        with pytest.raises(Exception, match="division by zero"):
+            store.append(rows.withColumn("k", F.col("k") + 100))
+    with monkeypatch.context() as m:
+        m.setattr(Lineage, "latest", lambda self: 0)  # as if another append had come first
+        with pytest.raises(OpError, match="meanwhile"):
+            store.append(rows.withColumn("k", F.col("k") + 100))
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == before
+    assert store.latest() == 1 and store.read().count() == 50
+    assert store.append(rows.withColumn("k", F.col("k") + 100)) == 2 and store.read().count() == 100
+    store.reset()
+    assert store.latest() == 0 and store.append(rows.withColumn("other", F.lit(1))) == 1
+
+
 def test_bibtex_values_at_any_depth(spark, tmp_path):
     from weft.sources.records import bibtex_fields, bibtex_problems, read_bibtex
 

@@ -13,6 +13,7 @@ from weft.errors import OpError, need_columns
 from weft.operators.columns import neutralise_formulas
 from weft.operators.order import numbered
 from weft.runtime import checkpoint
+from weft.sources.lineage import Lineage
 
 ALIASES = {"md": "markdown", "xls": "excel", "xlsx": "excel", "text": "txt"}
 FORMATS = ("csv", "json", "parquet", "txt", "html", "markdown")
@@ -113,71 +114,6 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "grap
     return path
 
 
-class Lineage:
-    """A cumulative dataset in a shared folder: a row whose identity is known is not added again; each change is a version.
-
-    Parquet parts are partitioned by version, so a version is read by pruning and nothing is rewritten.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, identity: list[str] | None = None):
-        self.spark, self.folder, self.identity, self.capped = spark, folder.rstrip("/"), identity, False
-
-    def _all(self) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            rows = self.spark.read.parquet(self.folder)
-            return rows if "_version" in rows.columns else None  # reset
-        except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
-
-    def versions(self) -> DataFrame:
-        """``(version, rows)`` of what each version added."""
-        rows = self._all()
-        return self.spark.createDataFrame([], "version int, rows bigint") if rows is None else rows.groupBy(F.col("_version").alias("version")).agg(F.count(F.lit(1)).alias("rows")).orderBy("version")
-
-    def latest(self) -> int:
-        rows = self._all()
-        return 0 if rows is None else rows.agg(F.coalesce(F.max("_version"), F.lit(0))).first()[0]
-
-    def read(self, version: int | None = None) -> DataFrame:
-        rows = self._all()
-        if rows is None:
-            raise OpError("lineage", "folder", f"{self.folder} has no data yet")
-        return (rows if version is None else rows.where(F.col("_version") <= version)).drop("_version", "_key")
-
-    def append(self, df: DataFrame, max_rows: int | None = None) -> int:
-        """Add rows with new identities; returns the version, the same as before if there are none. Other columns than before are refused.
-
-        With ``max_rows`` the dataset takes no more rows than that, those with the smallest
-        identities first; ``capped`` then says whether some were left out.
-        """
-        keys = self.identity or df.columns
-        need_columns("lineage", "identity", df, keys)
-        old = self._all()
-        if old is not None and set(old.columns) - {"_version", "_key"} != set(df.columns):
-            raise OpError("lineage", "df", f"its columns are {', '.join(df.columns)}, those of the dataset {', '.join(c for c in old.columns if c[0] != '_')}")
-        key = F.sha1(F.concat_ws("\u001f", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\u0000")) for k in keys]))
-        new = df.withColumn("_key", key).dropDuplicates(["_key"])
-        if old is not None:
-            new = new.join(old.select("_key"), "_key", "left_anti").select(*df.columns, "_key")
-        version, new, self.capped = self.latest(), checkpoint(new), False
-        if max_rows is not None:
-            room = max(0, max_rows - (0 if old is None else old.count()))
-            self.capped = new.count() > room
-            new = checkpoint(new.orderBy("_key").limit(room)) if self.capped else new
-        if new.isEmpty():
-            return version
-        new.withColumn("_version", F.lit(version + 1)).write.mode("append").partitionBy("_version").parquet(self.folder)
-        return version + 1
-
-    def reset(self) -> None:
-        """Empty the dataset; the next rows are version 1 again and may have other columns."""
-        self.spark.createDataFrame([], "_key string").write.mode("overwrite").parquet(self.folder)
-
-
 class Watch:
     """Captures of one table in a shared folder, each compared with the one before."""
 
