@@ -172,3 +172,41 @@ def test_bibtex_values_at_any_depth(spark, tmp_path):
     assert got["Second"]["year"] == 1999 and got["Second"]["authors"] is None and got['Third with " inside']["journal"] == "Proc"
     assert [(r["head"][:11], r["field"]) for r in bibtex_problems(spark, str(tmp_path / "x.bib")).collect()] == [("article{b2,", "abstract")]
     assert bibtex_fields("article{k, title = {" + "{" * 100_000 + "}" * 100_000 + "}, year = 3}") == ({"title": "{" * 100_000 + "}" * 100_000, "year": "3"}, None)
+
+
+def test_monitor_of_nodes_and_streams(spark, tmp_path):
+    import time
+
+    from weft.plans.flow import run_workflow
+    from weft.plans.monitor import Monitor, StreamMonitor
+
+    monitor = Monitor()
+    df = monitor.watch("in", spark.range(10).select(F.when(F.col("id") > 6, F.col("id")).alias("x")), ["x"])
+    kept = monitor.watch("kept", df.where("x is not null"))
+    assert {r["state"] for r in monitor.rows(spark).collect()} == {"waiting"}
+    kept.write.parquet(str(tmp_path / "out"))
+    got = {r["node"]: r for r in monitor.rows(spark).collect()}
+    assert (got["in"]["rows"], got["in"]["nulls"], got["kept"]["rows"]) == (10, {"x": 7}, 3)
+    run = Monitor()
+    nodes = [{"id": "a", "type": "source", "rows": [{"k": 1}, {"k": 2}]}, {"id": "b", "type": "analysis", "steps": [{"op": "filter_rows", "params": {"column": "k", "op": "gt", "value": 1}}]}]
+    run_workflow(spark, {"nodes": nodes, "connections": [{"from": "a", "to": "b"}]}, monitor=run)["b"].collect()
+    assert {(r["node"], r["rows"]) for r in run.rows(spark).collect()} == {("a", 2), ("b", 1)}
+    seen = StreamMonitor()
+    spark.streams.addListener(seen)
+    try:
+        spark.range(25).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        stream.writeStream.queryName("good").format("noop").option("checkpointLocation", str(tmp_path / "g")).trigger(availableNow=True).start().awaitTermination(60)
+        bad = stream.select(F.raise_error(F.lit("no such luck")).alias("x")).writeStream.queryName("bad").format("noop").option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="no such luck"):
+            bad.awaitTermination(60)
+        for _ in range(100):
+            events = seen.rows(spark).collect()
+            if sum(e["event"] in ("ended", "failed") for e in events) == 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert sum(e["rows"] for e in events if e["event"] == "batch" and e["stream"] == "good") == 25
+    assert [(e["stream"], "no such luck" in (e["reason"] or "")) for e in events if e["event"] == "failed"] == [("bad", True)]
+    assert [e["stream"] for e in events if e["event"] == "ended"] == ["good"]

@@ -163,12 +163,13 @@ def stored(spark: SparkSession, folder: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def run_workflow(spark: SparkSession, workflow: dict, store: str = "") -> dict[str, DataFrame]:
+def run_workflow(spark: SparkSession, workflow: dict, store: str = "", monitor=None) -> dict[str, DataFrame]:
     """Build each enabled node: ``source`` (path or rows), ``analysis`` (steps), ``merge``, ``fuse``, ``python`` (a registered step), ``model``,
     ``script`` (a kept script), ``accumulate`` (folder, identity) and ``output`` (path, format). A node that several others read is checkpointed once.
 
     With ``store``, a folder that all executors share, the rows of each node that only computes
-    are written there under its fingerprint, and a later run takes them from there.
+    are written there under its fingerprint, and a later run takes them from there. A ``Monitor`` counts the
+    rows of each node in the jobs that run it.
     """
     nodes = {n["id"]: n for n in workflow["nodes"] if not n.get("disabled")}
     links = [(c["from"], c["to"]) for c in workflow.get("connections", []) if c["from"] in nodes and c["to"] in nodes]
@@ -204,9 +205,12 @@ def run_workflow(spark: SparkSession, workflow: dict, store: str = "") -> dict[s
             df = lineage.read()
         elif kind == "output":
             df = joins.merge_tables(inputs) if len(inputs) > 1 else inputs[0]
+            df = monitor.watch(i, df) if monitor else df
             export(df, n["path"], n.get("format", "parquet"), n.get("text_column", ""))
         else:
             raise OpError("workflow", "type", f"{kind!r} of node {i!r} is unknown")
+        if monitor and kind != "output":
+            df = monitor.watch(i, df)
         if done:
             df.write.mode("overwrite").parquet(done)
             df = spark.read.parquet(done)

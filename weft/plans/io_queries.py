@@ -17,6 +17,7 @@ from weft.operators import charts as CH
 from weft.operators import graph as G
 from weft.operators.places import affiliation_countries
 from weft.plans import flow
+from weft.plans import monitor as MO
 from weft.runtime import load, shared_folder
 from weft.sources import records as R
 from weft.sources import sinks as K
@@ -201,6 +202,21 @@ def _(spark, d):
     return data.read()
 
 
+@query("workflow_monitor", "SELECT 'all' AS node, 'done' AS state, count(*) AS rows FROM orders UNION ALL SELECT 'dear', 'done', count(*) FROM orders WHERE o_totalprice > 1000 UNION ALL SELECT 'by status', 'done', count(DISTINCT o_orderstatus) FROM orders WHERE o_totalprice > 1000 UNION ALL SELECT 'out', 'done', count(DISTINCT o_orderstatus) FROM orders WHERE o_totalprice > 1000 UNION ALL SELECT 'unread', 'waiting', NULL")
+def _(spark, d):
+    # counts come from the one job that writes the output
+    monitor, out = MO.Monitor(), folder(spark, "monitor")
+    nodes = [
+        {"id": "all", "type": "source", "path": f"{d}/orders.parquet"},
+        {"id": "dear", "type": "analysis", "steps": [{"op": "filter_rows", "params": {"column": "o_totalprice", "op": "gt", "value": 1000}}]},
+        {"id": "by status", "type": "analysis", "steps": [{"op": "groupby_agg", "params": {"group_col": "o_orderstatus", "agg_col": "o_orderkey", "agg_func": "count"}}]},
+        {"id": "out", "type": "output", "path": out},
+        {"id": "unread", "type": "source", "path": f"{d}/nation.parquet"},
+    ]
+    flow.run_workflow(spark, {"nodes": nodes, "connections": [{"from": a, "to": b} for a, b in (("all", "dear"), ("dear", "by status"), ("by status", "out"))]}, monitor=monitor)
+    return monitor.rows(spark).drop("nulls")
+
+
 @query("workflow_resume", "SELECT o_orderstatus, count(*) AS o_orderkey_count FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
 def _(spark, d):
     steps = [{"op": "filter_rows", "params": {"column": "o_totalprice", "op": "gt", "value": 1000}}, {"op": "groupby_agg", "params": {"group_col": "o_orderstatus", "agg_col": "o_orderkey", "agg_func": "count"}}]
