@@ -350,3 +350,60 @@ def test_kendall_against_all_pairs(spark):
     tx, ty = (sum(a[k] != b[k] for i, a in enumerate(pairs) for b in pairs[:i]) for k in (0, 1))
     got = ST.correlation(spark.createDataFrame(rows, "x double, y double"), ["x", "y"], "kendall").first()["correlation"]
     assert got == pytest.approx(s / math.sqrt(tx * ty))
+
+
+def test_message_dates_by_the_mail_parser(spark):
+    import random
+    from datetime import datetime, timedelta, timezone
+    from email.utils import parsedate_to_datetime
+
+    rng = random.Random(5)
+    texts = ["Thu, 01 May 2025 10:20:30 +0800", "1 May 25 9:05 EST", "Fri, 31 Dec 1999 23:59:59 -0330", "30 Jun 2024 00:00:00 Z", "mon, 7 jan 2019 07:08:09 gmt"]
+    for _ in range(100):
+        at = datetime(rng.randint(1971, 2040), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23), rng.randint(0, 59), rng.randint(0, 59), tzinfo=timezone(timedelta(minutes=rng.choice([0, 330, -480, 525, 60]))))
+        texts.append(at.strftime("%a, %d %b %Y %H:%M:%S %z"))
+    want = [parsedate_to_datetime(t).astimezone(timezone.utc).replace(tzinfo=None) for t in texts]
+    odd = [None, "", "yesterday", "Thu, 31 Feb 2025 10:00:00 GMT", "1 Foo 2020 10:00", "1 May 2020 25:00"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *odd])], "i int, t string")
+    got = [r[0] for r in df.select("i", S.message_date(F.col("t")).alias("m")).orderBy("i").select("m").collect()]
+    assert got == [*want, *[None] * len(odd)]
+
+
+def test_sample_against_its_hash(spark):
+    import xxhash
+    from weft.operators import order as O
+
+    rows = [(1, "a"), (1, "a"), (1, "a"), (2, None), (3, "ü"), *((i, f"v{i % 7}") for i in range(10, 200))]
+    df = spark.createDataFrame(rows, "k long, v string").repartition(3)
+
+    def key(row, copy, seed=5):
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little", signed=True), 42)
+        for x in row:
+            h = h if x is None else xxhash.xxh64_intdigest(str(x).encode(), h)
+        return xxhash.xxh64_intdigest(copy.to_bytes(8, "little"), h)
+
+    seen, keyed = {}, []
+    for r in rows:
+        seen[r] = seen.get(r, 0) + 1
+        keyed.append((key(r, seen[r]), r))
+    signed = sorted(((h - (1 << 64) if h >> 63 else h), r) for h, r in keyed)
+    text = lambda found: sorted(map(repr, found))
+    for n in (0, 1, 40, 1000):
+        assert text(tuple(r) for r in O.sample_rows(df, n, seed=5).collect()) == text(r for _, r in signed[:n])
+    for frac in (0.0, 0.3, 1.0):
+        assert text(tuple(r) for r in O.sample_rows(df, frac=frac, seed=5).collect()) == text(r for h, r in keyed if (h >> 11) / (1 << 53) < frac)
+
+
+def test_planted_outliers_rank_first(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 3))
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(10_000 + i, *(float(s) * 9 for s in sign)) for i, sign in enumerate([(1, 1, 1), (-1, 1, -1), (1, -1, 1), (-1, -1, -1)])]
+    rows += [(20_000 + i, 0.0, 0.0, 0.0) for i in range(300)]  # copies of the middle
+    got = ST.anomaly(spark.createDataFrame(rows, "i long, a double, b double, c double"), ["a", "b", "c"], 0.05).collect()
+    top = sorted(got, key=lambda r: -r["anomaly_score"])
+    assert {r["i"] for r in top[:8]} >= {10_000, 10_001, 10_002, 10_003} and all(r["is_anomaly"] for r in top[:8])
+    copies = {r["anomaly_score"] for r in got if r["i"] >= 20_000}
+    assert len(copies) == 1 and not any(r["is_anomaly"] for r in got if r["i"] >= 20_000)
+    far = np.argsort(-np.linalg.norm(x, axis=1))
+    score = {r["i"]: r["anomaly_score"] for r in got}
+    assert np.mean([score[i] for i in far[:100]]) > np.mean([score[i] for i in far[-100:]]) + 0.1

@@ -71,6 +71,28 @@ def moment(c: Column, kind) -> Column:
     return F.when(parts[0] != "", F.substr(built, F.lit(1), F.lit(19)).try_cast("timestamp_ntz")).otherwise(text.try_cast("timestamp_ntz"))
 
 
+#: Hours that the names of time zones in message dates stand for.
+_ZONES = {"GMT": 0, "UT": 0, "UTC": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+
+
+def message_date(c: Column) -> Column:
+    """A timestamp from a date as in messages and feeds (``Thu, 1 May 2025 10:20:30 +0800``); the weekday and the seconds may be left out.
+
+    Years of two digits are from 1950 to 2049, a missing or unknown zone counts as GMT. Null where unreadable, and for days that there are not.
+    """
+    pattern = r"(?i)^\s*(?:[a-z]{3},?\s+)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[a-z]{1,4})\b)?"
+    part = [F.regexp_extract(c, pattern, i) for i in range(1, 8)]
+    months = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
+    month = F.array_position(months, F.lower(part[1]))
+    year = part[2].try_cast("int")
+    year = F.when(F.length(part[2]) == 2, year + F.when(year < 50, 2000).otherwise(1900)).otherwise(year)
+    text = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", year, month, part[0].try_cast("int"), part[3].try_cast("int"), part[4].try_cast("int"), F.coalesce(part[5].try_cast("int"), F.lit(0)))
+    zone = F.upper(part[6])
+    named = F.coalesce(*[F.when(zone == name, hours * 60) for name, hours in _ZONES.items()], F.lit(0))
+    minutes = F.when(zone.rlike(r"^[+-]"), F.when(zone.startswith("-"), -1).otherwise(1) * (F.substr(zone, F.lit(2), F.lit(2)).try_cast("int") * 60 + F.substr(zone, F.lit(4), F.lit(2)).try_cast("int"))).otherwise(named)
+    return F.when((part[0] != "") & (month > 0), text.try_cast("timestamp_ntz") - F.make_dt_interval(mins=minutes))
+
+
 def ago(label: Column, now: Column) -> Column:
     """A moment from a relative label (``3 hours ago``, ``3小时前``, ``yesterday``, ``昨天``), counted back from ``now``."""
     n = F.regexp_extract(label, r"(\d+)", 1).try_cast("int")
