@@ -736,6 +736,15 @@ def test_non_negative_risk_steps_back():
     assert (model.margins(p) > 0).mean() > 0.95 and (model.margins(p - 1.0) < 0).mean() > 0.95
 
 
+def test_without_labels_nothing_is_rejected(spark):
+    docs = documents(spark)
+    for labels in ("doc_id long, quality int", "doc_id long, quality int, more int"):
+        empty = spark.createDataFrame([], labels)
+        assert quality.drop_rejected(docs, quality.fit(docs, empty)).count() == docs.count()
+    bad = spark.createDataFrame([(i, 0) for i in range(50)], "doc_id long, quality int")
+    assert quality.drop_rejected(docs, quality.fit(docs, bad)).count() == docs.count()
+
+
 def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(odd(spark), none)

@@ -177,7 +177,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """The rows whose score is at least ``accept``, with the columns of ``docs``."""
+    """The rows whose score is at least ``accept``, with the columns of ``docs``.
+
+    A model without positives to learn from rejects nothing: all rows stay.
+    """
+    if not np.any(model.weights):
+        return docs
     names = docs.columns
     plain = docs.toDF(*[f"d{i}" for i in range(len(names))])
     return score(plain, model, f"d{names.index(text_col)}").where(F.col("score") >= accept).drop("score").toDF(*names)
