@@ -37,17 +37,14 @@ def _(spark, d):
     return J.join_tables(load(spark, d, "nation"), load(spark, d, "nation"), "inner", "n_nationkey", "n_regionkey")
 
 
-_RICH = "SELECT o_custkey FROM orders WHERE o_totalprice > 300000"
-
-
-@query("anti_join", f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN ({_RICH})")
+@query("anti_join", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def _(spark, d):
-    return J.anti_join(load(spark, d, "customer"), load(spark, d, "orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    return J.anti_join(load(spark, d, "orders"), load(spark, d, "supplier"), "o_custkey", "s_suppkey").select("o_orderkey", "o_custkey")
 
 
-@query("semi_join", f"SELECT c_custkey, c_name FROM customer WHERE c_custkey IN ({_RICH})")
+@query("semi_join", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)")
 def _(spark, d):
-    return J.anti_join(load(spark, d, "customer"), load(spark, d, "orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey", keep="keep").select("c_custkey", "c_name")
+    return J.anti_join(load(spark, d, "orders"), load(spark, d, "supplier"), "o_custkey", "s_suppkey", keep="keep").select("o_orderkey", "o_custkey")
 
 
 @query("anti_join_composite", "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_partkey = l.l_partkey AND r.l_suppkey = l.l_suppkey)")
