@@ -210,3 +210,23 @@ def test_monitor_of_nodes_and_streams(spark, tmp_path):
     assert sum(e["rows"] for e in events if e["event"] == "batch" and e["stream"] == "good") == 25
     assert [(e["stream"], "no such luck" in (e["reason"] or "")) for e in events if e["event"] == "failed"] == [("bad", True)]
     assert [e["stream"] for e in events if e["event"] == "ended"] == ["good"]
+
+
+def test_busiest_minutes_of_a_stream(spark, tmp_path):
+    from weft.operators.timeseries import peak_counts
+    from weft.streaming import streams
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select((F.col("user_id") % 20).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    dense = events.withColumn("ts", F.timestamp_micros((F.unix_micros("ts") / 200).cast("bigint"))).unionByName(events.limit(1).withColumn("ts", F.lit(None).cast("timestamp")))
+    dense.orderBy("ts").repartitionByRange(4, "ts").write.parquet(str(tmp_path / "in"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(dense.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        found = streams.busiest(stream, "user_id", "ts", 10, "60 days")
+        found.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out")) and None).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.unset(provider)
+    got = {r["key"]: r["peak"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("key").agg(F.max("peak").alias("peak")).collect()}
+    want = {r["key"]: r["peak"] for r in peak_counts(dense.where("ts is not null"), "user_id", "ts").collect()}
+    assert got == want and max(want.values()) > 1

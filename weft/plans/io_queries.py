@@ -306,6 +306,19 @@ def _(spark, d):
     return data.read()
 
 
+@query("stream_busiest", "SELECT user_id AS key, max(n)::BIGINT AS peak FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts) RANGE BETWEEN CURRENT ROW AND INTERVAL 60 MINUTE FOLLOWING) AS n FROM events) GROUP BY 1")
+def _(spark, d):
+    out, setting = folder(spark, "busiest"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = ST.busiest(_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 60, "1 hour")
+        stream.writeStream.outputMode("update").foreachBatch(lambda rows, _: rows.write.mode("append").parquet(out)).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.parquet(out).groupBy("key").agg(F.max("peak").alias("peak"))
+
+
 @query("stream_item_key", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR WHEN event_id % 3 = 1 THEN 'e.example/' || user_id ELSE sha1(event_type) END AS item_key FROM events")
 def _(spark, d):
     def keyed(s):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.errors import need_columns, need_one_of
+from weft.errors import need_columns, need_one_of, need_positive
 from weft.functions.scalars import url_key
 from weft.sources.sinks import Lineage
 
@@ -67,3 +67,50 @@ def newer_than(df: DataFrame, marks: DataFrame, key_col: str, scope: list[str] =
         test = test & F.col(c).eqNullSafe(F.col(n))
     both = df.join(marks if scope else F.broadcast(marks), test, "left")  # without a scope one row
     return both.where(F.col("__newest").isNull() | (F.col(key_col) > F.col("__newest"))).select(*df.columns)
+
+
+def busiest(stream: DataFrame, key_col: str, time_col: str, minutes: int = 10, late: str = "1 hour") -> DataFrame:
+    """``(key, peak)``: the most rows of a key within any ``minutes``, again each time that it grows; the greatest of a key is its peak.
+
+    A key's state are its times within ``minutes`` of the watermark, and a timer takes the key away once no further row can
+    come near them, so the state is bounded by what ``late`` lets in. Run it with the RocksDB state store. Rows without a key
+    or a time do not count.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    need_columns("busiest", "columns", stream, [key_col, time_col])
+    need_positive("busiest", "minutes", minutes)
+    span = minutes * 60  # seconds, the ends of a span counted
+    kind = dict(stream.dtypes)[key_col]
+    rows = stream.select(F.col(key_col).alias("key"), F.col(time_col).alias("at")).where("key is not null and at is not null").withWatermark("at", late)
+
+    class Peak(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("state", "times array<bigint>, peak bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            times, peak = self.state.get() if self.state.exists() else ([], 0)
+            times = sorted([*times, *(int(t.value // 1_000_000_000) for pdf in rows for t in pd.to_datetime(pdf["at"]))])
+            first, most = 0, peak
+            for i, t in enumerate(times):
+                while times[first] < t - span:
+                    first += 1
+                most = max(most, i - first + 1)
+            edge = timerValues.getCurrentWatermarkInMs() // 1000 - span
+            self.state.update(([t for t in times if t >= edge], most))
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max((times[-1] + span + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+            if most > peak:
+                yield pd.DataFrame({"key": [key[0]], "peak": [most]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.state.clear()
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Peak(), outputStructType=f"key {kind}, peak bigint", outputMode="Update", timeMode="EventTime")
