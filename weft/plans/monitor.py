@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,15 @@ from pyspark.sql.streaming import StreamingQueryListener
 from weft.errors import need_columns
 
 
+def _done(found: Observation) -> bool:
+    """Whether the counts are there; ``get`` would wait for a job that may never come."""
+    return found._jo is not None and found._jo.future().isCompleted()
+
+
+#: Seconds that ``Monitor.rows`` waits at most for counts of jobs that have ended.
+WAIT_S = 60
+
+
 class Monitor:
     """Counts rows as they pass through nodes, in the jobs that need them anyway; no pass is added.
 
@@ -28,11 +38,21 @@ class Monitor:
         missing = [F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"n{i}") for i, c in enumerate(nulls)]
         return df.observe(found, F.count(F.lit(1)).alias("rows"), *missing)
 
+    def _arrived(self, spark: SparkSession) -> None:
+        """Spark hands counts over after their job, in the order of the jobs: those of all earlier ones are there when those of one more are."""
+        last = Observation()
+        spark.range(1).observe(last, F.count(F.lit(1)).alias("rows")).collect()
+        end = time.monotonic() + WAIT_S
+        while not _done(last) and time.monotonic() < end:
+            time.sleep(0.01)
+
     def rows(self, spark: SparkSession) -> DataFrame:
         """``(node, state, rows, nulls)``: ``done`` with the count and the nulls by column, or ``waiting`` for nodes that no job has run."""
+        if any(not _done(found) for found, _ in self.seen.values()):
+            self._arrived(spark)
         out = []
         for node, (found, nulls) in self.seen.items():
-            done = found._jo is not None and found._jo.future().isCompleted()  # get would wait for a job that may never come
+            done = _done(found)
             got = found.get if done else {}
             out.append((node, "done" if done else "waiting", got.get("rows"), {c: got.get(f"n{i}") or 0 for i, c in enumerate(nulls)} if done else None))
         return spark.createDataFrame(out, "node string, state string, rows bigint, nulls map<string,bigint>")
