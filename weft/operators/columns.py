@@ -93,19 +93,20 @@ def fill_null(df: DataFrame, columns: list[str] | None = None, value=None, metho
     if not method:
         return df.withColumns({c: F.coalesce(cell, F.lit(value).cast(df.schema[c].dataType)) for c, cell in cells.items()})
     back = method in ("ffill", "pad")
-    carried = (lambda cell, w: F.last(cell, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) if back else (lambda cell, w: F.first(cell, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # a frame up to the last row is worked out anew for each row, one from the first row is carried along: bfill goes through the rows backwards
+    turned = [_col(c).asc_nulls_first() if back else _col(c).desc_nulls_last() for c in order_by]
+    carried = lambda cell, w: F.last(cell, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if group_by:
-        w = Window.partitionBy(*map(_col, group_by)).orderBy(*map(_col, order_by))
+        w = Window.partitionBy(*map(_col, group_by)).orderBy(*turned)
         return df.withColumns({c: carried(cell, w) for c, cell in cells.items()})
     # without groups: ranges of the order, each filled on its own, then from the ranges before (or after) it
     keys = [_col(c) for c in order_by]
     parts = checkpoint(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
     end = F.max_by if back else F.min_by
     ends = parts.groupBy("__part").agg(*[end(cell, F.when(cell.isNotNull(), F.struct(*keys))).alias(f"__e{i}") for i, cell in enumerate(cells.values())])
-    along = Window.orderBy("__part")  # a row a partition
-    from_others = (lambda e: F.last(e, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))) if back else (lambda e: F.first(e, ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)))
-    others = ends.select("__part", *[from_others(F.col(f"__e{i}")).alias(f"__e{i}") for i in range(len(cells))])
-    w = Window.partitionBy("__part").orderBy(*keys)
+    along = Window.orderBy(F.asc("__part") if back else F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    others = ends.select("__part", *[F.last(f"__e{i}", ignorenulls=True).over(along).alias(f"__e{i}") for i in range(len(cells))])
+    w = Window.partitionBy("__part").orderBy(*turned)
     filled = parts.withColumns({f"__f{i}": carried(cell, w) for i, cell in enumerate(cells.values())}).join(F.broadcast(others), "__part")
     return filled.withColumns({c: F.coalesce(f"__f{i}", f"__e{i}") for i, c in enumerate(cells)}).select(*df.columns)
 
