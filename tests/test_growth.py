@@ -1,8 +1,16 @@
-"""What larger tables bring."""
+"""What larger tables bring: late counts, calm series, many rows of one order, long ranks."""
 
 import time
 
+from compare import both
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
+from weft.operators import columns as C
+from weft.operators import graph as G
+from weft.plans import analysis_queries as Q
+
+SMALL = "/root/testdata/sf0.001"
 
 
 class Late(Observation):
@@ -43,3 +51,28 @@ def test_counts_that_come_late_are_waited_for(spark, monkeypatch):
     Late.since = time.monotonic() + 2
     got = {r["node"]: (r["state"], r["rows"]) for r in monitor.rows(spark).collect()}
     assert got == {"in": ("done", 10), "kept": ("done", 3), "unread": ("waiting", None)}
+
+
+def test_alert_of_a_calm_series_matches_its_sql(spark, tmp_path):
+    for name in "region nation customer supplier part orders lineitem documents embeddings pages benchmark labels conversations".split():
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SMALL}/{name}.parquet")
+    spark.read.parquet(f"{SMALL}/events.parquet").withColumn("value", F.lit(5.0)).coalesce(1).write.parquet(str(tmp_path / "once"))
+    (tmp_path / "events.parquet").symlink_to(next((tmp_path / "once").glob("part-*.parquet")))
+    mine, theirs = both(spark, Q.QUERIES["alert"], Q.ORACLES["alert"], str(tmp_path))
+    assert mine == theirs and not mine[1]
+
+
+def test_filling_backwards_takes_one_pass(spark):
+    n = 400_000
+    df = spark.range(n, numPartitions=1).select("id", F.lit(1).alias("g"), F.when(F.col("id") == n - 3, F.lit(7)).alias("v"))
+    started = time.monotonic()
+    for group in (None, ["g"]):
+        filled = C.fill_null(df, ["v"], method="bfill", order_by=["id"], group_by=group)
+        assert filled.where("v = 7").agg(F.count(F.lit(1)), F.max("id")).first() == (n - 2, n - 3)
+    assert time.monotonic() - started < 60
+
+
+def test_g_index_of_many_entities(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("doc"), F.col("id").alias("entity"), F.lit(2000).alias("year"))
+    assert G.select_nodes(rows, "g_index", 3, "year").count() == 0  # a document each: g is 1 / 3
+    assert G.select_nodes(rows, "g_index", 1, "year").count() == 1
