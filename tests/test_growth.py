@@ -76,3 +76,31 @@ def test_g_index_of_many_entities(spark):
     rows = spark.range(50_000).select(F.col("id").alias("doc"), F.col("id").alias("entity"), F.lit(2000).alias("year"))
     assert G.select_nodes(rows, "g_index", 3, "year").count() == 0  # a document each: g is 1 / 3
     assert G.select_nodes(rows, "g_index", 1, "year").count() == 1
+
+
+def test_links_of_all_connect_as_all_pairs_do(spark):
+    import numpy as np
+
+    from weft.operators.components import connected_components
+    from weft.operators.links import bits_within, links_of_all
+
+    rng = np.random.default_rng(3)
+    prints = np.unique(rng.integers(0, 1 << 30, 40)[rng.integers(0, 40, 900)] ^ (1 << rng.integers(0, 60, 900)) ^ (1 << rng.integers(0, 60, 900)))
+    up = {x: x for x in prints.tolist()}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in up:
+        for y in up:
+            if x < y and (x ^ y).bit_count() <= 6:
+                a, b = root(x), root(y)
+                up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(x,) for x in up], "fp long")
+    links = links_of_all(df, bits_within(6), len(up), block_rows=40)
+    got = {r["node"]: r["component"] for r in connected_components(links, "a", "b").collect()}
+    want = {x: root(x) for x in up}
+    alone = {x for x in up if list(want.values()).count(want[x]) == 1}
+    assert got == {x: r for x, r in want.items() if x not in alone}
