@@ -104,3 +104,15 @@ def test_links_of_all_connect_as_all_pairs_do(spark):
     want = {x: root(x) for x in up}
     alone = {x for x in up if list(want.values()).count(want[x]) == 1}
     assert got == {x: r for x, r in want.items() if x not in alone}
+
+
+def test_a_key_normalises_its_text_once(spark):
+    from weft.operators import joins as J
+
+    df = spark.createDataFrame([("@a Some  words", "x"), ("", "y"), (None, "z"), ("Some words", " ")], "t string, u string")
+    assert str(J.match_key(df, ["t"], "text")).count("nfkc") == 1
+    found = df.select(J.match_key(df, ["t"], "text").alias("k"), J.match_key(df, ["t", "u"]).alias("two")).collect()
+    assert found[0]["k"] == found[3]["k"] and [r["k"] is None for r in found] == [False, True, True, False]
+    assert [r["two"] for r in found] == ["@a Some  words\u001fx", None, None, None]
+    out = J.anti_join(df, df.where("u = 'x'"), "t", mode="text")
+    assert out.columns == ["t", "u"] and sorted(r["u"] for r in out.collect()) == ["y", "z"]

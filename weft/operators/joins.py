@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, FloatType, IntegralType
 from weft.errors import OpError, need_columns, need_one_of
 from weft.functions.scalars import folded, url_key
 from weft.functions.texts import nfkc, normalized_key
+from weft.runtime import checkpoint, spread
 
 HOW = ("inner", "left", "right", "outer", "cross")
 MODES = ("exact", "trim", "url", "text")
@@ -57,8 +58,10 @@ def match_key(df: DataFrame, columns: list[str], mode: str = "exact", ignore_cas
             text = F.regexp_replace(cell.cast("string"), r"^(-?\d+)\.0+$", "$1")
         text = {"exact": lambda t: t, "trim": lambda t: folded(nfkc(t)), "url": url_key, "text": normalized_key}[mode](text)
         text = F.lower(text) if ignore_case else text
-        parts.append(F.when(F.trim(text) != "", text))
-    return F.when(F.concat(*parts).isNotNull(), F.concat_ws("\u001f", *parts))
+        parts.append(F.get(F.transform(F.array(text), lambda t: F.when(F.trim(t) != "", t)), F.lit(0)))  # the text is worked out once
+    if len(parts) == 1:
+        return parts[0]
+    return F.get(F.transform(F.array(F.array(*parts)), lambda p: F.when(F.forall(p, lambda x: x.isNotNull()), F.array_join(p, "\u001f"))), F.lit(0))
 
 
 def anti_join(df: DataFrame, other: DataFrame, left_on: str, right_on: str = "", mode: str = "exact", keep: str = "exclude", ignore_case: bool = False, swap_tables: bool = False) -> DataFrame:
@@ -76,8 +79,14 @@ def anti_join(df: DataFrame, other: DataFrame, left_on: str, right_on: str = "",
         raise OpError(op, "right_on", f"{len(rs)} columns for {len(ls)} of left_on")
     need_columns(op, "left_on", df, ls)
     need_columns(op, "right_on", other, rs)
-    keys = other.select(match_key(other, rs, mode, ignore_case).alias("__key")).where("__key is not null").distinct()
-    return df.join(keys, match_key(df, ls, mode, ignore_case) == F.col("__key"), "left_semi" if keep == "keep" else "left_anti")
+    if mode == "text":  # costly: by all tasks
+        df, other = spread(df), spread(other)
+    keys = other.select(match_key(other, rs, mode, ignore_case).alias("__key")).distinct()
+    keys = (checkpoint(keys) if mode == "text" else keys).where("__key is not null")
+    names = [f"d{i}" for i in range(len(df.columns))]
+    rows = df.select(F.struct(*[_col(c).alias(n) for c, n in zip(df.columns, names, strict=True)]).alias("__row"), match_key(df, ls, mode, ignore_case).alias("__of"))
+    found = rows.join(keys, F.col("__of") == F.col("__key"), "left_semi" if keep == "keep" else "left_anti")
+    return found.select(*[F.col(f"__row.{n}").alias(c) for c, n in zip(df.columns, names, strict=True)])
 
 
 def reply_graph(df: DataFrame, author_col: str, article_col: str, floor_col: str, parent_col: str, order_by: str | None = None) -> DataFrame:
