@@ -116,3 +116,22 @@ def test_a_key_normalises_its_text_once(spark):
     assert [r["two"] for r in found] == ["@a Some  words\u001fx", None, None, None]
     out = J.anti_join(df, df.where("u = 'x'"), "t", mode="text")
     assert out.columns == ["t", "u"] and sorted(r["u"] for r in out.collect()) == ["y", "z"]
+
+
+def test_paths_carried_in_blocks(spark, monkeypatch):
+    from itertools import combinations
+
+    names = [f"n{i}" for i in range(12)]
+    edges = [(a, b, 1 + (7 * i) % 9) for i, (a, b) in enumerate(combinations(names, 2)) if i % 5]
+    near = {(x, y): (1 / w) ** 2 for a, b, w in edges for x, y in ((a, b), (b, a))}
+    two, three = {}, {}
+    for before, after in ((near, two), (two, three)):
+        for (x, m), c in before.items():
+            for y in names:
+                if (m, y) in near and x != y:
+                    after[x, y] = min(after.get((x, y), 9e9), c + near[m, y])
+    want = {(a, b) for a, b, w in edges if (1 / w) ** 2 <= min(two.get((a, b), 9e9), three.get((a, b), 9e9)) * (1 + 1e-9)}
+    monkeypatch.setattr(G, "SOURCES", 4)
+    monkeypatch.setattr(G, "TASK_LINKS", 20)
+    got = G.pathfinder(spark.createDataFrame(edges, "a string, b string, weight long"), r=2, lmax=3).collect()
+    assert {(r["a"], r["b"]) for r in got} == want
