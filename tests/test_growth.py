@@ -135,3 +135,20 @@ def test_paths_carried_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(G, "TASK_LINKS", 20)
     got = G.pathfinder(spark.createDataFrame(edges, "a string, b string, weight long"), r=2, lmax=3).collect()
     assert {(r["a"], r["b"]) for r in got} == want
+
+
+def test_fingerprints_hold_few_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weft.operators import dedupe as D
+
+    words = [f"word{i}" for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([[f"{w}" for w in words[i % 50 :]] for i in range(4000)], pa.list_(pa.string()))], names=["id", "w"])
+    tracemalloc.start()
+    sizes = [x.num_rows for x in D._fingerprints([batch])]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 4000 and most < 30e6
+    assert D._votes("word1").nbytes == 64

@@ -60,7 +60,9 @@ def drop_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str |
 
 #: Hashes of words that a worker keeps.
 _HASHES: dict[str, np.ndarray] = {}
-_HASHES_KEPT = 1 << 18
+_HASHES_KEPT = 1 << 17
+#: Texts whose words a worker has as Python values at a time.
+TEXTS = 128
 
 
 def _votes(word: str) -> np.ndarray:
@@ -69,19 +71,21 @@ def _votes(word: str) -> np.ndarray:
         if len(_HASHES) >= _HASHES_KEPT:
             _HASHES.clear()
         bits = np.unpackbits(np.frombuffer(hashlib.sha1(word.encode()).digest()[7::-1], np.uint8), bitorder="little")
-        _HASHES[word] = bits.astype(np.int64) * 2 - 1
+        _HASHES[word] = bits.astype(np.int8) * 2 - 1
     return _HASHES[word]
 
 
 def _fingerprints(batches):
-    for batch in batches:
-        prints, texts = [], batch.column(1).to_pylist()
-        with_words = [i for i, text in enumerate(texts) if text]
-        for i in with_words:
-            counts = Counter(texts[i])
-            tally = np.array(list(counts.values()), np.int64) @ np.stack([_votes(w) for w in counts])
-            prints.append(int(np.packbits(tally > 0, bitorder="little").view(np.int64)[0]))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(with_words, pa.int64())), pa.array(prints, pa.int64())], names=["id", "fp"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(start, TEXTS)
+            prints, texts = [], batch.column(1).to_pylist()
+            with_words = [i for i, text in enumerate(texts) if text]
+            for i in with_words:
+                counts = Counter(texts[i])
+                tally = np.array(list(counts.values()), np.int64) @ np.stack([_votes(w) for w in counts])
+                prints.append(int(np.packbits(tally > 0, bitorder="little").view(np.int64)[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(with_words, pa.int64())), pa.array(prints, pa.int64())], names=["id", "fp"])
 
 
 def with_simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
