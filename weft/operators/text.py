@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.errors import OpError, need_columns, need_one_of, need_positive
 from weft.functions.scalars import strip
 from weft.functions.texts import STOP_WORDS, tokens, washed
+from weft.operators import blocks as B
 from weft.operators.segment import learned
 from weft.operators.skew import join_table
 from weft.runtime import checkpoint
@@ -164,10 +165,7 @@ def aggression(df: DataFrame, column: str, families: dict[str, tuple[float, str]
 
 def text_rank(df: DataFrame, column: str, top_k: int = 10, span: int = 5, rounds: int = 10, damping: float = 0.85, stop: tuple[str, ...] = STOP_WORDS, lexicon=()) -> DataFrame:
     """``(word, score)`` by PageRank over words that stand within ``span`` words of each other."""
-    from weft.operators.graph import page_rank
-
     need_columns("text_rank", "column", df, [column])
-    rows, w = df.select(_words(df, column, stop, lexicon).alias("w")), F.col("w")
-    near = F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, span - 1), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
-    edges = rows.select(F.explode(near).alias("p")).where("p.a <> p.b").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return page_rank(edges, "a", "b", "weight", rounds, damping).select(F.col("node").alias("word"), F.col("pagerank").alias("score")).orderBy(F.desc("score"), "word").limit(top_k)
+    blocks = B.encoded(df, _words(df, column, stop, lexicon), max(span - 1, 1))
+    ranks = B.neighbour_ranks(blocks, span, rounds, damping)
+    return ranks.select("word", F.col("pagerank").alias("score")).orderBy(F.desc("score"), "word").limit(top_k)
