@@ -52,3 +52,31 @@ def test_text_rank_writes_no_table_of_pairs(spark, monkeypatch, slice_words):
     got, records = shuffled_records(spark, lambda: T.text_rank(df, "text", top_k=1000, rounds=2).collect())
     assert {r["word"]: r["score"] for r in got} == pytest.approx(rank)
     assert records < len({tuple(sorted(p)) for p in weights}), records
+
+
+@pytest.mark.parametrize("window", [0, 4])
+def test_cooccurrence_shuffles_no_row_a_word_of_a_text(spark, window):
+    texts = TEXTS * 8
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    split = [[w for w in (t or "").split()] for t in texts]
+    n, has = sum(bool(t) for t in split), collections.Counter(w for t in split for w in set(t))
+    weight = collections.Counter()
+    for t in split:
+        raw = {w: k * (math.log((1 + n) / (1 + has[w])) + 1) for w, k in collections.Counter(t).items()}
+        for w, x in raw.items():
+            weight[w] += x / math.sqrt(sum(y * y for y in raw.values()))
+    top = sorted(weight, key=lambda w: (-round(weight[w], 9), w))[:30]
+    wanted = collections.Counter()
+    for t in split:
+        for unit in [t[i : i + window] for i in range(max(len(t) - window + 1, 1))] if window else [t]:
+            wanted.update(itertools.combinations(sorted(set(unit) & set(top)), 2))
+    got, records = shuffled_records(spark, lambda: T.cooccurrence(df, "id", "text", window=window).collect())
+    assert {(r["a"], r["b"]): r["count"] for r in got} == {k: c for k, c in wanted.items() if c >= 2}
+    assert records < sum(has.values()), records
+
+
+def test_rows_of_one_id_are_one_text(spark):
+    df = spark.createDataFrame([(1, "red blue"), (1, "red green"), (2, "blue grey")], "id int, text string")
+    joined = spark.createDataFrame([(1, "red blue red green"), (2, "blue grey")], "id int, text string")
+    a, b = ({r["word"]: r["weight"] for r in T.keywords(x, "id", "text").collect()} for x in (df, joined))
+    assert a == pytest.approx(b)

@@ -68,13 +68,24 @@ def tf_idf(df: DataFrame, id_col: str, column: str, stop: tuple[str, ...] = STOP
 
 def keywords(df: DataFrame, id_col: str, column: str, top_k: int = 10, per_row: bool = False, stop: tuple[str, ...] = STOP_WORDS, lexicon=(), idf: DataFrame | None = None) -> DataFrame:
     """Words by the sum of their TF-IDF weights, or the ``top_k`` of each text; ``lexicon`` and ``idf`` as in ``tf_idf``."""
-    weights = tf_idf(df, id_col, column, stop, lexicon, idf)
+    need_columns("keywords", "columns", df, [id_col, column])
+    if not per_row and idf is None and df.groupBy(_col(id_col)).count().where("count > 1").isEmpty():
+        weights = _weight_sums(B.encoded(df, _words(df, column, stop, lexicon), 1))
+        return weights.orderBy(F.desc("weight"), "word").limit(top_k)
+    weights = tf_idf(df, id_col, column, stop, lexicon, idf)  # rows of one id are one text
     if not per_row:
         return weights.groupBy("word").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "word").limit(top_k)
     order = Window.partitionBy("id").orderBy(F.desc("weight"), "word")
     return weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("id", "rank", "word", "weight")
 
 
+def _weight_sums(blocks: DataFrame) -> DataFrame:
+    """``(word, weight)``: the sums of the weights that ``tf_idf`` gives, from blocks of texts."""
+    n = B.texts_with_words(blocks)
+    table = B.text_counts(blocks).select("word", (F.log((1 + F.lit(n)) / (1 + F.col("n"))) + 1).alias("idf"))
+    return B.weight_sums(blocks, table)
+
+
 def cooccurrence(df: DataFrame, id_col: str, column: str, topn: int = 30, min_count: int = 2, window: int = 0, stop: tuple[str, ...] = STOP_WORDS, lexicon=()) -> DataFrame:
     """``(a, b, count)`` of the ``topn`` (up to 120) heaviest words: texts with both, or with a window the word windows with both.
 
@@ -85,15 +96,13 @@ def cooccurrence(df: DataFrame, id_col: str, column: str, topn: int = 30, min_co
         raise OpError("cooccurrence", "topn", f"{topn} is not from 2 to 120")
     if lexicon == "learned":
         lexicon = learned(df, column)
-    chosen = [r["word"] for r in keywords(df, id_col, column, topn, stop=stop, lexicon=lexicon).collect()]  # at most 120 words
-    rows, words = df.select(_words(df, column, stop, lexicon).alias("w")), F.col("w")
-    if window:
-        spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - window + 1, F.lit(1))), lambda i: F.slice(words, i, window))
-        units = rows.select(F.explode(spans).alias("u")).select(F.array_sort(F.array_distinct(F.filter("u", lambda w: w.isin(*chosen)))).alias("u"))
+    blocks = B.encoded(df, _words(df, column, stop, lexicon), max(window - 1, 1))
+    if df.groupBy(_col(id_col)).count().where("count > 1").isEmpty():
+        best = _weight_sums(blocks).orderBy(F.desc("weight"), "word").limit(topn)
     else:
-        units = rows.select(F.array_sort(F.array_distinct(F.filter(words, lambda w: w.isin(*chosen)))).alias("u"))
-    pairs = F.flatten(F.transform("u", lambda a: F.transform(F.filter("u", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return units.where("size(u) > 1").select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count).orderBy(F.desc("count"), "a", "b")
+        best = keywords(df, id_col, column, topn, stop=stop, lexicon=lexicon)
+    chosen = [r["word"] for r in best.collect()]  # at most 120 words
+    return B.meetings(blocks, chosen, window).where(F.col("count") >= min_count).orderBy(F.desc("count"), "a", "b")
 
 
 def wash(df: DataFrame, column: str) -> DataFrame:
