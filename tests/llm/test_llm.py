@@ -824,3 +824,31 @@ def test_pipeline_stage_by_stage(spark):
             assert after == before and {r["shard"] for r in out.collect()} <= set(range(8))
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert corpus_pipeline.run(spark, SMALL).count() == docs.count()
+
+
+def test_similar_links_what_simhash_fingerprints_give(spark, monkeypatch):
+    from weft.llm import similar
+
+    words = [f"w{i}" for i in range(400)]
+    texts = {k: " ".join(words[k * 50 : k * 50 + 200]) for k in range(3)}
+    texts |= {10 + k: texts[k] + " tail" for k in range(3)} | {20: "other words of one short text", 21: None}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id int, text string")
+    # minwise bytes that meet nowhere: what is linked then comes through the index of fingerprint bytes
+    monkeypatch.setattr(similar, "signature", lambda hashes: hashlib.shake_128(hashes.tobytes()).digest(similar.POSITIONS))
+    near = [(a, b) for a in texts for b in texts if a < b and (similar.fingerprint(similar.shingle_hashes((texts[a] or "").encode(), 3)) ^ similar.fingerprint(similar.shingle_hashes((texts[b] or "").encode(), 3))).bit_count() <= 3]
+    wanted = {(a, b) for a, b in near if similar.alike(similar.shingle_set(texts[a].encode(), 5), similar.shingle_set(texts[b].encode(), 5), 0.8)}
+    got = {r["id"]: r["component_id"] for r in similar.similar_groups(docs).collect()}
+    assert wanted and {(a, b) for a in got for b in got if a < b and got[a] == got[b]} == wanted
+
+
+def test_pairs_of_fingerprints_are_within_the_bound_and_connect_all():
+    from weft.llm import simhash
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 62), 1 << 62, 20)
+    prints = np.unique(np.concatenate([base, *(base ^ (np.int64(1) << rng.integers(0, 63, 20)) for _ in range(6))]))
+    keys = np.zeros(len(prints), np.int64)
+    a, b = simhash.list_pairs(keys, prints, 3)
+    assert (np.bitwise_count((a ^ b).view(np.uint64)) <= 3).all() and (a > b).all()
+    both = [dict(zip(*(x.tolist() for x in simhash.forest(*pair)), strict=True)) for pair in ((a, b), simhash.list_links(keys, prints, 3))]
+    assert both[0] == both[1] and len(both[0]) >= 60

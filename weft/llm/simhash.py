@@ -125,12 +125,35 @@ def list_links(keys: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.
     return forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def _compare(max_bits: int):
+def list_pairs(keys: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the bound, the smaller fingerprint second, that connect each run of equal keys as its links do: no pair of rows that are connected already."""
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    group, at, step = np.arange(len(keys)), np.arange(len(keys)), 1
+    while True:
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        if not len(at):
+            return np.concatenate(found_a), np.concatenate(found_b)
+        near = at[group[at] != group[at + step]]
+        differ = prints[near] ^ prints[near + step]
+        near = near[(differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - max_bits]
+        near = near[np.bitwise_count((prints[near] ^ prints[near + step]).view(np.uint64)) <= max_bits]
+        if len(near):
+            found_a.append(np.maximum(prints[near], prints[near + step]))
+            found_b.append(np.minimum(prints[near], prints[near + step]))
+            nodes, roots = forest(group[near], group[near + step])
+            new = np.arange(len(keys))
+            new[nodes] = roots
+            group = new[group]
+        step += 1
+
+
+def _compare(max_bits: int, compare=list_links):
     """Compare the rows of each key of a sorted partition."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(keys, prints):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in list_links(keys, prints, max_bits)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in compare(keys, prints, max_bits)], schema=schema)
 
     def run(batches):
         keys = prints = np.zeros(0, np.int64)
@@ -145,11 +168,11 @@ def _compare(max_bits: int):
     return run
 
 
-def fingerprint_links(prints: DataFrame, max_bits: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
+def fingerprint_links(prints: DataFrame, max_bits: int = 3, list_rows: int = LIST_ROWS, pairs: bool = False) -> DataFrame:
     """``(a, b)``: links that connect all fingerprints ``fp`` differing in at most ``max_bits`` bits.
 
     Not every pair is listed, but two fingerprints are connected by the listed links exactly
-    if they are connected by pairs within the bound.
+    if they are connected by pairs within the bound. With ``pairs`` each link is such a pair.
     """
     if max_bits not in range(6):
         raise OpError("simhash", "max_bits", f"{max_bits!r} is not a whole number from 0 to 5")
@@ -167,7 +190,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 3, list_rows: int = LIS
         both = listed.join(F.broadcast(long) if few <= BROADCAST_ROWS else long, "key", "left")
         both = both.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")))
         listed = both.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "fp")
-    return listed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(max_bits), "a bigint, b bigint")
+    return listed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(max_bits, list_pairs if pairs else list_links), "a bigint, b bigint")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 3) -> DataFrame:

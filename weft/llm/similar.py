@@ -4,7 +4,10 @@ A 64-bit SimHash with a radius of 3 bits links few of the pairs at a Jaccard sim
 (about one in ten of those measured), so where a similarity is asked for, the positional bytes
 are minwise ones: byte ``i`` of a signature is the low byte of the least value of the ``i``-th
 hash over the shingles, and two texts share a byte with the probability of their similarity.
-The rest is as for fingerprints: groups of bytes are the keys of an inverted index, texts that
+The SimHash fingerprints come first all the same: texts with one
+fingerprint, and pairs that the index of fingerprint bytes, the tally and the bits give at
+``FINGERPRINT_BITS``, are candidates, and the shingle sets verify them. The minwise bytes find
+the pairs that are left. For these the rest is as for fingerprints: groups of bytes are the keys of an inverted index, texts that
 meet under a key have their shared bytes tallied, pairs that reach the least count are kept, and
 the shingle sets themselves decide. Equal sets are one entry.
 
@@ -30,13 +33,15 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from weft.errors import OpError, need_columns
 from weft.llm.common import BROADCAST_IDS, field, keep_first, named_texts, slices, texts_of
-from weft.llm.simhash import shingle_hashes
+from weft.llm.simhash import fingerprint, fingerprint_links, shingle_hashes
 from weft.operators.components import connected_components
 from weft.operators.skew import join_table
 from weft.runtime import checkpoint
 
 BAND_BYTES, BANDS = 5, 20
 POSITIONS = BAND_BYTES * BANDS
+#: Words of a shingle of the fingerprints, and bits that two may differ in.
+FINGERPRINT_WORDS, FINGERPRINT_BITS = 3, 3
 #: Deviations of the tally below its mean that still count.
 SLACK = 4.5
 #: Texts, and hashes of their sets, of one block of a key; a task compares two blocks at a time.
@@ -68,20 +73,21 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """``(id, same, signature, hashes)`` of each row; ``same`` is a digest of the shingle set, ``hashes`` its size."""
+    """``(id, same, signature, hashes, fp)`` of each row; ``same`` is a digest of the shingle set, ``hashes`` its size, ``fp`` the SimHash fingerprint."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                same, signed, sizes = [], [], []
+                same, signed, sizes, prints = [], [], [], []
                 for text in texts_of(part.column(1)):
                     hashes = shingle_set(text, shingle_words)
                     same.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                     signed.append(signature(hashes))
                     sizes.append(len(hashes))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(signed, pa.binary()), pa.array(sizes, pa.int64())], names=["id", "same", "signature", "hashes"])
+                    prints.append(fingerprint(shingle_hashes(text, FINGERPRINT_WORDS)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(signed, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], names=["id", "same", "signature", "hashes", "fp"])
 
-    schema = StructType([field(docs, id_col, "id"), StructField("same", BinaryType()), StructField("signature", BinaryType()), StructField("hashes", LongType())])
+    schema = StructType([field(docs, id_col, "id"), StructField("same", BinaryType()), StructField("signature", BinaryType()), StructField("hashes", LongType()), StructField("fp", LongType())])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -239,6 +245,17 @@ def _blocks(rows: str, hashes: str):
     return F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(hashes) / BLOCK_HASHES)).cast("int")
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """``(node, hub)``: nodes whose fingerprints are equal, or a pair of the index of fingerprint bytes; enough of them to connect all such."""
+    prints = checkpoint(distinct.groupBy("fp").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")))
+    size = prints.agg(F.count(F.lit(1)).alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes")).first()
+    equal = join_table(distinct.select("fp", "node"), prints.select("fp", "hub"), "fp", prints, size["prints"], size["nodes"]).where("node <> hub").select("node", "hub")
+    first = lambda end, name: prints.select(F.col("fp").alias(end), F.col("hub").alias(name))
+    near = fingerprint_links(prints.select("fp"), FINGERPRINT_BITS, pairs=True).distinct()
+    near = near.join(first("a", "node"), "a").join(first("b", "hub"), "b").select("node", "hub")
+    return checkpoint(equal.unionByName(near))
+
+
 def _links(distinct: DataFrame, named: DataFrame, shingle_words: int, similarity: float, repeated: bool) -> DataFrame:
     """``(a, b)``: verified links that connect the nodes of ``distinct`` as all pairs at ``similarity`` do; ``repeated``: some rows of ``named`` are equal."""
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * BAND_BYTES + 1, BAND_BYTES)) for b in range(BANDS)])
@@ -246,21 +263,25 @@ def _links(distinct: DataFrame, named: DataFrame, shingle_words: int, similarity
     meet = checkpoint(listed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("hashes").alias("all")).where("n > 1"))
     counts = meet.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     members = checkpoint(join_table(listed, meet.select("key", "hub", _blocks("n", "all").alias("blocks")), "key", meet, counts["keys"], counts["rows"]))
-    nodes = checkpoint(distinct.join(members.select("node").distinct(), "node", "left_semi").select("node", "least", "signature", "hashes"))
+    printed = fingerprint_pairs(distinct)
+    met = members.select("node").unionByName(printed.select(F.explode(F.array("node", "hub")).alias("node"))).distinct()
+    nodes = checkpoint(distinct.join(met, "node", "left_semi").select("node", "least", "signature", "hashes"))
     few = nodes.count() <= BROADCAST_IDS  # some 60 bytes each
     of = nodes.select("node", F.col("least.id").alias("least_id"), F.col("least.key").alias("least_key"))
     rows = named.join(F.broadcast(of) if few else of, F.col("id.id").eqNullSafe(F.col("least_id")) & (F.col("id.key") == F.col("least_key"))).select("node", "text")
     rows = rows.dropDuplicates(["node"]) if repeated else rows
     sets = checkpoint(_with_sets(rows, shingle_words))
-    # each text with the first likely one of the hubs of its keys
+    # each text with those that its fingerprint meets, and with the first likely one of the hubs of its keys
     edges = members.where("node <> hub").select("node", "hub").distinct()
     of_hub = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
     both = join_table(edges.join(nodes.select("node", "signature", "hashes"), "node"), nodes.select(F.col("node").alias("hub"), F.col("signature").alias("mark")), "hub", of_hub, counts["rows"], counts["rows"])
     chosen = both.select("node", "hub", "signature", "mark", "hashes").mapInArrow(_tallied(similarity), "node bigint, hub bigint, hashes bigint")
-    chosen = checkpoint(chosen.groupBy("node").agg(F.min("hub").alias("hub"), F.first("hashes").alias("hashes")))
+    chosen = chosen.groupBy("node").agg(F.min("hub").alias("hub"), F.first("hashes").alias("hashes"))
+    chosen = checkpoint(chosen.unionByName(printed.join(nodes.select("node", "hashes"), "node").select("node", "hub", "hashes")).distinct())
     sizes = chosen.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("hashes").alias("all"))
     stars = sizes.select("hub", _blocks("n", "all").alias("blocks"))
-    dealt = join_table(chosen, stars, "hub", sizes, counts["rows"], counts["rows"]).select("node", "hub", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    linked = counts["rows"] + printed.count()
+    dealt = join_table(chosen, stars, "hub", sizes, linked, linked).select("node", "hub", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     hubs = stars.select(F.col("hub").alias("node"), "hub", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"))
     cells = dealt.unionByName(hubs).join(sets, "node").select(F.xxhash64("hub", "block").alias("cell"), "node", "hub", "text")
     cells = cells.repartition("cell").sortWithinPartitions("cell", F.col("node") != F.col("hub"))
@@ -291,7 +312,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, sim
         raise OpError("similar", "similarity", f"{similarity!r} is not above 0 and up to 1")
     named = named_texts(docs, id_col, text_col)
     signed = checkpoint(signatures(named, "id", "text", shingle_words))
-    firsts = signed.groupBy("same").agg(F.min("id").alias("least"), F.first("signature").alias("signature"), F.first("hashes").alias("hashes"), F.count(F.lit(1)).alias("n"))
+    firsts = signed.groupBy("same").agg(F.min("id").alias("least"), F.first("signature").alias("signature"), F.first("hashes").alias("hashes"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
     distinct = checkpoint(firsts.withColumn("node", F.monotonically_increasing_id()))
     counts = distinct.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     repeated = not signed.groupBy("id").count().where("count > 1").isEmpty()
