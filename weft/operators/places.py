@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.errors import need_columns
+from weft.operators.skew import BROADCAST_ROWS, join_table
+from weft.runtime import checkpoint
 
 
 def _col(name: str) -> Column:
@@ -33,7 +35,15 @@ def affiliation_countries(df: DataFrame, id_col: str, column: str, aliases: Data
     parts = parts.withColumn("address", _address(F.col("part")))
     # every end of an address: what follows a blank or a comma, and all of it
     ends = parts.select("id", "at", F.explode(F.concat(F.array("address"), F.transform(F.split("address", "(?<=[ ,])"), lambda w, i: F.array_join(F.slice(F.split(F.col("address"), "(?<=[ ,])"), i + 1, 10_000), "")))).alias("alias"))
-    found = ends.distinct().join(table, "alias").groupBy("id", "at").agg(F.max_by("country", F.length("alias")).alias("country"))
+    # few spellings end very many addresses: they are taken to the addresses, or dealt out
+    table = checkpoint(table)
+    known = table.count()
+    if known > BROADCAST_ROWS:
+        sizes = checkpoint(ends.groupBy("alias").agg(F.count(F.lit(1)).alias("n")))
+        rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    else:
+        sizes, rows = table, 0
+    found = join_table(ends, table, "alias", sizes, known, rows).groupBy("id", "at").agg(F.max_by("country", F.length("alias")).alias("country"))
     first = found.groupBy("id", "country").agg(F.min("at").alias("at")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "country"))), lambda x: x["country"]).alias("countries"))
     ids = df.select(_col(id_col).alias("id")).distinct()
     return ids.join(first, "id", "left").select("id", F.coalesce("countries", F.array().cast("array<string>")).alias("countries"))
