@@ -20,8 +20,11 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from weft.errors import OpError
 from weft.runtime import checkpoint
 
-#: Vectors of a block; a cell holds two.
+#: Vectors of a block of a home with few; a cell holds two.
 BLOCK_ROWS = 4096
+#: Blocks that a home is cut into before its blocks grow, and rows of a block at most (some 40 MB at 64 components). A row is
+#: copied once a block, so what is shuffled grows with the rows up to that size, and with their square beyond.
+BLOCKS, MOST_ROWS = 12, 65_536
 #: Pivots of one level, at most.
 PIVOTS = 512
 #: Room for rounding when cells are chosen; a cosine is at the threshold if its double is.
@@ -125,7 +128,8 @@ def by_cells(rows: DataFrame, threshold: float, work, schema: StructType, block_
     names = rows.columns
     homes = placed(rows, threshold, block_rows)
     sizes = homes.groupBy("home").agg(F.sum(F.col("stay").cast("int")).alias("own"), F.sum((~F.col("stay")).cast("int")).alias("more"))
-    blocks = sizes.select("home", F.greatest(F.ceil(F.col("own") / block_rows), F.lit(1)).cast("int").alias("b"), F.ceil(F.col("more") / block_rows).cast("int").alias("m"))
+    parts = lambda n: F.greatest(F.least(F.ceil(F.col(n) / block_rows), F.lit(BLOCKS)), F.ceil(F.col(n) / max(block_rows, MOST_ROWS))).cast("int")
+    blocks = sizes.select("home", F.greatest(parts("own"), F.lit(1)).alias("b"), parts("more").alias("m"))
     both = homes.join(F.broadcast(blocks), "home")  # homes are few
     block = F.pmod(F.xxhash64("id", F.lit(3)), F.when(F.col("stay"), F.col("b")).otherwise(F.col("m"))).cast("int")
     both = both.withColumn("block", block)
