@@ -311,24 +311,37 @@ def dbscan(df: DataFrame, id_col: str, vector_col: str, eps: float = 0.3, min_sa
     return df.select(_col(id_col).alias("id")).join(named, "id", "left").select("id", "cluster", F.col("cluster").isNull().alias("is_noise"))
 
 
+#: Words of two letters or digits or more of a classifier's texts.
+_CLASSIFIER_WORDS = r"regexp_extract_all(lower(text), '[a-z0-9\\p{L}\\p{N}]{2,}+', 0)"
+
+
 def train_classifier(df: DataFrame, column: str, label_col: str, vocabulary: int = 20_000):
     """A fitted pipeline: words and pairs of words, TF-IDF, logistic regression with each class of equal weight. Save it with ``.save(path)``."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, SQLTransformer, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import IDF, CountVectorizerModel, IndexToString, NGram, SQLTransformer, StringIndexerModel, VectorAssembler
+
+    from weft.operators import blocks as B
 
     need_columns("train_classifier", "columns", df, [column, label_col])
     rows = df.where(_col(label_col).isNotNull() & _col(column).isNotNull()).select(_col(column).cast("string").alias("text"), _col(label_col).cast("string").alias("label_text"))
-    counts = rows.groupBy("label_text").agg(F.count(F.lit(1)).alias("n"))
+    # texts are cut into words once; what follows counts in blocks of them, and the model holds what that gave as stages
+    texts = B.encoded(rows, F.expr(_CLASSIFIER_WORDS), 1, ["label_text"])
+    counts = checkpoint(texts.select(F.explode("label_text").alias("label_text")).groupBy("label_text").agg(F.count(F.lit(1)).alias("n")))
     labels = [r[0] for r in counts.orderBy(F.desc("n"), "label_text").limit(1001).collect()]
     if not 2 <= len(labels) <= 1000:
         raise OpError("train_classifier", "label_col", f"{len(labels)} labels; 2 to 1000 are needed")
+    terms = [B.frequent_terms(texts, vocabulary, span) for span in (1, 2)]
+    if not all(terms):
+        raise OpError("train_classifier", "column", "no text has two words")
     total = counts.agg(F.sum("n").alias("total"))
-    weighed = rows.join(F.broadcast(counts), "label_text").crossJoin(F.broadcast(total)).withColumn("weight", F.col("total") / (F.col("n") * len(labels)))  # at most 1000 labels
-    index = StringIndexer(inputCol="label_text", outputCol="label", handleInvalid="keep").fit(weighed)
-    words = SQLTransformer(statement="SELECT *, filter(regexp_extract_all(lower(text), '([\\\\p{L}\\\\p{N}]+)', 1), w -> length(w) > 1) AS words FROM __THIS__")
-    stages = [words, NGram(n=2, inputCol="words", outputCol="pairs"), CountVectorizer(inputCol="words", outputCol="tf1", vocabSize=vocabulary), CountVectorizer(inputCol="pairs", outputCol="tf2", vocabSize=vocabulary), VectorAssembler(inputCols=["tf1", "tf2"], outputCol="tf"), IDF(inputCol="tf", outputCol="features"), LogisticRegression(weightCol="weight", maxIter=30, regParam=0.01), IndexToString(inputCol="prediction", outputCol="predicted", labels=list(index.labels))]
-    return Pipeline(stages=stages).fit(index.transform(weighed))
+    weighed = B.term_vectors(texts, terms, ["label_text"]).join(F.broadcast(counts), "label_text").crossJoin(F.broadcast(total)).withColumn("weight", F.col("total") / (F.col("n") * len(labels)))  # at most 1000 labels
+    index = StringIndexerModel.from_labels(labels, inputCol="label_text", outputCol="label", handleInvalid="keep")
+    counted = index.transform(weighed)
+    scaled = IDF(inputCol="tf", outputCol="features").fit(counted)
+    learned = LogisticRegression(weightCol="weight", maxIter=30, regParam=0.01).fit(scaled.transform(counted))
+    vectors = [CountVectorizerModel.from_vocabulary(terms[i], inputCol=c, outputCol=f"tf{i + 1}") for i, c in enumerate(("words", "pairs"))]
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, {_CLASSIFIER_WORDS} AS words FROM __THIS__"), NGram(n=2, inputCol="words", outputCol="pairs"), *vectors, VectorAssembler(inputCols=["tf1", "tf2"], outputCol="tf"), scaled, learned, IndexToString(inputCol="prediction", outputCol="predicted", labels=labels)])
 
 
 def classify(df: DataFrame, column: str, model, new_col: str = "label") -> DataFrame:
