@@ -230,3 +230,11 @@ def test_busiest_minutes_of_a_stream(spark, tmp_path):
     got = {r["key"]: r["peak"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("key").agg(F.max("peak").alias("peak")).collect()}
     want = {r["key"]: r["peak"] for r in peak_counts(dense.where("ts is not null"), "user_id", "ts").collect()}
     assert got == want and max(want.values()) > 1
+
+
+def test_csv_keeps_blanks_and_empty_cells(spark, tmp_path):
+    cells = ["", None, " ", "\n", " lead", "trail \n", "x\r\n", "\0", ' "q" ', '"', "\\", 'a,"b\n', "\ufeff"]
+    df = spark.createDataFrame(list(enumerate(cells)), "id int, t string").coalesce(1)
+    export(df, str(tmp_path / "csv"), "csv")
+    back = {int(r["id"]): r["t"] for r in read_table(spark, str(tmp_path / "csv"), "csv", "auto").collect()}
+    assert back == dict(enumerate(cells))

@@ -25,7 +25,8 @@ def export(df: DataFrame, path: str, fmt: str, text_column: str = "", max_record
     """Write a table; files are written by tasks, into a folder. HTML and Markdown are for reading and take ``PAGE_ROWS`` rows at most.
 
     CSV cells that a spreadsheet would run as a formula get a leading quote, and CSV files start
-    with a byte order mark, so that spreadsheets read them as UTF-8. Returns the path.
+    with a byte order mark, so that spreadsheets read them as UTF-8. Blanks at the ends of cells stay, and
+    an empty cell is in quotes while a missing one is nothing. Returns the path.
     """
     fmt = ALIASES.get(fmt.lower(), fmt.lower())
     if fmt == "excel":
@@ -49,7 +50,7 @@ def export(df: DataFrame, path: str, fmt: str, text_column: str = "", max_record
         out = neutralise_formulas(df) if fmt == "csv" else df
         out = out.withColumnRenamed(out.columns[0], f"\ufeff{out.columns[0]}") if fmt == "csv" else out
         writer = out.write.option("maxRecordsPerFile", max_records_per_file)
-        writer.csv(path, header=True, escape='"') if fmt == "csv" else writer.json(path) if fmt == "json" else writer.parquet(path)
+        writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if fmt == "csv" else writer.json(path) if fmt == "json" else writer.parquet(path)
     return path
 
 

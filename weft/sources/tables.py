@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ FORMATS = ("csv", "tsv", "json", "jsonl", "parquet", "txt")
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "", encoding: str = "UTF-8", schema: str | None = None) -> DataFrame:
-    """A table by its format, else by the ending of its path. CSV cells are text unless a schema says otherwise.
+    """A table by its format, else by the ending of its path. CSV cells are text unless a schema says otherwise; one without anything is null, quotes around nothing are an empty text.
 
     Encoding ``auto`` takes UTF-8, with a byte order mark or without, if every line is valid in
     it, else GB18030 (then a row is a line); a file that is neither is refused. Excel files are refused by name: no reader for them is installed.
@@ -30,7 +31,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "", encoding: str = "U
     encoding = "UTF-8" if encoding == "auto" else encoding
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt in ("csv", "tsv"):
-        df = reader.csv(path, header=True, sep="\t" if fmt == "tsv" else ",", encoding=encoding, multiLine=True, escape='"', quote='"')
+        df = reader.csv(path, header=True, sep="\t" if fmt == "tsv" else ",", encoding=encoding, multiLine=True, escape='"', quote='"', nullValue=f"null {uuid.uuid4()}")  # no cell reads so
         return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
     if fmt == "json":
         return reader.json(path, multiLine=True)
