@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,32 @@ def test_edges_are_made_once(spark):
     for run in (lambda e: graph.max_links(e, 3), lambda e: graph.eigenvector(e, rounds=3), graph.largest_component, graph.spanning_forest, lambda e: graph.page_rank(e, rounds=2), lambda e: spectral.leading_vectors(e, 2, rounds=3)[0]):
         seen.value = 0
         assert run(made).collect() and seen.value == len(edges)
+
+
+@pytest.mark.parametrize(("kind", "few"), [("long", False), ("string", True)])
+def test_coupling_counts_references_of_many_documents(spark, monkeypatch, kind, few):
+    """A reference of over 200 documents counts like any other, also where lists are cut into blocks."""
+    rng = random.Random(5)
+    rows = [(d, "all") for d in range(260)] + [(rng.randrange(260), f"r{rng.randrange(40)}") for _ in range(900)]
+    rows += rows[:50]
+    if few:
+        monkeypatch.setattr(graph, "LIST_DOCS", 16)
+    if kind == "string":
+        rows = [(f"d{d}", r) for d, r in rows]
+    got = graph.coupling_edges(spark.createDataFrame(rows, f"doc {kind}, ref string").repartition(3), "doc", "ref").collect()
+    of = {}
+    for doc, ref in set(rows):
+        of.setdefault(ref, []).append(doc)
+    want = {}
+    for docs in of.values():
+        for pair in itertools.combinations(sorted(docs), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["count"] for r in got} == want
+    for name, n in (("HELD_DOCS", 300), ("COUNTED_MEETINGS", 5000), ("HELD_PAIRS", 20_000)):
+        monkeypatch.setattr(graph, name, n)
+    lists = pa.table({"x": [sorted(docs) for docs in of.values()], "y": pa.nulls(len(of), pa.list_(pa.string() if kind == "string" else pa.int64()))})
+    added = {}
+    for batch in graph._met_counts(lists.to_batches(7)):
+        for a, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            added[a, b] = added.get((a, b), 0) + n
+    assert added == want
