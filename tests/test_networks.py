@@ -222,3 +222,27 @@ def test_coupling_counts_references_of_many_documents(spark, monkeypatch, kind,
         for a, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             added[a, b] = added.get((a, b), 0) + n
     assert added == want
+
+
+@pytest.mark.parametrize("held", [1000, 15])
+def test_forest_of_blocks_of_edges(spark, monkeypatch, held):
+    """Rounds go over the forests of blocks only, and the forest is that of all edges, the last by ends of equal weights."""
+    monkeypatch.setattr(graph, "FOREST_EDGES", held)
+    rng = random.Random(held)
+    edges = [(f"s{a}", f"s{b}", rng.choice([1.0, 2.0, 3.0, math.nan])) for a, b in itertools.combinations(range(20), 2) if a % 2 == b % 2]
+    root, want = {}, set()
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b, w in sorted(edges, key=lambda e: (math.inf if math.isnan(e[2]) else e[2], e[0], e[1]), reverse=True):
+        if top(a) != top(b):
+            root[top(a)] = top(b)
+            want.add((a, b))
+    table = pa.table({c: [e[i] for e in edges] for i, c in enumerate("abw")})
+    blocks = {tuple(x.values())[:2] for batch in graph._forest_edges(table.to_batches(7)) for x in batch.to_pylist()}
+    assert want <= blocks and (held < len(edges) or blocks == want) and len(blocks) < len(edges)
+    df = spark.createDataFrame([*edges, ("s1", "s1", 9.0), (None, "s1", 9.0)], "a string, b string, weight double").repartition(3)
+    assert {(x["a"], x["b"]) for x in graph.spanning_forest(df).collect()} == want
