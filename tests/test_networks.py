@@ -246,3 +246,22 @@ def test_forest_of_blocks_of_edges(spark, monkeypatch, held):
     assert want <= blocks and (held < len(edges) or blocks == want) and len(blocks) < len(edges)
     df = spark.createDataFrame([*edges, ("s1", "s1", 9.0), (None, "s1", 9.0)], "a string, b string, weight double").repartition(3)
     assert {(x["a"], x["b"]) for x in graph.spanning_forest(df).collect()} == want
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_eigenvector_links_are_dealt_out_once(spark, monkeypatch, few):
+    """Links lie by the node that they lead to; values as from the whole matrix, broadcast or dealt out."""
+    plans, real = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().toString()) or real(df))
+    if few:
+        monkeypatch.setattr(graph, "BROADCAST_VALUES", 0)
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    edges = network(4, 12, 0.5)
+    names = sorted({x for a, b, _ in edges for x in (a, b)})
+    matrix, v = np.eye(len(names)), np.ones(len(names))
+    for a, b, w in edges:
+        matrix[names.index(a), names.index(b)] = matrix[names.index(b), names.index(a)] = w
+    for _ in range(5):
+        v = matrix @ v / np.linalg.norm(matrix @ v)
+    got = {x["node"]: x["eigenvector"] for x in graph.eigenvector(spark.createDataFrame(edges, "a string, b string, weight double"), rounds=5).collect()}
+    assert got == pytest.approx(dict(zip(names, v, strict=True))) and "hashpartitioning(y" in plans[0]
