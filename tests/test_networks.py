@@ -265,3 +265,17 @@ def test_eigenvector_links_are_dealt_out_once(spark, monkeypatch, few):
         v = matrix @ v / np.linalg.norm(matrix @ v)
     got = {x["node"]: x["eigenvector"] for x in graph.eigenvector(spark.createDataFrame(edges, "a string, b string, weight double"), rounds=5).collect()}
     assert got == pytest.approx(dict(zip(names, v, strict=True))) and "hashpartitioning(y" in plans[0]
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_leading_vectors_links_are_dealt_out_once(spark, monkeypatch, few):
+    """Links lie by the node that they lead to; two parts give two eigenvalues of 0, broadcast or dealt out."""
+    plans, real = [], spectral.checkpoint
+    monkeypatch.setattr(spectral, "checkpoint", lambda df: plans.append((df.columns, df._jdf.queryExecution().toString())) or real(df))
+    if few:
+        monkeypatch.setattr(spectral, "BROADCAST_NUMBERS", 0)
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    edges = [(f"{p}{i}", f"{p}{j}", 1.0) for p in "xy" for i in range(4) for j in range(i + 1, 4)]
+    _, values, _ = spectral.leading_vectors(spark.createDataFrame(edges, "a string, b string, weight double"), 3, rounds=6)
+    assert values[:2] == pytest.approx([0, 0], abs=1e-6) and values[2] > 0.5
+    assert any(c == ["x", "y", "w"] and "hashpartitioning(y#" in plan.partition("Physical Plan")[2] and "RepartitionByExpression [y" in plan for c, plan in plans)
